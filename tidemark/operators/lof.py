@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +98,3 @@ def remove_lof(
     flagged = flag_lof(df, columns, contamination, neighbors, leaf_points)
     return flagged.where(~F.col("is_outlier")).drop("lof", "is_outlier")
 
-
-def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.where(reduce(and_, [as_double(df, c).isNotNull() for c in columns]))
