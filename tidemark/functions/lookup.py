@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import ref
 
@@ -17,14 +18,18 @@ SALTS = 32
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None, chars: int | None = None) -> bool:
-    """Measure a table, reading at most ``rows`` + 1 rows of it."""
+    """Measure rows and characters of a table with one aggregation."""
     rows = BROADCAST_ROWS if rows is None else rows
     chars = BROADCAST_CHARS if chars is None else chars
-    width = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(F.length(F.to_json(F.struct(ref(c)))), F.lit(0)) for c in df.columns],
-    )
-    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("chars")).first()
+    width = F.lit(0)
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.length(ref(f.name)), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.length(F.to_json(F.struct(ref(f.name))))
+        else:
+            width = width + F.lit(8)
+    seen = df.agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("chars")).first()
     return seen["n"] <= rows and (seen["chars"] or 0) <= chars
 
 

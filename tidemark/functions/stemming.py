@@ -1,18 +1,17 @@
-"""The published Snowball stemmers for English and Russian as Spark projections.
+"""The published Snowball stemmers for English and Russian as column expressions.
 
-A stemmer takes a table with a lowercase word column and adds the stem.  Each step is a projection
-on the column ``__w``; ``__p1`` and ``__p2`` are the starts of the regions R1 and R2.
+A word passes through the steps as a struct: ``w`` is the word so far, ``p1`` and ``p2`` the starts of
+the regions R1 and R2.  Each step is a function given to ``transform``, so the expression grows with
+the number of steps and not with how often a step uses the result of the one before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-W, P1, P2, END = F.col, "__p1", "__p2", "__end"
-
 # Fixed values of the published English (Porter2) algorithm.
 ENGLISH_VOWELS = "aeiouy"
 ENGLISH_REGION_PREFIXES = "gener|commun|arsen"
@@ -58,14 +57,32 @@ RUSSIAN_DERIVATION = "(?:ост|ость)$"
 RUSSIAN_SUPERLATIVE = "(?:ейше|ейш)$"
 
 
-def _head(word: Column, cut: Column) -> Column:
-    """The word without its last ``cut`` characters."""
+Step = Callable[[Column], Column]
+
+
+def _run(start: Column, steps: list[Step]) -> Column:
+    """Pass a value through the steps."""
+    state = F.array(start)
+    for step in steps:
+        state = F.transform(state, step)
+    return F.get(state, F.lit(0))
+
+
+def _with(state: Column, **changed: Column) -> Column:
+    """The state with some fields changed or added."""
+    for name, value in changed.items():
+        state = state.withField(name, value)
+    return state
+
+
+def _head(word: Column, cut: Column | int) -> Column:
+    """The word without its last characters."""
     return word.substr(F.lit(1), F.length(word) - cut)
 
 
-def _ending(suffixes) -> Column:
-    """The longest of the suffixes the word ends with, or an empty text."""
-    return F.regexp_extract("__w", "(" + "|".join(suffixes) + ")$", 1)
+def _before(word: Column, ending: Column) -> Column:
+    """The letter before an ending."""
+    return word.substr(F.length(word) - F.length(ending), F.lit(1))
 
 
 def _region(text: Column, vowels: str) -> Column:
@@ -74,136 +91,182 @@ def _region(text: Column, vowels: str) -> Column:
     return F.when(found > 0, found).otherwise(F.length(text))
 
 
-def _regions(df: DataFrame, vowels: str, prefixes: str | None = None) -> DataFrame:
-    first = _region(F.col("__w"), vowels)
-    if prefixes:
-        special = F.length(F.regexp_extract("__w", f"^(?:{prefixes})", 0))
-        first = F.when(special > 0, special).otherwise(first)
-    df = df.withColumn(P1, first)
-    rest = F.col("__w").substr(F.col(P1) + 1, F.length("__w"))
-    return df.withColumn(P2, F.col(P1) + _region(rest, vowels))
+def _second_region(vowels: str) -> Step:
+    return lambda s: _with(
+        s, p2=s["p1"] + _region(s["w"].substr(s["p1"] + 1, F.length(s["w"])), vowels)
+    )
+
+
+def _find(endings) -> Step:
+    """Note the longest of the endings the word has, or an empty text."""
+    pattern = "(" + "|".join(endings) + ")$"
+    return lambda s: _with(s, end=F.regexp_extract(s["w"], pattern, 1))
 
 
-def _replace_ending(df: DataFrame, endings: Mapping[str, str], rules) -> DataFrame:
-    """Replace the longest ending if its rule allows; ``rules(ending, start)`` gives the test."""
-    df = df.withColumn(END, _ending(endings))
-    start = F.length("__w") - F.length(END)
-    new = F.col("__w")
-    for ending, text in endings.items():
-        replaced = F.concat(_head(F.col("__w"), F.lit(len(ending))), F.lit(text))
-        new = F.when((F.col(END) == ending) & rules(ending, start), replaced).otherwise(new)
-    return df.withColumn("__w", F.when(F.col(END) == "", F.col("__w")).otherwise(new))
+def _texts(pairs: Mapping[str, str]) -> Column:
+    return F.create_map(*[F.lit(v) for pair in pairs.items() for v in pair])
 
 
-def _before(n: int) -> Column:
-    """The letter before the last ``n`` letters."""
-    return F.col("__w").substr(F.length("__w") - n, F.lit(1))
+def _swap(endings: Mapping[str, str], test: Callable[[Column, Column], Column]) -> list[Step]:
+    """Replace the longest ending by its text if the test on state and start of the ending holds."""
 
+    def replace(s: Column) -> Column:
+        start = F.length(s["w"]) - F.length(s["end"])
+        new = F.concat(_head(s["w"], F.length(s["end"])), _texts(endings)[s["end"]])
+        return _with(s, w=F.when((s["end"] != "") & test(s, start), new).otherwise(s["w"]))
 
-def stem_english(df: DataFrame, word: str, out: str) -> DataFrame:
+    return [_find(endings), replace]
+
+
+def stem_english(word: Column) -> Column:
+    """Stem of a lowercase word."""
     vowel = f"[{ENGLISH_VOWELS}]"
-    w = F.col("__w")
-    df = df.withColumn("__w", F.regexp_replace(word, "^'", ""))
-    df = df.withColumn("__w", F.regexp_replace(F.regexp_replace("__w", "^y", "Y"), f"(?<={vowel})y", "Y"))
-    df = _regions(df, ENGLISH_VOWELS, ENGLISH_REGION_PREFIXES)
-    df = df.withColumn("__w", F.regexp_replace("__w", "(?:'s'|'s|')$", ""))
-    df = df.withColumn(
-        "__w",
-        F.when(w.rlike("sses$"), _head(w, F.lit(2)))
-        .when(w.rlike("(?:ied|ies)$"), _head(w, F.when(F.length(w) > 4, 2).otherwise(1)))
-        .when(w.rlike("(?:us|ss)$"), w)
-        .when(w.rlike(f"{vowel}.+s$"), _head(w, F.lit(1)))
-        .otherwise(w),
-    )
-    df = df.withColumn("__done", w.isin(ENGLISH_DONE_EARLY)).withColumn("__kept", w)
-    df = _english_step_1b(df)
-    df = df.withColumn("__w", F.when(w.rlike("^.+[^aeiouy][yY]$"), F.concat(_head(w, F.lit(1)), F.lit("i"))).otherwise(w))
-
-    def step_2(ending: str, start: Column) -> Column:
-        test = start >= F.col(P1)
-        if ending == "ogi":
-            return test & (_before(3) == "l")
-        if ending == "li":
-            return test & _before(2).isin(list("cdeghkmnrt"))
-        return test
-
-    def step_3(ending: str, start: Column) -> Column:
-        return start >= F.col(P2 if ending == "ative" else P1)
-
-    def step_4(ending: str, start: Column) -> Column:
-        test = start >= F.col(P2)
-        return test & _before(3).isin("s", "t") if ending == "ion" else test
-
-    df = _replace_ending(df, ENGLISH_STEP_2, step_2)
-    df = _replace_ending(df, ENGLISH_STEP_3, step_3)
-    df = _replace_ending(df, dict.fromkeys(ENGLISH_STEP_4, ""), step_4)
-    start = F.length(w) - 1
-    short_before = _head(w, F.lit(1)).rlike(ENGLISH_SHORT)
-    drop_e = w.endswith("e") & ((start >= F.col(P2)) | ((start >= F.col(P1)) & ~short_before))
-    drop_l = w.endswith("ll") & (start >= F.col(P2))
-    df = df.withColumn("__w", F.when(drop_e | drop_l, _head(w, F.lit(1))).otherwise(w))
-    result = F.when((F.length(word) <= 2) | F.col(word).isin(ENGLISH_UNCHANGED), F.col(word))
-    for irregular, stem in ENGLISH_IRREGULAR.items():
-        result = result.when(F.col(word) == irregular, F.lit(stem))
-    result = result.when(F.col("__done"), F.col("__kept")).otherwise(w)
-    return df.withColumn(out, F.lower(result)).drop("__w", P1, P2, END, "__done", "__kept")
-
-
-def _english_step_1b(df: DataFrame) -> DataFrame:
-    w, end = F.col("__w"), F.col(END)
-    df = df.withColumn(END, _ending(["eedly", "eed", "edly", "ed", "ingly", "ing"]))
-    start = F.length(w) - F.length(END)
-    stem = _head(w, F.length(END))
-    has_vowel = stem.rlike(f"[{ENGLISH_VOWELS}]")
-    df = df.withColumn(
-        "__cut", end.isin("edly", "ed", "ingly", "ing") & has_vowel
-    ).withColumn(
-        "__w",
-        F.when(end.isin("eedly", "eed"), F.when(start >= F.col(P1), F.concat(stem, F.lit("ee"))).otherwise(w))
-        .when(F.col("__cut"), stem)
-        .otherwise(w),
-    )
-    short_word = (F.col(P1) >= F.length(w)) & w.rlike(ENGLISH_SHORT)
-    mended = (
-        F.when(w.rlike("(?:at|bl|iz)$"), F.concat(w, F.lit("e")))
-        .when(w.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), _head(w, F.lit(1)))
-        .when(short_word, F.concat(w, F.lit("e")))
-        .otherwise(w)
-    )
-    return df.withColumn("__w", F.when(F.col("__cut"), mended).otherwise(w)).drop("__cut")
-
-
-def stem_russian(df: DataFrame, word: str, out: str) -> DataFrame:
-    w, rv = F.col("__w"), F.col("__rv")
-    df = df.withColumn("__w", F.translate(F.col(word), "ё", "е"))
-    df = _regions(df, RUSSIAN_VOWELS)
-    head = F.length(F.regexp_extract("__w", f"^[^{RUSSIAN_VOWELS}]*[{RUSSIAN_VOWELS}]", 0))
-    df = df.withColumn("__head", F.when(head > 0, head).otherwise(F.length(w)))
-    df = df.withColumn("__rv", w.substr(F.col("__head") + 1, F.length(w)))
-    df = df.withColumn("__base", F.regexp_replace(rv, RUSSIAN_REFLEXIVE, ""))
-    base = F.col("__base")
-    adjective = F.regexp_replace(F.regexp_replace(base, RUSSIAN_ADJECTIVE, ""), RUSSIAN_PARTICIPLE, "")
-    df = df.withColumn(
-        "__rv",
-        F.when(rv.rlike(RUSSIAN_GERUND), F.regexp_replace(rv, RUSSIAN_GERUND, ""))
-        .when(base.rlike(RUSSIAN_ADJECTIVE), adjective)
-        .when(base.rlike(RUSSIAN_VERB), F.regexp_replace(base, RUSSIAN_VERB, ""))
-        .otherwise(F.regexp_replace(base, RUSSIAN_NOUN, "")),
+
+    def prepare(s: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(s["word"], "^'", ""), "^y", "Y")
+        return _with(s, w=F.regexp_replace(marked, f"({vowel})y", "$1Y"))
+
+    def first_region(s: Column) -> Column:
+        special = F.length(F.regexp_extract(s["w"], f"^(?:{ENGLISH_REGION_PREFIXES})", 0))
+        return _with(s, p1=F.when(special > 0, special).otherwise(_region(s["w"], ENGLISH_VOWELS)))
+
+    def possessive(s: Column) -> Column:
+        return _with(s, w=F.regexp_replace(s["w"], "(?:'s'|'s|')$", ""))
+
+    def plural(s: Column) -> Column:
+        w = s["w"]
+        return _with(
+            s,
+            w=F.when(~w.endswith("s") & ~w.endswith("ied"), w)
+            .when(w.endswith("sses"), _head(w, 2))
+            .when(w.rlike("(?:ied|ies)$"), _head(w, F.when(F.length(w) > 4, 2).otherwise(1)))
+            .when(w.rlike("(?:us|ss)$"), w)
+            .when(w.rlike(f"{vowel}.+s$"), _head(w, 1))
+            .otherwise(w),
+        )
+
+    def keep(s: Column) -> Column:
+        return _with(s, kept=F.when(s["w"].isin(ENGLISH_DONE_EARLY), s["w"]))
+
+    def past(s: Column) -> Column:
+        w, end = s["w"], s["end"]
+        stem = _head(w, F.length(end))
+        cut = end.isin("edly", "ed", "ingly", "ing") & stem.rlike(vowel)
+        in_region = F.length(w) - F.length(end) >= s["p1"]
+        return _with(
+            s,
+            cut=cut,
+            w=F.when(end.isin("eedly", "eed"), F.when(in_region, F.concat(stem, F.lit("ee"))).otherwise(w))
+            .when(cut, stem)
+            .otherwise(w),
+        )
+
+    def mend(s: Column) -> Column:
+        w = s["w"]
+        short_word = (s["p1"] >= F.length(w)) & w.rlike(ENGLISH_SHORT)
+        return _with(
+            s,
+            w=F.when(~s["cut"], w)
+            .when(w.rlike("(?:at|bl|iz)$"), F.concat(w, F.lit("e")))
+            .when(w.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), _head(w, 1))
+            .when(short_word, F.concat(w, F.lit("e")))
+            .otherwise(w),
+        )
+
+    def last_y(s: Column) -> Column:
+        w = s["w"]
+        return _with(s, w=F.when(w.rlike("^.+[^aeiouy][yY]$"), F.concat(_head(w, 1), F.lit("i"))).otherwise(w))
+
+    def in_step_2(s: Column, start: Column) -> Column:
+        end, before = s["end"], _before(s["w"], s["end"])
+        valid = F.when(end == "ogi", before == "l").when(end == "li", before.isin(list("cdeghkmnrt")))
+        return (start >= s["p1"]) & F.coalesce(valid, F.lit(True))
+
+    def in_step_3(s: Column, start: Column) -> Column:
+        return start >= F.when(s["end"] == "ative", s["p2"]).otherwise(s["p1"])
+
+    def in_step_4(s: Column, start: Column) -> Column:
+        return (start >= s["p2"]) & ((s["end"] != "ion") | _before(s["w"], s["end"]).isin("s", "t"))
+
+    def last(s: Column) -> Column:
+        w, start = s["w"], F.length(s["w"]) - 1
+        drop_e = w.endswith("e") & (
+            (start >= s["p2"]) | ((start >= s["p1"]) & ~_head(w, 1).rlike(ENGLISH_SHORT))
+        )
+        drop_l = w.endswith("ll") & (start >= s["p2"])
+        return _with(s, w=F.when(drop_e | drop_l, _head(w, 1)).otherwise(w))
+
+    def choose(s: Column) -> Column:
+        return F.coalesce(
+            F.when((F.length(s["word"]) <= 2) | s["word"].isin(ENGLISH_UNCHANGED), s["word"]),
+            F.when(s["word"].isin(list(ENGLISH_IRREGULAR)), _texts(ENGLISH_IRREGULAR)[s["word"]]),
+            s["kept"],
+            F.lower(s["w"]),
+        )
+
+    return _run(
+        F.struct(word.alias("word")),
+        [
+            prepare, first_region, _second_region(ENGLISH_VOWELS), possessive, plural, keep,
+            _find(["eedly", "eed", "edly", "ed", "ingly", "ing"]), past, mend, last_y,
+            *_swap(ENGLISH_STEP_2, in_step_2),
+            *_swap(ENGLISH_STEP_3, in_step_3),
+            *_swap(dict.fromkeys(ENGLISH_STEP_4, ""), in_step_4),
+            last, choose,
+        ],
     )
-    df = df.withColumn("__rv", F.regexp_replace(rv, "и$", ""))
-    df = df.withColumn(END, F.regexp_extract("__rv", f"({RUSSIAN_DERIVATION})", 1))
-    whole = F.col("__head") + F.length(rv)
-    in_r2 = (F.length(END) > 0) & (whole - F.length(END) >= F.col(P2))
-    df = df.withColumn("__rv", F.when(in_r2, _head(rv, F.length(END))).otherwise(rv))
-    best = F.regexp_replace(rv, RUSSIAN_SUPERLATIVE, "")
-    df = df.withColumn(
-        "__rv",
-        F.when(rv.rlike("нн$"), _head(rv, F.lit(1)))
-        .when(rv.rlike(RUSSIAN_SUPERLATIVE), F.regexp_replace(best, "нн$", "н"))
-        .otherwise(F.regexp_replace(rv, "ь$", "")),
+
+
+def stem_russian(word: Column) -> Column:
+    """Stem of a lowercase word; ``rv`` is the part after the first vowel."""
+
+    def split(s: Column) -> Column:
+        head = F.regexp_extract(s["w"], f"^[^{RUSSIAN_VOWELS}]*[{RUSSIAN_VOWELS}]", 0)
+        return _with(
+            s,
+            p1=_region(s["w"], RUSSIAN_VOWELS),
+            head=F.when(head != "", head).otherwise(s["w"]),
+        )
+
+    def rest(s: Column) -> Column:
+        return _with(s, rv=s["w"].substr(F.length(s["head"]) + 1, F.length(s["w"])))
+
+    def reflexive(s: Column) -> Column:
+        return _with(s, base=F.regexp_replace(s["rv"], RUSSIAN_REFLEXIVE, ""))
+
+    def inflection(s: Column) -> Column:
+        rv, base = s["rv"], s["base"]
+        adjective = F.regexp_replace(F.regexp_replace(base, RUSSIAN_ADJECTIVE, ""), RUSSIAN_PARTICIPLE, "")
+        return _with(
+            s,
+            rv=F.when(rv.rlike(RUSSIAN_GERUND), F.regexp_replace(rv, RUSSIAN_GERUND, ""))
+            .when(base.rlike(RUSSIAN_ADJECTIVE), adjective)
+            .when(base.rlike(RUSSIAN_VERB), F.regexp_replace(base, RUSSIAN_VERB, ""))
+            .otherwise(F.regexp_replace(base, RUSSIAN_NOUN, "")),
+        )
+
+    def vowel(s: Column) -> Column:
+        return _with(s, rv=F.regexp_replace(s["rv"], "и$", ""))
+
+    def derivation(s: Column) -> Column:
+        end = F.length(F.regexp_extract(s["rv"], RUSSIAN_DERIVATION, 0))
+        start = F.length(s["head"]) + F.length(s["rv"]) - end
+        return _with(s, rv=F.when((end > 0) & (start >= s["p2"]), _head(s["rv"], end)).otherwise(s["rv"]))
+
+    def tidy(s: Column) -> Column:
+        rv = s["rv"]
+        plain = F.regexp_replace(F.regexp_replace(rv, RUSSIAN_SUPERLATIVE, ""), "нн$", "н")
+        return F.concat(
+            s["head"],
+            F.when(rv.endswith("нн"), _head(rv, 1))
+            .when(rv.rlike(RUSSIAN_SUPERLATIVE), plain)
+            .otherwise(F.regexp_replace(rv, "ь$", "")),
+        )
+
+    return _run(
+        F.struct(F.translate(word, "ё", "е").alias("w")),
+        [split, _second_region(RUSSIAN_VOWELS), rest, reflexive, inflection, vowel, derivation, tidy],
     )
-    stem = F.concat(w.substr(F.lit(1), F.col("__head")), rv)
-    return df.withColumn(out, stem).drop("__w", P1, P2, END, "__head", "__rv", "__base")
 
 
 STEMMERS = {"english": stem_english, "russian": stem_russian}

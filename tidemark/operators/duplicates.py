@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import check_columns, ref, tidy
@@ -101,15 +101,13 @@ def frequent_duplicates(df: DataFrame, n: int = 10, order: Sequence[str] | None
     )
 
 
-def dense_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Number the rows 0, 1, 2, ... by the given order, without a global window.
+def _ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The table sorted over the cluster by range and written once, with range and place of each row.
 
-    Rows are sorted over the cluster by range and written once; the rows per range give the offset
-    of each range.  The arrival position is the last sort key, so that equal keys, however many,
-    still spread over several ranges.
+    The arrival position is the last sort key, so that equal keys, however many, still spread over
+    several ranges.
     """
-    order = check_columns(df, order)
-    keys = [*[ref(c) for c in order], F.col("__arrival")]
+    keys = [*[ref(c) for c in check_columns(df, order)], F.col("__arrival")]
     ranged = (
         df.withColumn("__arrival", F.monotonically_increasing_id())
         .repartitionByRange(*keys)
@@ -117,17 +115,41 @@ def dense_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> D
         .withColumn("__range", F.spark_partition_id())
         .withColumn("__spot", F.monotonically_increasing_id())
     )
-    fixed = settle(ranged.drop("__arrival"), "rows")
-    sizes = fixed.groupBy("__range").agg(F.count("*").alias("n"), F.min("__spot").alias("first")).collect()
-    shifts, before = [], 0
-    for row in sorted(sizes, key=lambda r: r["__range"]):
-        shifts.append((row["__range"], before - row["first"]))
-        before += row["n"]
-    if not shifts:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    offsets = df.sparkSession.createDataFrame(shifts, "__range int, __shift bigint")
+    return settle(ranged.drop("__arrival"), "rows")
+
+
+def _offsets(fixed: DataFrame, size: Column, shift: Column) -> DataFrame:
+    """Per range: the sum of the sizes of the ranges before it, moved by ``shift``; one row per range."""
+    parts = fixed.groupBy("__range").agg(size.alias("size"), shift.alias("shift")).orderBy("__range").collect()
+    found, before = [], 0
+    for row in parts:
+        found.append((row["__range"], before + row["shift"]))
+        before += row["size"]
+    return F.broadcast(fixed.sparkSession.createDataFrame(found, "__range int, __before bigint"))
+
+
+def dense_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """Number the rows 0, 1, 2, ... by the given order, without a global window."""
+    fixed = _ordered(df, order)
+    offsets = _offsets(fixed, F.count("*"), -F.min("__spot"))
+    return (
+        fixed.join(offsets, "__range")
+        .withColumn(name, F.col("__spot") + F.col("__before"))
+        .select(*[ref(c) for c in df.columns], name)
+    )
+
+
+def running_total(df: DataFrame, order: Sequence[str], weight: str, name: str) -> DataFrame:
+    """Sum of an integer column over all rows before each row, by the given order.
+
+    Each range sums its own rows; the totals of the ranges before are added.
+    """
+    fixed = _ordered(df, order)
+    offsets = _offsets(fixed, F.sum(ref(weight)), F.lit(0))
+    before = Window.partitionBy("__range").orderBy("__spot").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        fixed.join(F.broadcast(offsets), "__range")
-        .withColumn(name, F.col("__spot") + F.col("__shift"))
+        fixed.withColumn("__own", F.coalesce(F.sum(ref(weight)).over(before), F.lit(0)))
+        .join(offsets, "__range")
+        .withColumn(name, F.col("__own") + F.col("__before"))
         .select(*[ref(c) for c in df.columns], name)
     )

@@ -17,7 +17,8 @@ from ..functions.storage import settle
 
 def split_by_key(df: DataFrame, key: Sequence[str], train_share: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a hash of the key: the same split for any partitioning of the table."""
-    part = F.pmod(F.xxhash64(*[ref(c) for c in check_columns(df, key)]), F.lit(10_000))
+    text = F.concat_ws("|", *[ref(c).cast("string") for c in check_columns(df, key)])
+    part = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint") % 10_000
     limit = F.lit(round(train_share * 10_000))
     return df.where(part < limit), df.where(part >= limit)
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import settle
+
 LEAF_POINTS = 1024
 MAX_LEAVES = 16_384
 SAMPLE_PER_LEAF = 16
@@ -186,6 +188,8 @@ def nearest(
     points.  With ``skip_self`` a row is no neighbour of itself, but its copies are.
     """
     spark = points.sparkSession
+    if dims >= 31:
+        raise ValueError(f"at most 30 coordinates are supported, got {dims}")
     total = total or dims
     xs = _coordinates(dims, "x")
     wanted = k + 1 if skip_self else k
@@ -253,13 +257,10 @@ def nearest(
             yield part.iloc[r].assign(leaf=known.ids[c])
 
     plain = f"id bigint, {coords}"
-    sent_home = queries.select("id", *xs).mapInPandas(
-        to_home, f"{plain}, reach double, home bigint, leaf bigint"
+    sent_home = settle(
+        queries.select("id", *xs).mapInPandas(to_home, f"{plain}, reach double, home bigint, leaf bigint"), "sent"
     )
-    first = _probe(sent_home, blocks, xs, total, wanted, cut)
-    from ..functions.storage import settle
-
-    first = settle(first, "near")
+    first = settle(_probe(sent_home, blocks, xs, total, wanted, cut), "near")
     best = (
         _take(first, wanted)
         .groupBy("id")
@@ -270,7 +271,7 @@ def nearest(
         "id", *xs, "home",
         F.least(F.col("reach"), F.col("worst") * F.col("worst")).alias("reach"),
     )
-    sent_on = bounded.mapInPandas(to_others, f"{plain}, home bigint, reach double, leaf bigint")
+    sent_on = settle(bounded.mapInPandas(to_others, f"{plain}, home bigint, reach double, leaf bigint"), "sent")
     second = _probe(sent_on, blocks, xs, total, wanted, cut)
     return _take(first.unionByName(second), k, skip_self)
 

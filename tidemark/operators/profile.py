@@ -22,7 +22,8 @@ from ..functions.columns import (
 )
 from ..functions.counts import value_counts
 from ..functions.stats import fit_numeric
-from .duplicates import duplicate_rate
+from ..functions.lookup import lookup_join
+from .duplicates import duplicate_rate, running_total
 from .missing import missing_cells
 
 
@@ -182,29 +183,13 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
 
 
 def _ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace values by mean ranks: count the values, number them by range, and look them up."""
-    from ..functions.lookup import lookup_join
-    from .duplicates import dense_row_id
-
+    """Replace values by mean ranks: count the values, add up the counts by range, and look them up."""
     table = df.select(*[as_double(df, c) for c in columns]).na.drop()
     for c in columns:
         counted = table.groupBy(ref(c).alias("value")).agg(F.count("*").alias("n"))
-        placed = dense_row_id(counted, ["value"], "place")
-        block = F.floor(F.col("place") / 10_000)
-        within = Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        blocked = placed.withColumn("block", block)
-        sums = blocked.groupBy("block").agg(F.sum("n").alias("size"))
-        starts = sums.withColumn(
-            "start",
-            F.coalesce(
-                F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        ).drop("size")
-        ranks = lookup_join(
-            blocked.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))), starts, ["block"]
-        ).select(
-            F.col("value").alias(c),
-            (F.col("start") + F.col("inner") + (F.col("n") + 1) / 2).alias("__rank"),
+        placed = running_total(counted, ["value"], "n", "start")
+        ranks = placed.select(
+            F.col("value").alias(c), (F.col("start") + (F.col("n") + 1) / 2).alias("__rank")
         )
         table = lookup_join(table, ranks, [c]).drop(c).withColumnRenamed("__rank", c)
     return table.select(*[ref(c) for c in columns])

@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 from ..functions.columns import check_columns, ref
 from ..functions.lookup import lookup_join
 from ..functions.stemming import STEMMERS
+from ..functions.storage import settle
 from ..functions.text import as_text, language_name, tokens
 
-FREQUENT_WORDS = 100_000
+FREQUENT_WORDS = 300_000
 
 
 def token_column(df: DataFrame, column: str, lower: bool = True) -> Column:
@@ -36,16 +37,19 @@ def _spread(df: DataFrame, column: str, key: Sequence[str], lower: bool = True)
 
 def with_stems(rows: DataFrame, word: str, lang: str, out: str = "stem", frequent: int = FREQUENT_WORDS) -> DataFrame:
     """Add the stem of a lowercase word column, working out each frequent word only once."""
-    stemmer = STEMMERS.get(language_name(lang))
-    if stemmer is None:
+    stem = STEMMERS.get(language_name(lang))
+    if stem is None:
         raise ValueError(f"no stemmer for {lang}; there are {sorted(STEMMERS)}")
-    counted = rows.groupBy(ref(word).alias("__form")).agg(F.count("*").alias("n"))
-    known = stemmer(
-        counted.orderBy(F.col("n").desc(), "__form").limit(frequent).drop("n"), "__form", "__known"
-    )
-    found = rows.join(F.broadcast(known), ref(word) == F.col("__form"), "left").drop("__form")
-    rest = stemmer(found.withColumn("__rest", F.when(F.col("__known").isNull(), ref(word))), "__rest", "__other")
-    return rest.withColumn(out, F.coalesce("__known", "__other")).drop("__known", "__other", "__rest")
+    counted = settle(rows.groupBy(ref(word).alias("__form")).agg(F.count("*").alias("n")), "words")
+    different = counted.count()
+    often = 0
+    if different > frequent:
+        # more than this many uses: by the error bound of the sketch at most about ``frequent`` words
+        share = 1 - frequent / different
+        often = counted.agg(F.percentile_approx("n", share, max(10_000, 10 * different // frequent))).first()[0]
+    known = counted.where(F.col("n") > often).select("__form", stem(F.col("__form")).alias("__known"))
+    found = rows.join(F.broadcast(known), ref(word) == F.col("__form"), "left")
+    return found.withColumn(out, F.coalesce("__known", stem(ref(word)))).drop("__form", "__known")
 
 
 def with_lemmas(rows: DataFrame, word: str, lemmas: DataFrame, out: str = "lemma") -> DataFrame:

@@ -55,10 +55,11 @@ def auto_prepare(
     numbers = numeric_columns(df, columns)
     others = [c for c in df.columns if c not in numeric_columns(df)]
     data = tidy(df)
-    report = duplicates.duplicate_report(data).first()
-    before, after = report["total_rows"], report["remaining_rows"]
+    before = data.count()
+    unique = settle(duplicates.drop_duplicates(data), "unique")
+    after = unique.count()
     if before > after:
-        data = settle(duplicates.drop_duplicates(data), "unique")
+        data = unique
     lines.append(LogLine("drop_duplicates", "remove duplicate rows", before, after, before > after))
 
     holes = _value(missing.any_missing(data.select(*[ref(c) for c in [*numbers, *others]])))

@@ -17,7 +17,11 @@ def vectors(spark, folder):
     return df.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
 
 
-@query("l1_split")
+@query(
+    "l1_split",
+    """select o_orderkey, case when cast('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 7) as bigint) % 10000 < 7500
+         then 'train' else 'test' end as part from orders""",
+)
 def l1(spark, folder):
     train, test = features.split_by_key(table(spark, folder, "orders"), ["o_orderkey"])
     parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))

@@ -236,7 +236,7 @@ def alerts_sql() -> str:
                 )
     parts.append(
         """select '*', 'duplicates', sum(case when k > 1 then 1 else 0 end) / sum(k)
-           from (select count(*) as k from v group by all) having sum(case when k > 1 then 1 else 0 end) > 0"""
+           from (select *, count(*) as k from v group by all) having sum(case when k > 1 then 1 else 0 end) > 0"""
     )
     return ALERTS + ' select col as "column", alert, round(value, 4) as value from (' + " union all ".join(parts) + ")"
 
