@@ -120,9 +120,9 @@ def forest_scores(df: DataFrame, columns: Sequence[str] | None = None, seed: int
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf(T.DoubleType())
-    def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for part in parts:
-            points = np.column_stack([s.to_numpy(dtype=float) for s in part])
+            points = part.to_numpy(dtype=float)
             whole = ~np.isnan(points).any(axis=1)
             result = np.full(len(points), np.nan)
             if whole.any():
@@ -130,7 +130,7 @@ def forest_scores(df: DataFrame, columns: Sequence[str] | None = None, seed: int
                 result[whole] = -(2.0 ** (-paths / scale)) if scale else -1.0
             yield pd.Series(result)
 
-    scored = df.withColumn("isolation", score(*[as_double(df, c) for c in columns]))
+    scored = df.withColumn("isolation", score(F.struct(*[as_double(df, c) for c in columns])))
     return scored.withColumn("isolation", F.when(~F.isnan("isolation"), F.col("isolation")))
 
 

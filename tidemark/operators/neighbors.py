@@ -29,6 +29,7 @@ LEAF_POINTS = 1024
 MAX_LEAVES = 16_384
 SAMPLE_PER_LEAF = 16
 QUERY_PIECE = 20_000
+FEW_LEAVES = 4
 
 
 @dataclass
@@ -149,7 +150,7 @@ def _distances(q: np.ndarray, x: np.ndarray, total: int) -> np.ndarray:
 
 def _nearest_in_block(q: np.ndarray, x: np.ndarray, total: int, k: int):
     """Row, column and distance of the k nearest of ``x`` per query; ties by the order of ``x``."""
-    rows, cols, dists = [], [], []
+    rows, cols, dists = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
     k = min(k, len(x))
     step = max(1, 4_000_000 // max(1, len(x)))
     for start in range(0, len(q), step):
@@ -195,7 +196,9 @@ def nearest(
     wanted = k + 1 if skip_self else k
     size = points.count()
     if size == 0:
-        return spark.createDataFrame([], "id bigint, point bigint, distance double, v double, n bigint")
+        return spark.createDataFrame([], CANDIDATES)
+    if size <= FEW_LEAVES * leaf_points:
+        return _take(_nearest_of_few(queries, points, xs, total, wanted), k, skip_self)
     leaves = min(MAX_LEAVES, max(1, -(-size // leaf_points)))
     share = min(1.0, leaves * SAMPLE_PER_LEAF / size)
     picked = F.pmod(F.xxhash64(*xs, "v"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
@@ -276,6 +279,35 @@ def nearest(
     return _take(first.unionByName(second), k, skip_self)
 
 
+CANDIDATES = "id bigint, point bigint, distance double, v double, n bigint"
+
+
+def _candidates(asks: pd.DataFrame, points: pd.DataFrame, xs: list[str], total: int, k: int) -> pd.DataFrame:
+    """The k nearest of some points, which are ordered by ``v`` and id, for each of some queries."""
+    r, c, d = _nearest_in_block(asks[xs].to_numpy(dtype=float), points[xs].to_numpy(dtype=float), total, k)
+    return pd.DataFrame(
+        {
+            "id": asks["id"].to_numpy()[r],
+            "point": points["id"].to_numpy()[c],
+            "distance": d,
+            "v": points["v"].to_numpy()[c],
+            "n": points["n"].to_numpy()[c],
+        }
+    )
+
+
+def _nearest_of_few(queries: DataFrame, points: DataFrame, xs: list[str], total: int, k: int) -> DataFrame:
+    """Candidates where all points fit in a few blocks: they are broadcast and no query moves."""
+    known = points.select("id", *xs, "v", "n").toPandas().sort_values(["v", "id"])
+    shared = points.sparkSession.sparkContext.broadcast(known)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _candidates(batch, shared.value, xs, total, k)
+
+    return queries.select("id", *xs).mapInPandas(look, CANDIDATES)
+
+
 def _fit_trees(sample: np.ndarray, per_leaf: int) -> dict[int, _Tree]:
     trees = {}
     patterns = _pattern(sample)
@@ -328,28 +360,16 @@ def _probe(sent: DataFrame, blocks: DataFrame, xs: list[str], total: int, k: int
     )
 
     def look(asks: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        # a block nobody asked, or a query without a block, gives nothing
         if not len(asks) or not len(points):
-            return pd.DataFrame(
-                {"id": [], "point": [], "distance": [], "v": [], "n": []}
-            ).astype({"id": "int64", "point": "int64", "distance": "float64", "v": "float64", "n": "int64"})
-        points = points.sort_values(["v", "id"])
-        r, c, d = _nearest_in_block(asks[xs].to_numpy(dtype=float), points[xs].to_numpy(dtype=float), total, k)
-        chosen = points.iloc[c]
-        return pd.DataFrame(
-            {
-                "id": asks["id"].to_numpy()[r],
-                "point": chosen["id"].to_numpy(),
-                "distance": d,
-                "v": chosen["v"].to_numpy(),
-                "n": chosen["n"].to_numpy(),
-            }
-        )
+            asks = asks.iloc[:0]
+        return _candidates(asks, points.sort_values(["v", "id"]), xs, total, k)
 
     keys = ["leaf", "piece", "share"]
     return (
         asked.groupBy(*keys)
         .cogroup(offered.groupBy(*keys))
-        .applyInPandas(look, "id bigint, point bigint, distance double, v double, n bigint")
+        .applyInPandas(look, CANDIDATES)
     )
 
 
