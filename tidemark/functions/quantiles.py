@@ -3,9 +3,11 @@
 ``percentile`` is exact but keeps every distinct value of a column in one task.  Here a quantile
 sketch first brackets each wanted value between two values of the column; its rank error is bounded,
 so only a sliver of rows lies strictly inside a bracket.  The next pass counts the rows below and on
-the bracket ends (a value that a third of all rows share is just a count) and brings the sliver to
-the driver.  A sliver that is still too large is bracketed again, which shrinks it by three orders
-of magnitude per round.  Counts check every bracket, so the result never depends on the sketch.
+the bracket ends (a value that a third of all rows share is just a count), and a filter brings the
+sliver to the driver.  A sliver that is still too large is bracketed again, which shrinks it by three
+orders of magnitude per round.  Counts check every bracket, so the result never depends on the sketch.
+
+Counts and moments are jobs of their own: next to a sketch Spark would not generate code for them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -60,44 +64,40 @@ def exact_quantiles(
     """
     columns, probs = list(columns), list(probs)
     base = df.select(*[as_double(df, c) for c in columns])
-    margin = 2.0 / accuracy
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, 0.0, margin)})
-    aggregates = []
-    for i, c in enumerate(columns):
-        aggregates.append(F.count(ref(c)).alias(f"__n_{i}"))
-        if probs:
-            aggregates.append(F.percentile_approx(ref(c), grid, accuracy).alias(f"__q_{i}"))
-            aggregates += [F.min(ref(c)).alias(f"__lo_{i}"), F.max(ref(c)).alias(f"__hi_{i}")]
-    first = base.agg(*aggregates, *extra).first()
+    limits = [
+        agg.alias(f"__{name}_{i}")
+        for i, c in enumerate(columns)
+        for name, agg in (("n", F.count(ref(c))), ("lo", F.min(ref(c))), ("hi", F.max(ref(c))))
+    ]
+    first = base.agg(F.count("*").alias("__rows"), *limits, *extra).first()
     counts = {c: first[f"__n_{i}"] for i, c in enumerate(columns)}
-    if not probs or not columns:
-        return {c: [] for c in columns}, first
-    sketch = {c: dict(zip(grid, first[f"__q_{i}"] or [])) for i, c in enumerate(columns)}
-    if not exact:
-        return {c: [sketch[c].get(p) for p in probs] for c in columns}, first
-
+    ends = {c: (first[f"__lo_{i}"], first[f"__hi_{i}"]) for i, c in enumerate(columns)}
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    small = [c for c in columns if 0 < counts[c] <= direct_rows]
-    if small:
+    small = [c for c in columns if 0 < counts[c] <= direct_rows and exact]
+    large = [c for c in columns if counts[c] and c not in small]
+    if small and probs:
         row = base.agg(*[F.percentile(ref(c), probs).alias(f"p{i}") for i, c in enumerate(small)]).first()
         for i, c in enumerate(small):
             result[c] = list(row[f"p{i}"])
+    if not large or not probs:
+        return result, first
+
+    margin = 2.0 / accuracy
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, 0.0, margin)})
+    row = base.agg(*[F.percentile_approx(ref(c), grid, accuracy).alias(f"q{i}") for i, c in enumerate(large)]).first()
+    sketch = {c: dict(zip(grid, row[f"q{i}"])) for i, c in enumerate(large)}
+    if not exact:
+        return result | {c: [sketch[c][p] for p in probs] for c in large}, first
 
     targets: dict[tuple[str, int], _Target] = {}
-    for i, c in enumerate(columns):
-        if counts[c] <= direct_rows:
-            continue
+    for c in large:
         for p in probs:
             position = p * (counts[c] - 1)
-            low = sketch[c][max(0.0, p - margin)]
-            high = sketch[c][min(1.0, p + margin)]
+            low, high = sketch[c][max(0.0, p - margin)], sketch[c][min(1.0, p + margin)]
             for rank in {math.floor(position), math.ceil(position)}:
                 targets.setdefault((c, rank), _Target(c, rank, low, high))
-    limits = {c: (first[f"__lo_{i}"], first[f"__hi_{i}"]) for i, c in enumerate(columns)}
-    _resolve(base, list(targets.values()), counts, limits, accuracy, sliver_rows)
-    for c in columns:
-        if counts[c] <= direct_rows:
-            continue
+    _resolve(base, list(targets.values()), counts, ends, accuracy, sliver_rows)
+    for c in large:
         for j, p in enumerate(probs):
             position = p * (counts[c] - 1)
             low = targets[(c, math.floor(position))].value
@@ -136,27 +136,39 @@ def _resolve(base, targets, counts, limits, accuracy, sliver_rows) -> None:
             _narrow(base, narrow, accuracy)
 
 
+def _within(span: tuple[str, float, float]) -> Column:
+    c, low, high = span
+    return (ref(c) > F.lit(low)) & (ref(c) < F.lit(high))
+
+
 def _look_into(base, spans, fetch):
+    """Per span: rows below, on either end and inside, and the values inside if they are few."""
     aggregates = []
-    for i, (c, low, high) in enumerate(spans):
-        x = ref(c)
-        within = (x > F.lit(low)) & (x < F.lit(high))
+    for i, span in enumerate(spans):
+        x, low, high = ref(span[0]), F.lit(span[1]), F.lit(span[2])
         aggregates += [
-            F.count_if(x < F.lit(low)).alias(f"b{i}"),
-            F.count_if(x == F.lit(low)).alias(f"l{i}"),
-            F.count_if(x == F.lit(high)).alias(f"h{i}"),
-            F.count_if(within).alias(f"w{i}"),
+            F.count_if(x < low).alias(f"b{i}"),
+            F.count_if(x == low).alias(f"l{i}"),
+            F.count_if(x == high).alias(f"h{i}"),
+            F.count_if(_within(span)).alias(f"w{i}"),
         ]
-        if fetch[spans[i]]:
-            aggregates.append(F.sort_array(F.collect_list(F.when(within, x))).alias(f"v{i}"))
     row = base.agg(*aggregates).first()
+    few = [i for i, span in enumerate(spans) if fetch[span] and row[f"w{i}"]]
+    slivers: dict[int, list[float]] = {i: [] for i in few}
+    if few:
+        found = F.array_compact(
+            F.array(*[F.when(_within(spans[i]), F.struct(F.lit(i).alias("i"), ref(spans[i][0]).alias("x"))) for i in few])
+        )
+        inside = base.where(reduce(or_, [_within(spans[i]) for i in few])).select(F.inline(found))
+        for i, x in inside.collect():
+            slivers[i].append(x)
     return {
         span: (
             row[f"b{i}"],
             row[f"l{i}"],
             row[f"h{i}"] if span[1] != span[2] else 0,
             row[f"w{i}"],
-            row[f"v{i}"] if fetch[span] else None,
+            sorted(slivers.get(i, [])) if fetch[span] else None,
         )
         for i, span in enumerate(spans)
     }

@@ -76,7 +76,7 @@ def fit_numeric(
     mad: bool = False,
     exact: bool = True,
 ) -> dict[str, NumericStats]:
-    """Two passes for moments and quantiles of all columns, two more for the absolute deviations."""
+    """Moments and quantiles of all columns in a few passes, whatever the number of columns."""
     columns = numeric_columns(df, columns)
     if not columns:
         return {}

@@ -64,9 +64,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact:
         for s in stats.values()
     ]
     table = df.sparkSession.createDataFrame(rows, NUMERIC_PROFILE)
-    counted = _counts(df, columns).select("column", "n_distinct")
-    joined = table.join(F.broadcast(counted), "column", "left")
-    return joined.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint")))
+    return table.join(F.broadcast(_distinct(df, columns)), "column")
+
+
+def _distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct present values per column, counted in their own type."""
+    counts = df.agg(*[F.count_distinct(cleaned(df, c)).alias(f"d{i}") for i, c in enumerate(columns)])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(columns)]
+    return counts.select(unpivot_rows(rows))
 
 
 def _column_rows(df: DataFrame, columns: Sequence[str], aggregates, fields) -> DataFrame:
@@ -132,9 +137,7 @@ def date_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             "range_days": F.datediff(F.to_date(F.col(f"top_{i}")), F.to_date(F.col(f"low_{i}"))).cast("bigint"),
         },
     )
-    counted = _counts(df, columns).select("column", "n_distinct")
-    joined = base.join(F.broadcast(counted), "column", "left")
-    return joined.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint")))
+    return base.join(F.broadcast(_distinct(df, columns)), "column")
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -242,14 +245,14 @@ def alerts(
     chosen = check_columns(df, columns or df.columns)
     table = tidy(df.select(*[ref(c) for c in chosen]))
     numbers, texts = numeric_columns(table), categorical_columns(table)
-    counted = _counts(table, chosen)
+    nothing = F.lit(None).cast("double")
     parts = {
         c: {
             "n": F.count(ref(c)),
             "zeros": F.count_if(ref(c) == 0) if c in numbers else F.lit(0).cast("bigint"),
-            "low": F.min(as_double(table, c)) if c in numbers else F.lit(None).cast("double"),
-            "top": F.max(as_double(table, c)) if c in numbers else F.lit(None).cast("double"),
-            "skew": F.skewness(as_double(table, c)) if c in numbers else F.lit(None).cast("double"),
+            "low": F.min(as_double(table, c)) if c in numbers else nothing,
+            "top": F.max(as_double(table, c)) if c in numbers else nothing,
+            "skew": F.skewness(as_double(table, c)) if c in numbers else nothing,
         }
         for c in chosen
     }
@@ -262,24 +265,28 @@ def alerts(
             "kind": F.lit("numeric" if chosen[i] in numbers else "categorical"),
             **{k: F.col(f"{k}_{i}") for k in ("n", "zeros", "low", "top", "skew")},
         },
-    ).join(F.broadcast(counted), "column", "left")
+    ).join(F.broadcast(_distinct(table, chosen)), "column")
+    if texts:
+        frequent = _counts(table, texts).select("column", (-F.col("best.rank")).alias("most"))
+        base = base.join(F.broadcast(frequent), "column", "left")
+    else:
+        base = base.withColumn("most", F.lit(None).cast("bigint"))
     missing = F.try_divide(F.col("rows") - F.col("n"), F.col("rows"))
     adjusted = F.when(
         (F.col("n") > 2) & (F.col("low") < F.col("top")),
         F.col("skew") * F.sqrt((F.col("n") * (F.col("n") - 1)).cast("double")) / (F.col("n") - 2),
     )
-    mode_share = F.try_divide(-F.col("best.rank"), F.col("n"))
-    distinct = F.coalesce("n_distinct", F.lit(0))
+    mode_share = F.try_divide(F.col("most"), F.col("n"))
+    distinct = F.col("n_distinct")
+    zeros = F.try_divide(F.col("zeros"), F.col("rows"))
     rules = [
         ("constant", distinct == 1, distinct),
-        ("unique", (F.col("n") > 1) & (F.col("n_unique") == F.col("n")), F.col("n_unique")),
+        ("unique", (F.col("n") > 1) & (distinct == F.col("n")), distinct),
         ("missing", missing > limits.missing_share, missing),
-        ("zeros", F.try_divide(F.col("zeros"), F.col("rows")) > limits.zero_share,
-         F.try_divide(F.col("zeros"), F.col("rows"))),
+        ("zeros", zeros > limits.zero_share, zeros),
         ("skewed", F.abs(adjusted) > limits.skewness, adjusted),
         ("high_cardinality", (F.col("kind") == "categorical") & (distinct > limits.cardinality), distinct),
-        ("imbalance", (F.col("kind") == "categorical") & (distinct > 1) & (mode_share > limits.mode_share),
-         mode_share),
+        ("imbalance", (distinct > 1) & (mode_share > limits.mode_share), mode_share),
     ]
     found = F.array_compact(
         F.array(
