@@ -6,15 +6,17 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import ref
+from .storage import settle
 
 BROADCAST_ROWS = 500_000
 BROADCAST_CHARS = 64 * 1024 * 1024
-SALTS = 32
+SALTS = 64
+HOT_SHARE = 2000
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None, chars: int | None = None) -> bool:
@@ -33,6 +35,13 @@ def fits_broadcast(df: DataFrame, rows: int | None = None, chars: int | None = N
     return seen["n"] <= rows and (seen["chars"] or 0) <= chars
 
 
+def hot_keys(big: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The keys with more than one in ``HOT_SHARE`` of all rows; there are fewer than ``HOT_SHARE``."""
+    counted = settle(big.groupBy(*[ref(c) for c in on]).agg(F.count("*").alias("__n")), "keys")
+    total = counted.agg(F.sum("__n")).first()[0] or 0
+    return counted.where(F.col("__n") > F.lit(total // HOT_SHARE)).drop("__n")
+
+
 def lookup_join(
     big: DataFrame,
     lookup: DataFrame,
@@ -44,23 +53,32 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``big`` with ``lookup``, whose keys are unique.
 
-    A lookup of measured small size is broadcast, so ``big`` is not shuffled.  A larger one is
-    repeated once per salt and shuffled together with ``big``, whose rows get salts in turn: a key
-    that holds a third of all rows is then spread over ``salts`` tasks.
+    A lookup of measured small size is broadcast, so ``big`` is not shuffled.  With a larger one both
+    are shuffled by key, except that the rows of a hot key get one of ``salts`` salts and its lookup
+    row a copy per salt: a key that holds a third of all rows is spread over many tasks.
     """
     on = list(on)
+    keys = [f"__key_{i}" for i in range(len(on))]
     other = lookup.select(
-        *[ref(c).alias(f"__key_{i}") for i, c in enumerate(on)],
-        *[ref(c) for c in lookup.columns if c not in on],
+        *[ref(c).alias(key) for c, key in zip(on, keys)], *[ref(c) for c in lookup.columns if c not in on]
     )
-    match = [
-        ref(c).eqNullSafe(F.col(f"__key_{i}")) if null_safe else ref(c) == F.col(f"__key_{i}")
-        for i, c in enumerate(on)
-    ]
-    keys = [f"__key_{i}" for i in range(len(on))]
+
+    def same(left: Sequence[str], right: Sequence[str]) -> Column:
+        pairs = [ref(a).eqNullSafe(ref(b)) if null_safe else ref(a) == ref(b) for a, b in zip(left, right)]
+        return reduce(and_, pairs)
+
     if fits_broadcast(lookup, rows):
-        return big.join(F.broadcast(other), reduce(and_, match), how).drop(*keys)
-    salted = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    copies = other.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    match.append(F.col("__salt") == F.col("__copy"))
-    return salted.join(copies, reduce(and_, match), how).drop(*keys, "__salt", "__copy")
+        return big.join(F.broadcast(other), same(on, keys), how).drop(*keys)
+    marks = [f"__hot_{i}" for i in range(len(on))]
+    hot = hot_keys(big, on).select(*[ref(c).alias(m) for c, m in zip(on, marks)], F.lit(True).alias("__hot"))
+    is_hot = [reduce(and_, [ref(c).eqNullSafe(ref(m)) for c, m in zip(cols, marks)]) for cols in (on, keys)]
+    spread = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)
+    copies = F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(0)
+    salted = big.join(F.broadcast(hot), is_hot[0], "left").withColumn("__salt", spread.cast("int")).drop("__hot", *marks)
+    copied = (
+        other.join(F.broadcast(hot), is_hot[1], "left")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(0), copies)))
+        .drop("__hot", *marks)
+    )
+    match = same(on, keys) & (F.col("__salt") == F.col("__copy"))
+    return salted.join(copied, match, how).drop(*keys, "__salt", "__copy")

@@ -25,6 +25,15 @@ def new_path(spark: SparkSession, label: str = "part") -> str:
     return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame, *key: str) -> DataFrame:
+    """Give every core a part of a scan that has fewer splits than the cluster has cores.
+
+    A table of many files is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def settle(df: DataFrame, label: str = "part") -> DataFrame:
     """Write the table into the shared folder once and return a scan of it."""
     spark = df.sparkSession

@@ -22,6 +22,7 @@ from ..functions.columns import (
 )
 from ..functions.counts import value_counts
 from ..functions.stats import fit_numeric
+from ..functions.storage import settle
 from ..functions.lookup import lookup_join
 from .duplicates import duplicate_rate, running_total
 from .missing import missing_cells
@@ -188,14 +189,15 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
 def _ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace values by mean ranks: count the values, add up the counts by range, and look them up."""
     table = df.select(*[as_double(df, c) for c in columns]).na.drop()
+    ranked = table
     for c in columns:
         counted = table.groupBy(ref(c).alias("value")).agg(F.count("*").alias("n"))
         placed = running_total(counted, ["value"], "n", "start")
         ranks = placed.select(
             F.col("value").alias(c), (F.col("start") + (F.col("n") + 1) / 2).alias("__rank")
         )
-        table = lookup_join(table, ranks, [c]).drop(c).withColumnRenamed("__rank", c)
-    return table.select(*[ref(c) for c in columns])
+        ranked = lookup_join(ranked, settle(ranks, "ranks"), [c]).drop(c).withColumnRenamed("__rank", c)
+    return ranked.select(*[ref(c) for c in columns])
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:

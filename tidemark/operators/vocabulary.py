@@ -55,7 +55,7 @@ def with_stems(rows: DataFrame, word: str, lang: str, out: str = "stem", frequen
 def with_lemmas(rows: DataFrame, word: str, lemmas: DataFrame, out: str = "lemma") -> DataFrame:
     """Add the lemma of a word column from a table (form, lemma); unknown words stay."""
     forms = lemmas.groupBy(F.col("form").alias(word)).agg(F.min("lemma").alias("__lemma"))
-    joined = lookup_join(rows, forms, [word])
+    joined = lookup_join(rows, settle(forms, "lemmas"), [word])
     return joined.withColumn(out, F.coalesce("__lemma", ref(word))).drop("__lemma")
 
 

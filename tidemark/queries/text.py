@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..functions.storage import spread
 from ..operators import language, text_diagnosis, text_steps, vocabulary
 from .registry import query, rounded, table
 
@@ -35,17 +36,21 @@ def stop_list(lang: str) -> str:
 
 
 def _documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
+def _pages(spark, folder):
+    return spread(table(spark, folder, "pages").select("page_id", "html"), "page_id")
 
 
 @query("t1_remove_html", "select page_id, regexp_replace(html, '<[^>]+>', '', 'g') as html from pages")
 def t1(spark, folder):
-    return text_steps.remove_html(table(spark, folder, "pages").select("page_id", "html"), "html")
+    return text_steps.remove_html(_pages(spark, folder), "html")
 
 
 @query("t2_remove_special_chars", f"select page_id, regexp_replace(html, '{SPECIAL}', '', 'g') as html from pages")
 def t2(spark, folder):
-    return text_steps.remove_special_chars(table(spark, folder, "pages").select("page_id", "html"), "html")
+    return text_steps.remove_special_chars(_pages(spark, folder), "html")
 
 
 @query(
@@ -157,7 +162,7 @@ def t9(spark, folder):
 )
 def t10(spark, folder):
     return text_steps.prepare_text(
-        table(spark, folder, "pages").select("page_id", "html"),
+        _pages(spark, folder),
         "html",
         [
             "remove_html",
@@ -172,7 +177,7 @@ def t10(spark, folder):
 @query("t10_text_steps_with_stems")
 def t10_stems(spark, folder):
     return text_steps.prepare_text(
-        table(spark, folder, "pages").select("page_id", "html"),
+        _pages(spark, folder),
         "html",
         [
             "remove_html",
@@ -236,7 +241,8 @@ def grams_sql(view: str, keys: str) -> str:
   select k.conv_id, k.turn, b.lang from conversations k left join b on b.conv_id = k.conv_id and b.turn = k.turn""",
 )
 def x3(spark, folder):
-    model = language.train_language_model(table(spark, folder, "documents"), "text", "lang")
+    labelled = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
+    model = language.train_language_model(labelled, "text", "lang")
     return language.classify_language(
         table(spark, folder, "conversations"), "text", ["conv_id", "turn"], model
     )
@@ -273,7 +279,7 @@ FLAGS = rf"""regexp_matches(text, '<[^>]+>') as html, regexp_matches(text, '{SPE
   from f""",
 )
 def x6(spark, folder):
-    df = table(spark, folder, "pages")
+    df = _pages(spark, folder)
     found = F.array_compact(F.array(*text_diagnosis.cleaning_advice(F.col("html"))))
     return df.select("page_id", F.array_join(F.transform(found, lambda a: a["action"]), ", ").alias("actions"))
 
