@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, text
 from ..functions.storage import spread
 from ..operators import language, text_diagnosis, text_steps, vocabulary
+from . import stem_sql
 from .registry import query, rounded, table
 
 # The patterns in the notation of the SQL engine.
@@ -110,12 +111,28 @@ def t7(spark, folder):
     return text_steps.remove_stopwords(_documents(spark, folder), "text", "english")
 
 
-# the published stemmers have no SQL form; tested with published pairs of words and stems
-@query("t8_stem_english")
+def stemmed_sql(spread: str, keys: str, out: str) -> str:
+    """Stems joined again per text; ``spread`` gives (keys, pos, word)."""
+    return f"""rows_ as ({spread}), forms as (select distinct word from rows_), {stem_sql.english()}
+  select {keys}, string_agg(stem, ' ' order by pos) as {out}
+  from rows_ join stems on stems.word = rows_.word group by all"""
+
+
+def spread_sql(view: str, keys: str, x: str) -> str:
+    return f"""select {keys}, generate_subscripts(ws, 1) as pos, unnest(ws) as word
+      from (select {keys}, {tokens_sql('lower(' + x + ')')} as ws from {view})"""
+
+
+@query(
+    "t8_stem_english",
+    f"""with s as (with {stemmed_sql(spread_sql('documents', 'doc_id', 'text'), 'doc_id', 'text')})
+  select d.doc_id, coalesce(s.text, '') as text from documents d left join s on s.doc_id = d.doc_id""",
+)
 def t8(spark, folder):
     return vocabulary.stem_text(_documents(spark, folder), "text", ["doc_id"], "english")
 
 
+# no SQL: the Russian rules look behind; tested with published pairs of words and stems
 @query("t8_stem_russian")
 def t8_russian(spark, folder):
     df = table(spark, folder, "conversations").select("conv_id", "turn", "text")
@@ -174,7 +191,15 @@ def t10(spark, folder):
     )
 
 
-@query("t10_text_steps_with_stems")
+@query(
+    "t10_text_steps_with_stems",
+    rf"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '{SPECIAL}', '', 'g'),
+        '\p{{Nd}}+', '', 'g') as x from pages),
+  b as (select page_id, array_to_string(list_filter({tokens_sql('lower(x)')},
+          lambda t: not list_contains({stop_list('english')}, t)), ' ') as x from a),
+  s as (with {stemmed_sql(spread_sql('b', 'page_id', 'x'), 'page_id', 'html')})
+  select b.page_id, coalesce(s.html, '') as html from b left join s on s.page_id = b.page_id""",
+)
 def t10_stems(spark, folder):
     return text_steps.prepare_text(
         _pages(spark, folder),
@@ -260,7 +285,22 @@ def x4(spark, folder):
     return rounded(df.select("doc_id", ratio.alias("ratio")), 6, "ratio")
 
 
-@query("x5_stem_lemma_difference")
+DIFFERENCE = (
+    FORMS.replace("lemmas as", "lemmas as materialized")
+    + f""", rows_ as ({spread_sql('documents', 'doc_id', 'text')}), forms as (select distinct word from rows_),
+  {stem_sql.english()},
+  x as (select r.doc_id, cast(sum(case when stem <> coalesce(lemma, r.word) then 1 else 0 end) as bigint) as stem_diff,
+               count(*) as total_words
+        from rows_ r join stems on stems.word = r.word left join lemmas on lemmas.form = r.word group by all),
+  diff as (select d.doc_id, coalesce(stem_diff, 0) as stem_diff, coalesce(total_words, 0) as total_words
+           from documents d left join x on x.doc_id = d.doc_id)
+"""
+)
+STEM_ACTION = """case when total_words > 0 and stem_diff / total_words > 0.3 then 'lemmatize'
+    when total_words > 0 and stem_diff / total_words > 0.1 then 'lemmatize_or_stem' else 'stem' end"""
+
+
+@query("x5_stem_lemma_difference", DIFFERENCE + "select * from diff")
 def x5(spark, folder):
     return vocabulary.stem_lemma_difference(
         _documents(spark, folder), "text", ["doc_id"], plural_lemmas(spark, folder), "english"
@@ -335,7 +375,7 @@ def x9(spark, folder):
     return df.select("doc_id", text_diagnosis.stop_word_advice(ratio)["action"].alias("action"))
 
 
-@query("x10_stem_lemma_advice")
+@query("x10_stem_lemma_advice", DIFFERENCE + f"select doc_id, {STEM_ACTION} as action from diff")
 def x10(spark, folder):
     diff = vocabulary.stem_lemma_difference(
         _documents(spark, folder), "text", ["doc_id"], plural_lemmas(spark, folder), "english"
@@ -403,12 +443,26 @@ def x12(spark, folder):
     return rounded(df, 6, "stopword_ratio")
 
 
-@query("x12_analyze_texts_with_stems")
+STEM_SAID = f"""case {STEM_ACTION}
+    when 'lemmatize' then {_said('lemmatize', "'" + labels.LEMMA_MUCH_BETTER + "'")}
+    when 'lemmatize_or_stem' then {_said('lemmatize_or_stem', "'" + labels.LEMMA_BETTER + "'")}
+    else {_said('stem', "'" + labels.STEM_ENOUGH + "'")} end"""
+
+
+@query(
+    "x12_analyze_texts_with_stems",
+    f"""with r as ({ANALYSIS} select * from r), diff as ({DIFFERENCE} select * from diff)
+  select r.doc_id, cast(length(text) as integer) as length, language as detected_lang,
+         round(ratio, 6) as stopword_ratio, cast(len(words) as integer) as n_words,
+         cast(len(s) as integer) as n_sentences, stem_diff, total_words,
+         array_to_string(list_append(recs, {STEM_SAID}), '; ') as recommendations
+  from r join diff on diff.doc_id = r.doc_id""",
+)
 def x12_stems(spark, folder):
     df = text_diagnosis.analyze_texts(
         _documents(spark, folder), "text", ["doc_id"], check_stem_lemma=True, lemmas=plural_lemmas(spark, folder)
     )
-    return df.select(
+    return rounded(df, 6, "stopword_ratio").select(
         "doc_id", "length", "detected_lang", "stopword_ratio", "n_words", "n_sentences",
         F.col("stem_vs_lemma.stem_diff").alias("stem_diff"),
         F.col("stem_vs_lemma.total_words").alias("total_words"),
