@@ -6,6 +6,7 @@ from __future__ import annotations
 from ..functions import labels
 from ..plans import diagnosis, prepare
 from .outlier import counts_sql, report_sql
+from .profiling import alerts_sql
 from .registry import (
     DIRTY_ORDERS,
     SPIKED,
@@ -110,34 +111,51 @@ def j3(spark, folder):
 COLUMNS = ["l_quantity", "l_extendedprice"]
 
 
-@query(
-    "j4_diagnose",
-    SPIKED
-    + ","
-    + counts_sql("spiked", COLUMNS)
-    + ", report as ("
-    + report_sql()
-    + f"""), g as (select *, count(*) as k from spiked group by all),
+def diagnosis_sql(view: str, columns: list[str], all_columns: list[str]) -> str:
+    """The sections on missing cells, duplicates, outliers and scaling; follows a view definition."""
+    cells = len(all_columns)
+    lost = f"({cells} * count(*) - " + " - ".join(f"count({c})" for c in all_columns) + ")"
+    return f""", {counts_sql(view, columns)}, report as ({report_sql()}),
+  g as (select *, count(*) as k from {view} group by all),
   r as (select col, list_filter([
       case when lo < q1 - 1.5 * (q3 - q1) or hi > q3 + 1.5 * (q3 - q1) then '{labels.HAS_OUTLIERS}' end,
       case when not abs(mean - q2) < 0.1 * mean then '{labels.ASYMMETRIC}' end,
       case when mean <> 0 and std / mean > 0.5 then '{labels.HIGH_VARIATION}' end,
-      case when abs(skew) > 1 then '{labels.STRONG_SKEW}' end], lambda x: x is not null) as reasons from st)
-  select 'missing' as section, '*' as "column", 'n_cells_missing' as item, cast(0 as double) as value, null::varchar as text
-  union all select 'missing', '*', 'p_cells_missing', 0, null
+      case when abs(skew) > 1 then '{labels.STRONG_SKEW}' end], lambda x: x is not null) as reasons from st),
+  found as (
+  select 'missing' as section, '*' as "column", 'n_cells_missing' as item, cast({lost} as double) as value,
+         null::varchar as text from {view}
+  union all select 'missing', '*', 'p_cells_missing', {lost} / ({cells} * count(*)), null from {view}
   union all select 'duplicates', '*', 'n_duplicates', sum(case when k > 1 then 1 else 0 end), null from g
-  union all select 'duplicates', '*', 'p_duplicates', round(sum(case when k > 1 then 1 else 0 end) / sum(k), 6), null from g
+  union all select 'duplicates', '*', 'p_duplicates', sum(case when k > 1 then 1 else 0 end) / sum(k), null from g
   union all select 'outliers', "column", method, n, direction from report
   union all select 'scaling', col, case when len(reasons) > 0 then '{labels.STANDARDIZE}' else '{labels.NORMALIZE}' end,
-      null, case when len(reasons) > 0 then array_to_string(reasons, ', ') else '{labels.EVEN}' end from r""",
+      null, case when len(reasons) > 0 then array_to_string(reasons, ', ') else '{labels.EVEN}' end from r)"""
+
+
+@query(
+    "j4_diagnose",
+    SPIKED
+    + diagnosis_sql("spiked", COLUMNS, ["l_orderkey", "l_linenumber", *COLUMNS])
+    + ' select section, "column", item, round(value, 6) as value, text from found',
 )
 def j4(spark, folder):
     df = diagnosis.diagnose(spiked_lineitem(spark, folder), COLUMNS, check_alerts=False)
     return rounded(df, 6, "value")
 
 
-@query("j4_diagnose_all")
-def j4_all(spark, folder):
-    return diagnosis.diagnose(table(spark, folder, "orders"), ["o_totalprice"])
+ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+ORDER_TEXTS = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
 
 
+@query(
+    "j4_diagnose_all",
+    "with v as (select * from orders)"
+    + diagnosis_sql("v", ["o_totalprice"], ORDER_NUMBERS + ORDER_TEXTS)
+    + """ select section, "column", item, round(value, 4) as value, text from (select * from found
+        union all select 'alerts', col, alert, value, null from ("""
+    + alerts_sql("v", ORDER_NUMBERS, ORDER_TEXTS)
+    + "))",
+)
+def j4_all(spark, folder):
+    return rounded(diagnosis.diagnose(table(spark, folder, "orders"), ["o_totalprice"]), 4, "value")

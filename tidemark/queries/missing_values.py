@@ -153,8 +153,28 @@ def m9_supplier(spark, folder):
     return rounded(imputers.knn_fill(dirty_supplier(spark, folder), ["bal", "nat"]), 6, "bal", "nat")
 
 
-# three columns, many combinations of missing cells; SQL would compare all rows with all
-@query("m9_fill_knn_orders")
+ORDERS_KNN = """
+  with k as (
+    select o_orderkey, case when o_orderkey % 11 = 0 then null else o_totalprice / 1000 end as price,
+           case when o_orderkey % 7 = 3 then null else cast(o_custkey as double) end as customer,
+           cast(date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as double) as day from orders),
+  n_price as (
+    select q.o_orderkey, min({'d': sqrt((coalesce((q.customer - d.customer) * (q.customer - d.customer), 0)
+        + (q.day - d.day) * (q.day - d.day)) * (3.0 / case when q.customer + d.customer is null then 1 else 2 end)),
+        'v': d.price}, 5) as near
+    from k q join k d on q.price is null and d.price is not null group by 1),
+  n_customer as (
+    select q.o_orderkey, min({'d': sqrt((coalesce((q.price - d.price) * (q.price - d.price), 0)
+        + (q.day - d.day) * (q.day - d.day)) * (3.0 / case when q.price + d.price is null then 1 else 2 end)),
+        'v': d.customer}, 5) as near
+    from k q join k d on q.customer is null and d.customer is not null group by 1)
+  select k.o_orderkey, round(coalesce(price, list_avg(list_transform(a.near, lambda x: x.v))), 6) as price,
+         round(coalesce(customer, list_avg(list_transform(b.near, lambda x: x.v))), 6) as customer, day
+  from k left join n_price a on a.o_orderkey = k.o_orderkey left join n_customer b on b.o_orderkey = k.o_orderkey"""
+
+
+# three columns with several combinations of missing cells
+@query("m9_fill_knn_orders", ORDERS_KNN)
 def m9_orders(spark, folder):
     df = table(spark, folder, "orders").selectExpr(
         "o_orderkey",
@@ -162,7 +182,7 @@ def m9_orders(spark, folder):
         "case when o_orderkey % 7 = 3 then null else cast(o_custkey as double) end as customer",
         "cast(datediff(o_orderdate, date'1992-01-01') as double) as day",
     )
-    return imputers.knn_fill(df, ["price", "customer", "day"])
+    return rounded(imputers.knn_fill(df, ["price", "customer", "day"]), 6, "price", "customer")
 
 
 @query(

@@ -56,21 +56,27 @@ def o4(spark, folder):
 
 LOF = """
   with r as (select %(key)s as id, %(x)s as x, %(y)s as y from %(table)s),
-  d as (select p.id as p, o.id as o, sqrt((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)) as dist,
-               o.x as ox, o.y as oy
-        from r p join r o on p.id <> o.id),
-  n as (select * from (select *, row_number() over (partition by p order by dist, ox, oy, o) as k from d) where k <= 20),
+  l as (select p.id as p, min({'dist': sqrt((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)),
+                               'x': o.x, 'y': o.y, 'o': o.id}, 20) as near
+        from r p join r o on p.id <> o.id group by 1),
+  u as (select p, unnest(near) as e from l),
+  n as (select p, e.o as o, e.dist as dist from u),
   radius as (select p, max(dist) as radius from n group by p),
   dens as (select n.p, 1.0 / (avg(greatest(n.dist, radius.radius)) + 1e-10) as density
            from n join radius on radius.p = n.o group by n.p),
   f as (select n.p as id, avg(b.density) / any_value(a.density) as lof
         from n join dens a on a.p = n.p join dens b on b.p = n.o group by n.p),
-  t as (select quantile_cont(-lof, 0.05) as limit_ from f)
-  select f.id as %(key)s, round(lof, 5) as lof, -lof < limit_ as is_outlier from f, t
+  t as (select quantile_cont(-lof, 0.05) as limit_ from f),
+  flagged as (select f.id, round(lof, 5) as lof, -lof < limit_ as is_outlier from f, t)
 """
+FLAGGED = " select id as %s, lof, is_outlier from flagged"
 
 
-@query("o5_lof", LOF % {"key": "c_custkey", "x": "c_acctbal / 1000", "y": "cast(c_nationkey as double)", "table": "customer"})
+@query(
+    "o5_lof",
+    LOF % {"key": "c_custkey", "x": "c_acctbal / 1000", "y": "cast(c_nationkey as double)", "table": "customer"}
+    + FLAGGED % "c_custkey",
+)
 def o5(spark, folder):
     df = table(spark, folder, "customer").selectExpr(
         "c_custkey", "c_acctbal / 1000 as x", "cast(c_nationkey as double) as y"
@@ -78,7 +84,11 @@ def o5(spark, folder):
     return rounded(lof.flag_lof(df, ["x", "y"]).drop("x", "y"), 5, "lof")
 
 
-@query("o5_lof_supplier", LOF % {"key": "s_suppkey", "x": "s_acctbal / 1000", "y": "cast(s_nationkey as double)", "table": "supplier"})
+@query(
+    "o5_lof_supplier",
+    LOF % {"key": "s_suppkey", "x": "s_acctbal / 1000", "y": "cast(s_nationkey as double)", "table": "supplier"}
+    + FLAGGED % "s_suppkey",
+)
 def o5_supplier(spark, folder):
     df = table(spark, folder, "supplier").selectExpr(
         "s_suppkey", "s_acctbal / 1000 as x", "cast(s_nationkey as double) as y"
@@ -86,8 +96,12 @@ def o5_supplier(spark, folder):
     return rounded(lof.flag_lof(df, ["x", "y"]).drop("x", "y"), 5, "lof")
 
 
-# whole events; SQL would compare all rows with all
-@query("o5_remove_lof_events")
+@query(
+    "o5_remove_lof_events",
+    LOF % {"key": "event_id", "x": "value", "y": "cast(user_id as double)", "table": "events"}
+    + """ select event_id, value, cast(user_id as double) as user_id from events
+          where event_id in (select id from flagged where not is_outlier)""",
+)
 def o5_events(spark, folder):
     df = table(spark, folder, "events").selectExpr("event_id", "value", "cast(user_id as double) as user_id")
     return lof.remove_lof(df, ["value", "user_id"])

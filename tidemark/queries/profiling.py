@@ -206,13 +206,13 @@ ALERTS = """with v as (
            case when o_orderkey % 100 = 0 then exp(o_orderkey % 29) else 1.5 end as tail from orders)"""
 
 
-def alerts_sql() -> str:
-    numbers = ["o_orderkey", "o_custkey", "o_totalprice", "doubled", "flat", "zeroed", "tail"]
-    texts = ["o_orderstatus", "o_orderpriority", "balance"]
+def alerts_sql(view: str, numbers: list[str], texts: list[str], constant: tuple[str, ...] = ()) -> str:
+    """``col``, ``alert``, ``value``; columns known to be constant have no correlation."""
     parts = []
     for c in numbers + texts:
-        counted = f"(select count(*) as d, sum(case when k = 1 then 1 else 0 end) as u, max(k) as top from (select count(*) as k from v where {c} is not null group by {c}))"
-        basic = f"(select count(*) as n_rows, count({c}) as n from v)"
+        counted = f"""(select count(*) as d, sum(case when k = 1 then 1 else 0 end) as u, max(k) as top
+            from (select count(*) as k from {view} where {c} is not null group by {c}))"""
+        basic = f"(select count(*) as n_rows, count({c}) as n from {view})"
         parts += [
             f"select '{c}' as col, 'constant' as alert, cast(d as double) as value from {counted} where d = 1",
             f"select '{c}', 'unique', cast(u as double) from {counted}, {basic} where n > 1 and u = n",
@@ -220,8 +220,10 @@ def alerts_sql() -> str:
         ]
         if c in numbers:
             parts += [
-                f"select '{c}', 'zeros', z from (select sum(case when {c} = 0 then 1 else 0 end) / count(*) as z from v) where z > 0.1",
-                f"select '{c}', 'skewed', s from (select skewness({c}) as s, min({c}) as a, max({c}) as b from v) where a < b and abs(s) > 5",
+                f"""select '{c}', 'zeros', z from (select sum(case when {c} = 0 then 1 else 0 end) / count(*) as z
+                    from {view}) where z > 0.1""",
+                f"""select '{c}', 'skewed', s from (select skewness({c}) as s, min({c}) as a, max({c}) as b from {view})
+                    where a < b and abs(s) > 5""",
             ]
         else:
             parts += [
@@ -230,18 +232,29 @@ def alerts_sql() -> str:
             ]
     for i, a in enumerate(numbers):
         for b in numbers[i + 1 :]:
-            if "flat" not in (a, b):
+            if a not in constant and b not in constant:
                 parts.append(
-                    f"select '{a}~{b}', 'high_correlation', r from (select corr({a}, {b}) as r from v) where abs(r) > 0.9"
+                    f"""select '{a}~{b}', 'high_correlation', r from (select corr({a}, {b}) as r from {view})
+                        where abs(r) > 0.9"""
                 )
     parts.append(
-        """select '*', 'duplicates', sum(case when k > 1 then 1 else 0 end) / sum(k)
-           from (select *, count(*) as k from v group by all) having sum(case when k > 1 then 1 else 0 end) > 0"""
+        f"""select '*', 'duplicates', sum(case when k > 1 then 1 else 0 end) / sum(k)
+            from (select *, count(*) as k from {view} group by all) having sum(case when k > 1 then 1 else 0 end) > 0"""
     )
-    return ALERTS + ' select col as "column", alert, round(value, 4) as value from (' + " union all ".join(parts) + ")"
+    return " union all ".join(parts)
 
 
-@query("r10_alerts", alerts_sql())
+ALERT_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice", "doubled", "flat", "zeroed", "tail"]
+ALERT_TEXTS = ["o_orderstatus", "o_orderpriority", "balance"]
+
+
+@query(
+    "r10_alerts",
+    ALERTS
+    + ' select col as "column", alert, round(value, 4) as value from ('
+    + alerts_sql("v", ALERT_NUMBERS, ALERT_TEXTS, ("flat",))
+    + ")",
+)
 def r10(spark, folder):
     df = table(spark, folder, "orders").selectExpr(
         "o_orderkey", "o_custkey", "o_totalprice", "o_totalprice * 2 + 1 as doubled", "o_orderstatus",
