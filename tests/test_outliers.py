@@ -26,6 +26,12 @@ def test_iqr_drops_rows_with_missing_cells(spark):
     assert o.remove_iqr(df.where("x is null")).count() == 0
 
 
+def test_bounds_reach_the_files(spark, tmp_path):
+    spark.range(100).selectExpr("cast(id as double) x", "id y").write.parquet(str(tmp_path / "t"))
+    plan = o.remove_iqr(spark.read.parquet(str(tmp_path / "t")), ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(x" in plan and "LessThanOrEqual(x" in plan
+
+
 def test_zscore_keeps_missing_and_constant(spark):
     df = spark.createDataFrame([(1.0, 5.0)] * 30 + [(None, 5.0), (500.0, 5.0)], "x double, c double")
     kept = o.remove_zscore(df)

@@ -29,6 +29,7 @@ def frame(spark):
     {"direct_rows": 10},
     {"direct_rows": 10, "accuracy": 50, "sliver_rows": 5},
     {"direct_rows": 10, "accuracy": 20, "sliver_rows": 100},
+    {"direct_rows": 10, "accuracy": 1000, "steps": 20, "sliver_rows": 20},
 ])
 def test_equal_to_sorting(frame, options):
     found, _ = exact_quantiles(frame, frame.columns, PROBS, **options)
@@ -36,6 +37,13 @@ def test_equal_to_sorting(frame, options):
         np.testing.assert_allclose(found[c], np.quantile(x, PROBS), rtol=1e-12)
 
 
+def test_sketch_alone_is_close(frame):
+    found, _ = exact_quantiles(frame, ["smooth"], [0.25, 0.5, 0.75], exact=False, direct_rows=10)
+    x = np.sort(values()["smooth"])
+    ranks = np.searchsorted(x, found["smooth"]) / len(x)
+    np.testing.assert_allclose(ranks, [0.25, 0.5, 0.75], atol=0.002)
+
+
 def test_extra_aggregates_share_the_pass(frame):
     _, row = exact_quantiles(frame, ["few"], [0.5], [F.max("few").alias("top")])
     assert row["top"] == 3.0

@@ -1,12 +1,15 @@
 """Exact quantiles of many columns in a fixed, small number of passes.
 
-``percentile`` is exact but keeps every distinct value of a column in one task.  Here a quantile
-sketch first brackets each wanted value between two values of the column; its rank error is bounded,
+``percentile`` is exact but keeps every distinct value of a column in one task.  Here quantile
+sketches first bracket each wanted value between two values of the column; their rank error is bounded,
 so only a sliver of rows lies strictly inside a bracket.  The next pass counts the rows below and on
 the bracket ends (a value that a third of all rows share is just a count), and a filter brings the
 sliver to the driver.  A sliver that is still too large is bracketed again, which shrinks it by three
 orders of magnitude per round.  Counts check every bracket, so the result never depends on the sketch.
 
+The sketches of all tasks are not merged in one place: tasks are put in a few hundred groups, each
+group merges its sketches, and the driver weighs the few thousand quantiles of every group.
+
 Counts and moments are jobs of their own: next to a sketch Spark would not generate code for them.
 """
 
@@ -18,12 +21,15 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .columns import as_double, ref
 
 ACCURACY = 10_000
+STEPS = 4_000
+SKETCH_GROUPS = 256
 DIRECT_ROWS = 100_000
 SLIVER_ROWS = 20_000
 
@@ -54,6 +60,7 @@ def exact_quantiles(
     extra: Sequence[Column] = (),
     exact: bool = True,
     accuracy: int = ACCURACY,
+    steps: int = STEPS,
     direct_rows: int = DIRECT_ROWS,
     sliver_rows: int = SLIVER_ROWS,
 ) -> tuple[dict[str, list[float | None]], Row]:
@@ -82,21 +89,18 @@ def exact_quantiles(
     if not large or not probs:
         return result, first
 
-    margin = 2.0 / accuracy
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, 0.0, margin)})
-    row = base.agg(*[F.percentile_approx(ref(c), grid, accuracy).alias(f"q{i}") for i, c in enumerate(large)]).first()
-    sketch = {c: dict(zip(grid, row[f"q{i}"])) for i, c in enumerate(large)}
+    sketches = dict(zip(large, _sketch(base, [ref(c) for c in large], accuracy, steps)))
     if not exact:
-        return result | {c: [sketch[c][p] for p in probs] for c in large}, first
+        return result | {c: [sketches[c].value_at(p) for p in probs] for c in large}, first
 
     targets: dict[tuple[str, int], _Target] = {}
     for c in large:
         for p in probs:
             position = p * (counts[c] - 1)
-            low, high = sketch[c][max(0.0, p - margin)], sketch[c][min(1.0, p + margin)]
+            low, high = sketches[c].around(p)
             for rank in {math.floor(position), math.ceil(position)}:
                 targets.setdefault((c, rank), _Target(c, rank, low, high))
-    _resolve(base, list(targets.values()), counts, ends, accuracy, sliver_rows)
+    _resolve(base, list(targets.values()), counts, ends, accuracy, steps, sliver_rows)
     for c in large:
         for j, p in enumerate(probs):
             position = p * (counts[c] - 1)
@@ -106,12 +110,12 @@ def exact_quantiles(
     return result, first
 
 
-def _resolve(base, targets, counts, limits, accuracy, sliver_rows) -> None:
+def _resolve(base, targets, counts, limits, accuracy, steps, sliver_rows) -> None:
     while pending := [t for t in targets if not t.done]:
         spans = sorted({(t.column, t.low, t.high) for t in pending})
         fetch = {
             (t.column, t.low, t.high): (
-                t.inside if t.inside is not None else counts[t.column] * 6 / accuracy
+                t.inside if t.inside is not None else counts[t.column] * 3 * _margin(accuracy, steps)
             )
             <= sliver_rows
             for t in pending
@@ -133,7 +137,7 @@ def _resolve(base, targets, counts, limits, accuracy, sliver_rows) -> None:
             elif inside > sliver_rows:
                 narrow.append(t)
         if narrow:
-            _narrow(base, narrow, accuracy)
+            _narrow(base, narrow, accuracy, steps)
 
 
 def _within(span: tuple[str, float, float]) -> Column:
@@ -174,21 +178,53 @@ def _look_into(base, spans, fetch):
     }
 
 
-def _narrow(base, targets, accuracy) -> None:
-    """Bracket the targets anew with a sketch of the rows inside their brackets."""
-    margin = 2.0 / accuracy
-    aggregates = []
-    for i, t in enumerate(targets):
-        x = ref(t.column)
-        p = (t.rank - t.below - t.on_low + 0.5) / t.inside
-        aggregates.append(
-            F.percentile_approx(
-                F.when((x > F.lit(t.low)) & (x < F.lit(t.high)), x),
-                [max(0.0, p - margin), min(1.0, p + margin)],
-                accuracy,
-            ).alias(f"q{i}")
+def _narrow(base, targets, accuracy, steps) -> None:
+    """Bracket the targets anew with sketches of the rows inside their brackets."""
+    inside = [F.when(_within((t.column, t.low, t.high)), ref(t.column)) for t in targets]
+    for t, sketch in zip(targets, _sketch(base, inside, accuracy, steps)):
+        t.low, t.high = sketch.around((t.rank - t.below - t.on_low + 0.5) / t.inside)
+        t.inside = math.ceil(t.inside * 3 * _margin(accuracy, steps))
+
+
+def _margin(accuracy: int, steps: int) -> float:
+    """Bound of the error in rank, as a share of the rows."""
+    return 2.0 / accuracy + 2.0 / steps
+
+
+@dataclass(frozen=True)
+class _Sketch:
+    """Quantiles of the groups in one list, with the share of the rows up to each."""
+
+    values: np.ndarray
+    upto: np.ndarray
+    margin: float
+
+    def value_at(self, p: float) -> float:
+        at = min(int(np.searchsorted(self.upto, p)), len(self.values) - 1)
+        return float(self.values[max(0, at)])
+
+    def around(self, p: float) -> tuple[float, float]:
+        return (
+            float(self.values[0]) if p <= self.margin else self.value_at(p - self.margin),
+            float(self.values[-1]) if p >= 1 - self.margin else self.value_at(p + self.margin),
         )
-    row = base.agg(*aggregates).first()
-    for i, t in enumerate(targets):
-        t.low, t.high = row[f"q{i}"]
-        t.inside = math.ceil(t.inside * 6 / accuracy)
+
+
+def _sketch(base: DataFrame, inputs: Sequence[Column], accuracy: int, steps: int) -> list[_Sketch]:
+    # one literal instead of thousands
+    grid = F.split(F.lit(",".join(str(i / steps) for i in range(steps + 1))), ",").cast("array<double>")
+    named = [col.alias(f"x{i}") for i, col in enumerate(inputs)]
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("group")
+    aggregates = []
+    for i in range(len(named)):
+        aggregates += [F.count(f"x{i}").alias(f"n{i}"), F.percentile_approx(f"x{i}", grid, accuracy).alias(f"q{i}")]
+    rows = base.select(group, *named).groupBy("group").agg(*aggregates).collect()
+    found = []
+    for i in range(len(named)):
+        parts = [(r[f"n{i}"], r[f"q{i}"]) for r in rows if r[f"n{i}"]]
+        values = np.concatenate([np.array(q) for _, q in parts])
+        weights = np.concatenate([np.full(len(q), n / len(q)) for n, q in parts])
+        order = np.argsort(values, kind="stable")
+        upto = np.cumsum(weights[order])
+        found.append(_Sketch(values[order], upto / upto[-1], _margin(accuracy, steps)))
+    return found

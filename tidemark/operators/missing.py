@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,8 @@ def any_missing(df: DataFrame) -> DataFrame:
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows whose cells in the given columns are all present."""
-    return tidy(df).na.drop(subset=check_columns(df, columns or df.columns))
+    present = [~is_missing(df, c) for c in check_columns(df, columns or df.columns)]
+    return tidy(df.where(reduce(and_, present)))
 
 
 def missing_cells(df: DataFrame) -> DataFrame:

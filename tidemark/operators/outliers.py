@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, numeric_columns, unpivot_rows
+from ..functions.columns import as_double, numeric_columns, ref, unpivot_rows
 from ..functions.quantiles import exact_quantiles
 from ..functions.stats import NumericStats, fit_numeric
 
@@ -181,7 +181,8 @@ def remove_iqr(
         if q1 is None:
             return kept.where(F.lit(False))
         reach = factor * (q3 - q1)
-        kept = kept.where(as_double(df, c).between(F.lit(q1 - reach), F.lit(q3 + reach)))
+        # NaN is above every number, so the bare column can be compared, and that filter is pushed down
+        kept = kept.where((ref(c) >= F.lit(q1 - reach)) & (ref(c) <= F.lit(q3 + reach)))
     return kept
 
 
