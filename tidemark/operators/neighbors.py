@@ -212,8 +212,9 @@ def nearest(
             yield batch.assign(leaf=_leaf_ids(batch[xs].to_numpy(dtype=float), shared_trees.value))
 
     coords = ", ".join(f"{x} double" for x in xs)
-    placed = points.select("id", *xs, "v", "n").mapInPandas(
-        with_leaf, f"id bigint, {coords}, v double, n bigint, leaf bigint"
+    placed = settle(
+        points.select("id", *xs, "v", "n").mapInPandas(with_leaf, f"id bigint, {coords}, v double, n bigint, leaf bigint"),
+        "placed",
     )
     capacity = max(4 * leaf_points, 4 * size // MAX_LEAVES)
     boxes, pieces = _measure(placed, xs, total, capacity)

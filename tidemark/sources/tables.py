@@ -55,14 +55,14 @@ def normalize_nulls(
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Give text columns the narrowest of bigint, double, timestamp that fits every present cell."""
+    """Turn text columns into bigint or double where that fits every present cell."""
     chosen = [
         f.name for f in df.schema
         if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)
     ]
     if not chosen:
         return df
-    kinds = ("bigint", "double", "timestamp")
+    kinds = ("bigint", "double")
     tests = [
         F.count_if(ref(c).isNotNull() & ref(c).try_cast(kind).isNull()).alias(f"{kind}_{i}")
         for i, c in enumerate(chosen) for kind in kinds
