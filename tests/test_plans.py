@@ -42,6 +42,11 @@ def test_by_number_and_by_name(spark):
             prepare.prepare(df, [wrong])
 
 
+def test_describe():
+    assert prepare.describe(0) == "remove duplicate rows"
+    assert prepare.describe((2, {"columns": ["x"]})) == "map numeric columns to a range (columns=['x'])"
+
+
 def test_logged(spark):
     data, log = prepare.prepare_logged(sample(spark), [0, (4, {"method": "iqr", "columns": ["x"]})])
     assert [(r["rows_in"], r["rows_out"]) for r in log.collect()] == [(63, 62), (62, 60)] and data.count() == 60

@@ -30,6 +30,7 @@ from .columns import as_double, ref
 ACCURACY = 10_000
 STEPS = 4_000
 SKETCH_GROUPS = 256
+SKETCH_INPUTS = 32
 DIRECT_ROWS = 100_000
 SLIVER_ROWS = 20_000
 
@@ -211,6 +212,14 @@ class _Sketch:
 
 
 def _sketch(base: DataFrame, inputs: Sequence[Column], accuracy: int, steps: int) -> list[_Sketch]:
+    """A sketch per input; a job takes so many inputs that the driver gets at most some 250 MB."""
+    found = []
+    for start in range(0, len(inputs), SKETCH_INPUTS):
+        found += _sketch_some(base, inputs[start : start + SKETCH_INPUTS], accuracy, steps)
+    return found
+
+
+def _sketch_some(base: DataFrame, inputs: Sequence[Column], accuracy: int, steps: int) -> list[_Sketch]:
     # one literal instead of thousands
     grid = F.split(F.lit(",".join(str(i / steps) for i in range(steps + 1))), ",").cast("array<double>")
     named = [col.alias(f"x{i}") for i, col in enumerate(inputs)]

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (
     as_double,
-    categorical_columns,
     check_columns,
     cleaned,
     is_missing,
@@ -291,11 +290,3 @@ def process_missing(
 
 def describe_fill(numeric_strategy: str, categorical_strategy: str) -> str:
     return f"fill missing cells: numeric by {numeric_strategy}, categorical by {categorical_strategy}"
-
-
-__all__ = [
-    "FillPlan", "any_missing", "apply_fill", "categorical_columns", "describe_fill", "drop_missing",
-    "fill_missing", "fit_fill", "fit_strategies", "fit_values", "missing_cells", "missing_counts",
-    "missing_counts_table", "missing_report", "missing_summary", "process_missing",
-    "suggest_strategies", "verify_fill",
-]

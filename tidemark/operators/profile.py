@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from ..functions.lookup import lookup_join
 from .duplicates import duplicate_rate, running_total
 from .missing import missing_cells
 
+PAIRS_PER_JOB = 300
+
 
 def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"))
@@ -176,14 +179,20 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
     elif method != "pearson":
         raise ValueError(f"unknown method: {method}")
     pairs = _pairs(columns)
-    totals = df.agg(
-        *[_correlation(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    )
-    rows = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return totals.select(unpivot_rows(rows))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_JOB):
+        some = pairs[start : start + PAIRS_PER_JOB]
+        totals = df.agg(
+            *[_correlation(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(some)]
+        )
+        rows = [
+            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
+            for i, (a, b) in enumerate(some)
+        ]
+        parts.append(totals.select(unpivot_rows(rows)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -315,8 +324,3 @@ def alerts(
         )
     )
 
-
-__all__ = [
-    "AlertLimits", "alerts", "categorical_profile", "correlations", "date_profile", "missing_patterns",
-    "numeric_profile", "overview", "sample_rows", "shape", "top_values",
-]

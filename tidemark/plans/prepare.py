@@ -108,6 +108,24 @@ def resolve(step: Step) -> tuple[str, Callable[..., DataFrame], dict[str, object
     return name, OPERATORS[name], dict(options)
 
 
+# What each operator does; the options are shown after it.
+MEANINGS = {
+    "drop_duplicates": "remove duplicate rows",
+    "fill_missing": "fill missing cells",
+    "normalize": "map numeric columns to a range",
+    "standardize": "bring numeric columns to mean 0 and deviation 1",
+    "remove_outliers": "remove outliers",
+    "auto_prepare": "remove duplicates, fill missing cells, remove outliers and normalise where needed",
+}
+
+
+def describe(step: Step) -> str:
+    """What a step does, with its parameters."""
+    name, _, options = resolve(step)
+    told = ", ".join(f"{k}={v}" for k, v in options.items())
+    return MEANINGS[name] + (f" ({told})" if told else "")
+
+
 def prepare(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """Apply operators, given by name or by number, optionally with parameters, in order."""
     for step in steps:
@@ -124,7 +142,6 @@ def prepare_logged(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, Dat
         name, run, options = resolve(step)
         df = settle(run(df, **options), name)
         left = df.agg(F.count("*")).first()[0]
-        told = ", ".join(f"{k}={v}" for k, v in options.items())
-        lines.append(LogLine(name, f"{name}({told})", rows, left, True))
+        lines.append(LogLine(name, describe(step), rows, left, True))
         rows = left
     return df, log_table(df, lines)

@@ -355,9 +355,9 @@ def g1_round(spark, folder):
     return quality.discretize(df, "o_totalprice", round_to=-2)
 
 
-@query("g2_convert_types", STRINGLY + "select event_id, try_cast(value_txt as bigint) as value_txt from stringly")
+@query("g2_convert_types", STRINGLY + "select event_id, try_cast(value_txt as double) as value_txt from stringly")
 def g2(spark, folder):
-    return quality.convert_types(stringly_events(spark, folder), {"value_txt": "bigint"}, on_error="null")
+    return quality.convert_types(stringly_events(spark, folder), {"value_txt": "double"}, on_error="null")
 
 
 @query(

@@ -17,10 +17,11 @@ def s1(spark, folder):
     return tables.read_csv(spark, path, schema=df.schema)
 
 
-@query("s2_null_tokens", STRINGLY + "select event_id, try_cast(case when value_txt = 'abc' then null else value_txt end as bigint) as value_txt from stringly")
+@query("s2_null_tokens", STRINGLY + "select event_id, try_cast(case when value_txt = 'abc' then null else value_txt end as double) as value_txt from stringly")
 def s2(spark, folder):
     tokens = [*tables.NULL_TOKENS, "abc"]
-    return tables.infer_types(tables.normalize_nulls(stringly_events(spark, folder), tokens), ["value_txt"])
+    found = tables.infer_types(tables.normalize_nulls(stringly_events(spark, folder), tokens), ["value_txt"])
+    return found.withColumn("value_txt", F.col("value_txt").cast("double"))
 
 
 @query("s2_null_tokens_csv", DIRTY_CUSTOMER + "select c_custkey, bal, nat, segment from dirty")
@@ -52,17 +53,19 @@ def s4(spark, folder):
 
 @query(
     "s4_unnest_json",
-    "select o_custkey, o_orderkey, o_totalprice as \"total.price\" from orders",
+    """select o_custkey, o_orderkey, o_totalprice as "total.price" from orders
+       union all select o_custkey, -o_orderkey, -o_totalprice from orders""",
 )
 def s4_unnest(spark, folder):
-    # objects that hold a list of nested objects, written as text and read back
-    items = F.collect_list(
-        F.struct("o_custkey", "o_orderkey", F.struct(F.col("o_totalprice").alias("price")).alias("total"))
-    )
-    df = table(spark, folder, "orders").withColumn("piece", F.pmod(F.xxhash64("o_orderkey"), F.lit(1000)))
+    # an object per order with a list of nested objects, written as text and read back
+    def entry(sign: int):
+        price = F.struct((F.col("o_totalprice") * sign).alias("price")).alias("total")
+        return F.struct("o_custkey", (F.col("o_orderkey") * sign).alias("o_orderkey"), price)
+
     path = new_path(spark, "s4")
-    df.groupBy("o_custkey", "piece").agg(items.alias("orders")).select("piece", "orders").write.json(path)
-    schema = "piece bigint, orders array<struct<o_custkey:bigint,o_orderkey:bigint,total:struct<price:double>>>"
+    orders = table(spark, folder, "orders")
+    orders.select("o_orderdate", F.array(entry(1), entry(-1)).alias("orders")).write.json(path)
+    schema = "o_orderdate string, orders array<struct<o_custkey:bigint,o_orderkey:bigint,total:struct<price:double>>>"
     return tables.unnest(tables.read_json(spark, path, schema=schema, lines=True))
 
 
@@ -89,12 +92,13 @@ def s6(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("s7_write_csv", "select n_nationkey, n_name, n_regionkey from nation")
+@query("s7_write_csv", "select s_suppkey, s_name, s_acctbal from supplier")
 def s7(spark, folder):
-    df = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    df = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     path = new_path(spark, "s7")
     tables.write_table(df, path, "csv")
-    return tables.read_csv(spark, path)
+    back = tables.read_csv(spark, path)
+    return back.withColumn("s_suppkey", F.col("s_suppkey").cast("bigint"))
 
 
 @query("s8_write_json", DIRTY_CUSTOMER + "select * from dirty")
@@ -176,15 +180,19 @@ def s13(spark, folder):
 
 @query(
     "s14_row_lines",
-    "select concat_ws(' | ', n_nationkey::varchar, n_name, n_regionkey::varchar) as line from nation",
+    """select concat_ws(' | ', c_custkey::varchar, c_name, coalesce(segment, 'nan')) as line
+       from (select c_custkey, c_name, case when c_custkey % 7 = 2 then null else c_mktsegment end as segment from customer)""",
 )
 def s14(spark, folder):
-    return texts.row_lines(table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    df = table(spark, folder, "customer").selectExpr(
+        "c_custkey", "c_name", "case when c_custkey % 7 = 2 then null else c_mktsegment end as segment"
+    )
+    return texts.row_lines(df)
 
 
-@query("s15_write_text", "select text as value from benchmark where not contains(text, chr(10))")
+@query("s15_write_text", r"select regexp_replace(text, '[\n\r]+', ' ', 'g') as value from documents")
 def s15(spark, folder):
-    df = table(spark, folder, "benchmark").where(~F.contains("text", F.lit("\n")))
+    df = table(spark, folder, "documents").select(F.regexp_replace("text", r"[\n\r]+", " ").alias("text"))
     path = new_path(spark, "s15")
     texts.write_text(df, "text", path)
     return spark.read.text(path)
