@@ -80,3 +80,24 @@ def test_adjusted_moments(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
+def test_only_the_needed_columns_are_read(spark, tmp_path):
+    from tidemark.operators.charts import histogram
+
+    spark.range(50).selectExpr("cast(id as double) x", "id y", "'a' s").write.parquet(str(tmp_path / "t"))
+    plan = histogram(spark.read.parquet(str(tmp_path / "t")), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<x:double>" in plan

@@ -14,6 +14,7 @@ from ..functions.text import DEFAULT_LANGUAGE, LANGUAGES, WORD_CLASS, stop_word_
 
 CYRILLIC = "[Ѐ-ӿ]"
 MAX_LANGUAGES = 200
+MAX_TEXT = 2**31 - 1
 
 
 def hits_by_language(tokens_: Column) -> Column:
@@ -34,14 +35,16 @@ def pick_language(text: Column, hits: Column) -> Column:
 
 
 def _grams(df: DataFrame, text: str, keep: Sequence[Column], size: int) -> DataFrame:
-    """Every run of ``size`` characters of the lowercase text, counted per text."""
-    chars = F.split(F.lower(ref(text)), "")
-    placed = df.select(*keep, chars.alias("__chars")).where(F.size("__chars") >= size)
-    gram = F.transform(
-        F.sequence(F.lit(1), F.size("__chars") - (size - 1)),
-        lambda i: F.concat(*[F.element_at(F.col("__chars"), i + j) for j in range(size)]),
-    )
-    return placed.select(*[c for c in placed.columns if c != "__chars"], F.explode(gram).alias("gram"))
+    """Every run of ``size`` characters of the lowercase text, one per row.
+
+    Runs that start at every ``size``-th character are the matches of one pattern; there are ``size``
+    places to start from.
+    """
+    runs = [
+        F.regexp_extract_all(F.substring(F.lower(ref(text)), start + 1, MAX_TEXT), F.lit(f"(?s).{{{size}}}"), F.lit(0))
+        for start in range(size)
+    ]
+    return df.select(*keep, F.explode(F.flatten(F.array(*runs))).alias("gram"))
 
 
 def train_language_model(df: DataFrame, text: str, lang: str, size: int = 3) -> DataFrame:

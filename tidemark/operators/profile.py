@@ -198,15 +198,15 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
 def _ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace values by mean ranks: count the values, add up the counts by range, and look them up."""
     table = df.select(*[as_double(df, c) for c in columns]).na.drop()
-    ranked = table
-    for c in columns:
-        counted = table.groupBy(ref(c).alias("value")).agg(F.count("*").alias("n"))
-        placed = running_total(counted, ["value"], "n", "start")
-        ranks = placed.select(
-            F.col("value").alias(c), (F.col("start") + (F.col("n") + 1) / 2).alias("__rank")
-        )
-        ranked = lookup_join(ranked, settle(ranks, "ranks"), [c]).drop(c).withColumnRenamed("__rank", c)
-    return ranked.select(*[ref(c) for c in columns])
+    cells = [F.struct(F.lit(i).alias("place"), ref(c).alias("value")) for i, c in enumerate(columns)]
+    counted = table.select(unpivot_rows(cells)).groupBy("place", "value").agg(F.count("*").alias("n"))
+    placed = settle(running_total(counted, ["place", "value"], "n", "start"), "ranks")
+    first = {r["place"]: r["first"] for r in placed.groupBy("place").agg(F.min("start").alias("first")).collect()}
+    for i, c in enumerate(columns):
+        rank = F.col("start") - F.lit(first.get(i, 0)) + (F.col("n") + 1) / 2
+        ranks = placed.where(F.col("place") == i).select(F.col("value").alias(c), rank.alias("__rank"))
+        table = lookup_join(table, ranks, [c]).drop(c).withColumnRenamed("__rank", c)
+    return table.select(*[ref(c) for c in columns])
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import spread
 from ..operators import forest, lof, outliers
 from .registry import SPIKED, query, rounded, spiked_lineitem, table
 
@@ -51,7 +52,7 @@ def o3(spark, folder):
 
 @query("o4_remove_isolated")
 def o4(spark, folder):
-    return forest.remove_isolated(spiked_lineitem(spark, folder), COLUMNS)
+    return forest.remove_isolated(spread(spiked_lineitem(spark, folder)), COLUMNS)
 
 
 LOF = """
