@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_double, check_columns, cleaned, is_missing, numeric_columns, ref, unpivot_rows
 from ..functions.lookup import lookup_join
 from ..functions.quantiles import exact_quantiles
+from ..functions.storage import settle
 from .charts import equal_width_bin
 from .duplicates import drop_duplicates
 from .missing import drop_missing
@@ -159,10 +160,8 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Only value pairs that occur are formed: the statistic is n * (sum(o^2 / (row * column)) - 1).
     """
-    cells = (
-        df.select(cleaned(df, a).alias("a"), cleaned(df, b).alias("b")).na.drop()
-        .groupBy("a", "b").agg(F.count("*").alias("o"))
-    )
+    pairs = df.select(cleaned(df, a).alias("a"), cleaned(df, b).alias("b")).na.drop()
+    cells = settle(pairs.groupBy("a", "b").agg(F.count("*").alias("o")), "cells")
     rows = cells.groupBy("a").agg(F.sum("o").alias("r"))
     cols = cells.groupBy("b").agg(F.sum("o").alias("c"))
     joined = lookup_join(lookup_join(cells, rows, ["a"]), cols, ["b"])
