@@ -5,12 +5,9 @@ The patterns spell out Unicode classes, because ``\\w`` and ``\\d`` are ASCII in
 
 from __future__ import annotations
 
-import io
-import zipfile
 from functools import cache
-from pathlib import Path
+from importlib import resources
 
-import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,17 +70,9 @@ def language_name(lang: str) -> str:
 
 @cache
 def stop_words(lang: str) -> tuple[str, ...]:
-    """The stop words Spark ships for its StopWordsRemover."""
-    name = language_name(lang)
-    jars = Path(pyspark.__file__).parent / "jars"
-    for jar in sorted(jars.glob("spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            with z.open(f"org/apache/spark/ml/feature/stopwords/{name}.txt") as f:
-                lines = io.TextIOWrapper(f, encoding="utf-8").read().splitlines()
-                return tuple(sorted({w.strip() for w in lines if w.strip()}))
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(sorted(set(StopWordsRemover.loadDefaultStopWords(name))))
+    """The stop words of Spark's StopWordsRemover, kept as files of this package: no session is needed."""
+    lists = resources.files(__package__).joinpath("stopwords")
+    return tuple(lists.joinpath(f"{language_name(lang)}.txt").read_text(encoding="utf-8").splitlines())
 
 
 def is_stop_word(word: Column, lang: str) -> Column:
