@@ -1,10 +1,11 @@
 """The registered queries of this folder, with SQL where SQL can say the same."""
 
-from . import decontamination, language_id, packing, toxicity, vector_search, warc
+from . import decontamination, language_id, packing, secrets, toxicity, vector_search, warc
 
 QUERIES = {
     "op1_decontaminate": (decontamination.op1, decontamination.SQL),
     "op3_language_id": (language_id.op3, None),
+    "op4_secret_links": (secrets.op4, None),
     "op5_warc_bundles": (warc.op5, warc.SQL),
     "op6_toxicity": (toxicity.op6, None),
     "op7_best_two_fit": (packing.op7, None),
