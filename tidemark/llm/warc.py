@@ -32,6 +32,7 @@ from .common import col, lookup, new_path, settle, slices, table
 LEAST_SHARED = 100
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+TASK_FRAMES = 32  # frames that a task reads
 DATE = "2024-01-01T00:00:00Z"
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -231,7 +232,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
         if reader:
             reader.close()
 
-    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(run, schema)
+    tasks = -(-frames.count() // TASK_FRAMES)
+    stretch = F.floor(F.col("frame") / TASK_FRAMES)
+    return frames.repartition(max(1, tasks), "bundle", stretch).sortWithinPartitions("bundle", "frame").mapInArrow(run, schema)
 
 
 def fetch(index: DataFrame, wanted: Column) -> DataFrame:
