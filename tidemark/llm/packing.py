@@ -28,8 +28,9 @@ from .common import col, lookup, settle, slices, table, worker_cache
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 CACHED_LENGTH = 64
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 _SHIFT = 40
 
 
@@ -39,32 +40,62 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian unsigned 32-bit numbers.
+def _plain(text: str) -> str:
+    """Lower case, where that cannot interact with the vocabulary's own normalisation."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
-    No piece of this kind of vocabulary spans a blank, so each word's ids are looked up or made once.
+
+def _parts(word: str) -> tuple[str, str]:
+    """A word and the ASCII signs at its end; the vocabulary never joins a letter or digit with a sign."""
+    core = word.rstrip(SIGNS)
+    return (core, word[len(core) :]) if core and core[-1] <= "\u00ff" and core[-1].isalnum() else (word, "")
+
+
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids as little-endian unsigned 32-bit numbers.
+
+    No piece of this kind of vocabulary spans a blank, so the ids of each different word are made once
+    and looked up; new words are encoded in one call.
     """
     from tokenizers import Tokenizer
 
     cache = worker_cache()
     if cache.get("tokenizer_path") != path:
         cache["tokenizer_path"], cache["tokenizer"], cache["ids"] = path, Tokenizer.from_file(path), {}
-    tokenizer, known = cache["tokenizer"], cache["ids"]
-
-    def ids_of(word: str) -> bytes:
-        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        out = [known.get(w) for w in words]
-        for i, w in enumerate(words):
-            if out[i] is None:
-                out[i] = ids_of(w)
-                if len(w) <= CACHED_LENGTH:
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    known[w] = out[i]
-        return b"".join(out)
+    tokenizer = cache["tokenizer"]
+
+    def learn(known: dict[str, bytes], words: list[str]) -> None:
+        made = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(made.ids, "<u4")
+        at = 4 * np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(words) + 1))
+        data = ids.tobytes()
+        for w, a, b in zip(words, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            known[w] = data[a:b]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        known = cache["ids"]
+        split = [_plain(t).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > CACHED_WORDS:
+            known = cache["ids"] = {}
+            new = set().union(*split)
+        parts = {w: _parts(w) for w in new}
+        missing = list({x for p in parts.values() for x in p}.difference(known, ("",)))
+        if missing:
+            learn(known, missing)
+        known[""] = b""
+        for w, (core, signs) in parts.items():
+            known[w] = known[core] + known[signs]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                known.pop(w, None)
+                known.pop(parts[w][0], None)
+        return out
 
     return encode
 
@@ -84,10 +115,8 @@ def tokenize(docs: DataFrame, key: str, text: Column, path: str, capacity: int =
         for batch in batches:
             for part in slices(batch):
                 row, piece, start, length, crc = [], [], [], [], []
-                last, ids = None, b""
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    if t != last:
-                        last, ids = t, encode(t or "") + closing
+                for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids += closing
                     for p, a in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[a : a + 4 * capacity]
                         row.append(i)
