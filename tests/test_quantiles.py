@@ -82,17 +82,15 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_a_cluster_needs_a_shared_folder():
+def test_without_the_setting_the_warehouse_is_used():
     class Session:
         class conf:
-            get = staticmethod(lambda key, default: default)
+            get = staticmethod(lambda key, default=None: "hdfs:///warehouse" if "warehouse" in key else default)
 
         class sparkContext:
-            master = "spark://host:7077"
             getCheckpointDir = staticmethod(lambda: None)
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_dir(Session)
+    assert shared_dir(Session) == "hdfs:///warehouse/_tidemark"
 
 
 def test_only_the_needed_columns_are_read(spark, tmp_path):

@@ -114,12 +114,12 @@ def test_salted_lookup_equals_broadcast(spark):
     big = spark.range(600).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"))
     keys = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     small = lookup_join(big, keys, ["k"])
-    salted = lookup_join(big, keys, ["k"], rows=0, salts=4)
+    salted = lookup_join(big, keys, ["k"], rows=0, salt_rows=2)
     assert rows(small) == rows(salted) and salted.count() == 600
     odd = F.when(F.col("k") % 2 == 0, F.col("k"))
     for null_safe in (False, True):
         small = lookup_join(big.withColumn("k", odd), keys.withColumn("k", F.when(F.col("k") != 1, F.col("k"))), ["k"], null_safe=null_safe)
-        salted = lookup_join(big.withColumn("k", odd), keys.withColumn("k", F.when(F.col("k") != 1, F.col("k"))), ["k"], null_safe=null_safe, rows=0)
+        salted = lookup_join(big.withColumn("k", odd), keys.withColumn("k", F.when(F.col("k") != 1, F.col("k"))), ["k"], null_safe=null_safe, rows=0, salt_rows=3)
         assert rows(small) == rows(salted) and salted.count() == 600
     small = lookup_join(big, keys, ["k"])
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()

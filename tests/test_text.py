@@ -84,13 +84,24 @@ def test_stem_and_lemma_keep_order_and_empty_texts(spark):
     df = column(spark, ["Cats chased running mice", "", None])
     lemmas = spark.createDataFrame(LEMMAS, "lang string, form string, lemma string")
     got = rows(vocabulary.stem_text(df, "text", ["id"], "english"), "id")
-    assert got == [(0, "cat chase run mice"), (1, ""), (2, "")]
+    assert got == [(0, "cat chase run mice"), (1, ""), (2, None)]
     got = rows(vocabulary.lemmatize_text(df, "text", ["id"], lemmas, "english", out="lemma"), "id")
-    assert [r[2] for r in got] == ["cat chased running mouse", "", ""]
+    assert [r[2] for r in got] == ["cat chased running mouse", "", None]
     diff = rows(vocabulary.stem_lemma_difference(df, "text", ["id"], lemmas), "id")
     assert diff == [(0, 3, 4), (1, 0, 0), (2, 0, 0)]
 
 
+def test_texts_need_no_key(spark):
+    data = [(None, "running cats"), (7, "alpha beta"), (7, "gamma delta"), (7, "alpha beta"), (8, None)]
+    df = spark.createDataFrame(data, "id long, text string")
+    lemmas = spark.createDataFrame(LEMMAS, "lang string, form string, lemma string")
+    want = sorted([(None, "run cat"), (7, "alpha beta"), (7, "gamma delta"), (7, "alpha beta"), (8, None)], key=repr)
+    assert rows(vocabulary.stem_text(df, "text", ["id"], "english")) == want
+    assert [r[1] for r in rows(vocabulary.lemmatize_text(df, "text", ["id"], lemmas, "english"))].count("alpha beta") == 2
+    assert rows(vocabulary.stem_lemma_difference(df, "text", ["id"], lemmas).where("id is null")) == [(None, 1, 2)]
+    assert len(rows(text_diagnosis.analyze_texts(df, "text", ["id"], lang="english", check_stem_lemma=True, lemmas=lemmas))) == 5
+
+
 def test_rare_words_are_worked_out_in_place(spark):
     df = column(spark, ["running running cats", "cats hopping running", "flies generously running"])
     whole = rows(vocabulary.stem_text(df, "text", ["id"], "english"), "id")
@@ -167,3 +178,5 @@ def test_word_statistics(spark):
     df = column(spark, ["b a b c a b d e f"])
     row = vocabulary.word_statistics(df, "text", ["id"]).first()
     assert (row["unique_words"], row["avg_word_length"], row["frequent_words"]) == (6, 1.0, "b, a, c, d, e")
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "x"), (3, "x")], "id long, text string")
+    assert rows(vocabulary.word_statistics(df, "text", ["id"])) == [(1, 0, None, ""), (2, 0, None, ""), (3, 1, 1.0, "x"), (3, 1, 1.0, "x")]

@@ -15,8 +15,8 @@ from .storage import settle
 
 BROADCAST_ROWS = 500_000
 BROADCAST_CHARS = 64 * 1024 * 1024
-SALTS = 64
-HOT_SHARE = 2000
+SALT_ROWS = 1_000_000
+MOST_HOT = 100_000
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None, chars: int | None = None) -> bool:
@@ -35,11 +35,16 @@ def fits_broadcast(df: DataFrame, rows: int | None = None, chars: int | None = N
     return seen["n"] <= rows and (seen["chars"] or 0) <= chars
 
 
-def hot_keys(big: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The keys with more than one in ``HOT_SHARE`` of all rows; there are fewer than ``HOT_SHARE``."""
+def hot_keys(big: DataFrame, on: Sequence[str], salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Keys with more than ``salt_rows`` rows, at most ``MOST_HOT`` of them, and their number of salts ``__hot``."""
     counted = settle(big.groupBy(*[ref(c) for c in on]).agg(F.count("*").alias("__n")), "keys")
     total = counted.agg(F.sum("__n")).first()[0] or 0
-    return counted.where(F.col("__n") > F.lit(total // HOT_SHARE)).drop("__n")
+    each = max(salt_rows, total // MOST_HOT)
+    return counted.where(F.col("__n") > each).withColumn("__hot", F.ceil(F.col("__n") / each).cast("int")).drop("__n")
+
+
+def _has_map(dtype: T.DataType) -> bool:
+    return "map<" in dtype.simpleString() or "variant" in dtype.simpleString()
 
 
 def lookup_join(
@@ -49,13 +54,14 @@ def lookup_join(
     how: str = "left",
     null_safe: bool = False,
     rows: int | None = None,
-    salts: int = SALTS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """Join ``big`` with ``lookup``, whose keys are unique.
 
     A lookup of measured small size is broadcast, so ``big`` is not shuffled.  With a larger one both
-    are shuffled by key, except that the rows of a hot key get one of ``salts`` salts and its lookup
-    row a copy per salt: a key that holds a third of all rows is spread over many tasks.
+    are shuffled by key, except that the rows of a hot key get salts, one per ``salt_rows`` rows, and its
+    lookup row a copy per salt: a key that holds a third of all rows is spread over many tasks.  The salt
+    is a hash of the row, so a task that runs again gives the same rows.
     """
     on = list(on)
     keys = [f"__key_{i}" for i in range(len(on))]
@@ -70,10 +76,10 @@ def lookup_join(
     if fits_broadcast(lookup, rows):
         return big.join(F.broadcast(other), same(on, keys), how).drop(*keys)
     marks = [f"__hot_{i}" for i in range(len(on))]
-    hot = hot_keys(big, on).select(*[ref(c).alias(m) for c, m in zip(on, marks)], F.lit(True).alias("__hot"))
+    hot = settle(hot_keys(big, on, salt_rows).select(*[ref(c).alias(m) for c, m in zip(on, marks)], "__hot"), "hot")
     is_hot = [reduce(and_, [ref(c).eqNullSafe(ref(m)) for c, m in zip(cols, marks)]) for cols in (on, keys)]
-    spread = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)
-    copies = F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(0)
+    spread = F.coalesce(F.pmod(F.xxhash64(*[ref(f.name) for f in big.schema if not _has_map(f.dataType)]), F.col("__hot")), F.lit(0))
+    copies = F.coalesce(F.col("__hot") - 1, F.lit(0))
     salted = big.join(F.broadcast(hot), is_hot[0], "left").withColumn("__salt", spread.cast("int")).drop("__hot", *marks)
     copied = (
         other.join(F.broadcast(hot), is_hot[1], "left")

@@ -1,13 +1,13 @@
 """The shared folder in which intermediate tables are kept.
 
-On a cluster the folder comes from ``spark.checkpoint.dir``.  Only where the session has none, as in
-local tests, a temporary folder is made and set.  A written table survives the loss of executors and
-cuts the lineage; unlike a checkpoint it is columnar, so later passes read only the columns they use.
+The folder comes from ``spark.checkpoint.dir``; where the session sets none, it is a folder in the
+warehouse, which executors share too.  A written table survives the loss of executors and cuts the
+lineage; unlike a checkpoint it is columnar, so later passes read only the columns they use.  Tables
+stay as long as results may be read from them; ``clear`` removes those of a session.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidemark"
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str = "part") -> str:
-    return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that read them are void then."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark-{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame, *key: str) -> DataFrame:

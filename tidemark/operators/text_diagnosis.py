@@ -18,7 +18,7 @@ from ..functions.text import (
     tokens,
 )
 from .language import hits_by_language, pick_language
-from .vocabulary import stem_lemma_difference
+from .vocabulary import with_stem_lemma_counts
 
 ACTION = "struct<action:string,description:string,action_label:string>"
 
@@ -134,8 +134,7 @@ def analyze_texts(
         advice.append(stop_word_advice(F.col("stopword_ratio")))
     stems = F.lit(None).cast("struct<stem_diff:bigint,total_words:bigint>")
     if check_stem_lemma:
-        diff = stem_lemma_difference(df, column, key, lemmas, lang or "english")
-        base = base.join(diff, list(key), "left")
+        base = with_stem_lemma_counts(base, "__text", lemmas, lang or "english")
         stems = F.struct("stem_diff", "total_words")
         advice.append(stem_lemma_advice(F.col("stem_diff"), F.col("total_words")))
     found = F.array_compact(F.array(*[a.cast(ACTION) for a in advice])) if advice else F.array().cast(f"array<{ACTION}>")

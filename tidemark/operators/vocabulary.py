@@ -1,15 +1,15 @@
 """Stemming and lemmatising: look up every word, keep the order of the words.
 
-Frequent words are counted, worked out once and broadcast, a bounded table.  The other words are
-worked out where they are.  So no word is shuffled; only the finished texts move, once, to be put
-together again.
+Frequent words are counted, worked out once and broadcast, a bounded table of short words.  The other
+words are worked out where they are.  Words are shuffled twice: to be counted, and to be put together
+again by the hashes of their text, so that no key of the table is needed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from ..functions.storage import settle
 from ..functions.text import as_text, language_name, tokens
 
 FREQUENT_WORDS = 300_000
+LONGEST_WORD = 64  # of those broadcast
 
 
 def token_column(df: DataFrame, column: str, lower: bool = True) -> Column:
@@ -30,9 +31,14 @@ def token_column(df: DataFrame, column: str, lower: bool = True) -> Column:
     return tokens(F.lower(col) if lower else col)
 
 
-def _spread(df: DataFrame, column: str, key: Sequence[str], lower: bool = True) -> DataFrame:
-    keys = [ref(c) for c in check_columns(df, key)]
-    return df.select(*keys, F.posexplode(token_column(df, column, lower)).alias("pos", "word"))
+def text_hashes(df: DataFrame, column: str) -> list[Column]:
+    """Two hashes of a text (or of given tokens): rows with equal texts have equal results, whatever their key."""
+    return [F.xxhash64(ref(column)).alias("__h1"), F.xxhash64(F.lit("second"), ref(column)).alias("__h2")]
+
+
+def _spread(df: DataFrame, column: str, lower: bool = True) -> DataFrame:
+    """The words of each text with their place; a text that occurs often gives equal rows."""
+    return df.select(*text_hashes(df, column), F.posexplode(token_column(df, column, lower)).alias("pos", "word"))
 
 
 def with_stems(rows: DataFrame, word: str, lang: str, out: str = "stem", frequent: int = FREQUENT_WORDS) -> DataFrame:
@@ -47,7 +53,7 @@ def with_stems(rows: DataFrame, word: str, lang: str, out: str = "stem", frequen
         # more than this many uses: by the error bound of the sketch at most about ``frequent`` words
         share = 1 - frequent / different
         often = counted.agg(F.percentile_approx("n", share, max(10_000, 10 * different // frequent))).first()[0]
-    known = counted.where(F.col("n") > often).select("__form", stem(F.col("__form")).alias("__known"))
+    known = counted.where((F.col("n") > often) & (F.length("__form") <= LONGEST_WORD)).select("__form", stem(F.col("__form")).alias("__known"))
     found = rows.join(F.broadcast(known), ref(word) == F.col("__form"), "left")
     return found.withColumn(out, F.coalesce("__known", stem(ref(word)))).drop("__form", "__known")
 
@@ -59,72 +65,99 @@ def with_lemmas(rows: DataFrame, word: str, lemmas: DataFrame, out: str = "lemma
     return joined.withColumn(out, F.coalesce("__lemma", ref(word))).drop("__lemma")
 
 
-def _rejoin(rows: DataFrame, key: Sequence[str], column: str, out: str) -> DataFrame:
-    """Put the words of each text together in order; the group is one text."""
-    placed = F.sort_array(F.collect_list(F.struct("pos", ref(column).alias("w"))))
-    return rows.groupBy(*[ref(c) for c in key]).agg(as_text(F.transform(placed, lambda p: p["w"])).alias(out))
+def _rejoin(rows: DataFrame, column: str) -> DataFrame:
+    """Put the words of each text together in order; the group is one text, its copies fall together."""
+    placed = F.sort_array(F.collect_set(F.struct("pos", ref(column).alias("w"))))
+    return rows.groupBy("__h1", "__h2").agg(as_text(F.transform(placed, lambda p: p["w"])).alias("__made"))
 
 
-def _replace_text(df: DataFrame, made: DataFrame, key: Sequence[str], out: str) -> DataFrame:
-    kept = df.drop(out) if out in df.columns else df
-    joined = kept.join(made, list(key), "left")
+def _with_made(df: DataFrame, column: str, made: DataFrame) -> DataFrame:
+    h1, h2 = text_hashes(df, column)
+    keyed = df.withColumns({"__a": h1, "__b": h2})
+    return keyed.join(made, (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2")), "left").drop("__a", "__b", "__h1", "__h2")
+
+
+def _replace_text(df: DataFrame, column: str, made: DataFrame, out: str) -> DataFrame:
+    """A missing text stays missing; a text without words becomes empty."""
     columns = df.columns if out in df.columns else [*df.columns, out]
-    return joined.withColumn(out, F.coalesce(ref(out), F.lit(""))).select(*[ref(c) for c in columns])
+    joined = _with_made(df, column, made)
+    text = F.when(ref(column).isNotNull(), F.coalesce("__made", F.lit("")))
+    return joined.withColumn(out, text).select(*[ref(c) for c in columns])
 
 
 def stem_text(
-    df: DataFrame, column: str, key: Sequence[str], lang: str = "russian", out: str | None = None,
+    df: DataFrame, column: str, key: Sequence[str] = (), lang: str = "russian", out: str | None = None,
     frequent: int = FREQUENT_WORDS,
 ) -> DataFrame:
-    """Lowercase, tokenise, stem and join with blanks."""
-    rows = with_stems(_spread(df, column, key), "word", lang, frequent=frequent)
-    return _replace_text(df, _rejoin(rows, key, "stem", out or column), key, out or column)
+    """Lowercase, tokenise, stem and join with blanks.  Texts are told by themselves; no key is needed."""
+    check_columns(df, key)
+    rows = with_stems(_spread(df, column), "word", lang, frequent=frequent)
+    return _replace_text(df, column, _rejoin(rows, "stem"), out or column)
 
 
 def lemmatize_text(
     df: DataFrame, column: str, key: Sequence[str], lemmas: DataFrame, lang: str = "russian", out: str | None = None
 ) -> DataFrame:
     """Lowercase, tokenise, replace by the lemma of the table (lang, form, lemma), join with blanks."""
+    check_columns(df, key)
     own = lemmas.where(F.col("lang") == language_name(lang)) if "lang" in lemmas.columns else lemmas
-    rows = with_lemmas(_spread(df, column, key), "word", own)
-    return _replace_text(df, _rejoin(rows, key, "lemma", out or column), key, out or column)
+    rows = with_lemmas(_spread(df, column), "word", own)
+    return _replace_text(df, column, _rejoin(rows, "lemma"), out or column)
 
 
-def stem_lemma_difference(
-    df: DataFrame, column: str, key: Sequence[str], lemmas: DataFrame | None = None, lang: str = "english",
-    frequent: int = FREQUENT_WORDS,
+def stem_lemma_counts(
+    df: DataFrame, column: str, lemmas: DataFrame | None = None, lang: str = "english", frequent: int = FREQUENT_WORDS
 ) -> DataFrame:
-    """Per text: words whose stem differs from the lemma, and words in all."""
-    rows = with_stems(
-        _spread(df, column, key).withColumn("lowered", F.lower("word")), "lowered", lang, frequent=frequent
-    )
+    """Per different text (two hashes): words whose stem differs from the lemma, and words in all."""
+    once = _spread(df, column).dropDuplicates(["__h1", "__h2", "pos"])
+    rows = with_stems(once.withColumn("lowered", F.lower("word")), "lowered", lang, frequent=frequent)
     if lemmas is not None:
         own = lemmas.where(F.col("lang") == language_name(lang)) if "lang" in lemmas.columns else lemmas
         rows = with_lemmas(rows, "word", own)
     else:
         rows = rows.withColumn("lemma", F.col("word"))
-    made = rows.groupBy(*[ref(c) for c in key]).agg(
+    return rows.groupBy("__h1", "__h2").agg(
         F.count_if(F.col("stem") != F.col("lemma")).alias("stem_diff"), F.count("*").alias("total_words")
     )
+
+
+def with_stem_lemma_counts(df: DataFrame, column: str, lemmas: DataFrame | None, lang: str, frequent: int = FREQUENT_WORDS) -> DataFrame:
+    """All columns and stem_diff, total_words of each row's text."""
     zero = F.lit(0).cast("bigint")
-    return df.select(*[ref(c) for c in key]).join(made, list(key), "left").withColumns(
-        {"stem_diff": F.coalesce("stem_diff", zero), "total_words": F.coalesce("total_words", zero)}
-    )
+    joined = _with_made(df, column, stem_lemma_counts(df, column, lemmas, lang, frequent))
+    return joined.withColumns({"stem_diff": F.coalesce("stem_diff", zero), "total_words": F.coalesce("total_words", zero)})
+
+
+def stem_lemma_difference(
+    df: DataFrame, column: str, key: Sequence[str], lemmas: DataFrame | None = None, lang: str = "english",
+    frequent: int = FREQUENT_WORDS,
+) -> DataFrame:
+    """Per row: words whose stem differs from the lemma, and words in all."""
+    keys = [ref(c) for c in check_columns(df, key)]
+    return with_stem_lemma_counts(df, column, lemmas, lang, frequent).select(*keys, "stem_diff", "total_words")
 
 
 def word_statistics(df: DataFrame, column: str, key: Sequence[str], top: int = 5) -> DataFrame:
-    """Per text: different words, mean word length and the most frequent words, ties by word."""
+    """Per row: different words, mean word length and the most frequent words, ties by word.
+
+    A text without words has 0 different words, no mean length and no frequent words.
+    """
     from ..functions.text import words
 
     keys = [ref(c) for c in check_columns(df, key)]
+    once = df.select(*text_hashes(df, column), F.posexplode(words(F.lower(ref(column)))).alias("pos", "word"))
     counted = (
-        df.select(*keys, F.explode(words(F.lower(ref(column)))).alias("word"))
-        .groupBy(*[ref(c) for c in key], "word")
-        .agg(F.count("*").alias("n"))
+        once.dropDuplicates(["__h1", "__h2", "pos"]).groupBy("__h1", "__h2", "word").agg(F.count("*").alias("n"))
     )
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "word")))
-    return counted.groupBy(*[ref(c) for c in key]).agg(
+    order = Window.partitionBy("__h1", "__h2").orderBy(F.col("n").desc(), "word")
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    first = F.sort_array(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "word"))))
+    made = ranked.groupBy("__h1", "__h2").agg(
         F.count("*").alias("unique_words"),
         (F.sum(F.length("word") * F.col("n")) / F.sum("n")).alias("avg_word_length"),
-        F.array_join(F.transform(F.slice(ranked, 1, top), lambda p: p["word"]), ", ").alias("frequent_words"),
+        F.array_join(F.transform(first, lambda p: p["word"]), ", ").alias("frequent_words"),
+    )
+    return _with_made(df, column, made).select(
+        *keys, F.coalesce("unique_words", F.lit(0).cast("bigint")).alias("unique_words"), "avg_word_length",
+        F.coalesce("frequent_words", F.lit("")).alias("frequent_words"),
     )

@@ -37,7 +37,7 @@ def s3(spark, folder):
     df = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     path = new_path(spark, "s3") + ".json"
     tables.write_table(df, path)
-    return tables.read_json(spark, path, schema=df.schema, lines=True)
+    return tables.read_json(spark, path, schema=df.schema)
 
 
 @query(
@@ -66,7 +66,7 @@ def s4_unnest(spark, folder):
     orders = table(spark, folder, "orders")
     orders.select("o_orderdate", F.array(entry(1), entry(-1)).alias("orders")).write.json(path)
     schema = "o_orderdate string, orders array<struct<o_custkey:bigint,o_orderkey:bigint,total:struct<price:double>>>"
-    return tables.unnest(tables.read_json(spark, path, schema=schema, lines=True))
+    return tables.unnest(tables.read_json(spark, path, schema=schema))
 
 
 @query("s5_read_parquet", "select p_partkey, p_name, p_retailprice from part")
@@ -106,7 +106,7 @@ def s8(spark, folder):
     df = dirty_customer(spark, folder)
     path = new_path(spark, "s8")
     tables.write_table(df, path, "json")
-    return tables.read_json(spark, path, schema=df.schema, lines=True)
+    return tables.read_json(spark, path, schema=df.schema)
 
 
 @query("s9_write_parquet", DIRTY_CUSTOMER + "select * from dirty")
@@ -132,13 +132,13 @@ def s10(spark, folder):
     return tables.read_table(spark, path)
 
 
-@query("s11_read_documents", "select conv_id, turn, text from conversations where text <> ''")
+@query("s11_read_documents", "select conv_id, turn, text from conversations")
 def s11(spark, folder):
     # one file per conversation would be many files; a text file per turn of each role folder is read back whole
     df = table(spark, folder, "conversations")
     path = new_path(spark, "s11")
     marked = F.concat_ws("\u0001", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "text")
-    texts.write_text(df.where("text <> ''").select(F.concat(marked, F.lit("\u0002")).alias("line")), "line", path)
+    texts.write_text(df.select(F.concat(marked, F.lit("\u0002")).alias("line")), "line", path)
     whole = texts.read_documents(spark, path)
     pieces = whole.select(F.explode(F.split("text", "\u0002\n?")).alias("piece")).where("piece <> ''")
     parts = F.split("piece", "\u0001")

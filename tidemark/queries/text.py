@@ -489,8 +489,9 @@ def x13(spark, folder):
     f"""with w as (select doc_id, unnest({words_sql('lower(text)')}) as word from documents),
   c as (select doc_id, word, count(*) as n from w group by all),
   k as (select *, row_number() over (partition by doc_id order by n desc, word) as r from c)
-  select doc_id, count(*) as unique_words, round(sum(length(word) * n) / sum(n), 6) as avg_word_length,
-         string_agg(case when r <= 5 then word end, ', ' order by r) as frequent_words from k group by doc_id""",
+  select d.doc_id, count(word) as unique_words, round(sum(length(word) * n) / sum(n), 6) as avg_word_length,
+         coalesce(string_agg(case when r <= 5 then word end, ', ' order by r), '') as frequent_words
+  from documents d left join k on d.doc_id = k.doc_id group by d.doc_id""",
 )
 def x14(spark, folder):
     df = vocabulary.word_statistics(_documents(spark, folder), "text", ["doc_id"])

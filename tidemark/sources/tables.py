@@ -116,15 +116,15 @@ def unnest(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def read_json(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False, **options
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = True, **options
 ) -> DataFrame:
-    """JSON lines, or files that hold one list of objects or one object."""
+    """JSON lines, which can be split; with ``lines=False`` files that hold one list of objects or one object."""
     reader = spark.read.options(**options).option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_nested_json(spark: SparkSession, path: str, key: str | None = None, **options) -> DataFrame:
-    return unnest(read_json(spark, path, **options), key)
+def read_nested_json(spark: SparkSession, path: str, key: str | None = None, lines: bool = False, **options) -> DataFrame:
+    return unnest(read_json(spark, path, lines=lines, **options), key)
 
 
 def read_json_columns(spark: SparkSession, path: str, types: Mapping[str, str]) -> DataFrame:
