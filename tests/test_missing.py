@@ -112,3 +112,26 @@ def test_iterative_three_columns(spark):
     df = spark.createDataFrame(data, "i int, a double, b double, c double")
     got = iterative_fill(df, ["a", "b", "c"]).orderBy("i").toPandas()[["a", "b", "c"]].to_numpy()
     assert np.abs(got - full).max() < 0.05
+
+
+def test_iterative_ways_agree(spark, monkeypatch):
+    import random
+
+    from tidemark.operators import imputers
+
+    rng = random.Random(9)
+    cell = lambda: None if rng.random() < 0.3 else rng.gauss(0, 1)
+    data = [(i, *(cell() for _ in range(4)), None) for i in range(80)]
+    df = spark.createDataFrame(data, "i long, a double, b double, c double, d double, e double")
+    want = iterative_fill(df, list("abcde"), rounds=3).orderBy("i").toPandas().to_numpy(dtype=float)
+    monkeypatch.setattr(imputers, "MAX_PATTERNS", 1)
+    got = iterative_fill(df, list("abcde"), rounds=3)
+    assert got.columns == df.columns
+    assert got.orderBy("i").toPandas().to_numpy(dtype=float) == pytest.approx(want, abs=1e-8)
+
+
+def test_knn_with_one_hot_coordinate(spark):
+    data = [(1.0, float(i % 50)) for i in range(400)] + [(1.0, None), (2.0, 7.0), (2.0, None)]
+    got = knn_fill(spark.createDataFrame(data, "x double, y double"), k=3, leaf_points=16).collect()
+    values = [r["y"] for r in got]
+    assert sorted(values)[:3] == [0.0, 0.0, 0.0] and None not in values and len(values) == len(data)

@@ -87,6 +87,30 @@ def test_misspelled_values(spark):
     }
 
 
+def test_misspelled_values_equal_brute_force(spark):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    right = sorted({word(rng.randrange(1, 9)) for _ in range(30)})
+    values = [word(rng.randrange(0, 10)) for _ in range(150)]
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    got = quality.merge_misspelled(df, "c", spark.createDataFrame([(r,) for r in right], "r string"), 2, "fixed").collect()
+    assert len(got) == len(values)
+    for r in got:
+        best = min((edits(r["c"], v), v) for v in right)
+        assert r["fixed"] == (r["c"] if r["c"] in right or best[0] > 2 else best[1])
+
+
 def test_expectations(spark):
     df = spark.createDataFrame([(1, "a"), (50, "b"), (None, None)], "x int, s string")
     got = quality.check_expectations(

@@ -7,7 +7,7 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, numeric_columns, ref
@@ -15,7 +15,7 @@ from ..functions.lookup import lookup_join
 from ..functions.storage import settle
 from .neighbors import LEAF_POINTS, nearest
 
-MAX_PATTERNS = 4096
+MAX_PATTERNS = 4096  # combinations of missing cells that are summed apart; beyond, a regression is an aggregation
 
 
 def _as_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,6 +66,11 @@ def knn_fill(
             donors = distinct.where(F.col(target).isNotNull()).select(
                 "id", *coords, F.col(target).alias("v"), "n"
             )
+            # of donors with equal coordinates only the first k can ever be taken; the limit works
+            # before the shuffle too, so one coordinate may hold all rows
+            order = Window.partitionBy(*[f"x{j}" for j in range(len(others))]).orderBy("v", "id")
+            first = donors.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+            donors = settle(first, "donors")
             taken = nearest(asked, donors, len(others), k, total=len(names), leaf_points=leaf_points)
             found = taken.groupBy("id").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("near"))
         mean = F.lit(means[i]).cast("double")
@@ -118,6 +123,9 @@ def iterative_fill(
     if p < 2:
         means = _column_means(table, columns)
         return table.withColumns({c: F.coalesce(ref(c), F.lit(m).cast("double")) for c, m in zip(columns, means)})
+    patterns = table.groupBy(*[ref(c).isNull() for c in columns]).agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).count()
+    if patterns > MAX_PATTERNS or p > 62:
+        return _fill_by_rounds(table, columns, rounds, bayesian)
     bits = sum((ref(c).isNull().cast("bigint") * (1 << i) for i, c in enumerate(columns)), F.lit(0).cast("bigint"))
     # sums are taken around the means, which keeps the cross products accurate
     centers = [m if m is not None else 0.0 for m in _column_means(table, columns)]
@@ -125,18 +133,10 @@ def iterative_fill(
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(p)]
     products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
     grouped = table.groupBy(bits.alias("gaps")).agg(F.count("*").alias("n"), *sums, *products)
-    rows = grouped.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} combinations of missing cells; fill fewer columns together")
+    rows = grouped.collect()  # at most MAX_PATTERNS
     moments = {}
     for r in rows:
-        m = np.zeros((p + 1, p + 1))
-        m[0, 0] = r["n"]
-        for i in range(p):
-            m[0, i + 1] = m[i + 1, 0] = r[f"s{i}"]
-            for j in range(i, p):
-                m[i + 1, j + 1] = m[j + 1, i + 1] = r[f"p{i}_{j}"]
-        moments[r["gaps"]] = m
+        moments[r["gaps"]] = _moment_matrix(r, p)
     maps = _regress(moments, p, rounds, bayesian)
     if not maps:
         return table
@@ -155,6 +155,46 @@ def iterative_fill(
     return table.withColumns(out)
 
 
+def _fill_by_rounds(table: DataFrame, columns: Sequence[str], rounds: int, bayesian: bool) -> DataFrame:
+    """The same fill for tables with many combinations of missing cells: one aggregation per regression.
+
+    The current values are written after each round, which keeps plans short.
+    """
+    p = len(columns)
+    centers = [m if m is not None else 0.0 for m in _column_means(table, columns)]
+    names, lost = [f"__x{i}" for i in range(p)], [f"__lost{i}" for i in range(p)]
+    row = table.agg(*[F.count_if(ref(c).isNull()).alias(n) for c, n in zip(columns, lost)], F.count("*").alias("all")).first()
+    order = sorted((i for i in range(p) if row[lost[i]]), key=lambda i: row[lost[i]])
+    now = table.withColumns(
+        {n: F.coalesce(ref(c) - F.lit(m), F.lit(0.0)) for n, c, m in zip(names, columns, centers)}
+        | {n: ref(c).isNull() for n, c in zip(lost, columns)}
+    )
+    sums = [F.sum(n).alias(f"s{i}") for i, n in enumerate(names)]
+    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
+    for _ in range(rounds if order else 0):
+        now = settle(now, "round")
+        for i in order:
+            if row[lost[i]] == row["all"]:
+                continue
+            known = now.where(~F.col(lost[i])).agg(F.count("*").alias("n"), *sums, *products).first()
+            weights = _fit_line(_moment_matrix(known, p), i + 1, [j + 1 for j in range(p) if j != i], bayesian)
+            terms = [F.lit(float(weights[0]))] + [F.lit(float(weights[j + 1])) * F.col(names[j]) for j in range(p) if weights[j + 1] != 0]
+            now = now.withColumn(names[i], F.when(F.col(lost[i]), sum(terms[1:], terms[0])).otherwise(F.col(names[i])))
+    filled = {c: F.coalesce(ref(c), F.col(n) + F.lit(m)) for c, n, m in zip(columns, names, centers)}
+    return now.withColumns(filled).drop(*names, *lost)
+
+
+def _moment_matrix(row: Row, p: int) -> np.ndarray:
+    """Counts, sums and products as a symmetric matrix over [1, columns]."""
+    m = np.zeros((p + 1, p + 1))
+    m[0, 0] = row["n"]
+    for i in range(p):
+        m[0, i + 1] = m[i + 1, 0] = row[f"s{i}"]
+        for j in range(i, p):
+            m[i + 1, j + 1] = m[j + 1, i + 1] = row[f"p{i}_{j}"]
+    return m
+
+
 def _regress(moments: dict[int, np.ndarray], p: int, rounds: int, bayesian: bool) -> dict[int, np.ndarray]:
     """Affine map per pattern from [1, present cells (0 where missing)] to the filled row."""
     maps = {g: np.eye(p + 1) for g in moments}

@@ -15,11 +15,13 @@ and the distance uses the coordinates present on both sides, scaled up by the sh
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,11 +207,12 @@ def nearest(
     sample = points.where(picked).select(*xs) if share < 1 else points.select(*xs)
     trees = _fit_trees(sample.toPandas().to_numpy(dtype=float), SAMPLE_PER_LEAF if share < 1 else leaf_points)
 
-    shared_trees = spark.sparkContext.broadcast(trees)
+    shared_trees = _share(points, trees)
 
     def with_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = pickle.loads(shared_trees.value)
         for batch in batches:
-            yield batch.assign(leaf=_leaf_ids(batch[xs].to_numpy(dtype=float), shared_trees.value))
+            yield batch.assign(leaf=_leaf_ids(batch[xs].to_numpy(dtype=float), trees))
 
     coords = ", ".join(f"{x} double" for x in xs)
     placed = settle(
@@ -224,7 +227,7 @@ def nearest(
         .withColumn("piece", F.pmod(F.xxhash64(*xs, "v"), F.col("pieces")).cast("int"))
         .drop("pieces")
     )
-    shared_boxes = spark.sparkContext.broadcast(boxes)
+    shared_boxes = _share(points, boxes)
 
     def bound(near: np.ndarray, far: np.ndarray, weight: np.ndarray) -> np.ndarray:
         order = np.argsort(far, axis=1)
@@ -233,15 +236,15 @@ def nearest(
         first = np.where(enough.any(axis=1), enough.argmax(axis=1), reach.shape[1] - 1)
         return np.where(enough.any(axis=1), reach[np.arange(len(reach)), first], np.inf)
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, 2_000_000 // len(shared_boxes.value.ids))
+    def chunks(batches: Iterator[pd.DataFrame], known: _Boxes) -> Iterator[pd.DataFrame]:
+        step = max(1, 2_000_000 // len(known.ids))
         for batch in batches:
             for start in range(0, len(batch), step):
                 yield batch.iloc[start : start + step]
 
     def to_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared_boxes.value
-        for part in chunks(batches):
+        known = pickle.loads(shared_boxes.value)
+        for part in chunks(batches, known):
             near, far = known.bounds(part[xs].to_numpy(dtype=float))
             home = np.where(near == near.min(axis=1, keepdims=True), far, np.inf).argmin(axis=1)
             yield part.assign(
@@ -251,8 +254,8 @@ def nearest(
             )
 
     def to_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared_boxes.value
-        for part in chunks(batches):
+        known = pickle.loads(shared_boxes.value)
+        for part in chunks(batches, known):
             near, _ = known.bounds(part[xs].to_numpy(dtype=float))
             # a little slack keeps blocks whose bound differs by rounding only
             limit = part["reach"].to_numpy(dtype=float)[:, None] * (1 + 1e-9) + 1e-12
@@ -280,6 +283,11 @@ def nearest(
     return _take(first.unionByName(second), k, skip_self)
 
 
+def _share(df: DataFrame, value: object) -> Broadcast:
+    """Broadcast a value with the code of its classes, so that workers need not have this package."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 CANDIDATES = "id bigint, point bigint, distance double, v double, n bigint"
 
 

@@ -16,7 +16,6 @@ from .charts import equal_width_bin
 from .duplicates import drop_duplicates
 from .missing import drop_missing
 
-MAX_CANONICAL = 10_000
 
 
 def discretize(
@@ -91,29 +90,46 @@ def wrong_types(df: DataFrame, types: Mapping[str, str], examples: int = 3) -> D
     return totals.join(F.broadcast(first), ["column", "wanted"])
 
 
+def _pieces(text: Column, size: Column, distance: int, shifts: range) -> Column:
+    """Keys (length, piece number, piece) of a text for right values of ``size`` letters.
+
+    A right value is cut into ``distance + 1`` pieces.  So many edits leave one of them unchanged, and
+    move it by at most ``distance`` places.
+    """
+    out = []
+    for i in range(distance + 1):
+        start = F.floor(size * i / (distance + 1))
+        length = (F.floor(size * (i + 1) / (distance + 1)) - start).cast("int")
+        for shift in shifts:
+            at = (start + 1 + shift).cast("int")
+            key = F.struct(size.cast("int").alias("size"), F.lit(i).alias("i"), F.substring(text, at, length).alias("piece"))
+            out.append(F.when(at >= 1, key))
+    return F.array_compact(F.array(*out))
+
+
 def merge_misspelled(
-    df: DataFrame, column: str, canonical: Sequence[str], distance: int = 2, name: str | None = None
+    df: DataFrame, column: str, canonical: Sequence[str] | DataFrame, distance: int = 2, name: str | None = None
 ) -> DataFrame:
-    """Replace a value by the nearest of the given values within an edit distance; ties by value.
+    """Replace a value by the nearest of the right values within an edit distance; ties by value.
 
-    The given values are an argument, so their number is bounded; values that are right already are
-    found in a hash set, and only the others are compared.  Nothing is shuffled.
+    ``canonical`` is a list or a table of one column, of any size.  Each different value that is not right
+    is compared only with right values that share a piece with it (see ``_pieces``).
     """
-    values = sorted(set(canonical))
-    if not values or len(values) > MAX_CANONICAL:
-        raise ValueError(f"between 1 and {MAX_CANONICAL} right values are needed, got {len(values)}")
+    right = canonical if isinstance(canonical, DataFrame) else df.sparkSession.createDataFrame([(v,) for v in canonical], "v string")
+    right = settle(right.toDF("__v").where("__v is not null").distinct(), "right")
     x = ref(column).cast("string")
-    near = F.array_compact(
-        F.transform(
-            F.array(*[F.lit(v) for v in values]),
-            lambda v: F.when(
-                F.levenshtein(x, v, distance) >= 0,
-                F.struct(F.levenshtein(x, v, distance).alias("d"), v.alias("value")),
-            ),
-        )
-    )
-    fixed = F.when(x.isNull() | x.isin(values), x).otherwise(F.coalesce(F.array_min(near)["value"], x))
-    return df.withColumn(name or column, fixed)
+    wrong = df.select(x.alias("__x")).where("__x is not null").groupBy("__x").agg(F.count("*").alias("n")).select("__x")
+    wrong = settle(wrong.join(right, F.col("__x") == F.col("__v"), "left_anti"), "wrong")
+    sizes = [F.length("__x") + d for d in range(-distance, distance + 1)]
+    asked = F.array_distinct(F.flatten(F.array(*[_pieces(F.col("__x"), s, distance, range(-distance, distance + 1)) for s in sizes])))
+    asks = wrong.select("__x", F.explode(F.filter(asked, lambda k: k["size"] >= 0)).alias("__key"))
+    offers = right.select("__v", F.explode(_pieces(F.col("__v"), F.length("__v"), distance, range(1))).alias("__key"))
+    far = F.levenshtein("__x", "__v", distance)
+    near = asks.join(offers, "__key").withColumn("d", far).where("d >= 0").groupBy("__x").agg(F.min(F.struct("d", "__v"))["__v"].alias("__fixed"))
+    fixed = settle(near, "fixed").withColumnRenamed("__x", "__wrong")
+    joined = lookup_join(df.withColumn("__wrong", x), fixed, ["__wrong"])
+    out = joined.withColumn(name or column, F.coalesce("__fixed", x))
+    return out.select(*[ref(c) for c in df.columns], *([] if name is None or name in df.columns else [ref(name)]))
 
 
 def drop_incomplete_and_duplicates(df: DataFrame) -> DataFrame:

@@ -70,7 +70,14 @@ def auto_prepare(
     far = bool(numbers) and _value(outliers.has_iqr_outliers(data, numbers, exact=exact))
     kept = after
     if far:
-        data = settle(outliers.remove_outliers(data, outlier_method, numbers, exact=exact), "kept")
+        if outlier_method.lower() == "auto":
+            data, tried = outliers.compare_removals(data, numbers, exact=exact)
+            for r in tried.collect():  # one row per method
+                told = f"{r['method']}: skew score {r['skew_score']:.6g}" + (", chosen" if r["chosen"] else "")
+                lines.append(LogLine("compare_removals", told, after, r["rows_kept"], r["chosen"]))
+            data = settle(data, "kept")
+        else:
+            data = settle(outliers.remove_outliers(data, outlier_method, numbers, exact=exact), "kept")
         kept = data.count()
     lines.append(LogLine("remove_outliers", f"remove outliers by {outlier_method}", after, kept, bool(far)))
 

@@ -375,8 +375,8 @@ def g3(spark, folder):
 @query("g4_merge_misspelled", TYPO_PARTS + "select p_partkey, replace(p_type, '0', 'O') as p_type from typos")
 def g4(spark, folder):
     df = typo_parts(spark, folder)
-    common = [r["value"] for r in profile.top_values(df, ["p_type"], 100).where(~F.contains("value", F.lit("0"))).collect()]
-    return quality.merge_misspelled(df, "p_type", common, distance=2)
+    right = df.where(~F.contains("p_type", F.lit("0"))).select("p_type").distinct()
+    return quality.merge_misspelled(df, "p_type", right, distance=2)
 
 
 @query(
