@@ -123,14 +123,14 @@ def scan(files: DataFrame, path: Column, text: Column, keep: list[str]) -> DataF
     own = settle(detect(files, text), "licenses").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     names = fresh(files.select(*(col(c) for c in keep)), "path", "own_license", "cosine", "license", "inherited_from")
     key = text_key(body)
-    base = files.select(*(col(c) for c in keep), path.alias(names[0]), key[0].alias("_a"), key[1].alias("_b"))
+    base = files.select(F.struct(*(col(c) for c in keep)).alias("row"), path.alias("_path"), key[0].alias("_a"), key[1].alias("_b"))
     known = lookup(base, own, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")))
     known = known.select(
-        *(col(c) for c in keep), names[0], F.col("license").alias("_own"), F.col("cosine").alias("_cosine"),
-        F.regexp_replace(F.col(names[0]), "(?:^|/)[^/]*$", "").alias("_dir"),
+        "row", "_path", F.col("license").alias("_own"), F.col("cosine").alias("_cosine"),
+        F.regexp_replace("_path", "(?:^|/)[^/]*$", "").alias("_dir"),
     )
     known = settle(known, "files")
-    at = F.col(names[0])
+    at = F.col("_path")
     held = known.where(F.col("_own").isNotNull() & at.rlike(LICENCE_FILE))
     rank = F.struct((-F.col("_cosine")).alias("c"), at.alias("p"), F.col("_own").alias("l"))
     licensed = held.groupBy(F.col("_dir").alias("_home")).agg(F.min(rank)["l"].alias("_given"))
@@ -144,7 +144,7 @@ def scan(files: DataFrame, path: Column, text: Column, keep: list[str]) -> DataF
     out = lookup(known, nearest, F.col("_dir") == F.col("_of"))
     mine = F.col("_own").isNotNull()
     return out.select(
-        *(col(c) for c in keep), names[0], F.col("_own").alias(names[1]), F.col("_cosine").alias(names[2]),
+        "row.*", at.alias(names[0]), F.col("_own").alias(names[1]), F.col("_cosine").alias(names[2]),
         F.coalesce("_own", "_given").alias(names[3]), F.when(~mine, F.col("_from")).alias(names[4]),
     )
 

@@ -30,6 +30,7 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 CACHED_WORDS = 500_000
 CACHED_LENGTH = 64
+SPECIAL = "<|"  # how special tokens begin; they are told by their case and all their signs
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 _SHIFT = 40
 
@@ -46,12 +47,12 @@ def _plain(text: str) -> str:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return text.lower()
+    return text if SPECIAL in text else text.lower()
 
 
 def _parts(word: str) -> tuple[str, str]:
     """A word and the ASCII signs at its end; the vocabulary never joins a letter or digit with a sign."""
-    core = word.rstrip(SIGNS)
+    core = word if SPECIAL in word else word.rstrip(SIGNS)
     return (core, word[len(core) :]) if core and core[-1] <= "\u00ff" and core[-1].isalnum() else (word, "")
 
 

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, lookup, settle, table
+from .common import col, fresh, lookup, settle, table
 from .spans import matches, text_key
 
 SCOPE = 400
@@ -91,15 +91,19 @@ def linked(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """Kept columns and: base (array of spans), spans (base and added ones, in order)."""
+    """Kept columns and: base (array of spans), spans (base and added ones, in order).
+
+    A kept column of such a name stays, and the new one gets an underscore before its name.
+    """
     whole = F.coalesce(text, F.lit(""))
-    found = docs.select(*(col(c) for c in keep), *text_key(whole), *(c.alias(k) for k, c in find(whole).items()))
+    found = docs.select(F.struct(*(col(c) for c in keep)).alias("row"), *text_key(whole), *(c.alias(k) for k, c in find(whole).items()))
     found = settle(found, "secrets")
     added = settle(linked(found), "linked").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     out = lookup(found, added, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     base = F.array_sort(F.concat("assign", "access", "hex"))
     spans = F.array_sort(F.concat(base, F.coalesce(F.col("added"), F.array().cast(found.schema["pair"].dataType))))
-    return out.select(*(col(c) for c in keep), base.alias("base"), spans.alias("spans"))
+    base_name, spans_name = fresh(docs.select(*(col(c) for c in keep)), "base", "spans")
+    return out.select("row.*", base.alias(base_name), spans.alias(spans_name))
 
 
 def written(spans: Column) -> Column:
