@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import check_columns, numeric_columns, ref
 from ..functions.storage import settle
 
+MOST_LABELS = 1000  # different values of a target; they are known to the driver
+
 
 def split_by_key(df: DataFrame, key: Sequence[str], train_share: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a hash of the key: the same split for any partitioning of the table."""
@@ -66,6 +68,8 @@ def fit_target(
     features = numeric_columns(df, features)
     features = [c for c in features if c != target and c not in key]
     rows = settle(df.where(ref(target).isNotNull()).na.drop(subset=features), "train")
+    if rows.select(ref(target)).distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"{target} has more than {MOST_LABELS} values; bin or convert it first")
     fit_rows, hold_rows = split_by_key(rows, key, 0.8)
     measure = MulticlassClassificationEvaluator(
         labelCol="__label", predictionCol="__prediction", metricName="accuracy"
