@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from . import charlm
-from .common import annotate, col, lookup, settle, table, worker_cache
+from .common import annotate, col, fresh, lookup, settle, table, worker_cache
 
 HELD_OUT = 5
 SAMPLE = 100_000  # labelled rows
@@ -52,14 +52,22 @@ SEPARATORS = ".-_*~'`^,:;/ "
 COST_LOOKALIKE, COST_DROP, COST_DROP_SYMBOL, COST_REPEAT, COST_KEEP_REPEAT = 1.0, 0.7, 8.0, 0.3, 1.5
 
 WORD = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?![^\W_])")
 _SYMBOLS = re.escape("".join(LOOKALIKES))
 _APART = re.escape(SEPARATORS.replace(" ", ""))
-# a symbol inside a word, a letter three times, or single letters set apart
+# a symbol before a letter, a letter three times, or single letters set apart
 SUSPECT = re.compile(
-    rf"(?=[{_SYMBOLS}]*[^\W\d_])[^\W_{_SYMBOLS}]*[{_SYMBOLS}][\w{_SYMBOLS}]*[^\W\d_]|([^\W\d_])\1\1"
-    rf"|(?<![^\W\d_])[^\W\d_][{_APART}][^\W\d_][{_APART}][^\W\d_](?![^\W\d_])"
+    rf"[{_SYMBOLS}][^\W\d_]|([^\W\d_])\1\1|(?<![^\W\d_])[^\W\d_][{_APART}][^\W\d_][{_APART}][^\W\d_](?![^\W\d_])"
 )
+# what a text must have for any of these, in forms that are found fast
+_HINT = re.compile(rf"[{_SYMBOLS}][^\W\d_]|[{_APART}][^\W\d_][{_APART}]")
+_HINT_SPACED = re.compile(r" \S \S ")
+
+
+def _thrice(text: str) -> bool:
+    """Whether any letter stands three times in a row."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return bool(((x[2:] == x[1:-1]) & (x[2:] == x[:-2]) & (x[2:] > 64)).any()) if len(x) > 2 else False
 
 
 def count_grams(texts: DataFrame, text: str) -> np.ndarray:
@@ -109,7 +117,7 @@ def decode(observed: str, logs: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
-def restorer(logs: np.ndarray) -> Callable[[str], list[str]]:
+def restorer(logs: np.ndarray) -> Callable[[str], set[str]]:
     """A function from a text to its words, and the restored forms of disguised ones, in lower case."""
     cache, model = worker_cache(), zlib.crc32(logs.tobytes())
     if cache.get("restored_by") != model:
@@ -123,27 +131,31 @@ def restorer(logs: np.ndarray) -> Callable[[str], list[str]]:
             known[word] = decode(word, logs)
         return known[word]
 
-    def words(text: str) -> list[str]:
+    def words(text: str) -> set[str]:
         low = text.lower()
-        out = WORD.findall(low)
-        for m in SPACED.finditer(low):
-            out.append(restore(m.group().replace(" ", "")))
-        if SUSPECT.search(low):
-            for token in low.split():
+        out: set[str] = set()
+        for w in set(low.replace(".", " ").replace(",", " ").split()):
+            if w.isalpha():
+                out.add(w)
+            else:
+                out.update(WORD.findall(w))
+        if _HINT_SPACED.search(f" {low} "):
+            for m in SPACED.finditer(low):
+                out.add(restore(m.group().replace(" ", "")))
+        if _HINT.search(low) or _thrice(low):
+            for token in set(low.split()):
                 if SUSPECT.search(token):
-                    out.append(restore(token.strip(SEPARATORS + "\"?!()[]{}<>#%&")))
+                    out.add(restore(token.strip(SEPARATORS + "\"?!()[]{}<>#%&")))
         return out
 
     return words
 
 
-def beginnings(words: list[str]) -> set[str]:
+def beginnings(words: set[str]) -> set[str]:
     """Words, and their beginnings marked by a star."""
     out = set(words)
-    for w in tuple(out):
-        for n in BEGINNINGS:
-            if len(w) > n:
-                out.add(w[:n] + "*")
+    for n in BEGINNINGS:
+        out.update([b + "*" for b in {w[:n] for w in words if len(w) > n}])
     return out
 
 
@@ -271,27 +283,25 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
 
 
 def score(docs: DataFrame, text: Column, model: dict, keep: list[str], name: str = "score") -> DataFrame:
-    """Keep columns and add the score of the whole text."""
+    """Keep columns and add the score of the whole text (after an underscore, if a kept column has its name)."""
+    name = fresh(docs.select(*(col(c) for c in keep)), name)[0]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the alphabet and MOST_MARKERS
 
     def make():
         m = sent.value
         words = restorer(m["logs"])
-        whole = {k: w for k, w in m["markers"].items() if not k.endswith("*")}
-        parts = {k[:-1]: w for k, w in m["markers"].items() if k.endswith("*")}
+        whole = {k for k in m["markers"] if not k.endswith("*")}
+        parts = {k[:-1] for k in m["markers"] if k.endswith("*")}
         sizes = sorted({len(k) for k in parts})
 
         def work(columns):
             out = []
             for t in columns[0].to_pylist():
-                total, seen = m["constant"], set()
-                for w in set(words(t or "")):
-                    if w in whole:
-                        seen.add((w, whole[w]))
-                    for n in sizes:
-                        if len(w) > n and (b := w[:n]) in parts:
-                            seen.add((b + "*", parts[b]))
-                total += sum(sorted(v for _, v in seen))
+                there = words(t or "")
+                found = whole & there
+                for n in sizes:
+                    found.update(b + "*" for b in parts & {w[:n] for w in there if len(w) > n})
+                total = m["constant"] + sum(sorted(m["markers"][k] for k in found))
                 out.append(1 / (1 + np.exp(-min(max(total, -30.0), 30.0))))
             return [pa.array(out, pa.float64())]
 
