@@ -9,6 +9,7 @@ HIGH_VARIATION = "высокая вариативность"
 STRONG_SKEW = "сильная скошенность"
 EVEN = "равномерное распределение без выбросов"
 
+# Fixed values.
 ACTION_LABELS = {
     "remove_html": "Удалить HTML-теги",
     "remove_special_chars": "Удалить спецсимволы",
@@ -22,12 +23,14 @@ ACTION_LABELS = {
     "stem": "Применить стемминг",
 }
 
+# Fixed values.
 CLEANING = {
     "remove_html": "Текст содержит HTML-теги. Рекомендуется удаление",
     "remove_special_chars": "Текст содержит спецсимволы. Рекомендуется удаление",
     "handle_numbers": "Текст содержит цифры. Рекомендуется выбрать стратегию обработки",
 }
 
+# Fixed values.
 TASK_RULES = {
     "spelling": ("word_tokenize", "Точное исправление ошибок требует разбивки по словам"),
     "sentiment": ("sentence_tokenize", "Контекст предложения важен для тональности"),

@@ -1,4 +1,4 @@
-"""The numbers behind charts; every result is small whatever the table size."""
+"""The numbers behind charts.  Results are small whatever the table size, but ``line`` has a row per different x."""
 
 from __future__ import annotations
 
