@@ -9,10 +9,12 @@ compared.
 
 * Documents with equal sets are one class; everything below works on classes.
 * A token's classes, up to ``PAIRED``, are paired.  Beyond that pairs would grow with the square, so each
-  class is compared with the token's leader alone, the class with the fewest rare tokens.  A class that
-  is not linked with its leader is compared with all classes of the leader, in blocks of bounded size that
-  return a spanning forest of their links.  Two classes that are both linked with the leader are in
-  one component and need no comparison.  So no link between components is lost.
+  class is paired with the token's leader alone, the class with the fewest rare tokens.
+* Of the pairs that pass the filters, each class's most promising one is compared first, for ``ROUNDS``
+  rounds; then all pairs that are still between components.  A class that is after that in another
+  component than a leader of its is compared with all classes of that leader, in blocks of bounded size
+  that return a spanning forest of their links.  Pairs within a component need no comparison, so no link
+  between components is lost.
 * Components come from alternating stars.
 
 Defined results: a null or blank text has an empty set, which is linked with nothing; with fewer words
@@ -36,9 +38,11 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
-FREQUENT = 32  # a token of so many documents goes last
-MOST_FREQUENT = 1 << 18  # of these tokens, the most frequent ones
+FREQUENT = 8  # a token that was counted in so many documents goes last
+MOST_FREQUENT = 1 << 19  # of these tokens, the most frequent ones
+COUNTED = 8 << 20  # tokens that a task holds to count them
 PAIRED = 24
+ROUNDS = 3
 BLOCK = 256
 _SEEDS = tuple(np.uint64(x) for x in (0x8E51A37F4C2B9D61, 0x3F84D5B5B5470917, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _HIGH = np.uint64(1 << 63)
@@ -86,18 +90,29 @@ def _signed(x: np.ndarray) -> pa.Array:
 def frequent_tokens(docs: DataFrame, text: str, words: int, percent: int) -> np.ndarray:
     """Tokens of many documents, sorted.
 
-    Each slice of a task counts its documents' first tokens and reports those it has twice; a token of
-    more than one in a few hundred documents is always found.  A bounded number comes to the driver.
+    Each task counts the first tokens of its documents and reports those it has twice; a token that a
+    task has more than once on average is always found.  A bounded number comes to the driver.
     """
     schema = StructType().add("token", LongType()).add("n", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.zeros(0, np.uint64)]
+        size = 0
+
+        def report() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(seen), return_counts=True)
+            often = n > 1
+            return pa.RecordBatch.from_arrays([_signed(token[often]), pa.array(n[often])], schema.names)
+
         for batch in batches:
             for part in slices(batch):
                 sets = [s[: 2 * prefix_size(len(s), percent)] for s in token_sets(part.column(0), words) if len(s)]
-                token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-                often = n > 1
-                yield pa.RecordBatch.from_arrays([_signed(token[often]), pa.array(n[often])], schema.names)
+                seen += sets
+                size += sum(map(len, sets))
+                if size > COUNTED:
+                    yield report()
+                    seen, size = [np.zeros(0, np.uint64)], 0
+        yield report()
 
     counts = docs.select(col(text)).mapInArrow(run, schema).groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
@@ -144,51 +159,45 @@ def describe(docs: DataFrame, key: str, text: str, frequent: np.ndarray, words:
 
 
 def meet(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with the same token; of tokens with more than PAIRED classes (token, a, rare)."""
-    schema = StructType().add("token", LongType()).add("a", BinaryType()).add("b", BinaryType()).add("rare", IntegerType())
+    """Pairs (lead, class) of classes with the same token; of tokens with more than PAIRED classes (token, class, rare)."""
+    schema = StructType().add("token", LongType()).add("lead", BinaryType()).add("class", BinaryType()).add("rare", IntegerType())
     types = [pa.int64(), pa.binary(), pa.binary(), pa.int32()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(token, a, b, rare):
-            columns = [token, a, b, rare]
-            return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=False) for c, t in zip(columns, types, strict=True)], schema.names)
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
+
+    def pairs(classes: set[tuple[int, bytes]]) -> list[tuple]:
+        order = [c for _, c in sorted(classes)]
+        return [(None, a, b, None) for i, a in enumerate(order) for b in order[i + 1 :]]
 
-        last, open_, many = None, [], False  # the token that may go on in the next batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, here, many = None, set(), False  # the token that may go on in the next batch
         for batch in batches:
             token = batch.column(0).to_numpy()
-            edge = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]]) if len(token) else np.zeros(1, int)
+            if not len(token):
+                continue
+            edge = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             size = np.diff(edge)
+            out: set[tuple] = set()
             # only runs of two and more, and the first and last run, have anything to do
-            todo = np.unique(np.concatenate([np.flatnonzero(size > 1), [0, len(size) - 1]])) if len(size) else []
-            pairs: set[tuple[bytes, bytes]] = set()
-            rows: list[tuple] = []
-
-            def close():
-                if not many and len(open_) > 1:
-                    names = sorted({c for c, _ in open_})
-                    pairs.update((x, y) for i, x in enumerate(names) for y in names[i + 1 :])
-
-            for r in todo:
-                a, b = int(edge[r]), int(edge[r + 1])
+            for r in np.unique(np.concatenate([np.flatnonzero(size > 1), [0, len(size) - 1]])):
+                a, n = int(edge[r]), int(size[r])
                 if token[a] != last:
-                    close()
-                    last, open_, many = int(token[a]), [], False
-                mine = set(zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True))
-                open_ = list(mine.union(open_)) if not many else list(mine)
-                if many or len(open_) > PAIRED:
+                    if len(here) > 1 and not many:
+                        out.update(pairs(here))
+                    last, here, many = int(token[a]), set(), False
+                here.update(zip(batch.column(2).slice(a, n).to_pylist(), batch.column(1).slice(a, n).to_pylist(), strict=True))
+                if many or len(here) > PAIRED:
                     many = True
-                    rows += [(last, c, x) for c, x in open_]
-                    open_ = []
-                if len(rows) > 100_000 or len(pairs) > 100_000:
-                    yield out([x[0] for x in rows] + [None] * len(pairs), [x[1] for x in rows] + [p[0] for p in pairs],
-                              [None] * len(rows) + [p[1] for p in pairs], [x[2] for x in rows] + [None] * len(pairs))
-                    rows, pairs = [], set()
-            yield out([x[0] for x in rows] + [None] * len(pairs), [x[1] for x in rows] + [p[0] for p in pairs],
-                      [None] * len(rows) + [p[1] for p in pairs], [x[2] for x in rows] + [None] * len(pairs))
-        if not many and len(open_) > 1:
-            names = sorted({c for c, _ in open_})
-            rest = [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
-            yield out([None] * len(rest), [p[0] for p in rest], [p[1] for p in rest], [None] * len(rest))
+                    out.update((last, None, c, x) for x, c in here)
+                    here = set()
+                if len(out) > 50_000:
+                    yield batch_of(list(out))
+                    out = set()
+            yield batch_of(list(out))
+        if len(here) > 1 and not many:
+            yield batch_of(pairs(here))
 
     return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema)
 
@@ -204,7 +213,7 @@ def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
     def run(block: pa.Table) -> pa.Table:
         name, sets = block.column("class").to_pylist(), block.column("tokens").combine_chunks()
         sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
-        seeks, core = np.array(block.column("seeks").to_pylist(), bool), np.array(block.column("core").to_pylist(), bool)
+        seeks, part = np.array(block.column("seeks").to_pylist(), bool), block.column("part").to_pylist()
         tokens, at = sets.values.to_numpy(), sets.offsets.to_numpy()
         size = np.diff(at)
         owner = np.repeat(np.arange(len(size)), size)
@@ -231,12 +240,10 @@ def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
         out = []
         for i, j in zip(*np.nonzero(hit), strict=True):
-            u, v = name[s[i]], name[m[j]]
-            # all that are linked with the leader are one already
-            x, y = top(u), top(b"core" if core[m[j]] else v)
-            if u != v and x != y:
+            x, y = top(part[s[i]]), top(part[m[j]])  # what is one component already needs no link
+            if x != y:
                 root[x] = y
-                out.append((u, v))
+                out.append((name[s[i]], name[m[j]]))
         return pa.table([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["u", "v"])
 
     return rows.groupBy("lead", "i", "j").applyInArrow(run, schema)
@@ -252,38 +259,79 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
     early = F.slice("t1", F.lit(1), F.size("t1") - F.col("late"))
     tail = F.slice("t1", F.size("t1") - F.col("late") + 1, F.col("late"))
     met = settle(meet(one.select(F.explode(early).alias("token"), "class", "rare")), "met")
-    pairs = met.where(F.col("b").isNotNull()).select("a", "b").distinct()
-    hot = one.where("late > 0").select(F.explode(tail).alias("token"), F.col("class").alias("a"), "rare")
-    hot = hot.unionByName(met.where(F.col("b").isNull()).select("token", "a", "rare")).groupBy("token", "a").agg(F.min("rare").alias("rare"))
+    hot = one.where("late > 0").select(F.explode(tail).alias("token"), "class", "rare")
+    hot = hot.unionByName(met.where("lead is null").select("token", "class", "rare")).groupBy("token", "class").agg(F.min("rare").alias("rare"))
     hot = settle(hot, "hot")
-    leaders = hot.groupBy(F.col("token").alias("_t")).agg(F.min(F.struct("rare", "a"))["a"].alias("lead"), F.count(F.lit(1)).alias("c"))
-    leaders = settle(leaders.where("c > 1").drop("c"), "leaders")
-    stars = lookup(hot, leaders, F.col("token") == F.col("_t"), "inner").where(F.col("a") != F.col("lead"))
-    stars = settle(stars.select("lead", F.col("a").alias("class")).distinct(), "stars")
-    candidates = pairs.unionByName(stars.select(F.col("lead").alias("a"), F.col("class").alias("b")))
-    candidates = settle(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-
-    def classes(frame: DataFrame, *names: str) -> DataFrame:
-        return settle(frame.select(F.explode(F.array(*names)).alias("_class")).distinct(), "classes")
-
-    wanted = classes(candidates, "a", "b")
-    known = lookup(one.select("class", "id", "n", "t2", "t3"), wanted, F.col("class") == F.col("_class"), "inner").drop("_class")
+    leaders = hot.groupBy(F.col("token").alias("_t")).agg(F.min(F.struct("rare", "class")).alias("lead"), F.count(F.lit(1)).alias("c"))
+    leaders = settle(leaders.where("c > 1").select("_t", F.col("lead.class").alias("lead")), "leaders")
+    stars = lookup(hot, leaders, F.col("token") == F.col("_t"), "inner").where(F.col("class") != F.col("lead"))
+    stars = settle(stars.select("lead", "class").distinct(), "stars")
+    candidates = settle(met.where("lead is not null").select("lead", "class").unionByName(stars).distinct(), "candidates")
+    wanted = settle(candidates.select(F.explode(F.array("lead", "class")).alias("_class")).distinct(), "classes")
+    known = lookup(one.select("class", "id", "n", "t2", "t3"), wanted, F.col("class") == F.col("_class"), "inner")
     known = settle(known.groupBy("class").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "t2", "t3"))), "known")
-
     def both(frame: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            mine = right.select(F.col("class").alias(f"_{side}"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
-            frame = frame.join(mine.hint("merge"), F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
+        for side in ("lead", "class"):
+            mine = right.select(F.col("class").alias("_class"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+            frame = frame.join(mine.hint("merge"), F.col(side) == F.col("_class")).drop("_class")
         return frame
 
+    # prefixes under the second and third order must meet; how much they do tells how promising a pair is
     near = both(candidates, known, "n", "t2", "t3")
-    fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    near = near.where(fits & F.arrays_overlap("a_t2", "b_t2") & F.arrays_overlap("a_t3", "b_t3"))
-    near = settle(near.select("a", "b"), "near")
-    # the sets of classes that are still compared, made anew from their texts; residues need theirs too
-    residues = stars.select(F.least("lead", "class").alias("a"), F.greatest("lead", "class").alias("b"), "lead", "class")
-    needed = lookup(known.select("class", "id"), classes(near.unionByName(residues.select("a", "b")), "a", "b"), F.col("class") == F.col("_class"), "inner")
-    needed = settle(needed.select(F.col("class").alias("_class"), F.col("id").alias("_id")), "needed")
+    fits = 100 * F.least("lead_n", "class_n") >= percent * F.greatest("lead_n", "class_n")
+    near = near.where(fits & F.arrays_overlap("lead_t2", "class_t2") & F.arrays_overlap("lead_t3", "class_t3"))
+    common = (F.size(F.array_intersect("lead_t2", "class_t2")) + F.size(F.array_intersect("lead_t3", "class_t3"))) / F.greatest("lead_n", "class_n")
+    near = settle(near.select("lead", "class", common.alias("common")), "near")
+    # sets are made anew for the classes that are compared; those of a leader may be compared with all others of it
+    compared = near.select("lead", "class").unionByName(stars).select(F.explode(F.array("lead", "class")).alias("_class")).distinct()
+    made = _sets_of(docs, key, text, lookup(known.select("class", "id"), settle(compared, "compared"), F.col("class") == F.col("_class"), "inner"), words)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """u, v: the pairs that are links; only sets that are compared move."""
+        pairs = settle(pairs.select("lead", "class"), "pairs")
+        ids = settle(pairs.select(F.explode(F.array("lead", "class")).alias("_class")).distinct(), "ids")
+        mine = lookup(made, ids, F.col("class") == F.col("_class"), "inner").drop("_class")
+        inter = F.size(F.array_intersect("lead_tokens", "class_tokens"))
+        same = both(pairs, mine, "tokens").where(_similar(inter, F.size("lead_tokens"), F.size("class_tokens"), percent))
+        return settle(same.select(F.col("lead").alias("u"), F.col("class").alias("v")), "links")
+
+    def apart(found: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The pairs with the components of both classes."""
+        root = settle(components(found), "roots")
+        for side in ("lead", "class"):
+            mine = root.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+            pairs = lookup(pairs, mine, F.col(side) == F.col("_node")).withColumn(f"{side}_part", F.coalesce("_root", side)).drop("_node", "_root")
+        return settle(pairs, "parts")
+
+    found = None
+    left = near
+    for _ in range(ROUNDS):
+        best = settle(left.groupBy("class").agg(F.max(F.struct("common", "lead"))["lead"].alias("lead")), "best")
+        more = verified(best)
+        found = more if found is None else settle(found.unionByName(more), "links")
+        tried = best.select(F.col("class").alias("_c"), F.col("lead").alias("_l"))
+        rest = lookup(left, tried, (F.col("class") == F.col("_c")) & (F.col("lead") == F.col("_l")), "left_anti")
+        left = apart(found, rest.select("lead", "class", "common")).where("lead_part <> class_part").select("lead", "class", "common")
+    found = settle(found.unionByName(verified(left)), "links")
+    group = apart(found, stars)
+    open_ = F.col("lead_part") != F.col("class_part")
+    count = group.groupBy(F.col("lead").alias("_lead")).agg(F.count(F.lit(1)).alias("all"), F.sum(open_.cast("int")).alias("left"))
+    count = settle(count.where("`left` > 0 and `all` > 1"), "counts")
+    group = lookup(group, count, F.col("lead") == F.col("_lead"), "inner").withColumnsRenamed({"class": "name", "class_part": "part"})
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    spot = lambda c: F.pmod(F.xxhash64("name"), parts(c)).cast("int")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    columns = ["lead", "name", "part"]
+    seekers = group.where("lead_part <> part").select(*columns, F.lit(True).alias("seeks"), spot("left").alias("i"), numbers("all").alias("j"))
+    others = group.select(*columns, F.lit(False).alias("seeks"), spot("all").alias("j"), numbers("left").alias("i"))
+    blocks = seekers.unionByName(others).join(made.hint("merge"), F.col("name") == F.col("class"))
+    rest = compare_blocks(blocks.select("lead", "i", "j", "class", "part", "seeks", "tokens"), percent)
+    return found.unionByName(rest)
+
+
+def _sets_of(docs: DataFrame, key: str, text: str, known: DataFrame, words: int) -> DataFrame:
+    """class, tokens: the whole sets of some classes, made anew from their texts."""
+    needed = settle(known.select(F.col("class").alias("_class"), F.col("id").alias("_id")), "needed")
     source = docs.select(col(key).alias("id"), col(text).alias("text"))
     texts = lookup(source, needed, F.col("id").eqNullSafe(F.col("_id")), "inner")
     added = StructType().add("class", BinaryType()).add("tokens", ArrayType(LongType()))
@@ -297,26 +345,7 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
 
     made = annotate(texts, {"text": F.col("text")}, added, make, ["_class"]).where(F.col("class") == F.col("_class"))
     made = settle(made.select("class", "tokens"), "tokens")
-    made = made if not _repeated(made) else settle(made.groupBy("class").agg(F.first("tokens").alias("tokens")), "tokens")
-    inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    verified = both(near, made, "tokens").where(_similar(inter, F.size("a_tokens"), F.size("b_tokens"), percent))
-    verified = settle(verified.select("a", "b"), "links")
-    # classes that are not linked with their leader against all classes of the leader
-    done = verified.withColumn("core", F.lit(True)).withColumnsRenamed({"a": "_x", "b": "_y"})
-    group = lookup(residues, done, (F.col("a") == F.col("_x")) & (F.col("b") == F.col("_y")))
-    group = settle(group.select("lead", "class", F.coalesce("core", F.lit(False)).alias("core")), "groups")
-    count = group.groupBy(F.col("lead").alias("_lead")).agg(F.count(F.lit(1)).alias("all"), F.sum((~F.col("core")).cast("int")).alias("left"))
-    count = settle(count.where("`left` > 0 and `all` > 1"), "counts")
-    group = lookup(group, count, F.col("lead") == F.col("_lead"), "inner")
-    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    spot = lambda c: F.pmod(F.xxhash64("class"), parts(c)).cast("int")
-    numbers = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
-    seekers = group.where("not core").select("lead", "class", "core", F.lit(True).alias("seeks"), spot("left").alias("i"), numbers("all").alias("j"))
-    others = group.select("lead", "class", "core", F.lit(False).alias("seeks"), spot("all").alias("j"), numbers("left").alias("i"))
-    blocks = seekers.unionByName(others).withColumnRenamed("class", "name")
-    blocks = blocks.join(made.hint("merge"), F.col("name") == F.col("class")).select("lead", "i", "j", "class", "core", "seeks", "tokens")
-    rest = compare_blocks(blocks, percent)
-    return verified.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(rest)
+    return made if not _repeated(made) else settle(made.groupBy("class").agg(F.first("tokens").alias("tokens")), "tokens")
 
 
 def _repeated(made: DataFrame) -> bool:
