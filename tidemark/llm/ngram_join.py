@@ -158,8 +158,8 @@ def describe(docs: DataFrame, key: str, text: str, frequent: np.ndarray, words:
     return settle(annotate(source, {"text": F.col("text")}, added, make, ["id"]), "sets")
 
 
-def meet(postings: DataFrame) -> DataFrame:
-    """Pairs (lead, class) of classes with the same token; of tokens with more than PAIRED classes (token, class, rare)."""
+def meet(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (lead, class) of classes with the same token, whose sizes allow a link; of tokens with more than PAIRED classes (token, class, rare)."""
     schema = StructType().add("token", LongType()).add("lead", BinaryType()).add("class", BinaryType()).add("rare", IntegerType())
     types = [pa.int64(), pa.binary(), pa.binary(), pa.int32()]
 
@@ -167,9 +167,12 @@ def meet(postings: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
 
-    def pairs(classes: set[tuple[int, bytes]]) -> list[tuple]:
-        order = [c for _, c in sorted(classes)]
-        return [(None, a, b, None) for i, a in enumerate(order) for b in order[i + 1 :]]
+    def pairs(classes: set[tuple[int, bytes, int]]) -> list[tuple]:
+        order = sorted(classes)
+        return [
+            (None, a, b, None) for i, (_, a, n) in enumerate(order) for _, b, m in order[i + 1 :]
+            if 100 * min(n, m) >= percent * max(n, m)
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, here, many = None, set(), False  # the token that may go on in the next batch
@@ -187,10 +190,10 @@ def meet(postings: DataFrame) -> DataFrame:
                     if len(here) > 1 and not many:
                         out.update(pairs(here))
                     last, here, many = int(token[a]), set(), False
-                here.update(zip(batch.column(2).slice(a, n).to_pylist(), batch.column(1).slice(a, n).to_pylist(), strict=True))
+                here.update(zip(*(batch.column(c).slice(a, n).to_pylist() for c in (2, 1, 3)), strict=True))
                 if many or len(here) > PAIRED:
                     many = True
-                    out.update((last, None, c, x) for x, c in here)
+                    out.update((last, None, c, x) for x, c, _ in here)
                     here = set()
                 if len(out) > 50_000:
                     yield batch_of(list(out))
@@ -258,7 +261,7 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
     one = one.where(F.col("c").isNull() | F.col("id").eqNullSafe(F.col("first"))).drop("_class", "c", "first")
     early = F.slice("t1", F.lit(1), F.size("t1") - F.col("late"))
     tail = F.slice("t1", F.size("t1") - F.col("late") + 1, F.col("late"))
-    met = settle(meet(one.select(F.explode(early).alias("token"), "class", "rare")), "met")
+    met = settle(meet(one.select(F.explode(early).alias("token"), "class", "rare", F.col("n").cast("int").alias("n")), percent), "met")
     hot = one.where("late > 0").select(F.explode(tail).alias("token"), "class", "rare")
     hot = hot.unionByName(met.where("lead is null").select("token", "class", "rare")).groupBy("token", "class").agg(F.min("rare").alias("rare"))
     hot = settle(hot, "hot")
