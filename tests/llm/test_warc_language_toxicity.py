@@ -103,6 +103,25 @@ def test_evidence_of_markup_and_host_decides_short_texts(spark, model):
     assert not any(got[i][1] for i in (103, 104, 105)) and out.count() == len(rows)
 
 
+def made_up(number, rows, rng):
+    """Own sample data: texts over words that only this language has."""
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(12)]
+    return [(f"l{number:02d}", " ".join(rng.choice(words) for _ in range(30))) for _ in range(rows)]
+
+
+def test_rare_and_many_languages_have_models(spark):
+    rng = random.Random(7)
+    rows = [r for i in range(40) for r in made_up(i, 3000 if i == 0 else 12, rng)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.fit(docs, "text", "lang", sample=50)
+    assert len(model[0]) == 40
+    none = F.lit(None).cast("string")
+    small = docs.where("lang <> 'l00'")
+    out, names = language_id.identify(small, F.col("text"), model, none, none, none)
+    right = [r["lang"] == r[names[0]] and r[names[2]] for r in out.collect()]
+    assert np.mean(right) > 0.95
+
+
 def test_identified_documents_keep_their_columns(spark, clash, kept):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     more = clash(docs.unionByName(docs.limit(1).withColumns({"text": F.lit(None).cast("string")})))

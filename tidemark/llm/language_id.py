@@ -6,8 +6,10 @@ declarations and suffixes and the host priors are counted over all rows by group
 row counts with its probabilities by text alone.  Priors are smoothed down a hierarchy (all rows,
 domain, host), and a row's own count is taken out of its host's.
 
-The trigram models are fitted on labelled rows, at most ``SAMPLE`` of them, drawn by hash; everything
-else covers all rows.  Whole texts are scored.
+The trigram models are fitted on labelled rows, about ``SAMPLE`` of each language at most, drawn by hash, so
+that a language's model does not depend on how frequent the others are.  Every language with ``LEAST_ROWS``
+labelled rows has a model.  Everything else covers all rows.  Whole texts are scored, ``BLOCK`` languages at
+a time.
 
 A row is rejected when no text is there to judge (no letter at all) or no language reaches
 ``CONFIDENCE``.  Defined results: a null text counts as empty; evidence that is missing (null or empty)
@@ -27,8 +29,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from . import charlm
 from .common import annotate, col, fresh, lookup, settle, table
 
-SAMPLE = 20_000  # labelled rows for the trigram models
-MOST_LANGUAGES = 32
+SAMPLE = 20_000  # labelled rows of each language for its trigram model
+BLOCK = 32  # languages whose tables are in a worker's memory at once
+PIECE = 1 << 14  # trigrams that are looked up at once
 LEAST_ROWS = 5  # labelled rows a language needs
 CONFIDENCE = 0.5
 TEMPER = 0.15  # neighbouring trigrams are not independent
@@ -38,42 +41,61 @@ DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 TAGS = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]+>|&[a-z#0-9]+;"
 
 
-def fit(rows: DataFrame, text: str, language: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and for each trigram (a row) its log probability in each language (a column)."""
+Model = tuple[list[str], list[np.ndarray]]
+
+
+def fit(rows: DataFrame, text: str, language: str, sample: int = SAMPLE) -> Model:
+    """Languages, and for each block of them the log probability of each trigram (a row) in each language (a column)."""
     good = rows.select(col(text).alias("text"), F.trim(col(language)).alias("lang")).where("text is not null and lang <> ''")
-    sizes = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
-    top = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in top)
+    sizes = settle(good.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS), "languages")
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not languages:
-        return [], np.zeros((charlm.GRAMS, 0), np.float32)
-    share = min(1.0, sample / sum(r["n"] for r in top))
-    drawn = good.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))))
+        return [], []
+    share = sizes.select(F.col("lang").alias("_lang"), (F.lit(float(sample)) / F.col("n") * (1 << 30)).alias("_share"))
+    spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    drawn = lookup(good, share, F.col("lang") == F.col("_lang"), "inner").where(spot < F.col("_share")).select("text", "lang")
     schema = StructType().add("lang", StringType()).add("gram", IntegerType()).add("n", LongType())
 
     def count(batches):
         total = {}
+
+        def report():
+            for lang, mine in total.items():
+                at = np.flatnonzero(mine)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(mine[at])], schema.names
+                )
+            total.clear()
+
         for batch in batches:
             for t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lang not in total and len(total) >= BLOCK:
+                    yield from report()
                 mine = total.setdefault(lang, np.zeros(charlm.GRAMS, np.int64))
                 mine += np.bincount(charlm.grams(t), minlength=charlm.GRAMS)
-        for lang, mine in total.items():
-            at = np.flatnonzero(mine)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(mine[at])], schema.names
-            )
+        yield from report()
 
-    counts = np.zeros((len(languages), charlm.GRAMS))
     # bounded: one row per language and trigram that occurs
-    found = drawn.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    at = np.array([languages.index(x) for x in found.column("lang").to_pylist()], np.int64)
-    counts[at, found.column("gram").to_numpy().astype(np.int64)] = found.column("n").to_numpy()
-    return languages, np.stack([charlm.log_probabilities(c) for c in counts], axis=1)
+    found = settle(drawn.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
+    blocks = []
+    for a in range(0, len(languages), BLOCK):
+        names = languages[a : a + BLOCK]
+        counts = np.zeros((len(names), charlm.GRAMS))
+        part = found.where(F.col("lang").isin(names)).toArrow()
+        at = np.array([names.index(x) for x in part.column("lang").to_pylist()], np.int64)
+        counts[at, part.column("gram").to_numpy().astype(np.int64)] = part.column("n").to_numpy()
+        blocks.append(np.stack([charlm.log_probabilities(c) for c in counts], axis=1))
+    return languages, blocks
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
 def _softmax(scores: Column) -> Column:
-    """Of an array of logarithms."""
-    shifted = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
+    """Of an array of logarithms.  What is the same for all entries is worked out once, not in the lambda."""
+    shifted = F.zip_with(scores, F.array_repeat(F.array_max(scores), F.size(scores)), lambda x, top: F.exp(x - top))
+    return F.zip_with(shifted, F.array_repeat(_total(shifted), F.size(scores)), lambda x, n: x / n)
 
 
 def _sums(prefix: str, n: int) -> list[Column]:
@@ -85,32 +107,34 @@ def _array(n: int) -> Column:
 
 
 def identify(
-    rows: DataFrame, text: Column, model: tuple[list[str], np.ndarray], declared: Column, suffix: Column, host: Column,
+    rows: DataFrame, text: Column, model: Model, declared: Column, suffix: Column, host: Column,
     keep: list[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Keep columns and add: language, its probability, and accepted.  Returns also the added names."""
     spark = rows.sparkSession
     keep = rows.columns if keep is None else keep
     names = fresh(rows, "language", "probability", "accepted")
-    languages, table_ = model
+    languages, blocks = model
     k = len(languages)
     if not k:
         none = [F.lit(None).cast("string"), F.lit(0.0), F.lit(False)]
         return rows.select(*(col(c) for c in keep), *(x.alias(n) for n, x in zip(names, none, strict=True))), names
-    sent = spark.sparkContext.broadcast(table_)  # bounded: trigrams x MOST_LANGUAGES floats
+    sent = [spark.sparkContext.broadcast(b) for b in blocks]  # bounded each: trigrams x BLOCK floats
     score, letters, d, s, h, domain = fresh(rows.select(*(col(c) for c in keep)), "_score", "_letters", "_declared", "_suffix", "_host", "_domain")
     added = StructType().add(score, ArrayType(DoubleType())).add(letters, LongType())
 
     def make():
-        logs = sent.value
-
         def work(columns):
-            scores, n = [], []
-            for t in columns[0].to_pylist():
-                g = charlm.grams(t or "")
-                scores.append((TEMPER * logs[g].sum(axis=0, dtype=np.float64)).tolist())
-                n.append(int(np.count_nonzero(charlm.codes(t or ""))))
-            return [pa.array(scores, pa.list_(pa.float64())), pa.array(n, pa.int64())]
+            texts = [t or "" for t in columns[0].to_pylist()]
+            grams = [charlm.grams(t) for t in texts]
+            scores = np.zeros((len(texts), k))
+            for i, block in enumerate(sent):
+                logs = block.value
+                for row, g in zip(scores[:, i * BLOCK : i * BLOCK + logs.shape[1]], grams, strict=True):
+                    for a in range(0, len(g), PIECE):
+                        row += TEMPER * logs[g[a : a + PIECE]].sum(axis=0, dtype=np.float64)
+            n = [int(np.count_nonzero(charlm.codes(t))) for t in texts]
+            return [pa.array(scores.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64())]
 
         return work
 
@@ -156,8 +180,8 @@ def identify(
 
     def smoothed(counts: Column, parent: Column) -> Column:
         c = F.coalesce(F.zip_with(counts, own, lambda x, y: F.greatest(x - y, F.lit(0.0))), zero)
-        n = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(c, parent, lambda x, p: (x + STRENGTH * p) / (n + STRENGTH))
+        mixed = F.zip_with(c, parent, lambda x, p: x + STRENGTH * p)
+        return F.zip_with(mixed, F.array_repeat(_total(c), k), lambda x, n: x / (n + STRENGTH))
 
     prior = fresh(out, "_prior", "_post")
     out = out.withColumn(prior[0], smoothed(F.col(extra[2]), base)).withColumn(prior[0], smoothed(F.col(extra[3]), F.col(prior[0])))
