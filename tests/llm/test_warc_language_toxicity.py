@@ -122,6 +122,26 @@ def test_rare_and_many_languages_have_models(spark):
     assert np.mean(right) > 0.95
 
 
+def test_other_scripts_are_told_apart_and_gibberish_is_rejected(spark):
+    rng = random.Random(5)
+    words = {
+        "ru": "это был большой дом и мы жили там все время пока они не ушли".split(),
+        "uk": "це був великий будинок і ми жили там весь час поки вони не пішли".split(),
+        "zh": "这 是 一个 很 大 的 房子 我们 在 那里 住 了 时间 他们 没有 走".split(),
+        "ja": "これ は とても 大きな 家 です 私たち が そこ に 住んで いた 時間".split(),
+        "pl": "to był duży dom i mieszkaliśmy tam cały czas aż oni nie odeszli".split(),
+    }
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(lang, text(lang, 30)) for lang in words for _ in range(12)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"), "text", "lang")
+    other = [("none", "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(200))), ("none", "ეს არის დიდი სახლი და ჩვენ იქ ვცხოვრობდით " * 3)]
+    docs = spark.createDataFrame([(lang, text(lang, 12)) for lang in words for _ in range(5)] + other, "lang string, text string")
+    none = F.lit(None).cast("string")
+    out, names = language_id.identify(docs, F.col("text"), model, none, none, none)
+    for r in out.collect():
+        assert r[names[2]] == (r["lang"] != "none") and r["lang"] in (r[names[0]], "none"), r
+
+
 def test_identified_documents_keep_their_columns(spark, clash, kept):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     more = clash(docs.unionByName(docs.limit(1).withColumns({"text": F.lit(None).cast("string")})))

@@ -11,8 +11,9 @@ that a language's model does not depend on how frequent the others are.  Every l
 labelled rows has a model.  Everything else covers all rows.  Whole texts are scored, ``BLOCK`` languages at
 a time.
 
-A row is rejected when no text is there to judge (no letter at all) or no language reaches
-``CONFIDENCE``.  Defined results: a null text counts as empty; evidence that is missing (null or empty)
+One more hypothesis is that the text is in none of the languages (``langmodel``); it has counts and priors
+like a language, but never names a row: the likeliest language does.  A row is rejected when no text is there
+to judge (no letter at all) or no language reaches ``CONFIDENCE``, be it for another one or for none.  Defined results: a null text counts as empty; evidence that is missing (null or empty)
 says nothing; where no row is labelled, all rows are rejected with a null language.
 """
 
@@ -26,12 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
-from . import charlm
+from . import langmodel
 from .common import annotate, col, fresh, lookup, settle, table
 
 SAMPLE = 20_000  # labelled rows of each language for its trigram model
 BLOCK = 32  # languages whose tables are in a worker's memory at once
-PIECE = 1 << 14  # trigrams that are looked up at once
+NONE = 0.05  # prior of the hypothesis that a text is in none of the languages
 LEAST_ROWS = 5  # labelled rows a language needs
 CONFIDENCE = 0.5
 TEMPER = 0.15  # neighbouring trigrams are not independent
@@ -41,16 +42,17 @@ DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 TAGS = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]+>|&[a-z#0-9]+;"
 
 
-Model = tuple[list[str], list[np.ndarray]]
+# languages; for each block of them and each language the places that occur and their counts; letters of none
+Model = tuple[list[str], list[list[tuple[np.ndarray, np.ndarray]]], np.ndarray]
 
 
 def fit(rows: DataFrame, text: str, language: str, sample: int = SAMPLE) -> Model:
-    """Languages, and for each block of them the log probability of each trigram (a row) in each language (a column)."""
+    """Counts of trigrams, bigrams and letters of each language."""
     good = rows.select(col(text).alias("text"), F.trim(col(language)).alias("lang")).where("text is not null and lang <> ''")
     sizes = settle(good.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS), "languages")
     languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not languages:
-        return [], []
+        return [], [], np.zeros(0)
     share = sizes.select(F.col("lang").alias("_lang"), (F.lit(float(sample)) / F.col("n") * (1 << 30)).alias("_share"))
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     drawn = lookup(good, share, F.col("lang") == F.col("_lang"), "inner").where(spot < F.col("_share")).select("text", "lang")
@@ -71,21 +73,22 @@ def fit(rows: DataFrame, text: str, language: str, sample: int = SAMPLE) -> Mode
             for t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if lang not in total and len(total) >= BLOCK:
                     yield from report()
-                mine = total.setdefault(lang, np.zeros(charlm.GRAMS, np.int64))
-                mine += np.bincount(charlm.grams(t), minlength=charlm.GRAMS)
+                if lang not in total:
+                    total[lang] = np.zeros(langmodel.SIZE, np.int64)
+                total[lang] += np.bincount(langmodel.counts(t), minlength=langmodel.SIZE)
         yield from report()
 
     # bounded: one row per language and trigram that occurs
     found = settle(drawn.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
-    blocks = []
+    blocks, letters = [], []
     for a in range(0, len(languages), BLOCK):
         names = languages[a : a + BLOCK]
-        counts = np.zeros((len(names), charlm.GRAMS))
         part = found.where(F.col("lang").isin(names)).toArrow()
-        at = np.array([names.index(x) for x in part.column("lang").to_pylist()], np.int64)
-        counts[at, part.column("gram").to_numpy().astype(np.int64)] = part.column("n").to_numpy()
-        blocks.append(np.stack([charlm.log_probabilities(c) for c in counts], axis=1))
-    return languages, blocks
+        owner = np.array([names.index(x) for x in part.column("lang").to_pylist()], np.int64)
+        place, n = part.column("gram").to_numpy(), part.column("n").to_numpy()
+        blocks.append([(place[owner == i], n[owner == i].astype(np.float32)) for i in range(len(names))])
+        letters += [langmodel.letters(*x) for x in blocks[-1]]
+    return languages, blocks, langmodel.pool(letters)
 
 
 def _total(xs: Column) -> Column:
@@ -114,27 +117,29 @@ def identify(
     spark = rows.sparkSession
     keep = rows.columns if keep is None else keep
     names = fresh(rows, "language", "probability", "accepted")
-    languages, blocks = model
-    k = len(languages)
-    if not k:
+    languages, blocks, pooled = model
+    k = len(languages) + 1  # the last one is none of them
+    if not languages:
         none = [F.lit(None).cast("string"), F.lit(0.0), F.lit(False)]
         return rows.select(*(col(c) for c in keep), *(x.alias(n) for n, x in zip(names, none, strict=True))), names
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]  # bounded each: trigrams x BLOCK floats
+    # the places that occur, some 100,000 a language; a worker lays out one block at a time
+    sent = [spark.sparkContext.broadcast(b) for b in blocks]
     score, letters, d, s, h, domain = fresh(rows.select(*(col(c) for c in keep)), "_score", "_letters", "_declared", "_suffix", "_host", "_domain")
     added = StructType().add(score, ArrayType(DoubleType())).add(letters, LongType())
 
     def make():
+        only = langmodel.Block(sent[0].value) if len(sent) == 1 else None
+
         def work(columns):
-            texts = [t or "" for t in columns[0].to_pylist()]
-            grams = [charlm.grams(t) for t in texts]
+            texts = [langmodel.codes(t or "") for t in columns[0].to_pylist()]
             scores = np.zeros((len(texts), k))
-            for i, block in enumerate(sent):
-                logs = block.value
-                for row, g in zip(scores[:, i * BLOCK : i * BLOCK + logs.shape[1]], grams, strict=True):
-                    for a in range(0, len(g), PIECE):
-                        row += TEMPER * logs[g[a : a + PIECE]].sum(axis=0, dtype=np.float64)
-            n = [int(np.count_nonzero(charlm.codes(t))) for t in texts]
-            return [pa.array(scores.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64())]
+            for i, part in enumerate(sent):
+                block = only or langmodel.Block(part.value)
+                for row, (c, _) in zip(scores[:, i * BLOCK : i * BLOCK + block.size], texts, strict=True):
+                    row += TEMPER * block.score(c)
+            for row, (c, _) in zip(scores, texts, strict=True):
+                row[-1] = TEMPER * langmodel.score_none(c, pooled) + np.log(NONE)
+            return [pa.array(scores.tolist(), pa.list_(pa.float64())), pa.array([n for _, n in texts], pa.int64())]
 
         return work
 
@@ -190,9 +195,9 @@ def identify(
     for p in parts[1:]:
         fused = F.zip_with(fused, p, lambda x, y: x + y)
     out = out.withColumn(prior[1], _softmax(fused))
-    best = F.array_max(F.col(prior[1]))
-    place = F.array_position(F.col(prior[1]), best).cast("int") - 1
-    language = at(F.array(*(F.lit(x) for x in languages)), place)
+    named = F.slice(F.col(prior[1]), F.lit(1), F.lit(len(languages)))
+    best = F.array_max(named)
+    language = at(F.array(*(F.lit(x) for x in languages)), F.array_position(named, best).cast("int") - 1)
     results = [language, F.round(best, 6), (F.col(letters) > 0) & (best >= CONFIDENCE)]
     return out.select(*(col(c) for c in keep), *(x.alias(n) for n, x in zip(names, results, strict=True))), names
 
