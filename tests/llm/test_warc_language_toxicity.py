@@ -163,6 +163,18 @@ def test_noisy_channel_restores_words(spark):
     assert words("Plain words, here. And  more") == {"plain", "words", "here", "and", "more"} and words("") == set()
 
 
+def test_disguises_at_the_end_doubled_letters_and_spaced_words_are_read(spark):
+    texts = ["what a moron you are a stupid fool ass asshole jackass loser traitor i am an idiot it is a day"] * 30
+    logs = charlm.log_probabilities(toxicity.count_grams(spark.createDataFrame([(t,) for t in texts], "text string"), "text"))
+    words = toxicity.restorer(logs)
+    cases = {
+        "an a$$, he": "ass", "asshol3": "asshole", "jack@$$!": "jackass", "f00l": "fool", "lo5er": "loser", "stuupid": "stupid", "tra1+or": "traitor",
+        "what a m o r o n": "moron", "you are a s t u p i d fool": "stupid", "so i a m a n i d i o t": "idiot", "!diot": "idiot", "a m 0 r 0 n": "moron",
+    }
+    for text, word in cases.items():
+        assert word in words(text), (text, words(text))
+
+
 def labelled(n=600):
     rng = random.Random(3)
     vocabulary = [f"{a}{b}{c}" for a in ("ba", "de", "fi", "go") for b in ("la", "me", "ni", "ru") for c in ("s", "t", "n", "")]

@@ -2,7 +2,7 @@
 
 Disguised words (look-alike symbols, letters spaced or dotted apart, repeated letters) are read as the
 output of a noisy channel: a lattice has for each symbol the letters that it may stand for, or nothing
-for a separator or repeated letter.  The Viterbi path under a character trigram model, counted over all
+for a separator or repeated letter; a blank among letters set apart may also end a word.  The Viterbi path under a character trigram model, counted over all
 documents, restores the text.  Restored texts are scored by a logistic model on marker words and word
 beginnings, which are chosen on labelled rows: greedily, each next marker explains toxic rows that the
 markers before leave unexplained, so that copies and topics add no markers of their own.
@@ -50,24 +50,24 @@ LOOKALIKES = {
 }
 SEPARATORS = ".-_*~'`^,:;/ "
 COST_LOOKALIKE, COST_DROP, COST_DROP_SYMBOL, COST_REPEAT, COST_KEEP_REPEAT = 1.0, 0.7, 8.0, 0.3, 1.5
+COSTS_BREAK = (0.7, 2.5, 99.0)  # a run of single characters is read at each: trigrams alone seldom tell where words end
+LONE = 0.05  # share of a letter's words that are the letter alone, from which on it may be one
 
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?![^\W_])")
 _SYMBOLS = re.escape("".join(LOOKALIKES))
 _APART = re.escape(SEPARATORS.replace(" ", ""))
-# a symbol before a letter, a letter three times, or single letters set apart
+QUOTES = SEPARATORS + "\"?)[]{}<>#%&"  # around words; look-alikes among them may also be letters
+# a letter and a look-alike anywhere, a letter twice, or single letters set apart
 SUSPECT = re.compile(
-    rf"[{_SYMBOLS}][^\W\d_]|([^\W\d_])\1\1|(?<![^\W\d_])[^\W\d_][{_APART}][^\W\d_][{_APART}][^\W\d_](?![^\W\d_])"
+    rf"[^\W\d_].*[{_SYMBOLS}]|[{_SYMBOLS}].*[^\W\d_]|([^\W\d_])\1|(?<![^\W\d_])[^\W\d_][{_APART}][^\W\d_][{_APART}][^\W\d_](?![^\W\d_])",
+    re.DOTALL,
 )
-# what a text must have for any of these, in forms that are found fast
-_HINT = re.compile(rf"[{_SYMBOLS}][^\W\d_]|[{_APART}][^\W\d_][{_APART}]")
+# what a text must have for a run of single characters, in a form that is found fast
 _HINT_SPACED = re.compile(r" \S \S ")
-
-
-def _thrice(text: str) -> bool:
-    """Whether any letter stands three times in a row."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return bool(((x[2:] == x[1:-1]) & (x[2:] == x[:-2]) & (x[2:] > 64)).any()) if len(x) > 2 else False
+DOUBLED = re.compile(r"([^\W\d_])\1(?!\1)")
+LETTER = {c: i + 1 for i, c in enumerate(charlm.LETTERS)}
+LONGEST_KEPT = 64  # characters of a token whose forms are kept
 
 
 def count_grams(texts: DataFrame, text: str) -> np.ndarray:
@@ -89,20 +89,25 @@ def count_grams(texts: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-def decode(observed: str, logs: np.ndarray) -> str:
-    """The most likely word behind an observed one."""
-    index = {c: i + 1 for i, c in enumerate(charlm.LETTERS)}
+def decode(observed: str, logs: np.ndarray, price_break: float = COSTS_BREAK[0], doubles: bool = False) -> str:
+    """The most likely word behind an observed one; words, where blanks are observed.
+
+    With ``doubles`` a letter that stands twice is rather kept.
+    """
+    drop_repeat, keep_repeat = (COST_KEEP_REPEAT, 0.0) if doubles else (COST_REPEAT, COST_KEEP_REPEAT)
     best: dict[tuple[int, int], tuple[float, tuple]] = {(charlm.GAP, charlm.GAP): (0.0, ())}
     before = ""
     for c in observed.lower():
         options = [(x, COST_LOOKALIKE) for x in LOOKALIKES.get(c, "")]
         if c.isalpha():
-            options.append((c, COST_KEEP_REPEAT if c == before else 0.0))
-        drop = COST_REPEAT if c == before and c.isalpha() else COST_DROP if c in SEPARATORS else COST_DROP_SYMBOL if not c.isalpha() else None
+            options.append((c, keep_repeat if c == before else 0.0))
+        elif c == " ":
+            options.append((c, price_break))
+        drop = drop_repeat if c == before and c.isalpha() else COST_DROP if c in SEPARATORS else COST_DROP_SYMBOL if not c.isalpha() else None
         now: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, path) in best.items():
             for letter, price in options:
-                k = index.get(letter, charlm.OTHER)
+                k = charlm.GAP if letter == " " else LETTER.get(letter, charlm.OTHER)
                 total = cost + price - float(logs[(a * charlm.SIZE + b) * charlm.SIZE + k])
                 if total < now.get((b, k), (np.inf,))[0]:
                     now[b, k] = total, (path, letter)
@@ -122,30 +127,46 @@ def restorer(logs: np.ndarray) -> Callable[[str], set[str]]:
     cache, model = worker_cache(), zlib.crc32(logs.tobytes())
     if cache.get("restored_by") != model:
         cache["restored_by"], cache["restored"] = model, {}
-    known: dict[str, str] = cache["restored"]
-
-    def restore(word: str) -> str:
-        if word not in known:
-            if len(known) >= CACHE:
-                known.clear()
-            known[word] = decode(word, logs)
-        return known[word]
+    known: dict[str, tuple[str, ...]] = cache["restored"]
+
+    def forms(token: str) -> tuple[str, ...]:
+        """The words of a token, and what it may be a disguise of."""
+        out = WORD.findall(token)
+        bare = token.strip(QUOTES + "!(")
+        # a look-alike at the beginning may be a letter or a mark; at the end of a sentence '!' is a mark
+        for t in {bare, token.lstrip(QUOTES).rstrip(QUOTES + "!(")}:
+            if SUSPECT.search(t):
+                out.append(decode(t, logs))
+                if not t.isalpha() and DOUBLED.search(t):
+                    out.append(decode(t, logs, doubles=True))
+        return tuple(dict.fromkeys(out))
+
+    def readings(run: str) -> tuple[str, ...]:
+        """The words of a run of single characters."""
+        out = [w for price in COSTS_BREAK for w in decode(run, logs, price).split()]
+        first = LETTER.get(run[0])
+        if first and logs[(charlm.GAP * charlm.SIZE + first) * charlm.SIZE + charlm.GAP] > np.log(LONE):
+            out += [run[0], *(w for price in COSTS_BREAK for w in decode(run[2:], logs, price).split())]
+        return tuple(dict.fromkeys(out))
+
+    def kept(token: str, make: Callable[[str], tuple[str, ...]]) -> tuple[str, ...]:
+        there = known.get(token)
+        if there is None:
+            there = make(token)
+            if len(token) <= LONGEST_KEPT:
+                if len(known) >= CACHE:
+                    known.clear()
+                known[token] = there
+        return there
 
     def words(text: str) -> set[str]:
         low = text.lower()
         out: set[str] = set()
-        for w in set(low.replace(".", " ").replace(",", " ").split()):
-            if w.isalpha():
-                out.add(w)
-            else:
-                out.update(WORD.findall(w))
+        for token in set(low.split()):
+            out.update(kept(token, forms))
         if _HINT_SPACED.search(f" {low} "):
             for m in SPACED.finditer(low):
-                out.add(restore(m.group().replace(" ", "")))
-        if _HINT.search(low) or _thrice(low):
-            for token in set(low.split()):
-                if SUSPECT.search(token):
-                    out.add(restore(token.strip(SEPARATORS + "\"?!()[]{}<>#%&")))
+                out.update(kept(m.group(), readings))
         return out
 
     return words
