@@ -123,6 +123,26 @@ def test_licenses_and_inheritance(spark, clash, kept):
     assert licenses.scan(files.limit(0), F.col("where_"), F.col("text"), ["doc_id"]).count() == 0
 
 
+def wrapped(text, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, 72))
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    rest = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+    as_is = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'
+    mit = licenses.TEMPLATES["MIT"][-1]
+    rows = [
+        ("m/LICENSE", "Copyright (c) 2020 Some One\n\n" + "\n\n".join(map(wrapped, (mit, rest, as_is)))), ("m/src/a.txt", "nothing here"),
+        ("n/LICENSE", "\n".join(map(wrapped, ("Copyright (c) 2020 Some One", mit, rest, as_is)))), ("n/a.txt", None),
+        ("g/x.c", wrapped(licenses.TEMPLATES["GPL-3.0"][-1], " * ") + "\n\nint main;"), ("a/x.py", wrapped(licenses.TEMPLATES["Apache-2.0"][-1], "# ")),
+    ] + [(f"p/{i}", f"plain words of the text and more of the same to the end {i}") for i in range(40)]
+    files = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, where_ string, text string")
+    got = licenses.scan(files, F.col("where_"), F.col("text"), ["doc_id"]).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == ["MIT", "MIT", "MIT", "MIT", "GPL-3.0", "Apache-2.0"] + [None] * 40
+
+
 @pytest.mark.parametrize("name", ["MIT", "GPL-2.0", "CC-BY-SA-4.0"])
 def test_cosine_equals_brute_force(spark, name):
     import math

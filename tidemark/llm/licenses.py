@@ -1,9 +1,11 @@
 """License scans by sparse TF-IDF cosine, with inheritance along paths; DataFrame functions alone.
 
-Every sentence or line of a text that has a signal word is compared with license templates: terms weigh
-their count times the logarithm of how few documents have them (counted over all documents; terms that
-no template has count as the rarest), and the cosine is summed by joining the sentence's terms with the
-templates' sparse vectors.  A file whose best cosine reaches ``LEAST`` has that license itself.  Any other
+Every line, sentence (over line ends) and paragraph of a text is compared with license templates, which are
+short notices and the headers of licenses: terms weigh their count times the logarithm of how few documents
+have them (counted over all documents; terms that no template has count as the rarest), and the
+cosine is summed by joining the sentence's terms with the
+templates' sparse vectors.  Units are left out before that only if they cannot reach ``LEAST``: the terms that a
+unit shares with a template must have ``LEAST`` squared of the template's squared weight.  A file whose best cosine reaches ``LEAST`` has that license itself.  Any other
 file takes that of the nearest licence file among its directory and the directories above: the
 directories are joined with those that hold a licence file, and the deepest wins.
 
@@ -14,7 +16,9 @@ first path; a null path has no directory and inherits nothing; repeated rows get
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +27,10 @@ from .common import col, fresh, lookup, settle, table
 from .spans import text_key
 
 LEAST = 0.6
-SIGNAL = r"(?i)licen[sc]|copyright|copying|spdx|public domain|redistribut|without warranty|free software|\bgpl|creative commons|\bcc[ -](?:by|0)"
+SIGNAL = r"(?i)licen[sc]|copyright|copying|spdx|public domain|redistribut|without warranty|free software|\bgpl|creative commons|\bcc[ -](?:by|0)"  # of most notices; excludes nothing
+MARGIN = 1e-4  # of sums, and of the rounding of cosines
+PARAGRAPH = r"\n[\t\r ]*\n\s*"
+SENTENCE = r"\n[\t\r ]*\n\s*|(?<=[.!?;])\s+(?=\S)"
 BREAK = r"\n+|(?<=[.!?;])\s+(?=\S)"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 # Common forms of license notices, by SPDX name.
@@ -31,27 +38,40 @@ TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "MIT": [
         "Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
-    "ISC": ["Licensed under the ISC License."],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -87,9 +107,46 @@ def weights(docs: DataFrame, text: Column, vocabulary: DataFrame) -> tuple[DataF
 
 
 
+def reach(vectors: DataFrame) -> Callable[[Column], Column]:
+    """Whether a unit (or text) may reach ``LEAST``: a quick test of rare terms, then all templates.
+
+    A cosine is at most the root of what the shared terms have of the template's squared weights.
+    """
+    by: dict[str, list[tuple[float, str]]] = {}
+    for r in vectors.collect():  # bounded by TEMPLATES
+        by.setdefault(r["template"], []).append((r["tw"] ** 2, r["term"]))
+    need = LEAST**2 - MARGIN
+    rare, shares = set(), {}
+    for number, (_, pairs) in enumerate(sorted(by.items())):
+        left = 1.0
+        for share, term in sorted(pairs, reverse=True):
+            shares.setdefault(term, []).append({"t": number, "w": share})
+            if left >= need:  # without these terms the others are not enough
+                rare.add(term)
+                left -= share
+    table_ = F.from_json(F.lit(json.dumps(shares)), "map<string,array<struct<t:int,w:double>>>")
+    known, few = (F.array(*(F.lit(t) for t in sorted(x))) for x in (shares, rare))
+
+    def best(words: Column) -> Column:
+        pairs = F.array_sort(F.flatten(F.transform(F.array_intersect(words, known), lambda t: F.element_at(table_, t))))
+        start = F.struct(F.lit(-1).alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("b"))
+
+        def add(a: Column, p: Column) -> Column:
+            total = F.when(p["t"] == a["t"], a["s"] + p["w"]).otherwise(p["w"])
+            return F.struct(p["t"].alias("t"), total.alias("s"), F.greatest(a["b"], total).alias("b"))
+
+        return F.aggregate(pairs, start, add)["b"]
+
+    quick = lambda text: F.arrays_overlap(terms(text), few)
+    return lambda text: F.when(quick(text), best(terms(text)) >= need).otherwise(F.lit(False))
+
+
+def units(body: Column) -> Column:
+    return F.array_distinct(F.concat(F.split(body, BREAK, -1), F.split(body, SENTENCE, -1), F.split(body, PARAGRAPH, -1)))
+
 
 def detect(docs: DataFrame, text: Column) -> DataFrame:
-    """k1, k2, license, cosine of each different text with a license; the best sentence decides."""
+    """k1, k2, license, cosine of each different text with a license; the best unit decides."""
     spark = docs.sparkSession
     body = F.coalesce(text, F.lit(""))
     vocabulary = settle(template_terms(spark), "templates")
@@ -97,10 +154,12 @@ def detect(docs: DataFrame, text: Column) -> DataFrame:
     vectors = vocabulary.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     vectors = settle(vectors.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("tw")), "vectors")
-    sentences = F.filter(F.split(body, BREAK, -1), lambda s: s.rlike(SIGNAL))
-    signal = docs.where(body.rlike(SIGNAL)).select(*text_key(body), sentences.alias("s")).groupBy("k1", "k2").agg(F.first("s").alias("s"))
+    may = reach(vectors)
+    # a text has all terms of its units: one that cannot reach it as a whole has no such unit
+    signal = docs.where(may(body)).select(*text_key(body), F.filter(units(body), may).alias("s"))
+    signal = signal.where(F.size("s") > 0).groupBy("k1", "k2").agg(F.first("s").alias("s"))
     # a sentence is told by its text: each different one is compared once
-    places = settle(signal.select("k1", "k2", F.explode(F.array_distinct("s")).alias("sentence")), "sentences")
+    places = settle(signal.select("k1", "k2", F.explode("s").alias("sentence")), "sentences")
     lines = places.select(F.xxhash64("sentence").alias("line"), "sentence").groupBy("line").agg(F.first("sentence").alias("sentence"))
     words = lines.select("line", F.explode(terms(F.col("sentence"))).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
     words = lookup(words, idf.withColumnRenamed("term", "_term"), F.col("term") == F.col("_term"))
