@@ -89,6 +89,18 @@ def test_keep_one_keeps_columns_and_repeated_ids(spark, clash, kept):
     kept(docs, got)
 
 
+def test_keep_one_decides_by_row(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    clean = "a text that is like no other one in this small table of rows at all"
+    other = " ".join(reversed(near.split()))
+    third = " ".join(sorted(near.split()))
+    rows = [(3, near), (7, near + " more"), (7, clean), (5, other), (5, other + " end"), (None, third), (None, third + " x"), (None, third), (None, None), (None, "")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    assert (3, near) in kept and (7, clean) in kept and (None, None) in kept and (None, "") in kept
+    assert sum(i == 5 for i, _ in kept) == 1 and sum(bool(t) and t.startswith(third) for _, t in kept) == 1 and len(kept) == 6
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     names = [f"n{i:03d}" for i in range(60)]

@@ -35,6 +35,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from . import wordcodes
 from .common import annotate, col, fresh, lookup, settle, slices, table
 from .components import components
+from .spans import text_key
 
 WORDS = 4
 PERCENT = 85
@@ -374,21 +375,32 @@ def join(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int
 
 
 def keep_one(docs: DataFrame, key: str, text: str, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, of each component that with the smallest id; all columns.
+    """One document of each component; all columns.
 
-    Rows with the same id and text are one document.  Rows without an id stay.
+    Rows are told by id and text together, so that rows that share an id are judged one by one: of a component
+    the row with the smallest id stays (of equal ids that with the smallest hash of its text), and of its rows
+    without an id one stays too.  Rows with the same id and text are one document, and so are rows without an
+    id that have the same text, if it has words.
     """
-    found = settle(join(docs, key, text, words, percent), "components")
-    other = found.where("id is not null and component is not null and id <> component").select(F.col("id").alias("_id")).distinct()
-    gone = fresh(docs, "_gone")[0]
-    out = lookup(docs, settle(other.withColumnRenamed("_id", gone), "gone"), col(key) == col(gone), "left_anti")
-    twice = found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(gone))
+    row, gone = fresh(docs, "_row", "_gone")
+    names = ("a", "b")
+    code = [c.alias(n) for c, n in zip(text_key(F.coalesce(col(text), F.lit(""))), names, strict=True)]
+    # ids before no ids; an order among rows, and the same for copies
+    numbered = docs.withColumn(row, F.struct(col(key).isNull().alias("none"), col(key).alias("id"), *code))
+    found = settle(join(numbered.select(col(row), col(text)), row, text, words, percent), "components")
+    nameless = found.where("id.none and component is not null and n > 0").groupBy("component").agg(F.min("id").alias("_first"))
+    nameless = settle(nameless.withColumnRenamed("component", "_component"), "nameless")
+    other = found.where("not id.none and id <> component").select("id")
+    rest = lookup(found.where("id.none and n > 0"), nameless, F.col("component") == F.col("_component"), "inner")
+    other = settle(other.unionByName(rest.where(F.col("id") != F.col("_first")).select("id")).distinct().withColumnRenamed("id", gone), "gone")
+    out = lookup(numbered, other, col(row) == col(gone), "left_anti")
+    twice = found.where("not id.none or n > 0").groupBy("id").count().where("count > 1").select(F.col("id").alias(gone))
     twice = settle(twice, "twice")
     if twice.isEmpty():
-        return out
-    again = lookup(out, twice, col(key) == col(gone), "left_semi")
-    single = lookup(out, twice, col(key) == col(gone), "left_anti")
-    return single.unionByName(again.dropDuplicates([key, text]))
+        return out.drop(row)
+    again = lookup(out, twice, col(row) == col(gone), "left_semi")
+    single = lookup(out, twice, col(row) == col(gone), "left_anti")
+    return single.unionByName(again.dropDuplicates([row])).drop(row)
 
 
 def op2(spark: SparkSession, folder: str) -> DataFrame:
