@@ -49,6 +49,12 @@ def test_weak_parts_need_their_complement(spark):
         assert sorted(x.split(":")[0] for x in r["s"].split(",") if x) == cases[r["text"]], r["text"][:40]
 
 
+def test_a_part_inside_a_long_endpoint_is_in_scope(spark):
+    long = "https://a.b/" + "x" * 1500 + "?token=abcdefgh&" + "y" * 1500
+    (row,) = scanned(spark, [(1, long)])
+    assert [x.split(":")[0] for x in row["s"].split(",")] == ["endpoint", "assign"]
+
+
 def test_scan_keeps_clashing_columns(spark, clash, kept):
     docs = clash(spark.createDataFrame([(1, "token=abcdef"), (2, None)], DOCS))
     got = secrets.scan(docs, F.col("text"), docs.columns)

@@ -8,8 +8,8 @@ Weaker parts are reported only where their complement stands within ``SCOPE`` co
 * ``login``: an assigned user name, near an assignment.
 
 The interval join has no pairs of parts: the strong parts of each text and stretch of ``SCOPE`` are
-summed to their first start and last end, and a weak part looks at its own stretch and its two
-neighbours.  Texts that occur more than once are linked once.
+summed to their first start and last end in each stretch that they cover, and a weak part looks at all stretches that it
+covers and one more on either side.  Texts that occur more than once are linked once.
 
 Defined results: a null text is empty; spans of equal start are ordered as the kinds are listed here.
 """
@@ -73,11 +73,11 @@ def linked(found: DataFrame) -> DataFrame:
     once = settle(once, "parts")
     bin_ = lambda x: F.floor(x / SCOPE)
     anchors = once.select("k1", "k2", F.explode(F.concat(*strong)).alias("s"))
-    places = F.array_distinct(F.array(bin_(F.col("s.start")), bin_(F.col("s.end"))))
+    places = F.sequence(bin_(F.col("s.start")), bin_(F.col("s.end")))
     anchors = anchors.select("k1", "k2", "s", F.explode(places).alias("bin")).groupBy("k1", "k2", "bin", F.col("s.kind").alias("with"))
     anchors = anchors.agg(F.min("s.start").alias("first"), F.max("s.end").alias("last"))
     parts = once.select("k1", "k2", F.explode(F.concat(*weak)).alias("w"))
-    near = F.array_distinct(F.flatten(F.transform(F.array("w.start", "w.end"), lambda p: F.array(bin_(p) - 1, bin_(p), bin_(p) + 1))))
+    near = F.sequence(bin_(F.col("w.start")) - 1, bin_(F.col("w.end")) + 1)
     parts = parts.select("k1", "k2", "w", F.explode(near).alias("bin"))
     distance = lambda first, last: F.greatest(first - F.col("w.end"), F.col("w.start") - last, F.lit(0))
     fits = F.lit(False)
@@ -86,7 +86,7 @@ def linked(found: DataFrame) -> DataFrame:
     joined = parts.join(anchors, ["k1", "k2", "bin"]).where(fits)
     # parts of the same stretch are in scope; in a neighbouring one its nearest part decides
     inside = (distance(F.col("first"), F.col("first")) <= SCOPE) | (distance(F.col("last"), F.col("last")) <= SCOPE)
-    same = F.col("bin").isin(bin_(F.col("w.start")), bin_(F.col("w.end")))
+    same = F.col("bin").between(bin_(F.col("w.start")), bin_(F.col("w.end")))
     return joined.where(same | inside).groupBy("k1", "k2").agg(F.collect_set("w").alias("added"))
 
 
