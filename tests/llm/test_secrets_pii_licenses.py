@@ -90,6 +90,21 @@ def test_surrogates_keep_type_format_gender_and_coreference(spark):
     assert re.fullmatch(r"DE\d\d(?: \d{4}){4} \d\d", got[7]) and got[7] != "DE89 3704 0044 0532 0130 00"
 
 
+def test_mentions_of_a_person_in_one_text_agree(spark):
+    got = replaced(spark, [
+        (1, "Mr John Smith came. Mr Smith's car; John Smith and Smith, Mrs Smith, Dr. John Smith. Smithson."),
+        (2, "Dr Anna Meyer, later Frau Anna Meyer and Frau Meyer; Prof Meyer"), (3, "John Smith and Smith without titles"), (4, "Mr John Smith, Mr Paul Smith"),
+    ])
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+)'s car; (\w+ \w+) and (\w+), Mrs (\w+), Dr\. (\w+ \w+)\. Smithson\.", got[1])
+    assert m and m[2] == m[3] == m[5] != m[6] and m[4] == m[7] == f"{m[1]} {m[2]}" and m[1] in pii.GIVEN["m", "latin"]
+    assert "Smith" not in got[1].replace("Smithson", "") and "John" not in got[1]
+    m = re.fullmatch(r"Dr (\w+) (\w+), later Frau (\w+ \w+) and Frau (\w+); Prof (\w+)", got[2])
+    assert m and m[3] == f"{m[1]} {m[2]}" and m[2] == m[4] == m[5] and m[1] in pii.GIVEN["f", "latin"]
+    assert got[3] == "John Smith and Smith without titles"
+    one, two = re.fullmatch(r"Mr (\w+ \w+), Mr (\w+ \w+)", got[4]).groups()
+    assert one != two
+
+
 def test_collisions_are_resolved(spark):
     names = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(676)]  # as many as there are surrogates
     docs = [(i, f"{n}@x.com, {n}@x.com") for i, n in enumerate(names)] + [(1000, "again AA@x.com")]

@@ -6,6 +6,11 @@ in the same layout, card numbers keep a valid check digit, letters keep their ca
 keep the gender of their title.  A surrogate is a function of the key and the entity in a normal form,
 so all mentions of an entity get the same one, in whatever layout.
 
+Names of one text are joined by family name (the last word) where their genders agree: a mention without a
+given name is the first full name of that family, and one without a gender takes that of another mention.
+A family name alone gets the family name of its person's surrogate.  Full and family names that stand
+without a title are replaced too in a text that has them with one; given names alone are not.
+
 Collision checks keep entities distinct: over all texts, entities whose surrogate is that of another one,
 or is itself an entity of the corpus, get the next attempt, until all differ.  Entities keep attempt 0
 unless they lost; the table of losers is small and is joined to the texts that mention them.
@@ -61,6 +66,46 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(PROBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+_TITLE = rf"^(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
+_TAIL = r"(?:['’]\p{Ll}?|['’-])$"  # a possessive ending, or a mark, is no part of a name
+
+
+def bare_name(entity: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(entity, _TITLE, ""), _TAIL, "")
+
+
+def family(name: Column) -> Column:
+    return F.regexp_extract(name, r"(\S+)$", 1)
+
+
+def people(found: Column) -> Column:
+    """gender, name, family of the titled names among entities: each different one once, in order."""
+    item = lambda e: F.struct(_gender(e).alias("gender"), bare_name(e).alias("name"), family(bare_name(e)).alias("family"))
+    return F.array_distinct(F.transform(F.filter(found, lambda e: e.rlike(_TITLE)), item))
+
+
+def untitled(persons: Column) -> Column:
+    """A pattern of the names of people, with nothing that a pattern reads otherwise; null without people."""
+    names = F.array_distinct(F.concat(F.transform(persons, lambda p: p["name"]), F.transform(persons, lambda p: p["family"])))
+    names = F.reverse(F.array_sort(F.filter(names, lambda n: F.length(n) > 1)))  # a longer name before its beginning
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}@_])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}@_])"))
+    return F.when(F.size(names) > 0, pattern)
+
+
+def _agree(a: Column, b: Column) -> Column:
+    return (a == b) | (a == "n") | (b == "n")
+
+
+def resolved(entity: Column, persons: Column) -> Column:
+    """The normal form of a name in its text: gender and full name."""
+    name, gender = bare_name(entity), F.when(entity.rlike(_TITLE), _gender(entity)).otherwise("n")
+    fits = lambda p: _agree(p["gender"], gender) & p["name"].contains(" ") & (p["family"] == name)
+    whole = F.when(name.contains(" "), name).otherwise(F.coalesce(F.get(F.filter(persons, fits), F.lit(0))["name"], name))
+    titled = lambda names: F.get(F.filter(persons, lambda p: (p["gender"] != "n") & p["name"].isin(*names)), F.lit(0))["gender"]
+    known = F.when(gender != "n", gender).otherwise(F.coalesce(titled([whole]), titled([family(whole)]), F.lit("n")))
+    return F.concat(known, F.lit(":"), whole)
+
+
 def kind_of(entity: Column) -> Column:
     out = F.lit(KINDS[-1])
     for kind in reversed(KINDS[:-1]):
@@ -73,12 +118,11 @@ def _gender(entity: Column) -> Column:
     return F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("n")
 
 
-def normal(entity: Column, kind: Column) -> Column:
-    """The form in which mentions of an entity agree; a name's has the gender of its title."""
-    name = F.regexp_replace(entity, r"^\p{L}+\.? ", "")
+def normal(entity: Column, kind: Column, persons: Column) -> Column:
+    """The form in which mentions of an entity agree; a name's has the gender that titles give it in its text."""
     return (
         F.when(kind == "email", F.lower(entity))
-        .when(kind == "person", F.concat(_gender(entity), F.lit(":"), name))
+        .when(kind == "person", resolved(entity, persons))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind == "ip", entity)
         .when((kind == "phone") & entity.rlike(COUNTRY), F.concat(F.regexp_extract(entity, COUNTRY, 1), F.lit(":"), _digits(F.regexp_replace(entity, COUNTRY, ""))))
@@ -177,10 +221,12 @@ def rendered(entity: Column, kind: Column, replacement: Column) -> Column:
 
     chars = F.filter(F.split(entity, ""), lambda c: c != "")
     laid = F.aggregate(chars, start, put)["out"]
-    title = F.regexp_extract(entity, r"^(\p{L}+\.? )", 1)
+    full = F.substring(replacement, F.lit(3), F.length(replacement))
+    name = F.when(bare_name(entity).contains(" "), full).otherwise(family(full))
+    person = F.concat(F.regexp_extract(entity, _TITLE, 0), name, F.regexp_extract(entity, _TAIL, 0))
     return (
         F.when(kind.isin("email", "ip"), replacement)
-        .when(kind == "person", F.concat(title, F.substring(replacement, F.lit(3), F.length(replacement))))
+        .when(kind == "person", person)
         .otherwise(laid)
     )
 
@@ -215,14 +261,19 @@ def replace(docs: DataFrame, text: str, key: str = KEY) -> tuple[DataFrame, str]
     """
     t = col(text)
     item = lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind"))
-    full = lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), normal(s["entity"], s["kind"]).alias("norm"))
-    described = F.transform(F.transform(entities(F.coalesce(t, F.lit(""))), item), full)
-    names = F.transform(described, lambda s: F.struct(s["kind"].alias("kind"), s["norm"].alias("norm")))
-    seen = docs.select(*text_key(F.coalesce(t, F.lit(""))), F.explode(F.array_distinct(names)).alias("e"))
+    found, k1, k2, other, count, persons, pattern = fresh(docs, "_found", "_k1", "_k2", "_other", "entity_counts", "_persons", "_pattern")
+    full = lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), normal(s["entity"], s["kind"], F.col(persons)).alias("norm"))
+    whole = F.coalesce(t, F.lit(""))
+    # names that a text has with a title are searched in it without one
+    more = F.concat(F.lit(f"{PATTERN}|"), untitled(F.col(persons)))
+    prepared = docs.withColumn(found, entities(whole)).withColumn(persons, people(F.col(found))).withColumn(pattern, more)
+    again = F.when(F.col(pattern).isNotNull(), F.regexp_extract_all(whole, F.col(pattern), F.lit(0))).otherwise(F.col(found))
+    prepared = prepared.withColumn(found, again).withColumn(found, F.transform(F.transform(F.col(found), item), full)).drop(persons)
+    names = F.transform(F.col(found), lambda s: F.struct(s["kind"].alias("kind"), s["norm"].alias("norm")))
+    seen = prepared.select(*text_key(F.coalesce(t, F.lit(""))), F.explode(F.array_distinct(names)).alias("e"))
     seen = settle(seen.select("k1", "k2", "e.kind", "e.norm"), "mentions")
     special = settle(losers(seen.select("kind", "norm"), key), "losers")
-    found, k1, k2, other, count = fresh(docs, "_found", "_k1", "_k2", "_other", "entity_counts")
-    out = docs.withColumns({found: described})
+    out = prepared
     if special.isEmpty():
         out = out.withColumn(other, F.lit(None).cast("map<string,string>"))
     else:
@@ -236,7 +287,7 @@ def replace(docs: DataFrame, text: str, key: str = KEY) -> tuple[DataFrame, str]
         base = surrogate(s["norm"], s["kind"], F.lit(0), key)
         return rendered(s["entity"], s["kind"], F.coalesce(F.element_at(F.col(other), F.concat_ws(":", s["kind"], s["norm"])), base))
 
-    gaps = F.split(t, PATTERN, -1)
+    gaps = F.when(F.col(pattern).isNotNull(), F.split(t, F.col(pattern), -1)).otherwise(F.split(t, PATTERN, -1))
     put = F.zip_with(gaps, F.transform(F.col(found), one), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
     counts = F.array(*(F.size(F.filter(F.col(found), _is(k))).cast("long") for k in KINDS))
     text_out = F.when(F.size(found) > 0, F.array_join(put, "")).otherwise(t)
