@@ -65,7 +65,8 @@ SUSPECT = re.compile(
 )
 # what a text must have for a run of single characters, in a form that is found fast
 _HINT_SPACED = re.compile(r" \S \S ")
-DOUBLED = re.compile(r"([^\W\d_])\1(?!\1)")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+THRICE = re.compile(r"([^\W\d_])\1\1")
 LETTER = {c: i + 1 for i, c in enumerate(charlm.LETTERS)}
 LONGEST_KEPT = 64  # characters of a token whose forms are kept
 
@@ -129,15 +130,30 @@ def restorer(logs: np.ndarray) -> Callable[[str], set[str]]:
         cache["restored_by"], cache["restored"] = model, {}
     known: dict[str, tuple[str, ...]] = cache["restored"]
 
+    def single(m: re.Match) -> str:
+        """What decoding makes of a letter that stands twice among letters: the paths meet after the next letter."""
+        word, at, c = m.string, m.start(), LETTER.get(m.group(1), charlm.OTHER)
+        x = LETTER.get(word[at - 1], charlm.OTHER) if at else charlm.GAP
+        y = LETTER.get(word[at + 2], charlm.OTHER) if at + 2 < len(word) else charlm.GAP
+        first, second = (x * charlm.SIZE + c) * charlm.SIZE, (c * charlm.SIZE + c) * charlm.SIZE
+        kept_ = COST_KEEP_REPEAT - float(logs[first + c]) - float(logs[second + y])
+        return m.group() if kept_ < COST_REPEAT - float(logs[first + y]) else m.group(1)
+
+    def twice(word: str) -> tuple[str, ...]:
+        """What a word of letters alone, some of them doubled, may be a disguise of."""
+        return (decode(word, logs) if THRICE.search(word) else DOUBLED.sub(single, word),)
+
     def forms(token: str) -> tuple[str, ...]:
         """The words of a token, and what it may be a disguise of."""
         out = WORD.findall(token)
         bare = token.strip(QUOTES + "!(")
         # a look-alike at the beginning may be a letter or a mark; at the end of a sentence '!' is a mark
         for t in {bare, token.lstrip(QUOTES).rstrip(QUOTES + "!(")}:
-            if SUSPECT.search(t):
+            if t.isalpha():
+                out += twice(t) if DOUBLED.search(t) else ()
+            elif SUSPECT.search(t):
                 out.append(decode(t, logs))
-                if not t.isalpha() and DOUBLED.search(t):
+                if DOUBLED.search(t):
                     out.append(decode(t, logs, doubles=True))
         return tuple(dict.fromkeys(out))
 
@@ -163,7 +179,15 @@ def restorer(logs: np.ndarray) -> Callable[[str], set[str]]:
         low = text.lower()
         out: set[str] = set()
         for token in set(low.split()):
-            out.update(kept(token, forms))
+            if not token.isalpha():
+                word = token.strip(".,")
+                if not word.isalpha():
+                    out.update(kept(token, forms))
+                    continue
+                token = word
+            out.add(token)
+            if DOUBLED.search(token):
+                out.update(kept(token, twice))
         if _HINT_SPACED.search(f" {low} "):
             for m in SPACED.finditer(low):
                 out.update(kept(m.group(), readings))
