@@ -4,10 +4,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = Path(__file__).resolve().parent.parent
-sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
+TESTS = Path(__file__).resolve().parent
+sys.path[:0] = [str(TESTS.parent), str(TESTS.parent / "tools"), str(TESTS)]
 
-FOLDER = "/root/testdata/sf0.001"
+from helpers import FOLDER  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -30,8 +30,3 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def folder():
     return FOLDER
-
-
-def rows(df, *order):
-    """Rows as tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=repr) if not order else [tuple(r) for r in df.orderBy(*order).collect()]

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tidemark.operators import missing as m
 from tidemark.operators.imputers import iterative_fill, knn_fill

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tidemark.plans import diagnosis, prepare
 

@@ -2,6 +2,7 @@
 
 import pytest
 from compare import database, differences
+from helpers import FOLDER
 
 import __spark_entry__ as entry
 
@@ -9,9 +10,7 @@ SQL = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def con(request):
-    from conftest import FOLDER
-
+def con():
     return database(FOLDER)
 
 

@@ -1,7 +1,7 @@
 """Scaling, profiles, chart data, types and expectations."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels

@@ -1,9 +1,11 @@
 """The shared folder in which intermediate tables are kept.
 
 The folder comes from ``spark.checkpoint.dir``; where the session sets none, it is a folder in the
-warehouse, which executors share too.  A written table survives the loss of executors and cuts the
-lineage; unlike a checkpoint it is columnar, so later passes read only the columns they use.  Tables
-stay as long as results may be read from them; ``clear`` removes those of a session.
+warehouse, unless executors run on other machines and the warehouse lies on each machine's own disk: that
+is refused.  Paths have their scheme, so that readers other than Spark find the same file system.
+A written table survives the loss of executors and cuts the lineage; unlike a checkpoint it is columnar,
+so later passes read only the columns they use.  Tables stay as long as results may be read from them;
+``clear`` removes those of a session.
 """
 
 from __future__ import annotations
@@ -14,10 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    named = bool(folder)
+    if not named:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidemark"
-    return folder.rstrip("/")
+    path = context._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if not named and whole.startswith("file:") and not _one_machine(context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is a local folder")
+    return whole
+
+
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 def new_path(spark: SparkSession, label: str = "part") -> str:
