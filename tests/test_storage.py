@@ -1,39 +1,33 @@
 """The folder of intermediate tables: shared by all executors, with its scheme."""
 
-import subprocess
-import sys
-from pathlib import Path
+from types import SimpleNamespace
 
-from tidemark.functions import storage
+import pytest
 
-ROOT = Path(__file__).resolve().parent.parent
-CODE = """
-import sys
-sys.path.insert(0, {root!r})
-from pyspark.sql import SparkSession
 from tidemark.functions import storage
-spark = (SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false")
-         .config("spark.driver.host", "127.0.0.1").getOrCreate())
-try:
-    storage.new_path(spark)
-except RuntimeError as e:
-    print("refused:", e)
-spark.conf.set("spark.checkpoint.dir", "/tmp/shared")
-print(storage.new_path(spark))
-spark.stop()
-"""
+
+
+def as_if(spark, master, **settings):
+    """The session with another master and other settings."""
+    context = spark.sparkContext
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default=None: settings.get(name.replace(".", "_"), default)),
+        sparkContext=SimpleNamespace(master=master, _jvm=context._jvm, _jsc=context._jsc, getCheckpointDir=lambda: None),
+    )
 
 
 def test_paths_have_a_scheme(spark):
     assert storage.new_path(spark).startswith("file:/")
 
 
-def test_own_disks_are_refused_as_shared_folder(tmp_path):
-    done = subprocess.run([sys.executable, "-c", CODE.format(root=str(ROOT))], cwd=tmp_path, capture_output=True, text=True, timeout=300)
-    assert "refused: set spark.checkpoint.dir" in done.stdout, done.stderr
-    assert "file:/tmp/shared/tidemark-" in done.stdout
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"])
+def test_own_disks_are_refused_as_shared_folder(spark, master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(as_if(spark, master, spark_sql_warehouse_dir="/tmp/warehouse"))
+    named = as_if(spark, master, spark_sql_warehouse_dir="/tmp/warehouse", spark_checkpoint_dir="/tmp/shared/")
+    assert storage.shared_dir(named) == "file:/tmp/shared"
 
 
-def test_one_machine():
-    assert storage._one_machine("local[8]") and storage._one_machine("local")
-    assert not storage._one_machine("local-cluster[1,1,1024]") and not storage._one_machine("yarn")
+@pytest.mark.parametrize("master", ["local", "local[8]", "local[*]"])
+def test_one_machine_may_use_its_warehouse(spark, master):
+    assert storage.shared_dir(as_if(spark, master, spark_sql_warehouse_dir="/tmp/warehouse")) == "file:/tmp/warehouse/_tidemark"
