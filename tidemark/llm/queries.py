@@ -1,6 +1,6 @@
 """The registered queries of this folder, with SQL where SQL can say the same."""
 
-from . import decontamination, language_id, licenses, ngram_join, packing, pii, secrets, toxicity, vector_search, warc
+from . import alignment, decontamination, language_id, licenses, ngram_join, packing, pii, secrets, toxicity, vector_search, warc
 
 QUERIES = {
     "op1_decontaminate": (decontamination.op1, decontamination.SQL),
@@ -13,4 +13,5 @@ QUERIES = {
     "op8_license_scan": (licenses.op8, None),
     "op9_exact_top_k": (vector_search.op9, vector_search.SQL),
     "op10_pii_surrogates": (pii.op10, None),
+    "op11_token_alignment": (alignment.op11, None),
 }
