@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from .atoms import Atoms, group_sizes, group_text, public_paths, split
+from .atoms import Atoms, group_sizes, group_texts, public_paths, ragged, split
 from .common import col, settle, slices, table
 
 CHUNK_BYTES = 64 << 10
 FAN = 16
-COUNTED = 4 << 20  # pairs that a task holds before it reports them
+COUNTED = 1 << 20  # pairs that a task holds before it reports them
 FREQUENT = 1 << 20  # pairs whose counts are sent to all tasks
 EXPANDED = 4096  # pairs of a group that are written out one by one
+SLICE_BYTES = 2 << 20
 
 # The start of an atom in bytes: a blank behind a sign that is no blank of any kind.
 _CUT = re.compile(
@@ -68,12 +69,6 @@ def unpacked(column: pa.Array, kind: str = "<u4") -> tuple[np.ndarray, np.ndarra
     return data.view(kind).astype(np.int64), (offsets - offsets[0]) // size
 
 
-def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (count[0] of them), start[1], ..."""
-    before = np.cumsum(count) - count
-    return np.arange(int(count.sum())) + np.repeat(start - before, count)
-
-
 def from_zero(count: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
 
@@ -85,24 +80,15 @@ def _align_texts(atoms: Atoms, texts: pa.Array) -> list[pa.Array]:
     """ids_a, ids_b, sizes_a, sizes_b, groups_sha256 of texts."""
     flat, count = split(texts)
     names = flat.dictionary_encode()
-    code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    found = atoms.look_up(names.dictionary.to_pylist())
+    code = atoms.look_up(names.dictionary.to_pylist())[names.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
     owner = np.repeat(np.arange(len(count)), count)
-    broken = np.array([not x.whole for x in found], bool)
     bad = np.zeros(len(count), bool)
-    bad[owner[broken[code]] if len(code) else owner] = True
+    bad[owner[atoms.broken[code]]] = True
     code, count = code[~bad[owner]], np.where(bad, 0, count)
     first = from_zero(count)
-    out = []
-    for field in ("a", "b", "sizes_a", "sizes_b"):
-        parts = [getattr(x, field) for x in found]
-        size = np.array(list(map(len, parts)), np.int64)
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        rows = from_zero(size[code])[first]
-        out.append(packed(values[ragged((np.cumsum(size) - size)[code], size[code])], rows))
-    text = [x.text for x in found]
+    out = [packed(atoms.gather(f, code), from_zero(atoms.count(f, code))[first]) for f in ("a", "b", "sizes_a", "sizes_b")]
     bounds, codes = first.tolist(), code.tolist()
-    groups = (";".join(map(text.__getitem__, codes[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    groups = (";".join(map(atoms.text.__getitem__, codes[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
     return [*out, pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())]
 
 
@@ -169,11 +155,14 @@ def closed(x: Fragment) -> tuple[bytes, bytes, bytes, bytes]:
 
 def fragment(atoms: Atoms, data: bytes, low: int, high: int) -> Fragment:
     """The fragment of the tokens that end in data[low:high]; ``data`` is a run of whole atoms, each with its blank."""
-    found = atoms.look_up([x.decode() for x in _split_bytes(data)])
-    if not all(x.whole for x in found):
+    names = [x.decode() for x in _split_bytes(data)]
+    kinds, at = np.unique(np.array(names, object), return_inverse=True) if names else ([], np.zeros(0, np.int64))
+    code = atoms.look_up(list(kinds))[at]
+    if atoms.broken[code].any():
         return Fragment(whole=False)
     ids, ends = [], []
-    for own, length in ((np.concatenate([x.a for x in found]), atoms.pair.length_a), (np.concatenate([x.b for x in found]), atoms.pair.length_b)):
+    for field, length in (("a", atoms.pair.length_a), ("b", atoms.pair.length_b)):
+        own = atoms.gather(field, code)
         end = np.cumsum(length[own])
         mine = (end > low) & (end <= high)
         ids.append(own[mine])
@@ -248,7 +237,7 @@ def _align_long(docs: DataFrame, schema: StructType, paths: tuple[str, str], chu
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         atoms = Atoms(*paths)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 rows = zip(*(part.column(k).to_pylist() for k in ("low", "high", "data")), strict=True)
                 yield _fragment_rows([fragment(atoms, data, low, high) for low, high, data in rows], part)
 
@@ -268,11 +257,11 @@ def _align_long(docs: DataFrame, schema: StructType, paths: tuple[str, str], chu
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 whole = [closed(Fragment(**{k: r[k] for k in FIELDS})) for r in part.select(FIELDS).to_pylist()]
                 digest = []
                 for x in whole:
-                    groups = group_text(*(np.frombuffer(v, "<u4") for v in x))
+                    groups = ";".join(group_texts(*(np.frombuffer(v, "<u4") for v in x)))
                     digest.append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
                 columns = [pa.array([x[k] for x in whole], pa.binary()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), *columns, pa.array(digest, pa.string())], schema.names)
@@ -296,7 +285,7 @@ def align(docs: DataFrame, key: str, text: str, paths: tuple[str, str] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         atoms = Atoms(*paths)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *_align_texts(atoms, part.column(2))], schema.names)
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), col(key).alias("key"), col(text).alias("text"))
@@ -346,7 +335,7 @@ def count_pairs(aligned: DataFrame, size_b: int) -> DataFrame:
             return kinds, np.bincount(at, n, len(kinds)).astype(np.int64)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 held.append(np.unique(links(part, ALIGNED, size_b)[1], return_counts=True))
                 size += len(held[-1][0])
                 if size > COUNTED:
@@ -406,7 +395,7 @@ def score_links(aligned: DataFrame, sizes: tuple[int, int], frequent: int = FREQ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = sent.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 row, pair, times = links(part, names, size_b)
                 at = np.minimum(np.searchsorted(k.pair, pair), max(0, len(k.pair) - 1))
                 there = k.pair[at] == pair if len(k.pair) else np.zeros(len(pair), bool)

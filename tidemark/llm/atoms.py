@@ -9,7 +9,6 @@ before the whole text, which both encodings have, is that of its first atom.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,8 @@ import pyarrow.compute as pc
 from .common import worker_cache
 
 CACHED_ATOMS = 300_000
-CACHED_LENGTH = 64
+CACHED_IDS = 2_000_000
+LEARNED = 20_000  # atoms encoded in one call
 BLANK = "▁"  # the second vocabulary's sign for a blank
 # A blank behind another blank or at the start of a text begins no atom.
 _ATOM = re.compile(r"(?<=\S) ")
@@ -59,29 +59,12 @@ class Pair:
         self.length_b = np.array(list(map(len, self.bytes_b)), np.int64)
         self.blank = self.b.piece_to_id(BLANK)
 
-    def encode(self, atoms: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of atoms by both."""
+    def encode(self, atoms: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By both tokenizers: the ids of all atoms in a row, and how many each has."""
         made = self.a.encode([f" {x}" for x in atoms], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, np.int64)
-        at = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(1, len(atoms)))
-        second = self.b.encode(atoms, num_threads=1)
-        return np.split(ids, at), [np.array(x if a else [self.blank], np.int64) for a, x in zip(atoms, second, strict=True)]
-
-
-@dataclass(frozen=True)
-class Atom:
-    """Ids of an atom, tokens of both in each of its groups, and the groups as text; nothing if its bytes do not come back."""
-
-    whole: bool
-    a: np.ndarray
-    b: np.ndarray
-    sizes_a: np.ndarray
-    sizes_b: np.ndarray
-    text: str
-
-
-_NONE = np.zeros(0, np.int64)
-_BROKEN = Atom(False, _NONE, _NONE, _NONE, _NONE, "")
+        first = np.array(made.ids, np.int64), np.bincount(np.array(made.word_ids, np.int64), minlength=len(atoms))
+        second = [x or [self.blank] for x in self.b.encode(atoms, num_threads=1)]
+        return [first, (np.array([i for x in second for i in x], np.int64), np.array(list(map(len, second)), np.int64))]
 
 
 def group_sizes(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,54 +74,86 @@ def group_sizes(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
     return common, count(ends_a), count(ends_b)
 
 
-def group_text(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> str:
+def group_texts(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[str]:
+    """Each group as decimal ids."""
     ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
     out, i, j = [], 0, 0
     for m, n in zip(sizes_a.tolist(), sizes_b.tolist(), strict=True):
-        out.append(",".join(ids_a[i : i + m]) + "|" + ",".join(ids_b[j : j + n]))
+        if m == 1 and n == 1:
+            out.append(f"{ids_a[i]}|{ids_b[j]}")
+        else:
+            out.append(",".join(ids_a[i : i + m]) + "|" + ",".join(ids_b[j : j + n]))
         i, j = i + m, j + n
-    return ";".join(out)
+    return out
+
+
+def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] of them), start[1], ..."""
+    before = np.cumsum(count) - count
+    return np.arange(int(count.sum())) + np.repeat(start - before, count)
+
+
+FIELDS = ("a", "b", "sizes_a", "sizes_b")
 
 
 class Atoms:
-    """Atoms met by a worker, kept up to a bounded number of short ones."""
+    """Atoms met by a worker: their ids, the tokens of both in each of their groups, and the groups as text.
+
+    Atoms have numbers; numbers hold until the next look-up.  An atom whose bytes do not come back is broken.
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
         cache = worker_cache()
         name = f"atoms {path_a} {path_b}"
         if name not in cache:
-            cache[name] = Pair(path_a, path_b), {}
-        self.pair, self.known = cache[name]
-
-    def look_up(self, names: list[str]) -> list[Atom]:
-        new = [x for x in names if x not in self.known]
-        if len(self.known) + len(new) > CACHED_ATOMS:
-            self.known.clear()
-            new = names
-        self.known.update(zip(new, self._make(new), strict=True))
-        out = [self.known[x] for x in names]
-        for x in new:
-            if len(x) > CACHED_LENGTH:
-                del self.known[x]
-        return out
-
-    def _make(self, names: list[str]) -> list[Atom]:
-        if not names:
-            return []
-        pair, out = self.pair, []
-        for name, a, b in zip(names, *pair.encode(names), strict=True):
-            data = f" {name}".encode()
-            if b"".join(map(pair.bytes_a.__getitem__, a)) != data or b"".join(map(pair.bytes_b.__getitem__, b)) != data:
-                out.append(_BROKEN)
-            elif len(a) == 1 and len(b) == 1:
-                out.append(Atom(True, a, b, _ONE, _ONE, f"{a[0]}|{b[0]}"))
-            else:
-                _, sizes_a, sizes_b = group_sizes(np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b]))
-                out.append(Atom(True, a, b, sizes_a, sizes_b, group_text(a, b, sizes_a, sizes_b)))
-        return out
-
-
-_ONE = np.ones(1, np.int64)
+            cache[name] = Pair(path_a, path_b)
+        self.pair: Pair = cache[name]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.text: list[str] = []
+        self.broken = np.zeros(0, bool)
+        self.values = {f: np.zeros(0, np.uint32) for f in FIELDS}
+        self.first = {f: np.zeros(1, np.int64) for f in FIELDS}
+
+    def look_up(self, names: list[str]) -> np.ndarray:
+        """Numbers of different atoms."""
+        if len(self.number) > CACHED_ATOMS or len(self.values["a"]) > CACHED_IDS:
+            self.clear()
+        new = [x for x in names if x not in self.number]
+        for at in range(0, len(new), LEARNED):
+            self._learn(new[at : at + LEARNED])
+        return np.array([self.number[x] for x in names], np.int64)
+
+    def count(self, field: str, code: np.ndarray) -> np.ndarray:
+        return self.first[field][code + 1] - self.first[field][code]
+
+    def gather(self, field: str, code: np.ndarray) -> np.ndarray:
+        """The field's values of a row of atoms."""
+        return self.values[field][ragged(self.first[field][code], self.count(field, code))]
+
+    def _learn(self, names: list[str]) -> None:
+        pair = self.pair
+        data = [f" {x}".encode() for x in names]
+        ids = pair.encode(names)
+        tables, lengths = (pair.bytes_a, pair.bytes_b), (pair.length_a, pair.length_b)
+        size = np.array(list(map(len, data)), np.int64)
+        broken = np.zeros(len(names), bool)
+        if any(b"".join(map(t.__getitem__, flat.tolist())) != b"".join(data) for t, (flat, _) in zip(tables, ids, strict=True)):
+            for t, (flat, n) in zip(tables, ids, strict=True):
+                ends = np.cumsum(n).tolist()
+                broken |= [b"".join(map(t.__getitem__, flat[e - k : e].tolist())) != d for e, k, d in zip(ends, n.tolist(), data, strict=True)]
+            ids = [(flat[np.repeat(~broken, n)], np.where(broken, 0, n)) for flat, n in ids]
+        common, sizes_a, sizes_b = group_sizes(*(np.cumsum(length[flat]) for length, (flat, _) in zip(lengths, ids, strict=True)))
+        groups = np.diff(np.searchsorted(common, np.cumsum(np.where(broken, 0, size)), "right"), prepend=0)
+        texts, ends = group_texts(ids[0][0], ids[1][0], sizes_a, sizes_b), np.cumsum(groups).tolist()
+        self.text += [texts[e - 1] if k == 1 else ";".join(texts[e - k : e]) for e, k in zip(ends, groups.tolist(), strict=True)]
+        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names)), strict=True))
+        self.broken = np.concatenate([self.broken, broken])
+        for f, values, n in zip(FIELDS, (ids[0][0], ids[1][0], sizes_a, sizes_b), (ids[0][1], ids[1][1], groups, groups), strict=True):
+            self.values[f] = np.concatenate([self.values[f], values.astype(np.uint32)])
+            self.first[f] = np.concatenate([self.first[f], self.first[f][-1] + np.cumsum(n)])
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
