@@ -125,3 +125,14 @@ def test_ranges_cover_a_text_with_whole_atoms():
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_numbers_come_back():
+    rng = np.random.default_rng(7)
+    for most in (100, 1000, 1 << 40):
+        values = rng.integers(0, most, 50)
+        offsets = np.sort(np.concatenate([[0, 50], rng.integers(0, 50, 6)]))
+        column = alignment.packed(values, offsets, "short")
+        for part, skip in ((column, 0), (column.slice(2), 2)):
+            back, at = alignment.unpacked(part, "short")
+            assert back.tolist() == values[offsets[skip] :].tolist() and at.tolist() == (offsets[skip:] - offsets[skip]).tolist()

@@ -26,12 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructType
 
+from .atoms import FIELDS as VALUES
 from .atoms import Atoms, group_sizes, group_texts, public_paths, ragged, split
 from .common import col, settle, slices, table
 
@@ -48,35 +48,75 @@ _CUT = re.compile(
 )
 
 ALIGNED = ["ids_a", "ids_b", "sizes_a", "sizes_b"]
+# How numbers are packed: ids of up to 65,536 in two bytes, of larger vocabularies in four; sizes in as few as each needs.
+Kinds = tuple[str, str, str, str]
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
 
-def packed(values: np.ndarray, offsets: np.ndarray, kind: str = "<u4") -> pa.Array:
-    """A binary array whose rows are runs of numbers."""
-    data = values.astype(kind)
-    ends = (offsets * data.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+def packed(values: np.ndarray, offsets: np.ndarray, kind: str) -> pa.Array:
+    """A binary array whose rows are runs of numbers of two or four bytes, or of as few bytes as each needs."""
+    if kind == "short":
+        data, ends = shorten(values, offsets)
+    else:
+        data, ends = values.astype(kind), offsets * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
-def unpacked(column: pa.Array, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all rows of a binary array, and where each row begins and the last one ends."""
+def unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of such an array, and where each row begins and the last one ends."""
     offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
-    size = np.dtype(kind).itemsize
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data.view(kind).astype(np.int64), (offsets - offsets[0]) // size
+    offsets -= offsets[0]
+    if kind == "short":
+        return lengthen(data, offsets)
+    return data.view(kind).astype(np.int64), offsets // np.dtype(kind).itemsize
+
+
+def shorten(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as groups of seven bits, lowest first; all but a number's last group have the eighth bit set."""
+    if values.max(initial=0) < 128:
+        return values.astype(np.uint8), offsets
+    values = values.astype(np.int64)
+    size = 1 + sum((values >> 7 * k > 0).astype(np.int64) for k in range(1, 9))
+    ends = from_zero(size)
+    nth = ragged(np.zeros(len(size), np.int64), size)
+    data = np.repeat(values, size) >> 7 * nth & 127
+    data[nth < np.repeat(size, size) - 1] |= 128
+    return data.astype(np.uint8), ends[offsets]
+
+
+def lengthen(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = data < 128
+    if last.all():
+        return data.astype(np.int64), offsets
+    ends = np.flatnonzero(last) + 1
+    first = np.concatenate([[0], ends[:-1]])
+    nth = np.arange(len(data)) - np.repeat(first, ends - first)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * nth, first), from_zero(last)[offsets]
 
 
 def from_zero(count: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
 
 
+def packing(sizes: tuple[int, int]) -> Kinds:
+    return *("<u2" if n <= 1 << 16 else "<u4" for n in sizes), "short", "short"
+
+
+def vocabulary_sizes(paths: tuple[str, str]) -> tuple[int, int]:
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(paths[0]).get_vocab_size(), sentencepiece.SentencePieceProcessor(model_file=paths[1]).get_piece_size()
+
+
 # ---------------------------------------------------------------- short documents: one fragment each
 
 
-def _align_texts(atoms: Atoms, texts: pa.Array) -> list[pa.Array]:
+def _align_texts(atoms: Atoms, texts: pa.Array, kinds: Kinds) -> list[pa.Array]:
     """ids_a, ids_b, sizes_a, sizes_b, groups_sha256 of texts."""
     flat, count = split(texts)
     names = flat.dictionary_encode()
@@ -86,7 +126,7 @@ def _align_texts(atoms: Atoms, texts: pa.Array) -> list[pa.Array]:
     bad[owner[atoms.broken[code]]] = True
     code, count = code[~bad[owner]], np.where(bad, 0, count)
     first = from_zero(count)
-    out = [packed(atoms.gather(f, code), from_zero(atoms.count(f, code))[first]) for f in ("a", "b", "sizes_a", "sizes_b")]
+    out = [packed(atoms.gather(f, code), from_zero(atoms.count(f, code))[first], kind) for f, kind in zip(VALUES, kinds, strict=True)]
     bounds, codes = first.tolist(), code.tolist()
     groups = (";".join(map(atoms.text.__getitem__, codes[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
     return [*out, pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())]
@@ -227,7 +267,7 @@ def _cut_long(docs: DataFrame, chunk: int) -> DataFrame:
     return docs.select("row", "key", "text").mapInArrow(run, schema)
 
 
-def _align_long(docs: DataFrame, schema: StructType, paths: tuple[str, str], chunk: int) -> DataFrame:
+def _align_long(docs: DataFrame, schema: StructType, paths: tuple[str, str], kinds: Kinds, chunk: int) -> DataFrame:
     """The alignment of long documents, by a tree of compositions."""
     parts = _cut_long(docs, chunk).repartition("row", "part")
     state = StructType([*parts.select(*KEYS).schema])
@@ -263,7 +303,10 @@ def _align_long(docs: DataFrame, schema: StructType, paths: tuple[str, str], chu
                 for x in whole:
                     groups = ";".join(group_texts(*(np.frombuffer(v, "<u4") for v in x)))
                     digest.append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
-                columns = [pa.array([x[k] for x in whole], pa.binary()) for k in range(4)]
+                columns = []
+                for k, kind in enumerate(kinds):
+                    values = np.frombuffer(b"".join(x[k] for x in whole), "<u4")
+                    columns.append(packed(values, from_zero(np.array([len(x[k]) // 4 for x in whole], np.int64)), kind))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), *columns, pa.array(digest, pa.string())], schema.names)
 
     return tree.select("row", "key", *FIELDS).mapInArrow(finish, schema)
@@ -275,8 +318,9 @@ def _fragment_rows(made: list[Fragment], keys: pa.RecordBatch) -> pa.RecordBatch
 
 
 def align(docs: DataFrame, key: str, text: str, paths: tuple[str, str] | None = None, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """A row per document: row (a number), key, ids_a, ids_b, sizes_a, sizes_b (packed 32-bit numbers), groups_sha256."""
+    """A row per document: row (a number), key, ids_a, ids_b, sizes_a, sizes_b (packed), groups_sha256."""
     paths = paths or public_paths()
+    kinds = packing(vocabulary_sizes(paths))
     schema = StructType().add("row", LongType()).add("key", docs.schema[key].dataType)
     for name in ALIGNED:
         schema = schema.add(name, BinaryType())
@@ -286,20 +330,21 @@ def align(docs: DataFrame, key: str, text: str, paths: tuple[str, str] | None =
         atoms = Atoms(*paths)
         for batch in batches:
             for part in slices(batch, SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *_align_texts(atoms, part.column(2))], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *_align_texts(atoms, part.column(2), kinds)], schema.names)
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), col(key).alias("key"), col(text).alias("text"))
     short = F.coalesce(F.octet_length("text"), F.lit(0)) <= chunk
-    pieces = _align_long(base.where(~short), schema, paths, chunk)
+    pieces = _align_long(base.where(~short), schema, paths, kinds, chunk)
     return settle(base.where(short).mapInArrow(run, schema).unionByName(pieces), "aligned")
 
 
 # ---------------------------------------------------------------- links
 
 
-def links(batch: pa.RecordBatch, names: list[str], size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, pair and number of links, for each different pair of a row; a pair is id_a * size_b + id_b."""
-    (a, _), (b, _), (m, groups), (n, _) = (unpacked(batch.column(names.index(k))) for k in ALIGNED)
+def links(batch: pa.RecordBatch, names: list[str], sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, pair and number of links, for each different pair of a row; a pair is id_a * (ids of B) + id_b."""
+    size_b = sizes[1]
+    (a, _), (b, _), (m, groups), (n, _) = (unpacked(batch.column(names.index(k)), kind) for k, kind in zip(ALIGNED, packing(sizes), strict=True))
     owner = np.repeat(np.arange(batch.num_rows), np.diff(groups))
     start_a, start_b = np.cumsum(m) - m, np.cumsum(n) - n
     few = m * n <= EXPANDED
@@ -322,7 +367,7 @@ def links(batch: pa.RecordBatch, names: list[str], size_b: int) -> tuple[np.ndar
     return row[at], pair[at], np.add.reduceat(times, at) if len(at) else times
 
 
-def count_pairs(aligned: DataFrame, size_b: int) -> DataFrame:
+def count_pairs(aligned: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     """pair, n: in how many rows the pair is linked."""
     schema = StructType().add("pair", LongType()).add("n", LongType())
 
@@ -336,7 +381,7 @@ def count_pairs(aligned: DataFrame, size_b: int) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, SLICE_BYTES):
-                held.append(np.unique(links(part, ALIGNED, size_b)[1], return_counts=True))
+                held.append(np.unique(links(part, ALIGNED, sizes)[1], return_counts=True))
                 size += len(held[-1][0])
                 if size > COUNTED:
                     held = [merged()]
@@ -350,13 +395,7 @@ def count_pairs(aligned: DataFrame, size_b: int) -> DataFrame:
     return aligned.select(*ALIGNED).mapInArrow(run, schema).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Known:
-    """Each A id's highest count, and the counts of frequent pairs."""
-
-    best: np.ndarray
-    pair: np.ndarray
-    n: np.ndarray
+Known = tuple[np.ndarray, np.ndarray, np.ndarray]  # each A id's highest count; frequent pairs and their counts
 
 
 def _known(counts: DataFrame, best: DataFrame, size_a: int, frequent: int) -> tuple[Known, int]:
@@ -372,14 +411,14 @@ def _known(counts: DataFrame, best: DataFrame, size_a: int, frequent: int) -> tu
             break
         least = 1 << r["level"]
     rows = counts.where(F.col("n") >= least).sort("pair").toArrow()  # at most `frequent` rows
-    return Known(highest, rows.column("pair").to_numpy(), rows.column("n").to_numpy()), least
+    return (highest, rows.column("pair").to_numpy(), rows.column("n").to_numpy()), least
 
 
 def score_links(aligned: DataFrame, sizes: tuple[int, int], frequent: int = FREQUENT) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each aligned document."""
     spark = aligned.sparkSession
     size_a, size_b = sizes
-    counts = settle(count_pairs(aligned, size_b), "pairs")
+    counts = settle(count_pairs(aligned, sizes), "pairs")
     id_a = F.expr(f"pair div {size_b}")
     best = counts.groupBy(id_a.cast("int").alias("a")).agg(F.max("n").alias("most"))
     known, least = _known(counts, best, size_a, frequent)
@@ -393,17 +432,19 @@ def score_links(aligned: DataFrame, sizes: tuple[int, int], frequent: int = FREQ
     names = ["row", "key", *ALIGNED, "groups_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = sent.value
+        highest, known_pair, known_n = sent.value
         for batch in batches:
             for part in slices(batch, SLICE_BYTES):
-                row, pair, times = links(part, names, size_b)
-                at = np.minimum(np.searchsorted(k.pair, pair), max(0, len(k.pair) - 1))
-                there = k.pair[at] == pair if len(k.pair) else np.zeros(len(pair), bool)
-                n = np.where(there, k.n[at], 0) if len(k.pair) else np.zeros(len(pair), np.int64)
+                row, pair, times = links(part, names, sizes)
+                there, n = np.zeros(len(pair), bool), np.zeros(len(pair), np.int64)
+                if len(known_pair):
+                    at = np.minimum(np.searchsorted(known_pair, pair), len(known_pair) - 1)
+                    there = known_pair[at] == pair
+                    n = np.where(there, known_n[at], 0)
                 total = lambda x: _exact(row, x, part.num_rows)  # noqa: B023, E731
-                is_best = there & (n == k.best[pair // size_b])
-                length = lambda name: pc.binary_length(part.column(names.index(name))).to_numpy(zero_copy_only=False).astype(np.int64) // 4  # noqa: B023, E731
-                numbers = [length("ids_a"), length("ids_b"), length("sizes_a"), total(times), total(times * is_best), total(times * n)]
+                is_best = there & (n == highest[pair // size_b])
+                length = [np.diff(unpacked(part.column(names.index(k)), kind)[1]) for k, kind in zip(ALIGNED[:3], packing(sizes), strict=False)]
+                numbers = [*length, total(times), total(times * is_best), total(times * n)]
                 bounds = pa.array(from_zero(np.bincount(row[~there], minlength=part.num_rows)).astype(np.int32))
                 rare = [pa.ListArray.from_arrays(bounds, pa.array(x[~there])) for x in (pair, times)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *map(pa.array, numbers), part.column(names.index("groups_sha256")), *rare], schema.names)
@@ -433,13 +474,6 @@ def _exact(row: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def vocabulary_sizes(paths: tuple[str, str]) -> tuple[int, int]:
-    import sentencepiece
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(paths[0]).get_vocab_size(), sentencepiece.SentencePieceProcessor(model_file=paths[1]).get_piece_size()
-
-
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     paths = public_paths()
     aligned = align(table(spark, folder, "documents"), "doc_id", "text", paths)

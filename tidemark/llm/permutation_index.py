@@ -129,10 +129,10 @@ def build(classes: DataFrame, dim: int, pivots: Pivots) -> DataFrame:
         StructType().add("cell", IntegerType()).add("k1", LongType()).add("ids", ArrayType(LongType()))
         .add("vector", BinaryType()).add("prefix", BinaryType())
     )
-    sent = classes.sparkSession.sparkContext.broadcast(pivots)
+    sent = classes.sparkSession.sparkContext.broadcast((pivots.vectors, pivots.norm))  # arrays: workers may lack this module
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
+        p = Pivots(*sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -159,10 +159,10 @@ def fit(index: DataFrame, probes: np.ndarray, pivots: Pivots, top: int, target:
     schema = StructType().add("probe", IntegerType()).add("score", DoubleType()).add("rank", IntegerType()).add("footrule", IntegerType())
     dim = probes.shape[1]
     order = pivots.order(probes, True)
-    sent = index.sparkSession.sparkContext.broadcast((pivots, probes, order))
+    sent = index.sparkSession.sparkContext.broadcast((pivots.vectors, pivots.norm, probes, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, q, asked = sent.value
+        p, (q, asked) = Pivots(*sent.value[:2]), sent.value[2:]
         best = [np.zeros((0, 3)) for _ in q]
         rank = _ranks(p, q)
         for batch in batches:
@@ -240,10 +240,10 @@ def _visits(asked: DataFrame, dim: int, pivots: Pivots, reach: Reach, places: tu
         StructType().add("shelf", IntegerType()).add("k1", LongType()).add("k2", LongType()).add("vector", BinaryType())
         .add("order", BinaryType()).add("cells", BinaryType())
     )
-    sent = asked.sparkSession.sparkContext.broadcast((pivots, places))
+    sent = asked.sparkSession.sparkContext.broadcast((pivots.vectors, pivots.norm, *places[:2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, (first, spread, _) = sent.value
+        p, (first, spread) = Pivots(*sent.value[:2]), sent.value[2:]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -271,7 +271,6 @@ def _search(index: DataFrame, asked: DataFrame, dim: int, pivots: Pivots, reach:
     visits = _visits(asked, dim, pivots, reach, places)
     busy = visits.groupBy("shelf").count().select("shelf", F.ceil(F.col("count") / VISITS).cast("int").alias("parts"))
     parts = settle(busy, "busy")
-    sent = index.sparkSession.sparkContext.broadcast(pivots)
     number = len(pivots.vectors)
     cells = index.sparkSession.createDataFrame(
         [(int(c), int(first[c]), int(spread[c])) for c in range(number)], "of int, first int, spread int"
@@ -288,7 +287,7 @@ def _search(index: DataFrame, asked: DataFrame, dim: int, pivots: Pivots, reach:
             return pa.table({f.name: pa.array([], t) for f, t in zip(HITS, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
         v = unpack(left["vector"], np.float64, left.num_rows)
         prefix = unpack(left["prefix"], np.uint16, left.num_rows)
-        files = positions(prefix, len(sent.value.vectors))
+        files = positions(prefix, number)
         ids = left["ids"].to_pylist()
         q, order = (unpack(right[k], t, right.num_rows) for k, t in (("vector", np.float64), ("order", np.uint16)))
         visited = np.unpackbits(unpack(right["cells"], np.uint8, right.num_rows), axis=1)[:, :number].astype(bool)
