@@ -1,6 +1,6 @@
 """The registered queries of this folder, with SQL where SQL can say the same."""
 
-from . import alignment, decontamination, language_id, licenses, ngram_join, packing, permutation_index, pii, secrets, toxicity, vector_search, warc
+from . import alignment, decontamination, hard_negatives, language_id, licenses, ngram_join, packing, permutation_index, pii, secrets, toxicity, vector_search, warc
 
 QUERIES = {
     "op1_decontaminate": (decontamination.op1, decontamination.SQL),
@@ -15,4 +15,5 @@ QUERIES = {
     "op10_pii_surrogates": (pii.op10, None),
     "op11_token_alignment": (alignment.op11, None),
     "op12_permutation_index": (permutation_index.op12, None),
+    "op13_hard_negatives": (hard_negatives.op13, hard_negatives.SQL),
 }
