@@ -7,7 +7,7 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, numeric_columns, ref
@@ -54,34 +54,22 @@ def knn_fill(
     if not any(row[n] for n in names):
         return table
     fills = incomplete.select("id", *names)
+    targets = [i for i, n in enumerate(names) if row[n] and means[i] is not None]
+    if targets and len(names) > 1:
+        xs = [F.col(n).alias(f"x{j}") for j, n in enumerate(names)]
+        taken = nearest(
+            incomplete.select("id", *xs), distinct.select("id", *xs, "n"), len(names), k, leaf_points=leaf_points, targets=targets
+        )
+        mean_of = (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("near")
+        found = taken.groupBy("id", "set").agg(mean_of).groupBy("id").pivot("set", list(range(len(targets)))).agg(F.first("near"))
+        found = found.select("id", *[F.col(str(s)).alias(f"near{i}") for s, i in enumerate(targets)])
+        fills = fills.join(found, "id", "left")
+    else:
+        fills = fills.withColumns({f"near{i}": F.lit(None).cast("double") for i in targets})
     for i, target in enumerate(names):
-        if not row[target]:
-            continue
-        others = [n for n in names if n != target]
-        if not others or means[i] is None:
-            found = None
-        else:
-            coords = [F.col(n).alias(f"x{j}") for j, n in enumerate(others)]
-            asked = incomplete.where(F.col(target).isNull()).select("id", *coords)
-            donors = distinct.where(F.col(target).isNotNull()).select(
-                "id", *coords, F.col(target).alias("v"), "n"
-            )
-            # of donors with equal coordinates only the first k can ever be taken; the limit works
-            # before the shuffle too, so one coordinate may hold all rows
-            order = Window.partitionBy(*[f"x{j}" for j in range(len(others))]).orderBy("v", "id")
-            first = donors.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
-            donors = settle(first, "donors")
-            taken = nearest(asked, donors, len(others), k, total=len(names), leaf_points=leaf_points)
-            found = taken.groupBy("id").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("near"))
-        mean = F.lit(means[i]).cast("double")
-        if found is None:
-            fills = fills.withColumn(f"f{i}", F.coalesce(F.col(target), mean))
-        else:
-            fills = (
-                fills.join(found, "id", "left")
-                .withColumn(f"f{i}", F.coalesce(F.col(target), F.col("near"), mean))
-                .drop("near")
-            )
+        if row[target]:
+            near = F.col(f"near{i}") if i in targets else F.lit(None).cast("double")
+            fills = fills.withColumn(f"f{i}", F.coalesce(F.col(target), near, F.lit(means[i]).cast("double")))
     lost = [i for i, n in enumerate(names) if row[n]]
     keys = [f"__k{i}" for i in range(len(names))]
     # distinct rows differ in their values or in which cells are missing, so the keys are unique

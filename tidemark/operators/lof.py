@@ -32,7 +32,7 @@ def lof_scores(
     xs = [f"x{i}" for i in range(len(columns))]
     rows = df.select(*[as_double(df, c).alias(x) for c, x in zip(columns, xs)])
     distinct = rows.na.drop().groupBy(*xs).agg(F.count("*").cast("bigint").alias("n"))
-    points = dense_row_id(distinct, xs, "id").withColumn("v", F.lit(0.0))
+    points = dense_row_id(distinct, xs, "id")
     total = points.agg(F.sum("n")).first()[0] or 0
     k = min(neighbors, total - 1)
     if k < 1:

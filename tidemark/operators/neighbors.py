@@ -1,22 +1,28 @@
-"""Exact nearest neighbours of many points, as a shuffle of points to blocks.
-
-The reference points are cut into blocks of similar size and small extent by a k-d tree over a
-bounded sample.  Of each block only its bounding box and size are known everywhere.  A query point
-goes first to its closest block, which bounds the distance of its k-th neighbour, and then only to
-the other blocks whose box is within that bound.  No pair outside these blocks is looked at, no
-reference point is left out, and at most k candidates per query and block leave a task.
-
-Equal reference points are one row with a multiplicity, so a group of copies costs as much as one
-point.  Blocks and the queries sent to a block are split into pieces of bounded size.
-
-Missing coordinates are NULL.  Points with the same present coordinates (a "pattern") share blocks,
-and the distance uses the coordinates present on both sides, scaled up by the share of those used.
+"""Exact nearest neighbours of many points, by a tree of boxes that queries descend level by level.
+
+The reference points are cut into blocks of similar size and small extent.  A node of the tree has at most
+``fan`` children, found by cuts through a bounded sample of the node's points; points go down with the
+cuts, so any number of blocks needs only more levels.  Of each node its box is known: the range of every
+coordinate, which coordinates all or some of its points have, its numbers of points, and the ranges of
+distances to a few pivots, which tell more than boxes where there are many coordinates.
+
+A query first follows the closest child to one block.  The neighbours found there bound its search, and it
+descends again, to all children whose box can still hold a neighbour.  The root's children are known
+everywhere; below, queries meet the children of their node in a shuffle by node.  No pair of a query and a
+point outside these blocks is looked at, no point is left out, and at most k candidates per query and
+block leave a task.  Blocks, and the queries sent to a node, are split into pieces of bounded size.
+
+Missing coordinates are NULL.  The distance uses the coordinates present on both sides, scaled up by the
+share of those used.  Equal points are one row with a multiplicity.  One search serves several *sets*: for
+a column, the queries that lack it look for their nearest points that have it.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,23 +33,25 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import settle
 
-LEAF_POINTS = 1024
-MAX_LEAVES = 16_384
-SAMPLE_PER_LEAF = 16
+LEAF_POINTS = 2048
+FAN = 1024
+SAMPLE_PER_CHILD = 16
 QUERY_PIECE = 20_000
-FEW_LEAVES = 4
+PIVOTS = 6
+FEW_COORDINATES = 4  # boxes alone tell enough
+BALANCED = 0.1  # a coordinate that this share of points lack, or have, divides them well
 
 
 @dataclass
 class _Tree:
-    """Splits in arrays; children below zero are leaves (-1 - leaf)."""
+    """Cuts in arrays; children below zero are blocks (-1 - block).  A missing coordinate goes right."""
 
     axis: np.ndarray
-    cut: np.ndarray
+    cut: np.ndarray  # infinite: the points that have the coordinate go left
     left: np.ndarray
     right: np.ndarray
 
-    def leaves(self, points: np.ndarray) -> np.ndarray:
+    def place(self, points: np.ndarray) -> np.ndarray:
         node = np.zeros(len(points), dtype=np.int64)
         if len(self.axis) == 0:
             return node
@@ -56,81 +64,129 @@ class _Tree:
         return -1 - node
 
 
-def _grow(points: np.ndarray, per_leaf: int) -> _Tree:
+def _best_cut(part: np.ndarray) -> tuple[int, float] | None:
+    """A coordinate and where to cut it: by presence where that is balanced, else at the median of the widest."""
+    there = ~np.isnan(part)
+    share = there.mean(axis=0)
+    even = np.minimum(share, 1 - share)
+    if even.max(initial=0) >= BALANCED:
+        return int(even.argmax()), np.inf
+    filled = np.where(there, part, -np.inf).max(axis=0), np.where(there, part, np.inf).min(axis=0)
+    spread = np.where(share > 0, filled[0] - filled[1], 0.0)
+    if spread.max(initial=0) > 0:
+        a = int(spread.argmax())
+        x = part[there[:, a], a]
+        middle = float(np.partition(x, (len(x) - 1) // 2)[(len(x) - 1) // 2])
+        if middle == x.max():
+            middle = float(x[x < middle].max())
+        return a, middle
+    return (int(even.argmax()), np.inf) if even.max(initial=0) > 0 else None
+
+
+def _grow(points: np.ndarray, per_child: int, fan: int) -> _Tree:
+    """At most ``fan`` parts, the largest cut first, until all have at most ``per_child`` sample points."""
     axis, cut, left, right = [], [], [], []
-    leaves = 0
-
-    def place(node: int, side: int, value: int) -> None:
-        if node >= 0:
-            (left if side == 0 else right)[node] = value
-
-    todo = [(points, -1, 0)]
-    while todo:
-        part, parent, side = todo.pop()
-        spread = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(1)
-        if len(part) <= per_leaf or spread.max() == 0:
-            place(parent, side, -1 - leaves)
-            leaves += 1
+    order = itertools.count()
+    open_ = [(-len(points), next(order), points, -1, 0)]
+    done = []
+    while open_:
+        size, _, part, parent, side = heapq.heappop(open_)
+        found = _best_cut(part) if -size > per_child and len(open_) + len(done) + 1 < fan else None
+        if found is None:
+            done.append((parent, side))
             continue
-        a = int(spread.argmax())
-        middle = float(np.partition(part[:, a], (len(part) - 1) // 2)[(len(part) - 1) // 2])
-        if middle == part[:, a].max():
-            middle = float(part[part[:, a] < middle, a].max())
         at = len(axis)
-        axis.append(a)
-        cut.append(middle)
+        axis.append(found[0])
+        cut.append(found[1])
         left.append(0)
         right.append(0)
-        place(parent, side, at)
-        goes_left = part[:, a] <= middle
-        todo += [(part[~goes_left], at, 1), (part[goes_left], at, 0)]
+        if parent >= 0:
+            (right if side else left)[parent] = at
+        goes_left = part[:, found[0]] <= found[1]
+        for some, way in ((part[goes_left], 0), (part[~goes_left], 1)):
+            heapq.heappush(open_, (-len(some), next(order), some, at, way))
+    for number, (parent, side) in enumerate(done):
+        if parent >= 0:
+            (right if side else left)[parent] = -1 - number
     return _Tree(*(np.array(v) for v in (axis, cut, left, right)))
 
 
-def _pattern(points: np.ndarray) -> np.ndarray:
-    """Number whose bits are the present coordinates."""
-    return (~np.isnan(points)) @ (1 << np.arange(points.shape[1], dtype=np.int64))
-
-
-def _leaf_ids(points: np.ndarray, trees: dict[int, _Tree]) -> np.ndarray:
-    patterns = _pattern(points)
-    ids = patterns << 32
-    for pattern in np.unique(patterns):
-        tree = trees.get(int(pattern))
-        if tree is not None:
-            rows = patterns == pattern
-            ids[rows] += tree.leaves(points[rows])
-    return ids
+def _pick_pivots(sample: np.ndarray, dims: int) -> np.ndarray:
+    """Complete points far from one another."""
+    whole = sample[~np.isnan(sample).any(axis=1)]
+    if dims <= FEW_COORDINATES or not len(whole):
+        return np.zeros((0, dims))
+    picked = [whole[np.abs(whole - whole.mean(axis=0)).sum(axis=1).argmax()]]
+    while len(picked) < PIVOTS:
+        far = np.min([((whole - p) ** 2).sum(axis=1) for p in picked], axis=0)
+        picked.append(whole[far.argmax()])
+    return np.array(picked)
 
 
 @dataclass
 class _Boxes:
-    """Bounding box, size and pattern of every block."""
+    """What is known of the children of a node."""
 
     ids: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    weight: np.ndarray
+    every: np.ndarray  # all points have the coordinate
+    some: np.ndarray
+    weight: np.ndarray  # by set
+    pivots: np.ndarray
+    pivot_low: np.ndarray  # least and greatest squares of distances to pivots; NaN if a point misses a coordinate
+    pivot_high: np.ndarray
     total: int
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest squared distance of each query to each block."""
-        near = np.zeros((len(q), len(self.ids)))
-        far = np.zeros_like(near)
-        shared = np.zeros_like(near)
+        """Least and greatest distance of each query to each box, by the arithmetic of ``_distances``, which is monotone."""
+        shape = (len(q), len(self.ids))
+        near, far, most, n_every, n_some = (np.zeros(shape) for _ in range(5))
         for j in range(q.shape[1]):
             x, lo, hi = q[:, j : j + 1], self.low[:, j], self.high[:, j]
-            both = ~np.isnan(x) & ~np.isnan(lo)
+            has = ~np.isnan(x)
+            every, some = has & self.every[:, j], has & self.some[:, j]
             gap = np.maximum(np.maximum(lo - x, x - hi), 0.0)
             reach = np.maximum(np.abs(x - lo), np.abs(x - hi))
-            near += np.where(both, gap * gap, 0.0)
-            far += np.where(both, reach * reach, 0.0)
-            shared += both
+            near += np.where(every, gap * gap, 0.0)
+            square = reach * reach
+            far += np.where(every, square, 0.0)
+            most = np.maximum(most, np.where(some, square, 0.0))
+            n_every += every
+            n_some += some
         with np.errstate(divide="ignore", invalid="ignore"):
-            scale = np.where(shared > 0, self.total / shared, np.inf)
-            near = np.where(shared > 0, near * scale, np.inf)
-            far = np.where(shared > 0, far * scale, np.inf)
-        return near, far
+            near = np.where(n_some > 0, near * (self.total / n_some), np.inf)
+            far = np.where(n_every == n_some, far * (self.total / n_every), most * self.total)
+            far = np.where(n_every > 0, far, np.inf)
+        if len(self.pivots):
+            near = np.maximum(near, self._by_pivots(q))
+        return np.sqrt(near), np.sqrt(far) * (1 + 1e-12)
+
+    def _by_pivots(self, q: np.ndarray) -> np.ndarray:
+        """Least squares by the triangle inequality, over the coordinates that the query has."""
+        there = ~np.isnan(q)
+        out = np.zeros((len(q), len(self.ids)))
+        for p, lo, hi in zip(self.pivots, self.pivot_low.T, self.pivot_high.T):
+            own = np.sqrt(np.where(there, (q - p) ** 2, 0.0).sum(axis=1))[:, None]
+            gap = np.maximum(np.maximum(self.low - p, p - self.high), 0.0) ** 2
+            reach = np.maximum(np.abs(p - self.low), np.abs(p - self.high)) ** 2
+            with np.errstate(invalid="ignore"):
+                least = np.sqrt(np.maximum(lo - (~there) @ np.nan_to_num(reach).T, 0.0))
+                greatest = np.sqrt(np.maximum(hi - (~there) @ np.nan_to_num(gap).T, 0.0))
+                step = np.maximum(np.maximum(own - greatest, least - own), 0.0) * (1 - 1e-6) - 1e-9 * (own + greatest)
+            out = np.fmax(out, np.maximum(step, 0.0) ** 2)
+        return out * (self.total / np.maximum(there.sum(axis=1), 1))[:, None]
+
+    def reach(self, far: np.ndarray, wanted: int) -> np.ndarray:
+        """For each set a distance within which each query has as many points as it wants."""
+        order = np.argsort(far, axis=1)
+        ranked = np.take_along_axis(far, order, axis=1)
+        out = np.full((len(far), self.weight.shape[1]), np.inf)
+        for s in range(self.weight.shape[1]):
+            enough = np.cumsum(self.weight[order, s], axis=1) >= wanted
+            first = enough.argmax(axis=1)
+            out[:, s] = np.where(enough.any(axis=1), ranked[np.arange(len(far)), first], np.inf)
+        return out
 
 
 def _distances(q: np.ndarray, x: np.ndarray, total: int) -> np.ndarray:
@@ -154,7 +210,7 @@ def _nearest_in_block(q: np.ndarray, x: np.ndarray, total: int, k: int):
     """Row, column and distance of the k nearest of ``x`` per query; ties by the order of ``x``."""
     rows, cols, dists = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
     k = min(k, len(x))
-    step = max(1, 4_000_000 // max(1, len(x)))
+    step = max(1, 2_000_000 // max(1, len(x)))
     for start in range(0, len(q), step):
         d = _distances(q[start : start + step], x, total)
         limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
@@ -169,8 +225,233 @@ def _nearest_in_block(q: np.ndarray, x: np.ndarray, total: int, k: int):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
-def _coordinates(n: int, prefix: str) -> list[str]:
-    return [f"{prefix}{j}" for j in range(n)]
+CANDIDATES = "id bigint, set int, point bigint, distance double, v double, n bigint"
+
+
+def _candidates(asks: pd.DataFrame, points: pd.DataFrame, xs: list[str], sets: Sequence[int], total: int, k: int) -> pd.DataFrame:
+    """For each query and set that it belongs to, the k nearest of some points."""
+    q, x = asks[xs].to_numpy(dtype=float), points[xs].to_numpy(dtype=float)
+    asked, ids, n = asks["id"].to_numpy(), points["id"].to_numpy(), points["n"].to_numpy()
+    parts = []
+    for number, t in enumerate(sets):
+        rows = np.flatnonzero(np.isnan(q[:, t])) if t >= 0 else np.arange(len(q))
+        cols = np.flatnonzero(~np.isnan(x[:, t])) if t >= 0 else np.arange(len(x))
+        value = x[cols, t] if t >= 0 else np.zeros(len(cols))
+        order = np.lexsort((ids[cols], value))
+        cols, value = cols[order], value[order]
+        if len(rows) and len(cols):
+            r, c, d = _nearest_in_block(q[rows], x[cols], total, k)
+            parts.append((asked[rows[r]], np.full(len(r), number, np.int32), ids[cols[c]], d, value[c], n[cols[c]]))
+    if not parts:
+        return pd.DataFrame({"id": [], "set": [], "point": [], "distance": [], "v": [], "n": []})
+    return pd.DataFrame(dict(zip(("id", "set", "point", "distance", "v", "n"), map(np.concatenate, zip(*parts)))))
+
+
+def _share(df: DataFrame, value: object) -> Broadcast:
+    """Broadcast a value with the code of its classes, so that workers need not have this package."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+@dataclass
+class _Search:
+    """A search's parameters, and the tree: points in their blocks, and the boxes of each level."""
+
+    xs: list[str]
+    sets: list[int]  # coordinates that queries lack and points have; -1: all queries and points
+    total: int
+    wanted: int
+    leaf_points: int
+    fan: int
+    pivots: np.ndarray
+
+    def _state(self, *more: str) -> str:
+        return ", ".join(["id bigint", *(f"{x} double" for x in self.xs), *more])
+
+    # ------------------------------------------------------------ building
+
+    def build(self, points: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]]:
+        """The points with their block, and the boxes of each level."""
+        xs, fan = self.xs, self.fan
+        levels = 1
+        while fan**levels * self.leaf_points < size:
+            levels += 1
+        placed = points.select("id", *xs, "n").withColumn("node", F.lit(0).cast("bigint"))
+        marks = [f"p{k}" for k in range(len(self.pivots))]
+        for level in range(1, levels + 1):
+            per_node = min(fan, -(-size // self.leaf_points)) * SAMPLE_PER_CHILD
+            share = min(1.0, per_node * fan ** (level - 1) / size)
+            picked = F.pmod(F.xxhash64(*xs, "id", F.lit(level)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+            sample = placed.where(picked) if share < 1 else placed
+            blocks = -(-size // (self.leaf_points * fan ** (level - 1)))
+            small = max(1, int(share * self.leaf_points)) if level == levels else max(SAMPLE_PER_CHILD, per_node // fan)
+            if level == 1:
+                drawn = sample.select(*xs).toPandas().to_numpy(dtype=float)  # at most about fan * SAMPLE_PER_CHILD rows
+                self.pivots = _pick_pivots(drawn, len(xs))
+                marks = [f"p{k}" for k in range(len(self.pivots))]
+                tree = _share(points, (_grow(drawn, small, max(1, min(fan, blocks))), self.pivots))
+                placed = placed.mapInPandas(self._placer(tree), self._state("n bigint", "node bigint", *(f"{m} double" for m in marks)))
+            else:
+                placed = self._place_below(placed, sample, small, marks)
+            placed = settle(placed, "placed")
+        boxes = [placed.groupBy("node").agg(
+            F.count("*").alias("size"),
+            *[F.sum(F.col("n") * F.col(xs[t]).isNotNull().cast("int") if t >= 0 else F.col("n")).alias(f"w{s}") for s, t in enumerate(self.sets)],
+            *[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs], *[F.count(x).alias(f"c_{x}") for x in xs],
+            *[F.when(F.count(m) == F.count("*"), F.min(m)).alias(f"pl_{m}") for m in marks],
+            *[F.when(F.count(m) == F.count("*"), F.max(m)).alias(f"ph_{m}") for m in marks],
+        )]
+        boxes[0] = settle(boxes[0].withColumn("parent", F.floor(F.col("node") / fan)), "boxes")
+        for _ in range(levels - 1):
+            below = boxes[0]
+            sums = ["size", *(f"w{s}" for s in range(len(self.sets))), *(f"c_{x}" for x in xs)]
+            above = below.groupBy(F.col("parent").alias("node")).agg(
+                *[F.sum(c).alias(c) for c in sums],
+                *[F.min(f"lo_{x}").alias(f"lo_{x}") for x in xs], *[F.max(f"hi_{x}").alias(f"hi_{x}") for x in xs],
+                *[F.when(F.count(f"pl_{m}") == F.count("*"), F.min(f"pl_{m}")).alias(f"pl_{m}") for m in marks],
+                *[F.when(F.count(f"ph_{m}") == F.count("*"), F.max(f"ph_{m}")).alias(f"ph_{m}") for m in marks],
+            )
+            boxes.insert(0, settle(above.withColumn("parent", F.floor(F.col("node") / fan)), "boxes"))
+        return placed, boxes
+
+    def _placer(self, tree: Broadcast):
+        xs = self.xs
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cuts, pivots = pickle.loads(tree.value)
+            for batch in batches:
+                x = batch[xs].to_numpy(dtype=float)
+                near = {f"p{k}": ((x - p) ** 2).sum(axis=1) for k, p in enumerate(pivots)}
+                yield batch.assign(node=cuts.place(x), **near)
+
+        return place
+
+    def _place_below(self, placed: DataFrame, sample: DataFrame, small: int, marks: list[str]) -> DataFrame:
+        """One level further down: each node's points by cuts through its own sample."""
+        xs, fan = self.xs, self.fan
+
+        def grow(part: pd.DataFrame) -> pd.DataFrame:
+            tree = cloudpickle.dumps(_grow(part[xs].to_numpy(dtype=float), small, fan))
+            return pd.DataFrame({"node": part["node"].iloc[:1], "tree": [tree]})
+
+        trees = sample.select("node", *xs).groupBy("node").applyInPandas(grow, "node bigint, tree binary")
+        pieces = placed.groupBy(F.col("node").alias("of")).agg(F.ceil(F.count("*") / (64 * self.leaf_points)).cast("int").alias("pieces"))
+        trees = pieces.join(trees, F.col("of") == F.col("node"), "left").drop("node")
+        trees = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("of", "part", "tree")
+        points = placed.join(pieces, F.col("node") == F.col("of")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+        names = ["id", *xs, "n", "node", *marks]
+
+        def place(points: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            known = tree["tree"].iloc[0] if len(tree) else None
+            child = pickle.loads(known).place(points[xs].to_numpy(dtype=float)) if known is not None else 0
+            return points[names].assign(node=points["node"] * fan + child)
+
+        schema = self._state("n bigint", "node bigint", *(f"{m} double" for m in marks))
+        return points.select(*names, "piece").groupBy("node", "piece").cogroup(trees.groupBy("of", "part")).applyInPandas(place, schema)
+
+    def _boxes(self, rows: pd.DataFrame) -> _Boxes:
+        table = lambda start: rows[[f"{start}_{x}" for x in self.xs]].to_numpy(dtype=float)
+        marks = [f"p{k}" for k in range(len(self.pivots))]
+        pivot = lambda start: rows[[f"{start}_{m}" for m in marks]].to_numpy(dtype=float).reshape(len(rows), len(marks))
+        count, size = table("c"), rows["size"].to_numpy()[:, None]
+        weight = rows[[f"w{s}" for s in range(len(self.sets))]].to_numpy(dtype=float)
+        return _Boxes(
+            rows["node"].to_numpy(dtype=np.int64), table("lo"), table("hi"), count == size, count > 0, weight,
+            self.pivots, pivot("pl"), pivot("ph"), self.total,
+        )
+
+    # ------------------------------------------------------------ descending
+
+    def _belongs(self, q: np.ndarray) -> np.ndarray:
+        """Which sets each query belongs to."""
+        return np.stack([np.isnan(q[:, t]) if t >= 0 else np.ones(len(q), bool) for t in self.sets], axis=1)
+
+    def _parts(self, batch: pd.DataFrame, boxes: _Boxes) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        step = max(1, 1_000_000 // max(1, len(boxes.ids)))
+        for start in range(0, len(batch), step):
+            part = batch.iloc[start : start + step]
+            yield part, part[self.xs].to_numpy(dtype=float)
+
+    def closest(self, batch: pd.DataFrame, boxes: _Boxes) -> Iterator[pd.DataFrame]:
+        """Each query at its closest child, with a bound of its search by set."""
+        for part, q in self._parts(batch, boxes):
+            near, far = boxes.bounds(q)
+            bound = np.minimum(boxes.reach(far, self.wanted), np.array(part["reach"].tolist()).reshape(len(q), -1))
+            least = near.min(axis=1, keepdims=True)
+            tie = far
+            for t in reversed(self.sets):
+                if t >= 0:  # ties go to the smaller value that would be taken
+                    tie = np.where(np.isnan(q[:, t : t + 1]), np.nan_to_num(boxes.low[:, t], nan=np.inf), tie)
+            empty = np.stack([boxes.weight[:, s] == 0 for s in range(len(self.sets))], axis=1)
+            useless = (self._belongs(q)[:, None, :] <= empty[None, :, :]).all(axis=2)
+            order = np.where((near == least) & ~useless, tie, np.inf)
+            best = np.where(np.isinf(order).all(axis=1), np.where(useless, np.inf, near).argmin(axis=1), order.argmin(axis=1))
+            yield part.assign(reach=list(bound), node=boxes.ids[best])
+
+    def open(self, batch: pd.DataFrame, boxes: _Boxes) -> Iterator[pd.DataFrame]:
+        """Each query at all children that can hold a point nearer than its worst, or as near with a smaller value."""
+        for part, q in self._parts(batch, boxes):
+            near, _ = boxes.bounds(q)
+            worst, tie = (np.array(part[c].tolist(), float).reshape(len(q), -1) for c in ("worst", "tie"))
+            belongs = self._belongs(q)
+            may = np.zeros(near.shape, bool)
+            for s, t in enumerate(self.sets):
+                low = np.nan_to_num(boxes.low[:, t], nan=np.inf) if t >= 0 else np.full(len(boxes.ids), -np.inf)
+                inside = (near < worst[:, s : s + 1]) | ((near == worst[:, s : s + 1]) & (low <= tie[:, s : s + 1]))
+                may |= inside & belongs[:, s : s + 1] & (boxes.weight[:, s] > 0)
+            may &= np.isfinite(near)
+            r, c = np.nonzero(may)
+            yield part.iloc[r].assign(node=boxes.ids[c])
+
+    def descend(self, queries: DataFrame, levels: list[DataFrame], way: str, schema: str) -> DataFrame:
+        """Queries at blocks; ``way`` names the step that is taken at each level."""
+        first = _share(queries, self._boxes(levels[0].toPandas()))  # at most `fan` rows
+        step = getattr(self, way)
+
+        def from_root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = pickle.loads(first.value)
+            for batch in batches:
+                yield from step(batch, known)
+
+        at = queries.mapInPandas(from_root, schema)
+        for boxes in levels[1:]:
+            at = settle(at, "descent")
+            busy = at.groupBy(F.col("node").alias("of")).agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("shares"))
+            asks = at.join(busy, F.col("node") == F.col("of")).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+            known = boxes.withColumnRenamed("node", "child").join(busy, F.col("parent") == F.col("of"))
+            known = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+            asks, known = asks.select(*at.columns, "share"), known.drop("of", "shares")
+            at = asks.groupBy("node", "share").cogroup(known.groupBy("parent", "copy")).applyInPandas(self._below(way, at.columns), schema)
+        return settle(at, "sent")
+
+    def _below(self, way: str, names: list[str]):
+        def below(asks: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+            if not len(asks) or not len(boxes):
+                return asks.iloc[:0][names]
+            return pd.concat(list(getattr(self, way)(asks[names], self._boxes(boxes.rename(columns={"child": "node"})))))
+
+        return below
+
+    def probe(self, sent: DataFrame, blocks: DataFrame, bounded: bool) -> DataFrame:
+        """Candidates from the blocks the queries were sent to."""
+        busy = sent.groupBy("node").agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("shares"))
+        busy = F.broadcast(busy) if bounded else busy
+        asked = sent.join(busy, "node").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+        sizes = blocks.groupBy("node").agg(F.ceil(F.count("*") / (4 * self.leaf_points)).cast("int").alias("pieces"))
+        sizes = F.broadcast(sizes) if bounded else sizes
+        asked = asked.join(sizes, "node").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        offered = blocks.join(sizes, "node").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+        offered = offered.join(busy, "node").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        xs, sets, total, wanted = self.xs, self.sets, self.total, self.wanted
+
+        def look(asks: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+            return _candidates(asks, points, xs, sets, total, wanted)
+
+        keys = ["node", "piece", "share"]
+        return (
+            asked.select(*keys, "id", *xs).groupBy(*keys)
+            .cogroup(offered.select(*keys, "id", *xs, "n").groupBy(*keys))
+            .applyInPandas(look, CANDIDATES)
+        )
 
 
 def nearest(
@@ -181,213 +462,59 @@ def nearest(
     total: int | None = None,
     skip_self: bool = False,
     leaf_points: int = LEAF_POINTS,
+    targets: Sequence[int] | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """The ``k`` nearest points of every query.
 
-    ``queries``: ``id`` and coordinates ``x0``...; ``points``: ``id``, coordinates, ``v`` (breaks
-    ties) and ``n`` (number of equal rows).  Both have to be written tables, as they are read several
-    times and ids must not change.  Gives ``id``, ``point``, ``distance``, ``v``, ``n`` where ``n``
-    counts the neighbours taken from that point; the sum per query is ``k`` unless there are fewer
-    points.  With ``skip_self`` a row is no neighbour of itself, but its copies are.
+    ``queries``: ``id`` and coordinates ``x0``...; ``points``: ``id``, coordinates and ``n`` (number of
+    equal rows).  Both have to be written tables, as they are read several times and ids must not change.
+    Gives ``id``, ``set``, ``point``, ``distance``, ``v``, ``n`` where ``n`` counts the neighbours taken from
+    that point; the sum per query is ``k`` unless there are fewer points.  With ``targets`` each query
+    has its neighbours for every of these coordinates that it lacks, among the points that have it: ``set``
+    is the place in ``targets`` and ``v`` the point's value there, which breaks ties.  With ``skip_self`` a
+    row is no neighbour of itself, but its copies are.
     """
     spark = points.sparkSession
-    if dims >= 31:
-        raise ValueError(f"at most 30 coordinates are supported, got {dims}")
-    total = total or dims
-    xs = _coordinates(dims, "x")
-    wanted = k + 1 if skip_self else k
+    xs = [f"x{j}" for j in range(dims)]
     size = points.count()
     if size == 0:
         return spark.createDataFrame([], CANDIDATES)
-    if size <= FEW_LEAVES * leaf_points:
-        return _take(_nearest_of_few(queries, points, xs, total, wanted), k, skip_self)
-    leaves = min(MAX_LEAVES, max(1, -(-size // leaf_points)))
-    share = min(1.0, leaves * SAMPLE_PER_LEAF / size)
-    picked = F.pmod(F.xxhash64(*xs, "v"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = points.where(picked).select(*xs) if share < 1 else points.select(*xs)
-    trees = _fit_trees(sample.toPandas().to_numpy(dtype=float), SAMPLE_PER_LEAF if share < 1 else leaf_points)
-
-    shared_trees = _share(points, trees)
-
-    def with_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = pickle.loads(shared_trees.value)
-        for batch in batches:
-            yield batch.assign(leaf=_leaf_ids(batch[xs].to_numpy(dtype=float), trees))
-
-    coords = ", ".join(f"{x} double" for x in xs)
-    placed = settle(
-        points.select("id", *xs, "v", "n").mapInPandas(with_leaf, f"id bigint, {coords}, v double, n bigint, leaf bigint"),
-        "placed",
-    )
-    capacity = max(4 * leaf_points, 4 * size // MAX_LEAVES)
-    boxes, pieces = _measure(placed, xs, total, capacity)
-    cut = spark.createDataFrame(pieces, "leaf bigint, pieces int")
-    blocks = (
-        placed.join(F.broadcast(cut), "leaf")
-        .withColumn("piece", F.pmod(F.xxhash64(*xs, "v"), F.col("pieces")).cast("int"))
-        .drop("pieces")
-    )
-    shared_boxes = _share(points, boxes)
-
-    def bound(near: np.ndarray, far: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        order = np.argsort(far, axis=1)
-        enough = np.cumsum(weight[order], axis=1) >= wanted
-        reach = np.take_along_axis(far, order, axis=1)
-        first = np.where(enough.any(axis=1), enough.argmax(axis=1), reach.shape[1] - 1)
-        return np.where(enough.any(axis=1), reach[np.arange(len(reach)), first], np.inf)
-
-    def chunks(batches: Iterator[pd.DataFrame], known: _Boxes) -> Iterator[pd.DataFrame]:
-        step = max(1, 2_000_000 // len(known.ids))
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                yield batch.iloc[start : start + step]
-
-    def to_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = pickle.loads(shared_boxes.value)
-        for part in chunks(batches, known):
-            near, far = known.bounds(part[xs].to_numpy(dtype=float))
-            home = np.where(near == near.min(axis=1, keepdims=True), far, np.inf).argmin(axis=1)
-            yield part.assign(
-                reach=bound(near, far, known.weight),
-                home=known.ids[home],
-                leaf=known.ids[home],
-            )
-
-    def to_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = pickle.loads(shared_boxes.value)
-        for part in chunks(batches, known):
-            near, _ = known.bounds(part[xs].to_numpy(dtype=float))
-            # a little slack keeps blocks whose bound differs by rounding only
-            limit = part["reach"].to_numpy(dtype=float)[:, None] * (1 + 1e-9) + 1e-12
-            open_ = (near <= limit) & np.isfinite(near) & (part["home"].to_numpy()[:, None] != known.ids)
-            r, c = np.nonzero(open_)
-            yield part.iloc[r].assign(leaf=known.ids[c])
-
-    plain = f"id bigint, {coords}"
-    sent_home = settle(
-        queries.select("id", *xs).mapInPandas(to_home, f"{plain}, reach double, home bigint, leaf bigint"), "sent"
+    sets = [-1] if targets is None else list(targets)
+    search = _Search(xs, sets, total or dims, k + 1 if skip_self else k, leaf_points, fan, np.zeros((0, dims)))
+    placed, levels = search.build(points, size)
+    blocks, bounded = placed.select("node", "id", *xs, "n"), len(levels) == 1
+    none = F.array(*[F.lit(float("inf"))] * len(sets))
+    start = queries.select("id", *xs, none.alias("reach"), F.lit(0).cast("bigint").alias("node"))
+    home = search.descend(start, levels, "closest", search._state("reach array<double>", "node bigint"))
+    first = settle(search.probe(home, blocks, bounded), "near")
+    last = _take(first, search.wanted).groupBy("id", "set").agg(
+        F.sum("n").alias("found"), F.max(F.struct("distance", "v")).alias("worst")
     )
-    first = settle(_probe(sent_home, blocks, xs, total, wanted, cut), "near")
-    best = (
-        _take(first, wanted)
-        .groupBy("id")
-        .agg(F.sum("n").alias("found"), F.max("distance").alias("worst"))
-        .where(F.col("found") >= wanted)
+    last = last.where(F.col("found") >= search.wanted).groupBy("id")
+    last = last.agg(F.map_from_entries(F.collect_list(F.struct("set", "worst"))).alias("known"))
+    numbers = F.array(*[F.lit(s) for s in range(len(sets))])
+    value = lambda s: F.element_at("known", s)
+    reach = lambda s: F.element_at("reach", s + 1)
+    inf = F.lit(float("inf"))
+    worst = F.transform(numbers, lambda s: F.least(F.coalesce(value(s)["distance"], inf), reach(s)))
+    tie = F.transform(
+        numbers, lambda s: F.when(F.coalesce(value(s)["distance"], inf) <= reach(s), F.coalesce(value(s)["v"], inf)).otherwise(inf)
     )
-    bounded = sent_home.join(best, "id", "left").select(
-        "id", *xs, "home",
-        F.least(F.col("reach"), F.col("worst") * F.col("worst")).alias("reach"),
-    )
-    sent_on = settle(bounded.mapInPandas(to_others, f"{plain}, home bigint, reach double, leaf bigint"), "sent")
-    second = _probe(sent_on, blocks, xs, total, wanted, cut)
+    again = home.withColumnRenamed("node", "home").join(last, "id", "left")
+    again = again.select("id", *xs, worst.alias("worst"), tie.alias("tie"), "home", F.lit(0).cast("bigint").alias("node"))
+    schema = search._state("worst array<double>", "tie array<double>", "home bigint", "node bigint")
+    others = search.descend(again, levels, "open", schema).where(F.col("node") != F.col("home"))
+    second = search.probe(others.select("id", *xs, "node"), blocks, bounded)
     return _take(first.unionByName(second), k, skip_self)
 
 
-def _share(df: DataFrame, value: object) -> Broadcast:
-    """Broadcast a value with the code of its classes, so that workers need not have this package."""
-    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
-
-
-CANDIDATES = "id bigint, point bigint, distance double, v double, n bigint"
-
-
-def _candidates(asks: pd.DataFrame, points: pd.DataFrame, xs: list[str], total: int, k: int) -> pd.DataFrame:
-    """The k nearest of some points, which are ordered by ``v`` and id, for each of some queries."""
-    r, c, d = _nearest_in_block(asks[xs].to_numpy(dtype=float), points[xs].to_numpy(dtype=float), total, k)
-    return pd.DataFrame(
-        {
-            "id": asks["id"].to_numpy()[r],
-            "point": points["id"].to_numpy()[c],
-            "distance": d,
-            "v": points["v"].to_numpy()[c],
-            "n": points["n"].to_numpy()[c],
-        }
-    )
-
-
-def _nearest_of_few(queries: DataFrame, points: DataFrame, xs: list[str], total: int, k: int) -> DataFrame:
-    """Candidates where all points fit in a few blocks: they are broadcast and no query moves."""
-    known = points.select("id", *xs, "v", "n").toPandas().sort_values(["v", "id"])
-    shared = points.sparkSession.sparkContext.broadcast(known)
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _candidates(batch, shared.value, xs, total, k)
-
-    return queries.select("id", *xs).mapInPandas(look, CANDIDATES)
-
-
-def _fit_trees(sample: np.ndarray, per_leaf: int) -> dict[int, _Tree]:
-    trees = {}
-    patterns = _pattern(sample)
-    for pattern in np.unique(patterns):
-        present = [j for j in range(sample.shape[1]) if pattern >> j & 1]
-        if present:
-            part = np.where(np.isnan(sample[patterns == pattern]), 0.0, sample[patterns == pattern])
-            trees[int(pattern)] = _grow(part, per_leaf)
-    return trees
-
-
-def _measure(placed: DataFrame, xs: list[str], total: int, capacity: int):
-    """Bounding boxes of the blocks, and the number of pieces that keeps each of them small."""
-    rows = (
-        placed.groupBy("leaf")
-        .agg(
-            F.count("*").alias("size"),
-            F.sum("n").alias("weight"),
-            *[F.min(x).alias(f"lo_{x}") for x in xs],
-            *[F.max(x).alias(f"hi_{x}") for x in xs],
-        )
-        .toPandas()
-    )
-    boxes = _Boxes(
-        rows["leaf"].to_numpy(),
-        rows[[f"lo_{x}" for x in xs]].to_numpy(dtype=float),
-        rows[[f"hi_{x}" for x in xs]].to_numpy(dtype=float),
-        rows["weight"].to_numpy(),
-        total,
-    )
-    pieces = [(int(leaf), int(-(-size // capacity))) for leaf, size in zip(rows["leaf"], rows["size"])]
-    return boxes, pieces
-
-
-def _probe(sent: DataFrame, blocks: DataFrame, xs: list[str], total: int, k: int, cut: DataFrame) -> DataFrame:
-    """Candidates from the blocks the queries were sent to."""
-    load = [(r["leaf"], -(-r["q"] // QUERY_PIECE)) for r in sent.groupBy("leaf").agg(F.count("*").alias("q")).collect()]
-    spread = sent.sparkSession.createDataFrame(load, "leaf bigint, shares int")
-    asked = (
-        sent.join(F.broadcast(spread), "leaf")
-        .withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
-        .join(F.broadcast(cut), "leaf")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select("leaf", "piece", "share", "id", *xs)
-    )
-    offered = (
-        blocks.join(F.broadcast(spread), "leaf")
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        .select("leaf", "piece", "share", "id", *xs, "v", "n")
-    )
-
-    def look(asks: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        # a block nobody asked, or a query without a block, gives nothing
-        if not len(asks) or not len(points):
-            asks = asks.iloc[:0]
-        return _candidates(asks, points.sort_values(["v", "id"]), xs, total, k)
-
-    keys = ["leaf", "piece", "share"]
-    return (
-        asked.groupBy(*keys)
-        .cogroup(offered.groupBy(*keys))
-        .applyInPandas(look, CANDIDATES)
-    )
-
-
 def _take(candidates: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """Nearest first, ties by ``v`` then point, until ``k`` neighbours are reached."""
     if skip_self:
         own = F.col("id") == F.col("point")
         candidates = candidates.withColumn("n", F.col("n") - F.when(own, 1).otherwise(0)).where("n > 0")
-    order = Window.partitionBy("id").orderBy("distance", "v", "point")
+    order = Window.partitionBy("id", "set").orderBy("distance", "v", "point")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         candidates.withColumn("__upto", F.sum("n").over(upto))
