@@ -1,4 +1,4 @@
-"""The published Snowball stemmers for English and Russian as column expressions.
+"""The published Snowball stemmers for English and Russian and the Porter stemmer as column expressions.
 
 A word passes through the steps as a struct: ``w`` is the word so far, ``p1`` and ``p2`` the starts of
 the regions R1 and R2.  Each step is a function given to ``transform``, so the expression grows with
@@ -37,6 +37,28 @@ ENGLISH_STEP_4 = [
 ]
 ENGLISH_SHORT = "(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
 
+# Fixed values of the published Porter algorithm, with the exceptions that its common extension adds.
+PORTER_IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning",
+    "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe",
+    "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+PORTER_STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al",
+    "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al",
+    "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "fulli": "ful",
+    "logi": "log",
+}
+PORTER_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+PORTER_STEP_4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
+    "ous", "ive", "ize",
+]
+PORTER_MORE_THAN_0 = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+PORTER_MORE_THAN_1 = "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]"
+PORTER_SHORT = "(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+PORTER_DOUBLE = "(?:bb|cc|dd|ff|gg|hh|jj|kk|ll|mm|nn|pp|qq|rr|ss|tt|vv|ww|xx|zz)$"
+
 # Fixed values of the published Russian algorithm.
 RUSSIAN_VOWELS = "аеиоуыэюя"
 RUSSIAN_GERUND = "(?:(?<=[ая])(?:вшись|вши|в)|ившись|ивши|ив|ывшись|ывши|ыв)$"
@@ -217,6 +239,93 @@ def stem_english(word: Column) -> Column:
     )
 
 
+def stem_porter(word: Column) -> Column:
+    """Stem of a lowercase word by the Porter algorithm; a y that is a consonant is marked as Y on the way."""
+
+    def above(text: Column, least: int) -> Column:
+        """The text has more than so many runs of consonants behind vowels."""
+        return text.rlike((PORTER_MORE_THAN_0, PORTER_MORE_THAN_1)[least])
+
+    def prepare(s: Column) -> Column:
+        return _with(s, w=F.regexp_replace(F.regexp_replace(s["word"], "^y", "Y"), "([aeiouy])y", "$1Y"))
+
+    def plural(s: Column) -> Column:
+        w = s["w"]
+        return _with(
+            s,
+            w=F.when(~w.endswith("s"), w)
+            .when(w.endswith("ies"), _head(w, F.when(F.length(w) == 4, 1).otherwise(2)))
+            .when(w.endswith("sses"), _head(w, 2))
+            .when(w.endswith("ss"), w)
+            .otherwise(_head(w, 1)),
+        )
+
+    def past(s: Column) -> Column:
+        w, end = s["w"], s["end"]
+        stem = _head(w, F.length(end))
+        cut = end.isin("ed", "ing") & stem.rlike("[aeiouy]")
+        return _with(
+            s,
+            cut=cut,
+            w=F.when(end == "ied", _head(w, F.when(F.length(w) == 4, 1).otherwise(2)))
+            .when(end == "eed", F.when(above(stem, 0), _head(w, 1)).otherwise(w))
+            .when(cut, stem)
+            .otherwise(w),
+        )
+
+    def mend(s: Column) -> Column:
+        w = s["w"]
+        return _with(
+            s,
+            w=F.when(~s["cut"], w)
+            .when(w.rlike("(?:at|bl|iz)$"), F.concat(w, F.lit("e")))
+            .when(w.rlike(PORTER_DOUBLE), F.when(w.rlike("[lsz]$"), w).otherwise(_head(w, 1)))
+            .when(above(w, 0) & ~above(w, 1) & w.rlike(PORTER_SHORT), F.concat(w, F.lit("e")))
+            .otherwise(w),
+        )
+
+    def last_y(s: Column) -> Column:
+        w = s["w"]
+        return _with(s, w=F.when((F.length(w) > 2) & w.endswith("y"), F.concat(_head(w, 1), F.lit("i"))).otherwise(w))
+
+    def twice(s: Column) -> Column:
+        w = s["w"]
+        return _with(s, w=F.when(w.endswith("alli") & above(_head(w, 4), 0), _head(w, 2)).otherwise(w))
+
+    def in_step_2(s: Column, start: Column) -> Column:
+        return above(_head(s["w"], F.when(s["end"] == "logi", 3).otherwise(F.length(s["end"]))), 0)
+
+    def in_step_3(s: Column, start: Column) -> Column:
+        return above(_head(s["w"], F.length(s["end"])), 0)
+
+    def in_step_4(s: Column, start: Column) -> Column:
+        stem = _head(s["w"], F.length(s["end"]))
+        return above(stem, 1) & ((s["end"] != "ion") | stem.rlike("[st]$"))
+
+    def last_e(s: Column) -> Column:
+        w = s["w"]
+        stem = _head(w, 1)
+        drop = w.endswith("e") & (above(stem, 1) | (above(stem, 0) & ~stem.rlike(PORTER_SHORT)))
+        return _with(s, w=F.when(drop, stem).otherwise(w))
+
+    def last_l(s: Column) -> Column:
+        w = s["w"]
+        return _with(s, w=F.when(w.endswith("ll") & above(_head(w, 1), 1), _head(w, 1)).otherwise(w))
+
+    stem = _run(
+        F.struct(word.alias("word")),
+        [
+            prepare, plural, _find(["ied", "eed", "ed", "ing"]), past, mend, last_y, twice,
+            *_swap(PORTER_STEP_2, in_step_2),
+            *_swap(PORTER_STEP_3, in_step_3),
+            *_swap(dict.fromkeys(PORTER_STEP_4, ""), in_step_4),
+            last_e, last_l, lambda s: F.lower(s["w"]),
+        ],
+    )
+    known = F.when(word.isin(list(PORTER_IRREGULAR)), _texts(PORTER_IRREGULAR)[word])
+    return F.coalesce(known, F.when(F.length(word) <= 2, word), stem)
+
+
 def stem_russian(word: Column) -> Column:
     """Stem of a lowercase word; ``rv`` is the part after the first vowel."""
 
@@ -269,4 +378,14 @@ def stem_russian(word: Column) -> Column:
     )
 
 
-STEMMERS = {"english": stem_english, "russian": stem_russian}
+STEMMERS = {"english": stem_english, "russian": stem_russian, "porter": stem_porter}
+
+
+def stem_tokens(words: Column, stem: Callable[[Column], Column]) -> Column:
+    """Stems of an array of lowercase words, each different word worked out once."""
+
+    def with_stems(s: Column) -> Column:
+        return s.withField("stem", F.map_from_arrays(s["kinds"], F.transform(s["kinds"], stem)))
+
+    start = F.struct(words.alias("words"), F.array_distinct(words).alias("kinds"))
+    return _run(start, [with_stems, lambda s: F.transform(s["words"], lambda w: s["stem"][w])])

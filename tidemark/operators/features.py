@@ -73,8 +73,8 @@ def _candidates(seed: int, classes: int) -> dict[str, Callable[[DataFrame, list[
     """Each candidate's fit; those of pyspark.ml only for as many classes as they can hold."""
     common = {"featuresCol": "__features", "labelCol": "__number", "predictionCol": "__prediction"}
     out = {
-        "boosted": lambda rows, features: fit_boosted(rows, "__number", classes, features, 8, 3, 0.6, seed),
-        "boosted_deep": lambda rows, features: fit_boosted(rows, "__number", classes, features, 8, 5, 0.3, seed),
+        "boosted": lambda rows, features: fit_boosted(rows, "__number", classes, features, 6, 3, 0.6, seed),
+        "boosted_deep": lambda rows, features: fit_boosted(rows, "__number", classes, features, 4, 5, 0.5, seed),
     }
     if classes <= ML_LABELS:
         learners = {

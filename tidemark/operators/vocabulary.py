@@ -1,8 +1,7 @@
-"""Stemming and lemmatising: look up every word, keep the order of the words.
+"""Stemming in place, lemmatising by a table, and counts of words.
 
-Frequent words are counted, worked out once and broadcast, a bounded table of short words.  The other
-words are worked out where they are.  Words are shuffled twice: to be counted, and to be put together
-again by the hashes of their text, so that no key of the table is needed.
+Stems are column expressions: texts do not move.  For lemmas words are shuffled to meet the table, and put
+together again by the hashes of their text, so that no key of the table is needed.
 """
 
 from __future__ import annotations
@@ -15,13 +14,10 @@ from pyspark.sql import types as T
 
 from ..functions.columns import check_columns, ref
 from ..functions.lookup import lookup_join
-from ..functions.stemming import STEMMERS
+from ..functions.stemming import STEMMERS, stem_tokens
 from ..functions.storage import settle
 from ..functions.text import as_text, language_name, tokens
 
-FREQUENT_WORDS = 300_000
-LONGEST_WORD = 64  # of those broadcast
-
 
 def token_column(df: DataFrame, column: str, lower: bool = True) -> Column:
     """Tokens of a text column, or the given tokens of an array column."""
@@ -41,21 +37,11 @@ def _spread(df: DataFrame, column: str, lower: bool = True) -> DataFrame:
     return df.select(*text_hashes(df, column), F.posexplode(token_column(df, column, lower)).alias("pos", "word"))
 
 
-def with_stems(rows: DataFrame, word: str, lang: str, out: str = "stem", frequent: int = FREQUENT_WORDS) -> DataFrame:
-    """Add the stem of a lowercase word column, working out each frequent word only once."""
-    stem = STEMMERS.get(language_name(lang))
-    if stem is None:
+def stemmer(lang: str):
+    found = STEMMERS.get(lang) or STEMMERS.get(language_name(lang))
+    if found is None:
         raise ValueError(f"no stemmer for {lang}; there are {sorted(STEMMERS)}")
-    counted = settle(rows.groupBy(ref(word).alias("__form")).agg(F.count("*").alias("n")), "words")
-    different = counted.count()
-    often = 0
-    if different > frequent:
-        # more than this many uses: by the error bound of the sketch at most about ``frequent`` words
-        share = 1 - frequent / different
-        often = counted.agg(F.percentile_approx("n", share, max(10_000, 10 * different // frequent))).first()[0]
-    known = counted.where((F.col("n") > often) & (F.length("__form") <= LONGEST_WORD)).select("__form", stem(F.col("__form")).alias("__known"))
-    found = rows.join(F.broadcast(known), ref(word) == F.col("__form"), "left")
-    return found.withColumn(out, F.coalesce("__known", stem(ref(word)))).drop("__form", "__known")
+    return found
 
 
 def with_lemmas(rows: DataFrame, word: str, lemmas: DataFrame, out: str = "lemma") -> DataFrame:
@@ -85,14 +71,16 @@ def _replace_text(df: DataFrame, column: str, made: DataFrame, out: str) -> Data
     return joined.withColumn(out, text).select(*[ref(c) for c in columns])
 
 
-def stem_text(
-    df: DataFrame, column: str, key: Sequence[str] = (), lang: str = "russian", out: str | None = None,
-    frequent: int = FREQUENT_WORDS,
-) -> DataFrame:
-    """Lowercase, tokenise, stem and join with blanks.  Texts are told by themselves; no key is needed."""
+def stem_text(df: DataFrame, column: str, key: Sequence[str] = (), lang: str = "russian", out: str | None = None) -> DataFrame:
+    """Lowercase, tokenise, stem and join with blanks, in place: no row moves and no key is needed.
+
+    ``lang`` names a language or a stemmer ("porter").  A missing text stays missing; a text without words
+    becomes empty.
+    """
     check_columns(df, key)
-    rows = with_stems(_spread(df, column), "word", lang, frequent=frequent)
-    return _replace_text(df, column, _rejoin(rows, "stem"), out or column)
+    out = out or column
+    columns = df.columns if out in df.columns else [*df.columns, out]
+    return df.withColumn(out, as_text(stem_tokens(token_column(df, column), stemmer(lang)))).select(*[ref(c) for c in columns])
 
 
 def lemmatize_text(
@@ -105,36 +93,39 @@ def lemmatize_text(
     return _replace_text(df, column, _rejoin(rows, "lemma"), out or column)
 
 
-def stem_lemma_counts(
-    df: DataFrame, column: str, lemmas: DataFrame | None = None, lang: str = "english", frequent: int = FREQUENT_WORDS
-) -> DataFrame:
-    """Per different text (two hashes): words whose stem differs from the lemma, and words in all."""
-    once = _spread(df, column).dropDuplicates(["__h1", "__h2", "pos"])
-    rows = with_stems(once.withColumn("lowered", F.lower("word")), "lowered", lang, frequent=frequent)
+def stem_lemma_counts(df: DataFrame, column: str, lemmas: DataFrame | None = None, lang: str = "english") -> DataFrame:
+    """Per different text (two hashes): words whose Porter stem differs from the lemma, and words in all.
+
+    Words are counted per text before they are shuffled.  Copies of a text fall together; each has one first
+    word, so the counts are divided by the number of first words.
+    """
+    spread = _spread(df, column)
+    counted = spread.groupBy("__h1", "__h2", "word").agg(F.count("*").alias("n"), F.count_if(F.col("pos") == 0).alias("copies"))
     if lemmas is not None:
         own = lemmas.where(F.col("lang") == language_name(lang)) if "lang" in lemmas.columns else lemmas
-        rows = with_lemmas(rows, "word", own)
+        counted = with_lemmas(counted, "word", own)
     else:
-        rows = rows.withColumn("lemma", F.col("word"))
-    return rows.groupBy("__h1", "__h2").agg(
-        F.count_if(F.col("stem") != F.col("lemma")).alias("stem_diff"), F.count("*").alias("total_words")
+        counted = counted.withColumn("lemma", F.col("word"))
+    differs = stemmer("porter")(F.col("word")) != F.col("lemma")
+    sums = counted.groupBy("__h1", "__h2").agg(
+        F.sum(F.when(differs, F.col("n")).otherwise(0)).alias("d"), F.sum("n").alias("t"), F.sum("copies").alias("c")
     )
+    return sums.select("__h1", "__h2", F.expr("d div c").alias("stem_diff"), F.expr("t div c").alias("total_words"))
 
 
-def with_stem_lemma_counts(df: DataFrame, column: str, lemmas: DataFrame | None, lang: str, frequent: int = FREQUENT_WORDS) -> DataFrame:
+def with_stem_lemma_counts(df: DataFrame, column: str, lemmas: DataFrame | None, lang: str) -> DataFrame:
     """All columns and stem_diff, total_words of each row's text."""
     zero = F.lit(0).cast("bigint")
-    joined = _with_made(df, column, stem_lemma_counts(df, column, lemmas, lang, frequent))
+    joined = _with_made(df, column, stem_lemma_counts(df, column, lemmas, lang))
     return joined.withColumns({"stem_diff": F.coalesce("stem_diff", zero), "total_words": F.coalesce("total_words", zero)})
 
 
 def stem_lemma_difference(
-    df: DataFrame, column: str, key: Sequence[str], lemmas: DataFrame | None = None, lang: str = "english",
-    frequent: int = FREQUENT_WORDS,
+    df: DataFrame, column: str, key: Sequence[str], lemmas: DataFrame | None = None, lang: str = "english"
 ) -> DataFrame:
-    """Per row: words whose stem differs from the lemma, and words in all."""
+    """Per row: words whose Porter stem differs from the lemma, and words in all."""
     keys = [ref(c) for c in check_columns(df, key)]
-    return with_stem_lemma_counts(df, column, lemmas, lang, frequent).select(*keys, "stem_diff", "total_words")
+    return with_stem_lemma_counts(df, column, lemmas, lang).select(*keys, "stem_diff", "total_words")
 
 
 def word_statistics(df: DataFrame, column: str, key: Sequence[str], top: int = 5) -> DataFrame:

@@ -91,3 +91,67 @@ def english() -> str:
         + f""", stems as (select word, case when length(word) <= 2 or word in {_quoted(s.ENGLISH_UNCHANGED)} then word
             {irregular} when kept is not null then kept else lower(w) end as stem from en{len(steps)})"""
     )
+
+
+def porter() -> str:
+    above = lambda text, n: f"regexp_matches({text}, '{(s.PORTER_MORE_THAN_0, s.PORTER_MORE_THAN_1)[n]}')"
+    less = lambda n: f"left(w, length(w) - {n})"
+    shorter = "left(w, length(w) - case when length(w) = 4 then 1 else 2 end)"
+    plural = f"""case when right(w, 1) <> 's' then w when right(w, 3) = 'ies' then {shorter}
+        when right(w, 4) = 'sses' then {less(2)} when right(w, 2) = 'ss' then w else {less(1)} end"""
+    past = f"""case when e = 'ied' then {shorter} when e = 'eed' then case when {above(CUT, 0)} then {less(1)} else w end
+        when cut then {CUT} else w end"""
+    mend = f"""case when not cut then w when regexp_matches(w, '(at|bl|iz)$') then w || 'e'
+        when regexp_matches(w, '{s.PORTER_DOUBLE}') then case when regexp_matches(w, '[lsz]$') then w else {less(1)} end
+        when {above('w', 0)} and not {above('w', 1)} and regexp_matches(w, '{s.PORTER_SHORT}') then w || 'e' else w end"""
+    last_e = f"""case when right(w, 1) = 'e' and ({above(less(1), 1)} or ({above(less(1), 0)}
+        and not regexp_matches({less(1)}, '{s.PORTER_SHORT}'))) then {less(1)} else w end"""
+    again = _set(e="{}")
+    steps = [
+        _set(w="regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')"),
+        _set(w=plural),
+        _add(e=_find(["ied", "eed", "ed", "ing"])),
+        _add(cut=f"e in ('ed', 'ing') and regexp_matches({CUT}, '[aeiouy]')"),
+        _set(w=past),
+        _set(w=mend),
+        _set(w="case when length(w) > 2 and right(w, 1) = 'y' then left(w, length(w) - 1) || 'i' else w end"),
+        _set(w=f"case when right(w, 4) = 'alli' and {above(less(4), 0)} then {less(2)} else w end"),
+        *_swap(s.PORTER_STEP_2, above("left(w, length(w) - case when e = 'logi' then 3 else length(e) end)", 0), again),
+        *_swap(s.PORTER_STEP_3, above(CUT, 0), again),
+        *_swap(dict.fromkeys(s.PORTER_STEP_4, ""), f"{above(CUT, 1)} and (e <> 'ion' or {BEFORE} in ('s', 't'))", again),
+        _set(w=last_e),
+        _set(w=f"case when right(w, 2) = 'll' and {above(less(1), 1)} then {less(1)} else w end"),
+    ]
+    irregular = " ".join(f"when word = '{k}' then '{x}'" for k, x in s.PORTER_IRREGULAR.items())
+    return (
+        _chain("po", steps)
+        + f", stems as (select word, case {irregular} when length(word) <= 2 then word else lower(w) end as stem from po{len(steps)})"
+    )
+
+
+def _behind(pattern: str) -> str:
+    """A pattern that looks behind for a or ya, with the letter as a group instead, to be put back."""
+    return pattern.replace("(?<=[ая])", "([ая])")
+
+
+def russian() -> str:
+    region = lambda x: _region(x, s.RUSSIAN_VOWELS)
+    cut = lambda x, pattern: f"regexp_replace({x}, '{_behind(pattern)}', '\\1')" if "(?<=" in pattern else f"regexp_replace({x}, '{pattern}', '')"
+    has = lambda x, pattern: f"regexp_matches({x}, '{_behind(pattern)}')"
+    inflection = f"""case when {has('rv', s.RUSSIAN_GERUND)} then {cut('rv', s.RUSSIAN_GERUND)}
+        when {has('base', s.RUSSIAN_ADJECTIVE)} then {cut(cut('base', s.RUSSIAN_ADJECTIVE), s.RUSSIAN_PARTICIPLE)}
+        when {has('base', s.RUSSIAN_VERB)} then {cut('base', s.RUSSIAN_VERB)} else {cut('base', s.RUSSIAN_NOUN)} end"""
+    tidy = f"""head || case when right(rv, 2) = 'нн' then left(rv, length(rv) - 1)
+        when {has('rv', s.RUSSIAN_SUPERLATIVE)} then regexp_replace({cut('rv', s.RUSSIAN_SUPERLATIVE)}, 'нн$', 'н')
+        else regexp_replace(rv, 'ь$', '') end"""
+    steps = [
+        _set(w="replace(w, 'ё', 'е')"),
+        _add(p1=region("w"), head=f"coalesce(nullif(regexp_extract(w, '^[^{s.RUSSIAN_VOWELS}]*[{s.RUSSIAN_VOWELS}]'), ''), w)"),
+        _add(p2=f"p1 + {region('substr(w, p1 + 1)')}", rv="substr(w, length(head) + 1)"),
+        _add(base=f"regexp_replace(rv, '{s.RUSSIAN_REFLEXIVE}', '')"),
+        _set(rv=inflection),
+        _set(rv="regexp_replace(rv, 'и$', '')"),
+        _add(e=f"length(regexp_extract(rv, '{s.RUSSIAN_DERIVATION}'))"),
+        _set(rv="case when e > 0 and length(head) + length(rv) - e >= p2 then left(rv, length(rv) - e) else rv end"),
+    ]
+    return _chain("ru", steps) + f", stems as (select word, {tidy} as stem from ru{len(steps)})"

@@ -111,9 +111,9 @@ def t7(spark, folder):
     return text_steps.remove_stopwords(_documents(spark, folder), "text", "english")
 
 
-def stemmed_sql(spread: str, keys: str, out: str) -> str:
+def stemmed_sql(spread: str, keys: str, out: str, stems: str | None = None) -> str:
     """Stems joined again per text; ``spread`` gives (keys, pos, word)."""
-    return f"""rows_ as ({spread}), forms as (select distinct word from rows_), {stem_sql.english()}
+    return f"""rows_ as ({spread}), forms as (select distinct word from rows_), {stems or stem_sql.english()}
   select {keys}, string_agg(stem, ' ' order by pos) as {out}
   from rows_ join stems on stems.word = rows_.word group by all"""
 
@@ -132,10 +132,29 @@ def t8(spark, folder):
     return vocabulary.stem_text(_documents(spark, folder), "text", ["doc_id"], "english")
 
 
-# no SQL: the Russian rules look behind; tested with published pairs of words and stems
-@query("t8_stem_russian")
+@query(
+    "t8_stem_porter",
+    f"""with s as (with {stemmed_sql(spread_sql('documents', 'doc_id', 'text'), 'doc_id', 'text', stem_sql.porter())})
+  select d.doc_id, coalesce(s.text, '') as text from documents d left join s on s.doc_id = d.doc_id""",
+)
+def t8_porter(spark, folder):
+    return vocabulary.stem_text(_documents(spark, folder), "text", ["doc_id"], "porter")
+
+
+# No table has Russian text: the words of the conversations are spelled with Cyrillic letters, so that
+# their endings meet the Russian rules.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абсвефйшияклмнопщьстуюыхыя"
+
+
+@query(
+    "t8_stem_russian",
+    f"""with c as (select conv_id, turn, translate(lower(text), '{LATIN}', '{CYRILLIC}') as text from conversations),
+  s as (with {stemmed_sql(spread_sql('c', 'conv_id, turn', 'text'), 'conv_id, turn', 'text', stem_sql.russian())})
+  select c.conv_id, c.turn, coalesce(s.text, '') as text from c left join s on s.conv_id = c.conv_id and s.turn = c.turn""",
+)
 def t8_russian(spark, folder):
-    df = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    spelled = F.translate(F.lower("text"), LATIN, CYRILLIC).alias("text")
+    df = table(spark, folder, "conversations").select("conv_id", "turn", spelled)
     return vocabulary.stem_text(df, "text", ["conv_id", "turn"], "russian")
 
 
@@ -288,7 +307,7 @@ def x4(spark, folder):
 DIFFERENCE = (
     FORMS.replace("lemmas as", "lemmas as materialized")
     + f""", rows_ as ({spread_sql('documents', 'doc_id', 'text')}), forms as (select distinct word from rows_),
-  {stem_sql.english()},
+  {stem_sql.porter()},
   x as (select r.doc_id, cast(sum(case when stem <> coalesce(lemma, r.word) then 1 else 0 end) as bigint) as stem_diff,
                count(*) as total_words
         from rows_ r join stems on stems.word = r.word left join lemmas on lemmas.form = r.word group by all),
