@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels, text as t
 from tidemark.functions.stemming import stem_english, stem_porter, stem_russian
-from tidemark.operators import language, text_diagnosis, text_steps, vocabulary
+from tidemark.operators import language, sentences, text_diagnosis, text_steps, vocabulary
 
 # words and stems as published with the algorithms
 ENGLISH = {
@@ -198,3 +200,32 @@ def test_word_statistics(spark):
     assert (row["unique_words"], row["avg_word_length"], row["frequent_words"]) == (6, 1.0, "b, a, c, d, e")
     df = spark.createDataFrame([(1, ""), (2, None), (3, "x"), (3, "x")], "id long, text string")
     assert rows(vocabulary.word_statistics(df, "text", ["id"])) == [(1, 0, None, ""), (2, 0, None, ""), (3, 1, 1.0, "x"), (3, 1, 1.0, "x")]
+
+
+def test_sentences_with_learned_abbreviations(spark):
+    """Planted abbreviations end no sentence, also before a capital; a starter behind one does."""
+    rng = random.Random(3)
+    names, nouns = ["Smith", "Jones", "Meyer", "Weber", "Olsen"], "garden river house table window market engine".split()
+    plain = []
+    for _ in range(400):
+        a, b = rng.choice(nouns), rng.choice(nouns)
+        plain.append(rng.choice([
+            f"We met Dr. {rng.choice(names)} at the {a}. However the {b} was closed.",
+            f"However it was approx. five miles to the {a}! Is the {b} open?",
+            f"They saw the {a}. However Prof. {rng.choice(names)} kept the {b}.",
+        ]))
+    model = sentences.learn_sentences(column(spark, plain), "text")
+    assert {"dr", "approx", "prof"} <= set(model.abbreviations) and not set(nouns) & set(model.abbreviations)
+    assert "however" in model.starters
+    asked = ["Dr. Smith left. He waved.", "It cost approx. Five men came.", "See J. Smith. now it rains. Then sun",
+             "He met the Prof. However it rained.", "One.  Two?\n\nThree! \"Four.\" Five", "", None, "   ", "no end"]
+    got = [r[1] for r in rows(column(spark, asked).select("id", sentences.sentence_tokens(F.col("text"), model)), "id")]
+    assert got == [["Dr. Smith left.", "He waved."], ["It cost approx. Five men came."], ["See J. Smith. now it rains.", "Then sun"],
+                   ["He met the Prof.", "However it rained."], ["One.", "Two?", "Three!", '"Four."', "Five"], [], None, [], ["no end"]]
+
+
+def test_sentences_of_an_empty_corpus(spark):
+    df = column(spark, ["", None])
+    model = sentences.learn_sentences(df, "text")
+    assert model.abbreviations == model.starters == []
+    assert [r[1] for r in rows(df.select("id", sentences.sentence_tokens(F.col("text"), model)), "id")] == [[], None]

@@ -11,12 +11,12 @@ from ..functions.columns import ref
 from ..functions.text import (
     as_text,
     handle_numbers,
-    sentences,
     strip_html,
     strip_special,
     tokens,
     without_stop_words,
 )
+from .sentences import SentenceModel, learn_sentences, sentence_tokens
 from .vocabulary import lemmatize_text, stem_text, token_column
 
 Step = str | tuple[str, Mapping[str, object]]
@@ -39,12 +39,20 @@ def number_handling(df: DataFrame, column: str, strategy: str = "keep") -> DataF
     return df.withColumn(column, handle_numbers(_text(df, column), strategy))
 
 
-def tokenize(df: DataFrame, column: str, token_type: str = "word", lang: str = "english") -> DataFrame:
-    """Texts to arrays of words or of sentences; the rules are the same for every language."""
+def tokenize(
+    df: DataFrame, column: str, token_type: str = "word", lang: str = "english", model: SentenceModel | None = None
+) -> DataFrame:
+    """Texts to arrays of words or of sentences.
+
+    The rules of words are the same for every language.  Sentences follow abbreviations and starters that
+    ``model`` has, or that are learned from the column itself.
+    """
     if token_type == "word":
         return df.withColumn(column, tokens(_text(df, column)))
     if token_type == "sentence":
-        return df.withColumn(column, sentences(_text(df, column)))
+        text = _text(df, column)
+        model = model or learn_sentences(df.select(text.alias("text")), "text")
+        return df.withColumn(column, sentence_tokens(text, model))
     raise ValueError(f"unknown kind of token: {token_type}")
 
 

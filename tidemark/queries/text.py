@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text
 from ..functions.storage import spread
-from ..operators import language, text_diagnosis, text_steps, vocabulary
+from ..operators import language, sentences, text_diagnosis, text_steps, vocabulary
 from . import stem_sql
 from .registry import query, rounded, table
 
@@ -82,13 +82,65 @@ def t4(spark, folder):
     return df.select("doc_id", F.size("text").alias("n"), text.as_text(F.col("text")).alias("tokens"))
 
 
-@query(
-    "t5_sentence_tokens",
-    f"""with t as (select conv_id, turn, {sentences_sql('text')} as s from conversations)
-  select conv_id, turn, cast(len(s) as integer) as n, array_to_string(s, ' | ') as sentences from t""",
-)
+# Abbreviations are planted where conversations join words, so that the corpus has some to learn.
+PLANTED = [(" and ", " resp. "), (" und ", " bzw. "), (" et ", " p.ex. "), (" y ", " approx. ")]
+
+
+def _planted_sql(x: str) -> str:
+    for a, b in PLANTED:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def _sentence_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    space, closers = text.SPACE_CLASS, quoted(sentences.CLOSERS)
+    stop = rf"'\.{closers}*$'"
+    kind = lambda w: rf"regexp_replace(lower(regexp_replace({w}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g')), '\.$', '')"
+    log = lambda x: f"ln(greatest({x}, 1e-12))"
+    one = lambda hits, misses, share: f"(({hits}) * {log(share)} + ({misses}) * {log(f'1 - ({share})')})"
+    first = lambda s: rf"regexp_extract({s}, '^[{space}]*([^{space}]+)', 1)"
+    last = lambda s: rf"regexp_extract({s}, '([^{space}]+)[{space}]*$', 1)"
+    within = f"(regexp_matches(l, {stop}) and (list_contains((select list(type) from abbreviations), {kind('l')}) or regexp_matches({kind('l')}, '^\\p{{L}}$')))"
+    return rf"""
+  with c as materialized (select conv_id, turn, {_planted_sql('text')} as text from conversations),
+  w as (select unnest(regexp_split_to_array(text, '[{space}]+')) as w from c),
+  counts as materialized (select {kind('w')} as type, cast(sum(case when regexp_matches(w, {stop}) then 1 else 0 end) as double) as stops,
+             cast(count(*) as double) as total from w where w <> '' group by all),
+  sums as materialized (select sum(stops) as s, sum(total) as n from counts),
+  scored as (select type, 2 * ({one('stops', 'total - stops', str(sentences.SHARE_OF_STOPS))} - {one('stops', 'total - stops', 's / n')})
+               * exp(-signs) * (length(type) - signs + 1) * pow(signs, -(total - stops)) as score
+    from (select *, length(replace(type, '.', '')) as signs from counts), sums where stops > 0 and regexp_matches(type, '\p{{L}}')),
+  abbreviations as materialized (select type from scored where score >= {sentences.LEAST_ABBREVIATION}),
+  parts as (select conv_id, turn, regexp_extract_all(text, '[\s\S]+?(?:[.!?]{closers}*[{space}]+|$)') as p from c),
+  placed as materialized (select conv_id, turn, generate_subscripts(p, 1) as i, unnest(p) as s from parts),
+  ends as materialized (select *, {last('s')} as l, lead(s) over (partition by conv_id, turn order by i) as after from placed),
+  pairs as materialized (select *, {first('after')} as f, {within} as inside from ends),
+  after as materialized (select {kind('f')} as type, cast(count(*) as double) as a from pairs
+                          where after is not null and not inside and not regexp_matches(f, '^\p{{Ll}}') group by all),
+  breaks as materialized (select sum(a) as b from after),
+  starters as materialized (select type from (select counts.type, total, least(a, total) as h, n, b, a from counts join after using (type), sums, breaks
+      where regexp_matches(counts.type, '^\p{{L}}+$')) where a / b > total / n and
+      2 * ({one('h', 'b - h', 'h / b')} + {one('total - h', 'n - b - total + h', '(total - h) / greatest(n - b, 1)')}
+           - {one('h', 'b - h', 'total / n')} - {one('total - h', 'n - b - total + h', 'total / n')}) >= {sentences.LEAST_STARTER}),
+  flagged as (select *, case when after is null then true
+       when inside then regexp_matches(f, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') and list_contains((select list(type) from starters), {kind('f')})
+       else not regexp_matches(f, '^\p{{Ll}}') end as last from pairs),
+  grouped as (select *, coalesce(sum(case when last then 1 else 0 end) over (partition by conv_id, turn order by i
+       rows between unbounded preceding and 1 preceding), 0) as g from flagged),
+  made as (select conv_id, turn, g, regexp_replace(string_agg(s, '' order by i), '{text.OUTER_SPACE}', '', 'g') as sentence from grouped group by all),
+  joined as (select conv_id, turn, cast(count(*) as integer) as n, string_agg(sentence, ' | ' order by g) as sentences
+             from made where sentence <> '' group by all)
+  select c.conv_id, c.turn, coalesce(n, 0) as n, coalesce(sentences, '') as sentences from c left join joined using (conv_id, turn)"""
+
+
+@query("t5_sentence_tokens", _sentence_sql())
 def t5(spark, folder):
-    df = text_steps.tokenize(table(spark, folder, "conversations"), "text", "sentence")
+    planted = F.col("text")
+    for a, b in PLANTED:
+        planted = F.replace(planted, F.lit(a), F.lit(b))
+    df = table(spark, folder, "conversations").select("conv_id", "turn", planted.alias("text"))
+    df = text_steps.tokenize(df, "text", "sentence")
     return df.select("conv_id", "turn", F.size("text").alias("n"), F.array_join("text", " | ").alias("sentences"))
 
 
