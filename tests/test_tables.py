@@ -164,3 +164,26 @@ def test_target_model(spark):
     model = features.fit_target(df, "y", ["id"], names=["decision_tree"])
     assert model.predict(df).where("prediction <> y").count() == 0
     assert model.importances(spark).first()["feature"] == "x"
+
+
+def test_line_pixels(spark):
+    import random
+
+    rng = random.Random(1)
+    data = [(float(i) if i % 50 else None, rng.gauss(0, 1) if i % 31 else None) for i in range(1, 2000)] + [(5.0, 99.0), (float("nan"), 1.0)]
+    df = spark.createDataFrame(data, "x double, y double")
+    shown = charts.line_pixels(df, "x", "y", 40)
+    got = rows(shown)
+    assert len(got) <= 160 and (0, 5.0, 99.0) in got
+    points = [(x, y) for x, y in data if x is not None and y is not None and x == x]
+    low, high = min(points)[0], max(points)[0]
+    want = set()
+    for p in range(40):
+        mine = [q for q in points if min(int((q[0] - low) / (high - low) * 40), 39) == p]
+        if mine:
+            want |= {(p, *q) for q in (min(mine), max(mine), min(mine, key=lambda q: (q[1], q[0])), max(mine, key=lambda q: (q[1], q[0])))}
+    assert set(got) == want
+    dates = spark.sql("select date'2024-01-01' + cast(id as int) as d, id as v from range(10)")
+    assert charts.line_pixels(dates, "d", "v", 5).count() <= 20
+    assert charts.line_pixels(df.limit(0), "x", "y").count() == 0
+    assert rows(charts.line_pixels(spark.createDataFrame([(2, 3)], "x int, y int"), "x", "y")) == [(0, 2.0, 3.0)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels, text as t
 from tidemark.functions.stemming import stem_english, stem_porter, stem_russian
-from tidemark.operators import language, sentences, text_diagnosis, text_steps, vocabulary
+from tidemark.operators import language, lemma_rules, sentences, text_diagnosis, text_steps, vocabulary
 
 # words and stems as published with the algorithms
 ENGLISH = {
@@ -229,3 +229,31 @@ def test_sentences_of_an_empty_corpus(spark):
     model = sentences.learn_sentences(df, "text")
     assert model.abbreviations == model.starters == []
     assert [r[1] for r in rows(df.select("id", sentences.sentence_tokens(F.col("text"), model)), "id")] == [[], None]
+
+
+def test_lemmas_of_held_out_forms(spark):
+    """Rules learned from half of a planted table give the lemmas of the other half."""
+    rng = random.Random(5)
+    syllables = "ka lo mi ru te sa no vi de pu".split()
+    table = []
+    for _ in range(900):
+        stem = "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) + rng.choice("bdgklmnprt")
+        table += rng.choice([[(stem + "s", stem)], [(stem + "ies", stem + "y")], [(stem + "ing", stem), (stem + "ed", stem)], [(stem, stem)]])
+    table = sorted(set(table))
+    held = [p for i, p in enumerate(table) if i % 2]
+    df = spark.createDataFrame([p for i, p in enumerate(table) if i % 2 == 0], "form string, lemma string")
+    rules = lemma_rules.learn_lemma_rules(df)
+    assert {r["ending"]: (r["off"], r["put"]) for r in rules.collect() if r["ending"] in ("ies", "ing")} == {"ies": (3, "y"), "ing": (3, "")}
+    asked = spark.createDataFrame(held, "form string, lemma string")
+    right = asked.where(lemma_rules.apply_lemma_rules(F.col("form"), rules) == F.col("lemma")).count()
+    assert right > 0.97 * len(held)
+    texts = column(spark, [" ".join(f for f, _ in held[:20]), None, ""])
+    got = rows(vocabulary.lemmatize_text(texts, "text", ["id"], df, "english", guess=True), "id")
+    want = asked.limit(20).select(lemma_rules.apply_lemma_rules(F.col("form"), rules)).collect()
+    assert [g[1] for g in got] == [" ".join(r[0] for r in want), None, ""]
+
+
+def test_no_rules(spark):
+    df = spark.createDataFrame([], "form string, lemma string")
+    got = column(spark, ["cats"]).select(lemma_rules.apply_lemma_rules(F.col("text"), lemma_rules.learn_lemma_rules(df)))
+    assert rows(got) == [("cats",)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import as_double, cleaned, numeric_columns, ref
 
@@ -63,6 +64,34 @@ def line(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
+def line_pixels(df: DataFrame, x: str, y: str, width: int = 800) -> DataFrame:
+    """The points that a line chart of so many pixel columns shows: ``pixel``, ``x``, ``y``, at most 4 a column.
+
+    Of each column the first, last, least and greatest point, whatever the number of different values of
+    ``x``; the drawn line is that of all points.  ``x`` is a number or a time (in seconds).  One aggregation
+    finds the range of ``x``, another the points; only these are sorted.
+    """
+    kind = df.schema[x].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        across = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ref(x)) / 1_000_000
+    elif isinstance(kind, T.TimestampType):
+        across = ref(x).cast("double")
+    else:
+        across = F.unix_date(ref(x)).cast("double") * 86_400 if isinstance(kind, T.DateType) else as_double(df, x)
+    points = df.select(across.alias("x"), as_double(df, y).alias("y")).where("x is not null and y is not null and not isnan(x)")
+    low, high = points.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        low = high = 0.0
+    span = F.lit(high - low if high > low else 1.0)
+    pixel = F.least(F.floor((F.col("x") - F.lit(low)) / span * width), F.lit(width - 1)).cast("int")
+    by_x, by_y = F.struct("x", "y"), F.struct("y", "x")
+    shown = points.groupBy(pixel.alias("pixel")).agg(
+        F.min(by_x).alias("first"), F.max(by_x).alias("last"), F.min(by_y).alias("least"), F.max(by_y).alias("most")
+    )
+    four = F.array(*[F.struct(F.col(f"{p}.x").alias("x"), F.col(f"{p}.y").alias("y")) for p in ("first", "least", "most", "last")])
+    return shown.select("pixel", F.explode(F.array_distinct(four)).alias("p")).select("pixel", "p.x", "p.y").orderBy("pixel", "x", "y")
+
+
 def pie(df: DataFrame, column: str, most: int = 10) -> DataFrame:
     """Count and share of present cells per value; refused for more than ``most`` values."""
     counted = (

@@ -17,6 +17,7 @@ from ..functions.lookup import lookup_join
 from ..functions.stemming import STEMMERS, stem_tokens
 from ..functions.storage import settle
 from ..functions.text import as_text, language_name, tokens
+from .lemma_rules import apply_lemma_rules, learn_lemma_rules
 
 
 def token_column(df: DataFrame, column: str, lower: bool = True) -> Column:
@@ -84,12 +85,26 @@ def stem_text(df: DataFrame, column: str, key: Sequence[str] = (), lang: str = "
 
 
 def lemmatize_text(
-    df: DataFrame, column: str, key: Sequence[str], lemmas: DataFrame, lang: str = "russian", out: str | None = None
+    df: DataFrame, column: str, key: Sequence[str], lemmas: DataFrame, lang: str = "russian", out: str | None = None, guess: bool = False
 ) -> DataFrame:
-    """Lowercase, tokenise, replace by the lemma of the table (lang, form, lemma), join with blanks."""
+    """Lowercase, tokenise, replace by the lemma of the table (lang, form, lemma), join with blanks.
+
+    With ``guess`` words that the table has neither as form nor as lemma get the lemma that rules learned
+    from the table give them; otherwise they stay.
+    """
     check_columns(df, key)
     own = lemmas.where(F.col("lang") == language_name(lang)) if "lang" in lemmas.columns else lemmas
-    rows = with_lemmas(_spread(df, column), "word", own)
+    if guess:
+        # a lemma is its own form, unless the table says otherwise
+        own = settle(own.select("form", "lemma"), "lemmas")
+        bare = own.select(F.col("lemma").alias("form"), "lemma").join(own.select("form"), "form", "left_anti").distinct()
+        own = own.unionByName(bare)
+        forms = own.groupBy(F.col("form").alias("word")).agg(F.min("lemma").alias("__lemma"))
+        met = lookup_join(_spread(df, column), settle(forms, "lemmas"), ["word"])
+        rules = apply_lemma_rules(F.col("word"), learn_lemma_rules(own))
+        rows = met.withColumn("lemma", F.when(F.col("__lemma").isNull(), rules).otherwise(F.col("__lemma")))
+    else:
+        rows = with_lemmas(_spread(df, column), "word", own)
     return _replace_text(df, column, _rejoin(rows, "lemma"), out or column)
 
 

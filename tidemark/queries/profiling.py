@@ -320,6 +320,20 @@ def v4(spark, folder):
     return rounded(charts.line(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice"), 6, "mean_y")
 
 
+@query(
+    "v4_line_pixels",
+    """with p as (select epoch(ts) as x, value as y from events where value is not null),
+  r as (select min(x) as l, max(x) as h from p),
+  c as (select cast(least(floor((x - l) / (h - l) * 200), 199) as integer) as pixel, x, y from p, r),
+  f as (select pixel, min({'x': x, 'y': y}) as a, max({'x': x, 'y': y}) as b, min({'y': y, 'x': x}) as c, max({'y': y, 'x': x}) as d
+        from c group by pixel)
+  select pixel, a.x as x, a.y as y from f union select pixel, b.x, b.y from f union select pixel, c.x, c.y from f
+  union select pixel, d.x, d.y from f""",
+)
+def v4_pixels(spark, folder):
+    return charts.line_pixels(table(spark, folder, "events"), "ts", "value", 200)
+
+
 @query(
     "v5_pie",
     """select l_returnflag as value, count(*) as n, round(count(*) / (select count(*) from lineitem), 6) as share

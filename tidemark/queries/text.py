@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text
 from ..functions.storage import spread
-from ..operators import language, sentences, text_diagnosis, text_steps, vocabulary
+from ..operators import language, lemma_rules, sentences, text_diagnosis, text_steps, vocabulary
 from . import stem_sql
 from .registry import query, rounded, table
 
@@ -239,6 +239,41 @@ def t9(spark, folder):
     )
 
 
+# Half of the forms, by a hash, are known; the others get their lemmas by rules.
+KNOWN = """known as materialized (select form, min(lemma) as lemma from lemmas
+    where cast('0x' || substr(md5(form), 1, 4) as integer) % 2 = 0 group by form),
+  own as materialized (select * from known union all
+    select distinct lemma, lemma from known where lemma not in (select form from known))"""
+RULES = f"""e as (select form, length(form) - same as off, substr(lemma, same + 1) as put from (
+    select *, len(list_filter(range(1, least(length(form), length(lemma)) + 1), lambda i: left(form, i) = left(lemma, i))) as same from own)),
+  s as (select *, unnest(range(greatest(off, 1), least(length(form) - {lemma_rules.LEAST_STEM}, {lemma_rules.LONGEST}) + 1)) as size from e),
+  k as (select right(form, size) as ending, off, put, count(*) as forms from s group by all),
+  b as (select *, sum(forms) over (partition by ending) as total,
+               row_number() over (partition by ending order by forms desc, off, put) as nth from k),
+  good as materialized (select ending, off, put from b where nth = 1 and forms >= {lemma_rules.LEAST_FORMS} and forms / total >= {lemma_rules.LEAST_SHARE}),
+  met as (select g.ending, arg_max({{'o': h.off, 'p': h.put}}, length(h.ending)) as n
+          from good g join good h on length(h.ending) < length(g.ending) and right(g.ending, length(h.ending)) = h.ending group by g.ending),
+  rules as materialized (select good.* from good left join met using (ending)
+    where case when n is null then off > 0 or put <> '' else n.o <> off or n.p <> put end)"""
+
+
+@query(
+    "t9_lemmatize_unknown",
+    FORMS
+    + f""", {KNOWN}, {RULES}, t as (select doc_id, {tokens_sql('lower(text)')} as ws from documents),
+  r as (select doc_id, generate_subscripts(ws, 1) as pos, unnest(ws) as word from t),
+  dw as (select distinct word from r),
+  guess as (select word, arg_max(left(word, length(word) - off) || put, length(ending)) as lemma from dw join rules
+            on right(word, length(ending)) = ending and length(word) >= length(ending) + {lemma_rules.LEAST_STEM} group by word),
+  made as (select word, coalesce(own.lemma, guess.lemma, word) as lemma from dw left join own on own.form = dw.word left join guess using (word)),
+  j as (select doc_id, string_agg(lemma, ' ' order by pos) as text from r join made using (word) group by doc_id)
+  select t.doc_id, coalesce(j.text, '') as text from t left join j on j.doc_id = t.doc_id""",
+)
+def t9_unknown(spark, folder):
+    known = plural_lemmas(spark, folder).where(F.conv(F.substring(F.md5(F.col("form")), 1, 4), 16, 10).cast("int") % 2 == 0)
+    return vocabulary.lemmatize_text(_documents(spark, folder), "text", ["doc_id"], known, "english", guess=True)
+
+
 @query(
     "t10_text_steps",
     rf"""with a as (select page_id, regexp_replace(html, '<[^>]+>', '', 'g') as x from pages),
