@@ -18,18 +18,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from .atoms import ragged
 from .common import col, lookup, settle, slices, table, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 500_000
-CACHED_LENGTH = 64
+CACHED_WORDS = 600_000
+CACHED_IDS = 4_000_000
+LEARNED = 20_000  # words encoded in one call
 SPECIAL = "<|"  # how special tokens begin; they are told by their case and all their signs
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 _SHIFT = 40
@@ -56,47 +59,68 @@ def _parts(word: str) -> tuple[str, str]:
     return (core, word[len(core) :]) if core and core[-1] <= "\u00ff" and core[-1].isalnum() else (word, "")
 
 
+class Words:
+    """Ids of the different words that a worker met, all in one array; numbers hold until the next look-up."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def look_up(self, names: list[str]) -> np.ndarray:
+        """Numbers of different words; new ones are encoded in few calls, without the signs at their end."""
+        if len(self.number) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
+            self.clear()
+        number = self.number
+        new = [w for w in names if w not in number]
+        parts = [_parts(w) for w in new]
+        missing = list({x for p in parts for x in p}.difference(number))
+        for at in range(0, len(missing), LEARNED):
+            some = missing[at : at + LEARNED]
+            made = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            self._add(some, np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(some)))
+        both = [(w, p) for w, p in zip(new, parts, strict=True) if p[1]]
+        if both:
+            code = np.array([number[x] for _, p in both for x in p], np.int64)
+            self._add([w for w, _ in both], self.gather(code), self.count(code).reshape(-1, 2).sum(axis=1))
+        return np.array([number[w] for w in names], np.int64)
+
+    def _add(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count)])
+
+    def count(self, code: np.ndarray) -> np.ndarray:
+        return self.first[code + 1] - self.first[code]
+
+    def gather(self, code: np.ndarray) -> np.ndarray:
+        return self.ids[ragged(self.first[code], self.count(code))]
+
+
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit numbers.
 
-    No piece of this kind of vocabulary spans a blank, so the ids of each different word are made once
-    and looked up; new words are encoded in one call.
+    No piece of this kind of vocabulary spans a blank, so the texts of a slice are split at blanks, its
+    different words are looked up once, and the ids are gathered for all places together.
     """
-    from tokenizers import Tokenizer
-
     cache = worker_cache()
-    if cache.get("tokenizer_path") != path:
-        cache["tokenizer_path"], cache["tokenizer"], cache["ids"] = path, Tokenizer.from_file(path), {}
-    tokenizer = cache["tokenizer"]
-
-    def learn(known: dict[str, bytes], words: list[str]) -> None:
-        made = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, "<u4")
-        at = 4 * np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(words) + 1))
-        data = ids.tobytes()
-        for w, a, b in zip(words, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            known[w] = data[a:b]
+    if cache.get("words_path") != path:
+        cache["words_path"], cache["words"] = path, Words(path)
+    words: Words = cache["words"]
 
     def encode(texts: list[str]) -> list[bytes]:
-        known = cache["ids"]
-        split = [_plain(t).replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > CACHED_WORDS:
-            known = cache["ids"] = {}
-            new = set().union(*split)
-        parts = {w: _parts(w) for w in new}
-        missing = list({x for p in parts.values() for x in p}.difference(known, ("",)))
-        if missing:
-            learn(known, missing)
-        known[""] = b""
-        for w, (core, signs) in parts.items():
-            known[w] = known[core] + known[signs]
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                known.pop(w, None)
-                known.pop(parts[w][0], None)
-        return out
+        lists = pc.split_pattern(pa.array([_plain(t).replace("\n", " ") for t in texts], pa.string()), " ")
+        names = pc.list_flatten(lists).dictionary_encode()
+        code = words.look_up(names.dictionary.to_pylist())[names.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+        size = np.concatenate([[0], np.cumsum(words.count(code))])
+        places = 4 * size[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
+        data = words.gather(code).astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
 
     return encode
 
