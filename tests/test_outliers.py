@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from tidemark.operators import forest, lof, outliers as o
 
@@ -129,3 +130,17 @@ def test_auto_choice_log(spark):
     kept, log = o.compare_removals(spark.createDataFrame(data, "x double"), methods=["IQR", "Z-Score"])
     assert kept.count() == 100
     assert [(r["method"], r["chosen"]) for r in log.collect()] == [("IQR", True), ("Z-Score", False)]
+
+
+def test_forest_does_not_depend_on_the_layout(spark):
+    """The same forest from 1 and from 40 partitions, also where rows are drawn and a third of them are copies."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 2))
+    x[:300] = x[0]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double")
+    made = [forest.fit_forest(d, ["a", "b"], trees=4, sample=32)[0] for d in (df.repartition(1), df.orderBy("b").repartition(40))]
+    for one, other in zip(*made):
+        assert all((one[k] == other[k]).all() for k in one)
+    pool = forest._draw(df.groupBy(F.col("a").alias("x0"), F.col("b").alias("x1")).agg(F.count("*").alias("n")), ["x0", "x1"], 42, 0.4)
+    copies = (pool == x[0]).all(axis=1).mean()
+    assert 280 < len(pool) < 440 and 0.25 < copies < 0.42

@@ -1,11 +1,14 @@
 """Isolation forest (Liu, Ting, Zhou 2008).
 
-Each tree needs only 256 rows, so the sample is bounded whatever the table size.  One group per tree
-builds the trees in parallel; the nodes are broadcast as arrays and score batches of rows.
+Each tree needs only 256 rows, so the sample is bounded whatever the table size.  Which rows are
+drawn, and the column and cut of a node, come from hashes of the rows and of the node's place.  So the forest depends on the rows alone,
+not on files or partitions.  Copies count: a row with n copies is drawn n times as often.  Trees are built in
+parallel; the nodes are broadcast as arrays and score batches of rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -33,15 +36,19 @@ def mean_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def chance(*parts: object) -> float:
+    """A number from 0 to 1 by the hash of some values."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 16.0**13
+
+
 def _isolate(points: np.ndarray, tree: int, seed: int) -> list[tuple]:
-    """Nodes of one tree; ``path`` is the expected depth at a leaf."""
-    rng = np.random.default_rng([seed, tree])
+    """Nodes of one tree; ``path`` is the expected depth at a leaf.  A node's way (1, then L and R) names its draws."""
     deepest = math.ceil(math.log2(max(2, len(points))))
     nodes: list[list] = []
-    todo = [(points, 0, -1, 0)]
+    todo = [(points, "1", -1, 0)]
     while todo:
-        part, depth, parent, side = todo.pop()
-        at = len(nodes)
+        part, way, parent, side = todo.pop()
+        at, depth = len(nodes), len(way) - 1
         if parent >= 0:
             nodes[parent][4 + side] = at
         low, high = part.min(axis=0), part.max(axis=0)
@@ -49,11 +56,11 @@ def _isolate(points: np.ndarray, tree: int, seed: int) -> list[tuple]:
         if depth >= deepest or len(part) <= 1 or not len(wide):
             nodes.append([tree, at, -1, 0.0, -1, -1, depth + mean_path(len(part))])
             continue
-        axis = int(rng.choice(wide))
-        cut = float(rng.uniform(low[axis], high[axis]))
+        axis = int(wide[int(chance(seed, tree, way, "axis") * len(wide))])
+        cut = float(low[axis] + chance(seed, tree, way, "cut") * (high[axis] - low[axis]))
         nodes.append([tree, at, axis, cut, -1, -1, 0.0])
         goes_left = part[:, axis] <= cut
-        todo += [(part[~goes_left], depth + 1, at, 1), (part[goes_left], depth + 1, at, 0)]
+        todo += [(part[~goes_left], way + "R", at, 1), (part[goes_left], way + "L", at, 0)]
     return [tuple(n) for n in nodes]
 
 
@@ -79,29 +86,23 @@ def fit_forest(
     columns = numeric_columns(df, columns)
     xs = [f"x{i}" for i in range(len(columns))]
     rows = df.select(*[as_double(df, c).alias(x) for c, x in zip(columns, xs)]).na.drop()
-    wanted = trees * sample
-    total = rows.count()
+    spark = df.sparkSession
+    counted = settle(rows.groupBy(*xs).agg(F.count("*").alias("n")), "rows")
+    total = counted.agg(F.sum("n")).first()[0] or 0
     if total == 0:
         return [], 0.0
-    # a thinned draw first, so that about three times the wanted rows are ordered, whatever the table size
-    share = min(1.0, 3.0 * wanted / total)
-    thin = rows.withColumn("__draw", F.rand(seed)).where(F.col("__draw") < F.lit(share))
-    drawn = thin.orderBy("__draw").limit(wanted).select(*xs).toPandas()
-    n = len(drawn)
-    size = min(sample, n)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(drawn[xs].to_numpy(dtype=float))
+    pool = _draw(counted, xs, seed, 3.0 * trees * sample / total)
+    size = min(sample, len(pool))
+    shared = spark.sparkContext.broadcast(pool)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = shared.value
+        known = shared.value
         names = [part.split()[0] for part in NODES.split(", ")]
         for batch in batches:
             for tree in batch["id"]:
-                if n >= wanted:
-                    part = pool[tree * size : (tree + 1) * size]
-                else:
-                    part = pool[np.random.default_rng([seed, int(tree), 1]).choice(n, size, replace=False)]
-                yield pd.DataFrame(_isolate(part, int(tree), seed), columns=names)
+                # the drawn rows are in the order of their values, so that this draw depends on them alone
+                mine = np.random.default_rng([seed, int(tree)]).choice(len(known), size, replace=False)
+                yield pd.DataFrame(_isolate(known[mine], int(tree), seed), columns=names)
 
     nodes = spark.range(trees).repartition(min(trees, 64)).mapInPandas(build, NODES).toPandas()
     grown = []
@@ -111,13 +112,38 @@ def fit_forest(
     return grown, mean_path(size)
 
 
-def forest_scores(df: DataFrame, columns: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+def _draw(counted: DataFrame, xs: list[str], seed: int, share: float) -> np.ndarray:
+    """About the given share of all rows (all, from 1 on), in the order of their values; a bounded number.
+
+    The copies of a row that are drawn are a binomial number, whose draw is seeded by the row's hash.
+    """
+    if share < 1:
+        code = F.xxhash64(F.lit(seed), *xs).alias("h")
+
+        def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                first = batch["h"].to_numpy().view(np.uint64) >> np.uint64(11)
+                # a single row needs no generator of its own
+                drawn = (first / 2.0**53 < share).astype(np.int64)
+                n = batch["n"].to_numpy()
+                for i in np.flatnonzero(n > 1):
+                    drawn[i] = np.random.default_rng([seed, int(first[i])]).binomial(n[i], share)
+                yield batch.assign(n=drawn)[drawn > 0].drop(columns="h")
+
+        schema = ", ".join([*(f"{x} double" for x in xs), "n bigint"])
+        counted = counted.select(*xs, "n", code).mapInPandas(copies, schema)
+    drawn = counted.toPandas()  # about three rows for each that the trees take
+    rows = np.repeat(drawn[xs].to_numpy(dtype=float), drawn["n"].to_numpy(), axis=0)
+    return rows[np.lexsort(rows.T[::-1])]
+
+
+def forest_scores(df: DataFrame, columns: Sequence[str] | None = None, seed: int = 42, trees: int = TREES) -> DataFrame:
     """The table with ``isolation``: minus the anomaly score, lower is more isolated; NULL if cells are missing."""
     columns = numeric_columns(df, columns)
-    trees, scale = fit_forest(df, columns, seed)
-    if not trees:
+    grown, scale = fit_forest(df, columns, seed, trees)
+    if not grown:
         return df.withColumn("isolation", F.lit(None).cast("double"))
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    shared = df.sparkSession.sparkContext.broadcast(grown)
 
     @F.pandas_udf(T.DoubleType())
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:

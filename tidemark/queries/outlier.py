@@ -55,6 +55,37 @@ def o4(spark, folder):
     return forest.remove_isolated(spread(spiked_lineitem(spark, folder)), COLUMNS)
 
 
+FOREST_TREES, FOREST_LEVELS = 10, 5  # nations are at most 2 to the 5th
+
+
+def _forest_sql() -> str:
+    """Trees over all points: draws are hashes of tree and way, so that SQL can make them too."""
+    draw = lambda kind: f"cast('0x' || substr(md5('42|' || tree || '|' || way || '|{kind}'), 1, 13) as bigint) / pow(16, 13)"
+    path = "case when n <= 1 then 0 when n = 2 then 1 else 2 * (ln(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n::double end"
+    views, leaves = ["p0 as (select t.range as tree, '1' as way, id from range({}) t, x)".format(FOREST_TREES)], []
+    for d in range(FOREST_LEVELS + 1):
+        views.append(f"""s{d} as (select tree, way, count(*) as n, [min(x0), min(x1)] as low, [max(x0), max(x1)] as high,
+            list_filter([1, 2], lambda i: ([max(x0), max(x1)])[i] > ([min(x0), min(x1)])[i]) as wide from p{d} join x using (id) group by all)""")
+        views.append(f"""c{d} as (select *, ({d} >= (select deepest from size) or n <= 1 or len(wide) = 0) as leaf,
+            wide[1 + cast(floor({draw('axis')} * len(wide)) as integer)] as axis, {draw('cut')} as share from s{d})""")
+        leaves.append(f"select p{d}.tree, id, {d} + {path} as path from p{d} join c{d} on p{d}.tree = c{d}.tree and p{d}.way = c{d}.way where leaf")
+        views.append(f"""p{d + 1} as (select p{d}.tree, p{d}.way || case when ([x0, x1])[axis] <= low[axis] + share * (high[axis] - low[axis])
+            then 'L' else 'R' end as way, id from p{d} join c{d} on p{d}.tree = c{d}.tree and p{d}.way = c{d}.way join x using (id) where not leaf)""")
+    return f"""with x as materialized (select c_nationkey as id, cast(count(*) as double) as x0, round(avg(c_acctbal), 2) as x1 from customer group by 1),
+  size as (select ceil(log2(greatest(2, count(*)))) as deepest, cast(count(*) as double) as n from x), {', '.join(views)},
+  leaves as ({' union all '.join(leaves)})
+  select id, round(-pow(2, -avg(path) / any_value((select {path} from size))), 8) as isolation from leaves group by id"""
+
+
+@query("o4_forest_scores", _forest_sql())
+def o4_scores(spark, folder):
+    points = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(
+        F.count("*").cast("double").alias("x0"), F.round(F.avg("c_acctbal"), 2).alias("x1")
+    )
+    scored = forest.forest_scores(points, ["x0", "x1"], trees=FOREST_TREES)
+    return scored.select("id", F.round("isolation", 8).alias("isolation"))
+
+
 LOF = """
   with r as (select %(key)s as id, %(x)s as x, %(y)s as y from %(table)s),
   l as (select p.id as p, min({'dist': sqrt((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)),
