@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from helpers import rows
 
@@ -62,3 +64,31 @@ def test_diagnosis_honours_flags(spark):
     assert {r["section"] for r in only.collect()} == {"duplicates"}
     none = diagnosis.diagnose(df, check_alerts=False, check_missing=False, check_abnormal=False, check_scaling=False, check_duplicates=False)
     assert none.count() == 0
+
+
+def jobs(spark, action):
+    """Jobs that an action starts."""
+    name = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_the_log_needs_no_jobs_of_its_own(spark):
+    """Each step is one write; the rows of the input are counted once, those of the steps on the way."""
+    from tidemark.functions.storage import settle
+
+    df = settle(sample(spark))
+    steps = [0, 0, 0]
+
+    def plain():
+        data = df
+        for step in steps:
+            name, run, options = prepare.resolve(step)
+            data = settle(run(data, **options), name)
+
+    alone, logged, counted = jobs(spark, plain), jobs(spark, lambda: prepare.prepare_logged(df, steps)), jobs(spark, df.count)
+    assert logged == alone + counted

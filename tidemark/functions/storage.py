@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,3 +59,10 @@ def settle(df: DataFrame, label: str = "part") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_counted(df: DataFrame, label: str = "part") -> tuple[DataFrame, int]:
+    """As ``settle``, with the number of rows, which the writing job counts on its way."""
+    seen = Observation()
+    written = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return written, seen.get["rows"]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, ref, tidy
-from ..functions.storage import settle
+from ..functions.storage import settle, settle_counted
 from ..operators import duplicates, missing, outliers, scaling
 
 Step = int | str | tuple[int | str, Mapping[str, object]]
@@ -55,9 +55,9 @@ def auto_prepare(
     numbers = numeric_columns(df, columns)
     others = [c for c in df.columns if c not in numeric_columns(df)]
     data = tidy(df)
-    before = data.count()
-    unique = settle(duplicates.drop_duplicates(data), "unique")
-    after = unique.count()
+    seen = Observation()  # rows are counted by the jobs that write them
+    unique, after = settle_counted(duplicates.drop_duplicates(data.observe(seen, F.count(F.lit(1)).alias("rows"))), "unique")
+    before = seen.get["rows"]
     if before > after:
         data = unique
     lines.append(LogLine("drop_duplicates", "remove duplicate rows", before, after, before > after))
@@ -75,10 +75,9 @@ def auto_prepare(
             for r in tried.collect():  # one row per method
                 told = f"{r['method']}: skew score {r['skew_score']:.6g}" + (", chosen" if r["chosen"] else "")
                 lines.append(LogLine("compare_removals", told, after, r["rows_kept"], r["chosen"]))
-            data = settle(data, "kept")
         else:
-            data = settle(outliers.remove_outliers(data, outlier_method, numbers, exact=exact), "kept")
-        kept = data.count()
+            data = outliers.remove_outliers(data, outlier_method, numbers, exact=exact)
+        data, kept = settle_counted(data, "kept")
     lines.append(LogLine("remove_outliers", f"remove outliers by {outlier_method}", after, kept, bool(far)))
 
     wide = bool(numbers) and _value(scaling.needs_normalizing(data, numbers))
@@ -142,13 +141,12 @@ def prepare(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def prepare_logged(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, DataFrame]:
-    """As ``prepare``, with a log of the rows before and after each step."""
+    """As ``prepare``, with a log of the rows before and after each step, counted by the jobs that write them."""
     lines = []
     rows = df.count()
     for step in steps:
         name, run, options = resolve(step)
-        df = settle(run(df, **options), name)
-        left = df.agg(F.count("*")).first()[0]
+        df, left = settle_counted(run(df, **options), name)
         lines.append(LogLine(name, describe(step), rows, left, True))
         rows = left
     return df, log_table(df, lines)
