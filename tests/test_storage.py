@@ -31,3 +31,14 @@ def test_own_disks_are_refused_as_shared_folder(spark, master):
 @pytest.mark.parametrize("master", ["local", "local[8]", "local[*]"])
 def test_one_machine_may_use_its_warehouse(spark, master):
     assert storage.shared_dir(as_if(spark, master, spark_sql_warehouse_dir="/tmp/warehouse")) == "file:/tmp/warehouse/_tidemark"
+
+
+def test_release_deletes_the_table(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    written = storage.settle(spark.range(5).toDF("x"))
+    path = Path(urlparse(written._settled_at).path)
+    assert written.count() == 5 and path.exists()
+    storage.release(written)
+    assert not path.exists()

@@ -10,6 +10,7 @@ so later passes read only the columns they use.  Tables stay as long as results
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -58,7 +59,23 @@ def settle(df: DataFrame, label: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._settled_at = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, and with them the shuffle files of finished jobs.
+
+    Spark removes the files of a shuffle when the plan that made it is collected as garbage on the driver,
+    which may be long after its job on a driver with little to do; so a collection is asked for.
+    """
+    context = tables[0].sparkSession.sparkContext
+    for t in tables:
+        path = context._jvm.org.apache.hadoop.fs.Path(t._settled_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
 
 
 def settle_counted(df: DataFrame, label: str = "part") -> tuple[DataFrame, int]:
