@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.storage import new_path, settle
+from ..functions.storage import new_path, release, settle
 
-__all__ = ["new_path", "settle"]
+__all__ = ["new_path", "release", "settle"]
 
 # Executors get the functions of this folder by value: they need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from . import wordcodes
-from .common import annotate, col, fresh, lookup, settle, slices, table
+from .common import annotate, col, fresh, lookup, release, settle, slices, table
 from .components import components
 from .spans import text_key
 
@@ -254,10 +254,10 @@ def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """u, v: links between classes that connect each component."""
+    """u, v: links between classes that connect each component.  ``sets`` is released on the way."""
     # one row per class: of copies that with the smallest id
     copies = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).where("c > 1")
-    copies = settle(copies, "copies").withColumnRenamed("class", "_class")
+    copies = settle(copies.withColumnRenamed("class", "_class"), "copies")
     one = lookup(sets.where(F.col("class").isNotNull()), copies, F.col("class") == F.col("_class"))
     one = one.where(F.col("c").isNull() | F.col("id").eqNullSafe(F.col("first"))).drop("_class", "c", "first")
     early = F.slice("t1", F.lit(1), F.size("t1") - F.col("late"))
@@ -271,9 +271,12 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
     stars = lookup(hot, leaders, F.col("token") == F.col("_t"), "inner").where(F.col("class") != F.col("lead"))
     stars = settle(stars.select("lead", "class").distinct(), "stars")
     candidates = settle(met.where("lead is not null").select("lead", "class").unionByName(stars).distinct(), "candidates")
+    release(met, hot, leaders)
     wanted = settle(candidates.select(F.explode(F.array("lead", "class")).alias("_class")).distinct(), "classes")
     known = lookup(one.select("class", "id", "n", "t2", "t3"), wanted, F.col("class") == F.col("_class"), "inner")
     known = settle(known.groupBy("class").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "t2", "t3"))), "known")
+    release(sets, copies, wanted)
+
     def both(frame: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
         for side in ("lead", "class"):
             mine = right.select(F.col("class").alias("_class"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
@@ -286,9 +289,12 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
     near = near.where(fits & F.arrays_overlap("lead_t2", "class_t2") & F.arrays_overlap("lead_t3", "class_t3"))
     common = (F.size(F.array_intersect("lead_t2", "class_t2")) + F.size(F.array_intersect("lead_t3", "class_t3"))) / F.greatest("lead_n", "class_n")
     near = settle(near.select("lead", "class", common.alias("common")), "near")
+    release(candidates)
     # sets are made anew for the classes that are compared; those of a leader may be compared with all others of it
     compared = near.select("lead", "class").unionByName(stars).select(F.explode(F.array("lead", "class")).alias("_class")).distinct()
-    made = _sets_of(docs, key, text, lookup(known.select("class", "id"), settle(compared, "compared"), F.col("class") == F.col("_class"), "inner"), words)
+    compared = settle(compared, "compared")
+    made = _sets_of(docs, key, text, lookup(known.select("class", "id"), compared, F.col("class") == F.col("_class"), "inner"), words)
+    release(known, compared)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """u, v: the pairs that are links; only sets that are compared move."""
@@ -297,7 +303,9 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
         mine = lookup(made, ids, F.col("class") == F.col("_class"), "inner").drop("_class")
         inter = F.size(F.array_intersect("lead_tokens", "class_tokens"))
         same = both(pairs, mine, "tokens").where(_similar(inter, F.size("lead_tokens"), F.size("class_tokens"), percent))
-        return settle(same.select(F.col("lead").alias("u"), F.col("class").alias("v")), "links")
+        same = settle(same.select(F.col("lead").alias("u"), F.col("class").alias("v")), "links")
+        release(pairs, ids)
+        return same
 
     def apart(found: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs with the components of both classes."""
@@ -329,7 +337,8 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
     seekers = group.where("lead_part <> part").select(*columns, F.lit(True).alias("seeks"), spot("left").alias("i"), numbers("all").alias("j"))
     others = group.select(*columns, F.lit(False).alias("seeks"), spot("all").alias("j"), numbers("left").alias("i"))
     blocks = seekers.unionByName(others).join(made.hint("merge"), F.col("name") == F.col("class"))
-    rest = compare_blocks(blocks.select("lead", "i", "j", "class", "part", "seeks", "tokens"), percent)
+    rest = settle(compare_blocks(blocks.select("lead", "i", "j", "class", "part", "seeks", "tokens"), percent), "links")
+    release(made)
     return found.unionByName(rest)
 
 
@@ -361,8 +370,9 @@ def join(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int
     """id, n (size of the set), component (its smallest id), for each row."""
     docs = docs.select(col(key), col(text))
     frequent = frequent_tokens(docs, text, words, percent)
-    sets = describe(docs, key, text, frequent, words, percent)
-    found = components(links(docs, key, text, sets, words, percent))
+    described = describe(docs, key, text, frequent, words, percent)
+    sets = settle(described.select("id", "n", "class"), "classes")
+    found = components(links(docs, key, text, described, words, percent))
     classes = sets.where(F.col("class").isNotNull()).groupBy(F.col("class").alias("_class")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c"))
     roots = found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     roots = settle(roots, "roots")
