@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 
 from .atoms import FIELDS as VALUES
 from .atoms import Atoms, group_sizes, group_texts, public_paths, ragged, split
-from .common import col, settle, slices, table
+from .common import col, settle, slices, small_batches, table
 
 CHUNK_BYTES = 64 << 10
 FAN = 16
@@ -319,6 +319,7 @@ def _fragment_rows(made: list[Fragment], keys: pa.RecordBatch) -> pa.RecordBatch
 
 def align(docs: DataFrame, key: str, text: str, paths: tuple[str, str] | None = None, chunk: int = CHUNK_BYTES) -> DataFrame:
     """A row per document: row (a number), key, ids_a, ids_b, sizes_a, sizes_b (packed), groups_sha256."""
+    small_batches(docs.sparkSession)
     paths = paths or public_paths()
     kinds = packing(vocabulary_sizes(paths))
     schema = StructType().add("row", LongType()).add("key", docs.schema[key].dataType)

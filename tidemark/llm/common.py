@@ -26,6 +26,8 @@ __all__ = ["new_path", "release", "settle"]
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # A lookup table is broadcast up to this measured size; beyond it the join shuffles both sides.
 BROADCAST_BYTES = 16 << 20
 
@@ -50,6 +52,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send at most ``BATCH_BYTES`` of rows (or one row) to a worker at once.
+
+    Spark's own bound is 64 MB, which an executor holds several times over for each of its tasks.
+    """
+    now = spark.conf.get(_BATCH_SETTING, None)
+    if now is not None and (not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES or int(now.rstrip("b")) <= 0):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def worker_cache() -> dict:
     """A dictionary that outlives a task in a Python worker that is used again."""
     return sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
@@ -78,16 +90,20 @@ Worker = Callable[[list[pa.Array]], list[pa.Array]]
 
 
 def annotate(
-    df: DataFrame, inputs: dict[str, Column], added: StructType, make: Callable[[], Worker], keep: list[str]
+    df: DataFrame, inputs: dict[str, Column | str], added: StructType, make: Callable[[], Worker], keep: list[str]
 ) -> DataFrame:
     """Keep the columns ``keep`` and add those that the worker computes from the inputs.
 
-    ``make`` runs once in each task; its result gets the input arrays of a slice and returns the
+    An input is an expression, or the name of a kept column, which is sent once.  ``make`` runs once in each task; its result gets the input arrays of a slice and returns the
     added arrays.  Names of added columns must not be among the kept ones.
     """
-    names = fresh(df, *(f"_in{i}" for i in range(len(inputs))))
-    source = df.select(*(col(c) for c in keep), *(x.alias(n) for n, x in zip(names, inputs.values(), strict=True)))
+    small_batches(df.sparkSession)
+    more = [x for x in inputs.values() if not isinstance(x, str)]
+    names = fresh(df, *(f"_in{i}" for i in range(len(more))))
+    source = df.select(*(col(c) for c in keep), *(x.alias(n) for n, x in zip(names, more, strict=True)))
     kept = len(keep)
+    after = iter(range(kept, kept + len(more)))
+    places = [keep.index(x) if isinstance(x, str) else next(after) for x in inputs.values()]
     out = StructType([df.schema[c] for c in keep] + list(added.fields))
     titles = out.names
 
@@ -96,7 +112,7 @@ def annotate(
         for batch in batches:
             for part in slices(batch):
                 columns = part.columns
-                yield pa.RecordBatch.from_arrays([*columns[:kept], *worker(columns[kept:])], titles)
+                yield pa.RecordBatch.from_arrays([*columns[:kept], *worker([columns[i] for i in places])], titles)
 
     return source.mapInArrow(run, out)
 

@@ -185,7 +185,7 @@ def find_passages(
         step = added
         if not last:
             step = StructType().add(fresh(out, "_n")[0], LongType()).add(previous[0], added[1].dataType).add(previous[1], added[2].dataType)
-        inputs = {"text": col(text), "hits": col(previous[0]), "items": col(previous[1])}
+        inputs = {"text": text if text in carried else col(text), "hits": col(previous[0]), "items": col(previous[1])}
         out = annotate(out, inputs, step, make, carried)
     return out, names
 

@@ -110,7 +110,7 @@ def _array(n: int) -> Column:
 
 
 def identify(
-    rows: DataFrame, text: Column, model: Model, declared: Column, suffix: Column, host: Column,
+    rows: DataFrame, text: Column | str, model: Model, declared: Column, suffix: Column, host: Column,
     keep: list[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Keep columns and add: language, its probability, and accepted.  Returns also the added names."""
@@ -149,7 +149,8 @@ def identify(
 
     def scored(columns: list[str]) -> DataFrame:
         wide = rows.withColumns(labels).withColumn(domain, F.regexp_extract(F.col(h), r"([^.]+\.[^.]+)$", 1))
-        return annotate(wide, {"text": text}, added, make, [*columns, d, s, h, domain])
+        sent_once = not isinstance(text, str) or text in columns
+        return annotate(wide, {"text": text if sent_once else col(text)}, added, make, [*columns, d, s, h, domain])
 
     small = settle(
         scored([]).select(F.when(F.col(letters) > 0, _softmax(F.col(score))).alias("p"), d, s, h, domain), "language"
@@ -206,7 +207,7 @@ def keep_identified(docs: DataFrame, text: str, language: str, source: str) -> D
     """The documents whose language is identified, with all their columns."""
     model = fit(docs, text, language)
     none = F.lit(None).cast("string")
-    out, names = identify(docs, col(text), model, col(language), none, col(source))
+    out, names = identify(docs, text, model, col(language), none, col(source))
     return out.where(col(names[2])).drop(*names)
 
 

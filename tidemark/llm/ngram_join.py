@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from . import wordcodes
-from .common import annotate, col, fresh, lookup, release, settle, slices, table
+from .common import annotate, col, fresh, lookup, release, settle, slices, small_batches, table
 from .components import components
 from .spans import text_key
 
@@ -115,6 +115,7 @@ def frequent_tokens(docs: DataFrame, text: str, words: int, percent: int) -> np.
                     seen, size = [np.zeros(0, np.uint64)], 0
         yield report()
 
+    small_batches(docs.sparkSession)
     counts = docs.select(col(text)).mapInArrow(run, schema).groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(np.uint64))

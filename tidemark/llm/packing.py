@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from .atoms import ragged
-from .common import col, lookup, settle, slices, table, worker_cache
+from .common import col, lookup, settle, slices, small_batches, table, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -160,6 +160,7 @@ def tokenize(docs: DataFrame, key: str, text: Column, path: str, capacity: int =
                     [keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()),
                      pa.array(np.full(len(size), task, np.int32)), pa.array(number)], schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(col(key), text.alias("_text")).mapInArrow(run, schema)
 
 
