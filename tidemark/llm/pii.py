@@ -6,16 +6,21 @@ in the same layout, card numbers keep a valid check digit, letters keep their ca
 keep the gender of their title.  A surrogate is a function of the key and the entity in a normal form,
 so all mentions of an entity get the same one, in whatever layout.
 
-Names of one text are joined by family name (the last word) where their genders agree: a mention without a
-given name is the first full name of that family, and one without a gender takes that of another mention.
-A family name alone gets the family name of its person's surrogate.  Full and family names that stand
-without a title are replaced too in a text that has them with one; given names alone are not.
-
-Collision checks keep entities distinct: over all texts, entities whose surrogate is that of another one,
-or is itself an entity of the corpus, get the next attempt, until all differ.  Entities keep attempt 0
-unless they lost; the table of losers is small and is joined to the texts that mention them.
-
-Defined results: a null text stays null and has no entities; repeated rows get equal texts.
+A name follows one title or several, and has any number of parts: words, in capitals too, initials, and
+particles such as "von der" before them; a title is no part.  Names of one text are joined by family name (the
+last word) where their genders agree, whatever their case: a mention without a given name is the first full name
+of that family, and one without a gender takes that of another mention.  A family name alone gets the family
+name of its person's surrogate.  Full and family names that stand without a title are replaced too in a text
+that has them with one; given names alone are not.
+
+Collision checks keep entities distinct as readers see them: over all texts, entities whose surrogate is that of
+another one, or is itself an entity of the corpus, get the next attempt, until all differ; of names the family
+names must differ, whatever title and given name stand before them.  Each attempt draws longer names.
+Entities keep attempt 0 unless they lost; the table of losers is joined to the texts that mention them.
+
+Defined results: a null or empty text stays as it is and has no entities; texts of any length are read whole;
+repeated rows get equal texts; of entities that draw the same surrogate the smallest keeps it; an empty table
+has no rows; a table may have columns of any further names.
 """
 
 from __future__ import annotations
@@ -35,7 +40,11 @@ COUNTRY = r"^\+(\d{1,3})(?=[ .(-])"  # the country code of a phone number
 MALE = "Mr Herr Sr Señor Monsieur Don Господин".split()
 FEMALE = "Mrs Ms Miss Frau Sra Srta Señora Señorita Mme Mlle Madame Doña Госпожа".split()
 NEUTRAL = "Dr Prof".split()
-_NAME = r"\p{Lu}[\p{Ll}'’-]{1,30}"
+PARTICLES = "von van der den dem de del della di da dos du la le zu zum zur af av bin ibn el".split()
+_TITLES = "|".join(t for title in MALE + FEMALE + NEUTRAL for t in dict.fromkeys((title, title.upper())))
+_PART = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]{{1,40}}"
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+_NAME = rf"{_PARTICLES}(?:(?:{_PART}|\p{{Lu}}\.) {_PARTICLES})*{_PART}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -43,11 +52,11 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? )+{_NAME}",
 }
 KINDS = tuple(PATTERNS)
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-PROBE = rf"\d[ .-]?\d|@|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
+PROBE = rf"\d[ .-]?\d|@|(?:{_TITLES})\.? \p{{L}}"
 # Given names, and syllables that family names are made of, for Latin and Cyrillic script.
 GIVEN = {
     ("m", "latin"): "Adam Albert Bruno Carlos Daniel David Emil Felix Hugo Ivan Jakob Leo Martin Oscar Paul Robert Simon Thomas Victor Walter".split(),
@@ -66,12 +75,12 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(PROBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-_TITLE = rf"^(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
+_TITLE = rf"^(?:(?:{_TITLES})\.? )+"
 _TAIL = r"(?:['’]\p{Ll}?|['’-])$"  # a possessive ending, or a mark, is no part of a name
 
 
 def bare_name(entity: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(entity, _TITLE, ""), _TAIL, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(entity, _TITLE, ""), f"^{_PARTICLES}", ""), _TAIL, "")
 
 
 def family(name: Column) -> Column:
@@ -86,7 +95,9 @@ def people(found: Column) -> Column:
 
 def untitled(persons: Column) -> Column:
     """A pattern of the names of people, with nothing that a pattern reads otherwise; null without people."""
-    names = F.array_distinct(F.concat(F.transform(persons, lambda p: p["name"]), F.transform(persons, lambda p: p["family"])))
+    names = F.concat(F.transform(persons, lambda p: p["name"]), F.transform(persons, lambda p: p["family"]))
+    names = F.array_distinct(F.concat(names, F.transform(names, F.upper)))
+    names = F.transform(names, lambda n: F.replace(n, F.lit("."), F.lit("\\.")))
     names = F.reverse(F.array_sort(F.filter(names, lambda n: F.length(n) > 1)))  # a longer name before its beginning
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}@_])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}@_])"))
     return F.when(F.size(names) > 0, pattern)
@@ -98,10 +109,11 @@ def _agree(a: Column, b: Column) -> Column:
 
 def resolved(entity: Column, persons: Column) -> Column:
     """The normal form of a name in its text: gender and full name."""
-    name, gender = bare_name(entity), F.when(entity.rlike(_TITLE), _gender(entity)).otherwise("n")
+    name, gender = F.lower(bare_name(entity)), F.when(entity.rlike(_TITLE), _gender(entity)).otherwise("n")
+    low = F.transform(persons, lambda p: F.struct(p["gender"].alias("gender"), F.lower(p["name"]).alias("name"), F.lower(p["family"]).alias("family")))
     fits = lambda p: _agree(p["gender"], gender) & p["name"].contains(" ") & (p["family"] == name)
-    whole = F.when(name.contains(" "), name).otherwise(F.coalesce(F.get(F.filter(persons, fits), F.lit(0))["name"], name))
-    titled = lambda names: F.get(F.filter(persons, lambda p: (p["gender"] != "n") & p["name"].isin(*names)), F.lit(0))["gender"]
+    whole = F.when(name.contains(" "), name).otherwise(F.coalesce(F.get(F.filter(low, fits), F.lit(0))["name"], name))
+    titled = lambda names: F.get(F.filter(low, lambda p: (p["gender"] != "n") & p["name"].isin(*names)), F.lit(0))["gender"]
     known = F.when(gender != "n", gender).otherwise(F.coalesce(titled([whole]), titled([family(whole)]), F.lit("n")))
     return F.concat(known, F.lit(":"), whole)
 
@@ -114,8 +126,9 @@ def kind_of(entity: Column) -> Column:
 
 
 def _gender(entity: Column) -> Column:
-    title = F.regexp_extract(entity, r"^(\p{L}+)", 1)
-    return F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("n")
+    titles = F.regexp_extract(entity, _TITLE, 0)  # the first one that tells
+    told = lambda words: rf"^(?:(?:{'|'.join(t for x in NEUTRAL for t in (x, x.upper()))})\.? )*(?:{'|'.join(t for x in words for t in (x, x.upper()))})\.? "
+    return F.when(titles.rlike(told(MALE)), "m").when(titles.rlike(told(FEMALE)), "f").otherwise("n")
 
 
 def normal(entity: Column, kind: Column, persons: Column) -> Column:
@@ -222,7 +235,9 @@ def rendered(entity: Column, kind: Column, replacement: Column) -> Column:
     chars = F.filter(F.split(entity, ""), lambda c: c != "")
     laid = F.aggregate(chars, start, put)["out"]
     full = F.substring(replacement, F.lit(3), F.length(replacement))
-    name = F.when(bare_name(entity).contains(" "), full).otherwise(family(full))
+    bare = bare_name(entity)
+    name = F.when(bare.contains(" "), full).otherwise(family(full))
+    name = F.when((bare == F.upper(bare)) & (F.length(bare) > 2), F.upper(name)).otherwise(name)
     person = F.concat(F.regexp_extract(entity, _TITLE, 0), name, F.regexp_extract(entity, _TAIL, 0))
     return (
         F.when(kind.isin("email", "ip"), replacement)
@@ -231,24 +246,30 @@ def rendered(entity: Column, kind: Column, replacement: Column) -> Column:
     )
 
 
+def _shown(kind: Column, norm: Column) -> Column:
+    """What a reader tells entities by: of names the family name, whatever title and given name it has."""
+    name = F.substring(norm, F.lit(3), F.length(norm))
+    return F.when(kind == "person", F.lower(family(name))).otherwise(norm)
+
+
 def losers(found: DataFrame, key: str = KEY) -> DataFrame:
     """kind, norm, replacement of the entities that cannot keep attempt 0."""
     known = settle(found.groupBy("kind", "norm").agg(F.count(F.lit(1)).alias("n")).drop("n"), "entities")
-    there = known.select(F.col("kind").alias("_k"), F.col("norm").alias("_s"))
+    taken = known.select(F.col("kind").alias("_k"), _shown(F.col("kind"), F.col("norm")).alias("_s")).distinct()
     waiting = known
-    taken = there
     out = []
     for attempt in range(MOST_ROUNDS):
-        tried = waiting.select("kind", "norm", surrogate(F.col("norm"), F.col("kind"), F.lit(attempt), key).alias("replacement"))
-        first = tried.groupBy("kind", "replacement").agg(F.min("norm").alias("norm"))
-        won = first.join(taken, (F.col("kind") == F.col("_k")) & (F.col("replacement") == F.col("_s")), "left_anti")
-        won = settle(won.select("kind", "norm", "replacement"), "surrogates")
+        made = surrogate(F.col("norm"), F.col("kind"), F.lit(attempt), key)
+        tried = waiting.select("kind", "norm", made.alias("replacement")).withColumn("shown", _shown(F.col("kind"), F.col("replacement")))
+        first = tried.groupBy("kind", "shown").agg(F.min(F.struct("norm", "replacement")).alias("one"))
+        won = first.join(taken, (F.col("kind") == F.col("_k")) & (F.col("shown") == F.col("_s")), "left_anti")
+        won = settle(won.select("kind", "one.norm", "one.replacement", "shown"), "surrogates")
         if attempt:
-            out.append(won)
-        waiting = settle(waiting.join(won.drop("replacement"), ["kind", "norm"], "left_anti"), "waiting")
+            out.append(won.drop("shown"))
+        waiting = settle(waiting.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"), "waiting")
         if waiting.isEmpty():
             break
-        taken = taken.unionByName(won.select(F.col("kind").alias("_k"), F.col("replacement").alias("_s")))
+        taken = taken.unionByName(won.select(F.col("kind").alias("_k"), F.col("shown").alias("_s")))
     else:
         raise RuntimeError(f"entities without a free surrogate after {MOST_ROUNDS} attempts")
     return union_all(out) if out else known.select("kind", "norm", F.lit("").alias("replacement")).limit(0)
