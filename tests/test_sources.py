@@ -4,7 +4,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tidemark.sources import tables, texts
+from tidemark.sources import tables, texts, variants
 from tidemark.streaming.apply import filling, normalizing, on_stream
 from tidemark.operators import missing, scaling
 
@@ -93,3 +93,29 @@ def test_fitted_changes_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("prepared")) == rows(on_stream(df, changes))
+
+
+def test_json_of_changing_shape_keeps_all_fields(spark, tmp_path):
+    lines = [
+        {"a": 1, "b": {"c": "x", "d": {"e": True}}}, {"a": 2.5, "b": {"f": [1, 2]}, "it's": "q"}, {"b": "flat"}, {}, {"z z": None, "a": 3},
+        {"g": [{"h": 1}, {"i": "two"}]},
+    ]
+    path = tmp_path / "shapes.json"
+    path.write_text("\n".join([*(json.dumps(x) for x in lines), "no json {"]))
+    rows_ = variants.read_variants(spark, str(path))
+    whole = [None if r[0] is None else json.loads(r[0]) for r in rows_.select(F.to_json("value")).collect()]
+    assert whole == [*lines, None]  # a round trip
+    flat = variants.flatten_variants(rows_)
+    assert set(flat.columns) == {"a", "b", "g", "it's", "z z"}  # b is an object in some rows and a text in one
+    got = [r.asDict() for r in flat.collect()]
+    assert [g["a"] for g in got] == [1.0, 2.5, None, None, 3.0, None, None] and got[1]["it's"] == "q"
+    assert [None if g["b"] is None else json.loads(g["b"]) for g in got[:3]] == [x["b"] for x in lines[:3]]
+    deep = variants.flatten_variants(rows_.limit(2))
+    assert {"a", "b.c", "b.d.e", "b.f", "it's"} == set(deep.columns)
+    inner = variants.flatten_variants(variants.unnest_variants(rows_, "g"))
+    assert sorted(map(tuple, inner.collect()), key=repr) == [(1, None), (None, "two")]
+
+
+def test_no_variants(spark):
+    df = spark.createDataFrame([(1, "no json")], "k int, value string").withColumn("value", variants.to_variants(F.col("value")))
+    assert rows(variants.flatten_variants(df)) == [(1, None)]

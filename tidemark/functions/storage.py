@@ -64,13 +64,13 @@ def settle(df: DataFrame, label: str = "part") -> DataFrame:
     return written
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more, and with them the shuffle files of finished jobs.
+def release(*tables: DataFrame, session: SparkSession | None = None) -> None:
+    """Delete settled tables that nothing reads any more, and the shuffle files of the session's finished jobs.
 
     Spark removes the files of a shuffle when the plan that made it is collected as garbage on the driver,
     which may be long after its job on a driver with little to do; so a collection is asked for.
     """
-    context = tables[0].sparkSession.sparkContext
+    context = (session or tables[0].sparkSession).sparkContext
     for t in tables:
         path = context._jvm.org.apache.hadoop.fs.Path(t._settled_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.storage import new_path
-from ..sources import tables, texts
+from ..sources import tables, texts, variants
 from .registry import DIRTY_CUSTOMER, STRINGLY, dirty_customer, query, stringly_events, table
 
 
@@ -69,6 +69,39 @@ def s4_unnest(spark, folder):
     return tables.unnest(tables.read_json(spark, path, schema=schema))
 
 
+# Orders as JSON of three shapes, so that no row has all fields; "note" is a number in some rows and a text in others.
+SHAPES = """case o_orderkey % 3
+  when 0 then concat('{"key": ', o_orderkey, ', "price": {"total": ', o_custkey, '}, "note": ', o_custkey, '}')
+  when 1 then concat('{"key": ', o_orderkey, ', "price": {"total": ', o_custkey, ', "rate": 0.5}, "open": true, "note": "', o_orderstatus, '"}')
+  else concat('{"lines": [{"n": 1, "state": "', o_orderstatus, '"}, {"n": 2}], "key": ', o_orderkey, '}') end"""
+
+
+@query(
+    "s4_changing_shapes",
+    """select o_orderkey as id, o_orderkey as key, case when o_orderkey % 3 < 2 then o_custkey end as "price.total",
+         case when o_orderkey % 3 = 1 then 0.5::double end as "price.rate", case when o_orderkey % 3 = 1 then true end as open,
+         case o_orderkey % 3 when 0 then cast(o_custkey as varchar) when 1 then concat('"', o_orderstatus, '"') end as note
+       from orders""",
+)
+def s4_shapes(spark, folder):
+    df = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.expr(SHAPES).alias("text"))
+    rows = df.select("id", variants.to_variants(F.col("text")).alias("value"))
+    return variants.flatten_variants(rows).drop("lines")
+
+
+@query(
+    "s4_unnest_changing_shapes",
+    """select o_orderkey as id, 1::bigint as n, o_orderstatus as state from orders where o_orderkey % 3 = 2
+       union all select o_orderkey, 2, null from orders where o_orderkey % 3 = 2""",
+)
+def s4_unnest_shapes(spark, folder):
+    path = new_path(spark, "s4")
+    table(spark, folder, "orders").select(F.expr(SHAPES)).write.text(path)
+    rows = variants.read_variants(spark, path)
+    keyed = rows.select(F.variant_get("value", "$.key", "bigint").alias("id"), "value")
+    return variants.flatten_variants(variants.unnest_variants(keyed, "lines"))
+
+
 @query("s5_read_parquet", "select p_partkey, p_name, p_retailprice from part")
 def s5(spark, folder):
     return tables.read_table(spark, f"{folder}/part.parquet").select("p_partkey", "p_name", "p_retailprice")
