@@ -24,7 +24,7 @@ join components but never name one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from . import wordcodes
-from .common import annotate, col, fresh, lookup, release, settle, slices, small_batches, table
+from .common import annotate, col, fresh, lookup, release, settle, slices, small_batches, table, union_all
 from .components import components
 from .spans import text_key
 
@@ -45,6 +45,7 @@ COUNTED = 8 << 20  # tokens that a task holds to count them
 PAIRED = 24
 ROUNDS = 3
 BLOCK = 256
+PARTS = 2  # what is shuffled in so many turns, so that the files of one are gone before the next
 _SEEDS = tuple(np.uint64(x) for x in (0x8E51A37F4C2B9D61, 0x3F84D5B5B5470917, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _HIGH = np.uint64(1 << 63)
 
@@ -254,6 +255,17 @@ def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("lead", "i", "j").applyInArrow(run, schema)
 
 
+def _in_turns(part: Callable[[int], DataFrame], label: str) -> DataFrame:
+    """The union of parts that are written one after another; shuffle files of one are deleted before the next."""
+    written = []
+    for turn in range(PARTS):
+        written.append(settle(part(turn), label))
+        release(session=written[0].sparkSession)
+    whole = settle(union_all(written), label)
+    release(*written)
+    return whole
+
+
 def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """u, v: links between classes that connect each component.  ``sets`` is released on the way."""
     # one row per class: of copies that with the smallest id
@@ -263,7 +275,8 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
     one = one.where(F.col("c").isNull() | F.col("id").eqNullSafe(F.col("first"))).drop("_class", "c", "first")
     early = F.slice("t1", F.lit(1), F.size("t1") - F.col("late"))
     tail = F.slice("t1", F.size("t1") - F.col("late") + 1, F.col("late"))
-    met = settle(meet(one.select(F.explode(early).alias("token"), "class", "rare", F.col("n").cast("int").alias("n")), percent), "met")
+    postings = one.select(F.explode(early).alias("token"), "class", "rare", F.col("n").cast("int").alias("n"))
+    met = _in_turns(lambda turn: meet(postings.where(F.pmod("token", F.lit(PARTS)) == turn), percent), "met")
     hot = one.where("late > 0").select(F.explode(tail).alias("token"), "class", "rare")
     hot = hot.unionByName(met.where("lead is null").select("token", "class", "rare")).groupBy("token", "class").agg(F.min("rare").alias("rare"))
     hot = settle(hot, "hot")
@@ -299,12 +312,18 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
 
     def verified(pairs: DataFrame) -> DataFrame:
         """u, v: the pairs that are links; only sets that are compared move."""
-        pairs = settle(pairs.select("lead", "class"), "pairs")
-        ids = settle(pairs.select(F.explode(F.array("lead", "class")).alias("_class")).distinct(), "ids")
-        mine = lookup(made, ids, F.col("class") == F.col("_class"), "inner").drop("_class")
-        inter = F.size(F.array_intersect("lead_tokens", "class_tokens"))
-        same = both(pairs, mine, "tokens").where(_similar(inter, F.size("lead_tokens"), F.size("class_tokens"), percent))
-        same = settle(same.select(F.col("lead").alias("u"), F.col("class").alias("v")), "links")
+        pairs = settle(pairs.select("lead", "class", F.pmod(F.xxhash64("lead"), F.lit(PARTS)).alias("turn")), "pairs")
+        ids = pairs.select("turn", F.explode(F.array("lead", "class")).alias("_class")).distinct()
+        ids = settle(ids, "ids")
+
+        def part(turn: int) -> DataFrame:
+            mine = lookup(made, ids.where(F.col("turn") == turn), F.col("class") == F.col("_class"), "inner").drop("_class", "turn")
+            inter = F.size(F.array_intersect("lead_tokens", "class_tokens"))
+            same = both(pairs.where(F.col("turn") == turn).drop("turn"), mine, "tokens")
+            same = same.where(_similar(inter, F.size("lead_tokens"), F.size("class_tokens"), percent))
+            return same.select(F.col("lead").alias("u"), F.col("class").alias("v"))
+
+        same = _in_turns(part, "links")
         release(pairs, ids)
         return same
 
@@ -338,7 +357,8 @@ def links(docs: DataFrame, key: str, text: str, sets: DataFrame, words: int, per
     seekers = group.where("lead_part <> part").select(*columns, F.lit(True).alias("seeks"), spot("left").alias("i"), numbers("all").alias("j"))
     others = group.select(*columns, F.lit(False).alias("seeks"), spot("all").alias("j"), numbers("left").alias("i"))
     blocks = seekers.unionByName(others).join(made.hint("merge"), F.col("name") == F.col("class"))
-    rest = settle(compare_blocks(blocks.select("lead", "i", "j", "class", "part", "seeks", "tokens"), percent), "links")
+    blocks = blocks.select("lead", "i", "j", "class", "part", "seeks", "tokens")
+    rest = _in_turns(lambda turn: compare_blocks(blocks.where(F.pmod(F.xxhash64("lead"), F.lit(PARTS)) == turn), percent), "links")
     release(made)
     return found.unionByName(rest)
 
