@@ -6,7 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ..operators import charts, dependencies, outliers, profile, quality
+from ..functions.storage import settle
+from ..operators import charts, dependencies, outliers, profile, profile_state, quality
 from .outlier import stats_sql
 from .registry import (
     DIRTY_CUSTOMER,
@@ -429,6 +430,45 @@ def g7_dependency(spark, folder):
     return quality.functional_dependency(table(spark, folder, "customer"), "c_mktsegment", "c_nationkey")
 
 
+# Two parts of the orders, each read once; the second is added to the state of the first.  Quantiles and numbers of
+# different values are sketches: they have to be within their bounds of the exact ones.
+MERGED = "o_custkey o_totalprice o_orderstatus".split()
+
+
+@query(
+    "r1_merged_profile",
+    """with t as (select * from orders),
+  s as (select 'o_custkey' as "column", cast(o_custkey as double) as x, null as s from t
+        union all select 'o_totalprice', o_totalprice, null from t union all select 'o_orderstatus', null, o_orderstatus from t)
+  select "column", count(*) - count(*) filter (x is null and s is null) as n, count(*) filter (x is null and s is null) as missing,
+         min(x) as min, max(x) as max, round(avg(x), 4) as mean, round(stddev_samp(x), 4) as std,
+         round(case when count(x) > 2 then skewness(x) end, 4) as skewness, case when "column" <> 'o_orderstatus' then true end as quantiles_hold,
+         true as distinct_holds, cast(min(length(s)) as bigint) as min_length, cast(max(length(s)) as bigint) as max_length
+  from s group by 1""",
+)
+def r1_merged(spark, folder):
+    orders = table(spark, folder, "orders")
+    first = settle(profile_state.profile_state(orders.where("o_orderkey % 3 = 0"), MERGED), "state")
+    second = profile_state.profile_state(orders.where("o_orderkey % 3 <> 0"), MERGED)
+    told = settle(profile_state.state_report(profile_state.merge_states(first, second)), "profile")
+    known = {r["column"]: r for r in told.collect()}  # a row for each column
+    ranks, checks = [], {}
+    for i, c in enumerate(MERGED):
+        if known[c]["kind"] == "numeric":
+            for q in profile_state.QUANTILES:
+                value = F.lit(known[c][f"p{round(100 * q)}"])
+                # the share of rows up to the value, and of those before it, enclose the share asked for but for the error
+                ranks += [(F.avg((F.col(c) <= value).cast("double")) > q - 0.02) & (F.avg((F.col(c) < value).cast("double")) < q + 0.02)]
+            checks[c] = len(ranks)
+    row = orders.agg(*[r.alias(f"q{i}") for i, r in enumerate(ranks)], *[F.count_distinct(c).alias(f"d_{c}") for c in MERGED]).first()
+    holds = {c: all(row[f"q{i}"] for i in range(end - len(profile_state.QUANTILES), end)) for c, end in checks.items()}
+    near = {c: abs(known[c]["n_distinct"] - row[f"d_{c}"]) <= 0.04 * row[f"d_{c}"] for c in MERGED}
+    pick = lambda found: F.create_map(*[x for c, v in found.items() for x in (F.lit(c), F.lit(v))])[F.col("column")]
+    out = told.select("column", "n", "missing", "min", "max", "mean", "std", "skewness", pick(holds).alias("quantiles_hold"),
+                      pick(near).alias("distinct_holds"), "min_length", "max_length")
+    return rounded(out, 4, "mean", "std", "skewness")
+
+
 # k3 is told by k1 and k2 together, state by status but for one row in a hundred; k4 is the same for all rows.
 KEYED = """select o_orderkey % 7 as k1, o_orderkey % 5 as k2, (o_orderkey % 7 + 3 * (o_orderkey % 5)) % 11 as k3, 1 as k4,
   o_orderstatus as status, case when o_orderkey % 100 = 0 then null else concat('s', o_orderstatus) end as state,
