@@ -257,3 +257,15 @@ def test_no_rules(spark):
     df = spark.createDataFrame([], "form string, lemma string")
     got = column(spark, ["cats"]).select(lemma_rules.apply_lemma_rules(F.col("text"), lemma_rules.learn_lemma_rules(df)))
     assert rows(got) == [("cats",)]
+
+
+def test_language_model_of_many_languages(spark):
+    """More languages than a table could have columns for: each text is told by its own syllables."""
+    signs = [chr(0x4E00 + i) for i in range(600)]
+    train = spark.createDataFrame([(f"{a}{b}{a} {b}{a}{b}", f"lang{i}") for i, (a, b) in enumerate(zip(signs, signs[1:]))], "text string, lang string")
+    model = language.train_language_model(train, "text", "lang")
+    df = spark.createDataFrame([(i, f"{signs[i]}{signs[i + 1]}{signs[i]}") for i in range(0, 599, 50)], "id int, text string")
+    got = rows(language.classify_language(df, "text", ["id"], model), "id")
+    assert got == [(i, f"lang{i}") for i in range(0, 599, 50)]
+    empty = language.train_language_model(train.limit(0), "text", "lang")
+    assert rows(language.classify_language(df.limit(1), "text", ["id"], empty, default="en")) == [(0, "en")]

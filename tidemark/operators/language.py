@@ -13,7 +13,6 @@ from ..functions.storage import settle
 from ..functions.text import DEFAULT_LANGUAGE, LANGUAGES, WORD_CLASS, stop_word_hits
 
 CYRILLIC = "[Ѐ-ӿ]"
-MAX_LANGUAGES = 200
 MAX_TEXT = 2**31 - 1
 
 
@@ -48,44 +47,45 @@ def _grams(df: DataFrame, text: str, keep: Sequence[Column], size: int) -> DataF
 
 
 def train_language_model(df: DataFrame, text: str, lang: str, size: int = 3) -> DataFrame:
-    """Naive Bayes with add-one smoothing: per gram one column of log probabilities per language."""
+    """Naive Bayes with add-one smoothing, for any number of languages: ``lang``, ``gram``, ``weight``, ``unseen``.
+
+    A row tells the log probability of a gram in a language that has it, as the ``weight`` over ``unseen``, that of
+    a gram which the language lacks.  A row without a gram stands for the language itself.
+    """
     counts = _grams(df, text, [ref(lang).alias("lang")], size).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     counts = settle(counts, "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in column '{lang}'")
     different = counts.select("gram").distinct().count()
-    names = sorted(r["lang"] for r in totals)
-    total = {r["lang"]: r["n"] for r in totals}
-    wide = counts.groupBy("gram").pivot("lang", names).agg(F.sum("n"))
-    return settle(
-        wide.select(
-            "gram",
-            *[
-                F.log((F.coalesce(ref(name), F.lit(0)) + 1) / F.lit(float(total[name] + different))).alias(name)
-                for name in names
-            ],
-        ),
-        "model",
-    )
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).where("lang is not null")
+    unseen = -F.log(F.col("total").cast("double") + different)
+    languages = settle(totals.select("lang", unseen.alias("unseen")), "languages")
+    rows = lookup_join(counts, languages, ["lang"], "inner").select("lang", "gram", F.log(F.col("n") + 1.0).alias("weight"), "unseen")
+    whole = languages.select("lang", F.lit(None).cast("string").alias("gram"), F.lit(0.0).alias("weight"), "unseen")
+    return settle(rows.unionByName(whole), "model")
 
 
 def classify_language(
     df: DataFrame, text: str, key: Sequence[str], model: DataFrame, size: int = 3, out: str = "lang",
     default: str | None = None,
 ) -> DataFrame:
-    """Key and most probable language of each text; grams the model lacks are ignored.
+    """Key and most probable language of each text, ties by name; grams the model lacks are ignored.
 
-    Grams are counted per text before they meet the model, and the model is broadcast if its measured
-    size allows, else joined with salted keys.
+    Grams are counted per text before they meet the model, whose weights of a gram are one row; it is broadcast
+    if its measured size allows, else joined with salted keys.  Languages that share no gram with a text
+    differ by ``unseen`` alone, so of these only the first one need be compared.
     """
-    names = [c for c in model.columns if c != "gram"]
     keys = [ref(c) for c in check_columns(df, key)]
     counted = _grams(df, text, keys, size).groupBy(*[ref(c) for c in key], "gram").agg(F.count("*").alias("n"))
-    scored = lookup_join(counted, model, ["gram"], "inner").groupBy(*[ref(c) for c in key]).agg(
-        *[F.sum(ref(name) * F.col("n")).alias(name) for name in names]
-    )
-    best = F.array_max(F.array(*[F.struct(ref(n).alias("score"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, n in enumerate(names)]))
-    found = scored.select(*[ref(c) for c in key], best["name"].alias(out))
+    one = F.struct("lang", "weight", "unseen")
+    by_gram = settle(model.where("gram is not null").groupBy("gram").agg(F.collect_list(one).alias("langs")), "model")
+    met = lookup_join(counted, by_gram, ["gram"], "inner")
+    common = met.groupBy(*keys).agg(F.sum("n").alias("__known"))
+    single = met.select(*keys, "n", F.inline("langs")).groupBy(*keys, "lang", "unseen").agg(F.sum(F.col("n") * F.col("weight")).alias("gain"))
+    likely = model.where("gram is null").agg(F.min(F.struct((-F.col("unseen")).alias("u"), "lang")).alias("first")).first()["first"]
+    if likely is None:
+        return df.select(*keys, F.lit(default).cast("string").alias(out))
+    none = common.select(*keys, F.lit(likely["lang"]).alias("lang"), F.lit(-likely["u"]).alias("unseen"), F.lit(0.0).alias("gain"))
+    both = single.unionByName(none.select(*single.columns)).join(common, list(key))
+    score = F.col("gain") + F.col("__known") * F.col("unseen")
+    found = both.groupBy(*keys).agg(F.min(F.struct((-score).alias("s"), "lang"))["lang"].alias(out))
     joined = df.select(*keys).join(found, list(key), "left")
     return joined.withColumn(out, F.coalesce(out, F.lit(default))) if default else joined
