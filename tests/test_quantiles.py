@@ -79,18 +79,7 @@ def test_adjusted_moments(spark):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-
-
-def test_without_the_setting_the_warehouse_is_used():
-    class Session:
-        class conf:
-            get = staticmethod(lambda key, default=None: "hdfs:///warehouse" if "warehouse" in key else default)
-
-        class sparkContext:
-            getCheckpointDir = staticmethod(lambda: None)
-
-    assert shared_dir(Session) == "hdfs:///warehouse/_tidemark"
+    assert shared_dir(spark) == "file:" + spark.conf.get("spark.checkpoint.dir")
 
 
 def test_only_the_needed_columns_are_read(spark, tmp_path):
@@ -99,3 +88,13 @@ def test_only_the_needed_columns_are_read(spark, tmp_path):
     spark.range(50).selectExpr("cast(id as double) x", "id y", "'a' s").write.parquet(str(tmp_path / "t"))
     plan = histogram(spark.read.parquet(str(tmp_path / "t")), "x")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<x:double>" in plan
+
+
+def test_both_ways_agree_to_the_last_bit(spark):
+    """``percentile`` for few cells, and brackets for many, on values whose last bits differ by the formula."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(x),) for x in rng.lognormal(3, 2, 1013) / 7], "x double")
+    probs = [0.05, 0.1, 0.25, 1 / 3, 0.5, 0.75, 0.95, 0.999]
+    direct = exact_quantiles(df, ["x"], probs)[0]["x"]
+    bracketed = exact_quantiles(df, ["x"], probs, direct_rows=10, sliver_rows=40)[0]["x"]
+    assert direct == bracketed

@@ -50,8 +50,10 @@ class _Target:
     done: bool = field(default=False)
 
 
-def interpolate(low: float, high: float, weight: float) -> float:
-    return low if weight == 0 else low + (high - low) * weight
+def interpolate(low: float, high: float, position: float) -> float:
+    """The value at a position between two ranks, by the arithmetic of Spark's ``percentile``: equal to the last bit."""
+    before, after = math.floor(position), math.ceil(position)
+    return low if before == after or low == high else (after - position) * low + (position - before) * high
 
 
 def exact_quantiles(
@@ -107,7 +109,7 @@ def exact_quantiles(
             position = p * (counts[c] - 1)
             low = targets[(c, math.floor(position))].value
             high = targets[(c, math.ceil(position))].value
-            result[c][j] = interpolate(low, high, position - math.floor(position))
+            result[c][j] = interpolate(low, high, position)
     return result, first
 
 

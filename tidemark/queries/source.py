@@ -167,17 +167,12 @@ def s10(spark, folder):
 
 @query("s11_read_documents", "select conv_id, turn, text from conversations")
 def s11(spark, folder):
-    # one file per conversation would be many files; a text file per turn of each role folder is read back whole
-    df = table(spark, folder, "conversations")
+    # a file for each turn, in folders that name it; each file is read back as one document
     path = new_path(spark, "s11")
-    marked = F.concat_ws("\u0001", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "text")
-    texts.write_text(df.select(F.concat(marked, F.lit("\u0002")).alias("line")), "line", path)
-    whole = texts.read_documents(spark, path)
-    pieces = whole.select(F.explode(F.split("text", "\u0002\n?")).alias("piece")).where("piece <> ''")
-    parts = F.split("piece", "\u0001")
-    return pieces.select(
-        parts[0].cast("bigint").alias("conv_id"), parts[1].cast("bigint").alias("turn"), parts[2].alias("text")
-    )
+    table(spark, folder, "conversations").select("conv_id", "turn", "text").write.partitionBy("conv_id", "turn").text(path)
+    files = texts.read_documents(spark, path)
+    number = lambda name: F.regexp_extract("path", rf"{name}=(\d+)", 1).cast("bigint").alias(name)
+    return files.select(number("conv_id"), number("turn"), F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 
 @query(
