@@ -111,3 +111,47 @@ def test_two_pieces_replace_the_smallest():
 
 def test_no_documents(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), "doc_id", F.col("text")).count() == 0
+
+
+@pytest.mark.parametrize("key", ["length", "piece", "task", "Number", "_key", "_text"])
+def test_keys_with_names_of_the_result(spark, key):
+    df = spark.createDataFrame([(3, "one two"), (None, None)], "k long, text string").withColumnRenamed("k", key)
+    out = packing.pack(df, key, F.col("text"))
+    name = f"_{key}" if key in ("length", "piece") else key
+    assert out.columns == [name, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted((r[0] is None, r["length"]) for r in out.collect()) == [(False, 3), (True, 1)]
+
+
+def test_plan_is_near_the_best_for_small_cases():
+    """Against the least number of sequences that any packing of a few pieces needs."""
+    def least(pieces, capacity):
+        best = len(pieces)
+
+        def place(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(pieces):
+                best = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + pieces[i] <= capacity and bins[b] not in bins[:b]:
+                    place(i + 1, [*bins[:b], bins[b] + pieces[i], *bins[b + 1 :]])
+            place(i + 1, [*bins, pieces[i]])
+
+        place(0, [])
+        return best
+
+    rng = random.Random(5)
+    worse = 0
+    for _ in range(120):
+        capacity = rng.randint(8, 20)
+        pieces = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
+        counts = np.bincount(pieces, minlength=capacity + 1)
+        made = packing.plan(counts, capacity)
+        used = sum(copies for copies, _ in made)
+        assert sum((copies * np.array([f.get(n, 0) for n in range(capacity + 1)]) for copies, f in made), np.zeros(capacity + 1, int)).tolist() == counts.tolist()
+        assert all(sum(n * k for n, k in f.items()) <= capacity for _, f in made)
+        worse += used - least(pieces, capacity)
+        assert used <= least(pieces, capacity) + 1
+    assert worse <= 12

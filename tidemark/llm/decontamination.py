@@ -12,7 +12,8 @@ of any size.
 
 Defined results: a null or empty text has no words; an item without words has no windows; a window
 of an item without an id marks words but adds no item; items with the same id count once; repeated
-documents are separate rows with equal results.
+documents are separate rows with equal results; texts of any length are read whole; without documents or items
+there are no rows, or no hits.
 """
 
 from __future__ import annotations

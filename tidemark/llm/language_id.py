@@ -14,7 +14,9 @@ a time.
 One more hypothesis is that the text is in none of the languages (``langmodel``); it has counts and priors
 like a language, but never names a row: the likeliest language does.  A row is rejected when no text is there
 to judge (no letter at all) or no language reaches ``CONFIDENCE``, be it for another one or for none.  Defined results: a null text counts as empty; evidence that is missing (null or empty)
-says nothing; where no row is labelled, all rows are rejected with a null language.
+says nothing; where no row is labelled, all rows are rejected with a null language; of languages with equal
+probabilities the first in alphabetical order is taken; repeated rows each count as evidence and get equal
+results; texts of any length are scored whole; an empty table has no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ directories are joined with those that hold a licence file, and the deepest wins
 
 Defined results: null and empty texts have no license of their own; of equal cosines the template first
 in alphabetical order is taken; of several licence files in a directory that with the highest cosine, then the
-first path; a null path has no directory and inherits nothing; repeated rows get equal results.
+first path; a null path has no directory and inherits nothing; repeated rows get equal results; texts of any
+length are read whole; an empty table has no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ compared.
 
 Defined results: a null or blank text has an empty set, which is linked with nothing; with fewer words
 than n the whole sequence is one token; rows with the same id are separate documents; rows without an id
-join components but never name one.
+join components but never name one; texts of any length are whole sets; an empty table has no rows; a table may
+have columns of any further names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ per length.  Pieces get numbers within their length (per task, plus counts of ea
 their place in the plan by their number; no piece list passes through one task or the driver.
 
 Defined results: a null text is empty and has one piece with the closing id alone; equal documents are
-packed each; rows without a doc_id keep it null.
+packed each; rows without a doc_id keep it null; a key that is named like a column of the result gets an
+underscore before its name; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ CACHED_IDS = 4_000_000
 LEARNED = 20_000  # words encoded in one call
 SPECIAL = "<|"  # how special tokens begin; they are told by their case and all their signs
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
+KEY = "_key"
 _SHIFT = 40
 
 
@@ -126,9 +128,9 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
 
 def tokenize(docs: DataFrame, key: str, text: Column, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of documents: key, piece, start, length, ids_crc32, and a number within task and length."""
+    """Pieces of documents: the key under the name ``KEY``, piece, start, length, ids_crc32, and a number within task and length."""
     schema = (
-        StructType().add(key, docs.schema[key].dataType).add("piece", IntegerType()).add("start", LongType())
+        StructType().add(KEY, docs.schema[key].dataType).add("piece", IntegerType()).add("start", LongType())
         .add("length", LongType()).add("ids_crc32", LongType()).add("task", IntegerType()).add("number", LongType())
     )
     closing = np.array([END_ID], "<u4").tobytes()
@@ -161,7 +163,7 @@ def tokenize(docs: DataFrame, key: str, text: Column, path: str, capacity: int =
                      pa.array(np.full(len(size), task, np.int32)), pa.array(number)], schema.names)
 
     small_batches(docs.sparkSession)
-    return docs.select(col(key), text.alias("_text")).mapInArrow(run, schema)
+    return docs.select(col(key).alias(KEY), text.alias("_text")).mapInArrow(run, schema)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -255,7 +257,7 @@ def pack(docs: DataFrame, key: str, text: Column, path: str | None = None, capac
     base = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     base = base.withColumnsRenamed({"task": "_task", "length": "_length", "base": "_base"})
     ranked = lookup(pieces, base, (F.col("task") == F.col("_task")) & (F.col("length") == F.col("_length")), "inner")
-    ranked = ranked.select(col(key), "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("number")).alias("_rank"))
+    ranked = ranked.select(KEY, "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("number")).alias("_rank"))
     schema = StructType(ranked.schema.fields[:-1]).add("sequence_id", LongType()).add("offset", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +270,8 @@ def pack(docs: DataFrame, key: str, text: Column, path: str | None = None, capac
             offset = p["offset"][at] + step % p["each"][at] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    packed = ranked.mapInArrow(run, schema)
+    return packed.withColumnRenamed(KEY, f"_{key}" if key.lower() in (c.lower() for c in packed.columns[1:]) else key)
 
 
 def op7(spark: SparkSession, folder: str) -> DataFrame:

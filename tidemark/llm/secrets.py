@@ -11,7 +11,8 @@ The interval join has no pairs of parts: the strong parts of each text and stret
 summed to their first start and last end in each stretch that they cover, and a weak part looks at all stretches that it
 covers and one more on either side.  Texts that occur more than once are linked once.
 
-Defined results: a null text is empty; spans of equal start are ordered as the kinds are listed here.
+Defined results: a null text is empty; spans of equal start are ordered as the kinds are listed here; texts of any
+length are searched whole; an empty table has no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ by hash among those whose crc32 of the id is not divisible by ``HELD_OUT``.
 
 Defined results: null and empty texts get the score of a text without markers; without labelled rows
 of both kinds every score is the smoothed base rate; rows without an id are not held out and never
-learned from; repeated rows get equal scores.
+learned from; repeated rows get equal scores; texts of any length are read whole; an empty table has no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ and compared with all rows; a task returns k rows per query.
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id,
 take no part; only vectors of the same length are compared; empty vectors have products of 0; rows with
 the query's own id are not its candidates; repeated candidates each count; products beyond the range of
-a long are cut to it.
+a long are cut to it; an empty table has no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ frame.
 Of records with equal payloads of at least 100 bytes, that with the smallest id is the response and the
 others are revisits of it.  Defined results: a null payload is empty; rows with the smallest id are all
 responses; a row without an id is a revisit where a row with an id has its payload, else a response;
-null URLs are left out of the record.
+null URLs are left out of the record; a payload longer than a frame has a frame of its own; an empty table has
+no bundles and no rows.
 """
 
 from __future__ import annotations
