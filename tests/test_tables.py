@@ -187,3 +187,24 @@ def test_line_pixels(spark):
     assert charts.line_pixels(dates, "d", "v", 5).count() <= 20
     assert charts.line_pixels(df.limit(0), "x", "y").count() == 0
     assert rows(charts.line_pixels(spark.createDataFrame([(2, 3)], "x int, y int"), "x", "y")) == [(0, 2.0, 3.0)]
+
+
+def test_correlations_of_many_columns_in_one_pass(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 30)) + rng.normal(size=(300, 30)) + 1e6
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 7], x[:, 8] = 5.0, np.nan
+    names = [f"c{j}" for j in range(30)]
+    rows_ = [[None if np.isnan(v) else float(v) for v in r] for r in x]
+    df = spark.createDataFrame(rows_, ", ".join(f"{c} double" for c in names)).repartition(5)
+    want = pd.DataFrame(x, columns=names).corr()
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in profile.correlations(df, names).collect()}
+    assert len(got) == 435
+    for (a, b), value in got.items():
+        if np.isnan(want.loc[a, b]) or "c7" in (a, b):
+            assert value is None
+        else:
+            assert value == pytest.approx(want.loc[a, b], abs=1e-9)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,18 +182,47 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
     pairs = _pairs(columns)
     if not pairs:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        some = pairs[start : start + PAIRS_PER_JOB]
-        totals = df.agg(
-            *[_correlation(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(some)]
-        )
-        rows = [
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
-            for i, (a, b) in enumerate(some)
-        ]
-        parts.append(totals.select(unpivot_rows(rows)))
-    return reduce(DataFrame.unionByName, parts)
+    if len(pairs) > PAIRS_PER_JOB:
+        return _many_correlations(df, columns)
+    totals = df.agg(*[_correlation(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    rows = [
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return totals.select(unpivot_rows(rows))
+
+
+def _many_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairs of many columns in one pass: tasks add up products of whole batches, over the rows where both are present.
+
+    Values are taken relative to some of the first rows, so that sums of squares stay exact where values are far from 0.
+    """
+    table = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    width = len(columns)
+    some = table.limit(100).agg(*[F.first(c, ignorenulls=True) for c in table.columns]).first()  # no pass over the table
+    shift = np.array([0.0 if v is None else v for v in some])
+    sums = ["n", "a", "b", "aa", "bb", "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(sums), width, width))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1) - shift
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x, nan=0.0)
+            square = x * x
+            total += [there.T @ there, x.T @ there, there.T @ x, square.T @ there, there.T @ square, x.T @ x]
+        i, j = np.triu_indices(width, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(t[i, j]) for t in total)], ["i", "j", *sums])
+
+    parts = table.mapInArrow(run, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
+    whole = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    n = F.col("n")
+    sxx, syy = F.col("aa") - F.try_divide(F.col("a") * F.col("a"), n), F.col("bb") - F.try_divide(F.col("b") * F.col("b"), n)
+    # what is left of a constant column's sum of squares is rounding
+    flat = (sxx <= 1e-12 * F.col("aa")) | (syy <= 1e-12 * F.col("bb"))
+    found = F.when(~flat, F.try_divide(F.col("ab") - F.try_divide(F.col("a") * F.col("b"), n), F.sqrt(F.greatest(sxx * syy, F.lit(0.0)))))
+    names = F.array(*[F.lit(c) for c in columns])
+    return whole.select(F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), found.alias("correlation"))
 
 
 def _ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
