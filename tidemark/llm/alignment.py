@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 
 from .atoms import FIELDS as VALUES
 from .atoms import Atoms, group_sizes, group_texts, public_paths, ragged, split
-from .common import col, settle, slices, small_batches, table
+from .common import col, lean, settle, slices, small_batches, table
 
 CHUNK_BYTES = 64 << 10
 FAN = 16
@@ -336,7 +336,7 @@ def align(docs: DataFrame, key: str, text: str, paths: tuple[str, str] | None =
     base = docs.select(F.monotonically_increasing_id().alias("row"), col(key).alias("key"), col(text).alias("text"))
     short = F.coalesce(F.octet_length("text"), F.lit(0)) <= chunk
     pieces = _align_long(base.where(~short), schema, paths, kinds, chunk)
-    return settle(base.where(short).mapInArrow(run, schema).unionByName(pieces), "aligned")
+    return settle(base.where(short).mapInArrow(lean(run), schema).unionByName(pieces), "aligned")
 
 
 # ---------------------------------------------------------------- links
@@ -393,7 +393,7 @@ def count_pairs(aligned: DataFrame, sizes: tuple[int, int]) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], schema.names)
 
-    return aligned.select(*ALIGNED).mapInArrow(run, schema).groupBy("pair").agg(F.sum("n").alias("n"))
+    return aligned.select(*ALIGNED).mapInArrow(lean(run), schema).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 Known = tuple[np.ndarray, np.ndarray, np.ndarray]  # each A id's highest count; frequent pairs and their counts

@@ -6,6 +6,9 @@ out for each row in.  Batches are cut so that a slice holds a bounded number of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -67,6 +70,22 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """Have a task's function give memory back to the system when it ends: its worker may idle beside the next stage."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def row_bytes(column: pa.Array) -> np.ndarray:
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
         return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -114,7 +133,7 @@ def annotate(
                 columns = part.columns
                 yield pa.RecordBatch.from_arrays([*columns[:kept], *worker([columns[i] for i in places])], titles)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(lean(run), out)
 
 
 def measured_bytes(df: DataFrame) -> int:

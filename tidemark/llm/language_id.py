@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from . import langmodel
-from .common import annotate, col, fresh, lookup, settle, table
+from .common import annotate, col, fresh, lean, lookup, settle, table
 
 SAMPLE = 20_000  # labelled rows of each language for its trigram model
 BLOCK = 32  # languages whose tables are in a worker's memory at once
@@ -81,7 +81,7 @@ def fit(rows: DataFrame, text: str, language: str, sample: int = SAMPLE) -> Mode
         yield from report()
 
     # bounded: one row per language and trigram that occurs
-    found = settle(drawn.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
+    found = settle(drawn.mapInArrow(lean(count), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
     blocks, letters = [], []
     for a in range(0, len(languages), BLOCK):
         names = languages[a : a + BLOCK]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from . import wordcodes
-from .common import annotate, col, fresh, lookup, release, settle, slices, small_batches, table, union_all
+from .common import annotate, col, fresh, lean, lookup, release, settle, slices, small_batches, table, union_all
 from .components import components
 from .spans import text_key
 
@@ -118,7 +118,7 @@ def frequent_tokens(docs: DataFrame, text: str, words: int, percent: int) -> np.
         yield report()
 
     small_batches(docs.sparkSession)
-    counts = docs.select(col(text)).mapInArrow(run, schema).groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select(col(text)).mapInArrow(lean(run), schema).groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(np.uint64))
 
@@ -206,7 +206,7 @@ def meet(postings: DataFrame, percent: int) -> DataFrame:
         if len(here) > 1 and not many:
             yield batch_of(pairs(here))
 
-    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema)
+    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(lean(run), schema)
 
 
 def _similar(inter, a, b, percent: int):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from .atoms import ragged
-from .common import col, lookup, settle, slices, small_batches, table, worker_cache
+from .common import col, lean, lookup, settle, slices, small_batches, table, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -163,7 +163,7 @@ def tokenize(docs: DataFrame, key: str, text: Column, path: str, capacity: int =
                      pa.array(np.full(len(size), task, np.int32)), pa.array(number)], schema.names)
 
     small_batches(docs.sparkSession)
-    return docs.select(col(key).alias(KEY), text.alias("_text")).mapInArrow(run, schema)
+    return docs.select(col(key).alias(KEY), text.alias("_text")).mapInArrow(lean(run), schema)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
