@@ -1,5 +1,3 @@
-import uuid
-
 import pytest
 from helpers import rows
 
@@ -66,29 +64,15 @@ def test_diagnosis_honours_flags(spark):
     assert none.count() == 0
 
 
-def jobs(spark, action):
-    """Jobs that an action starts."""
-    name = uuid.uuid4().hex
-    spark.sparkContext.setJobGroup(name, "")
-    try:
-        action()
-        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-
-
-def test_the_log_needs_no_jobs_of_its_own(spark):
-    """Each step is one write; the rows of the input are counted once, those of the steps on the way."""
-    from tidemark.functions.storage import settle
-
-    df = settle(sample(spark))
-    steps = [0, 0, 0]
-
-    def plain():
-        data = df
-        for step in steps:
-            name, run, options = prepare.resolve(step)
-            data = settle(run(data, **options), name)
+def test_the_log_reads_no_cells(spark):
+    """Rows are counted without reading a column, and a model of pyspark.ml can still be used in the session."""
+    from tidemark.functions.storage import settle_counted
+    from tidemark.operators import features
 
-    alone, logged, counted = jobs(spark, plain), jobs(spark, lambda: prepare.prepare_logged(df, steps)), jobs(spark, df.count)
-    assert logged == alone + counted
+    written, rows_ = settle_counted(sample(spark))
+    plan = written.groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert rows_ == 63 and "ReadSchema: struct<>" in plan
+    prepare.prepare_logged(sample(spark), [0, 0])
+    df = spark.range(300).selectExpr("id", "cast(id % 5 as double) as x", "id % 5 > 2 as y")
+    model = features.fit_target(df, "y", ["id"], names=["random_forest"])
+    assert model.predict(df).where("prediction <> cast(y as string)").count() == 0

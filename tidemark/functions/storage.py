@@ -13,8 +13,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,7 +78,10 @@ def release(*tables: DataFrame, session: SparkSession | None = None) -> None:
 
 
 def settle_counted(df: DataFrame, label: str = "part") -> tuple[DataFrame, int]:
-    """As ``settle``, with the number of rows, which the writing job counts on its way."""
-    seen = Observation()
-    written = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return written, seen.get["rows"]
+    """As ``settle``, with the number of rows, which is read from the footers of the written files.
+
+    Spark's observed metrics would count on the way, but a session that has used them can no longer send
+    models of ``pyspark.ml`` to its tasks.
+    """
+    written = settle(df, label)
+    return written, written.count()

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.columns import numeric_columns, ref, tidy
 from ..functions.storage import settle, settle_counted
@@ -55,9 +54,8 @@ def auto_prepare(
     numbers = numeric_columns(df, columns)
     others = [c for c in df.columns if c not in numeric_columns(df)]
     data = tidy(df)
-    seen = Observation()  # rows are counted by the jobs that write them
-    unique, after = settle_counted(duplicates.drop_duplicates(data.observe(seen, F.count(F.lit(1)).alias("rows"))), "unique")
-    before = seen.get["rows"]
+    before = data.count()
+    unique, after = settle_counted(duplicates.drop_duplicates(data), "unique")
     if before > after:
         data = unique
     lines.append(LogLine("drop_duplicates", "remove duplicate rows", before, after, before > after))
@@ -141,7 +139,7 @@ def prepare(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def prepare_logged(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, DataFrame]:
-    """As ``prepare``, with a log of the rows before and after each step, counted by the jobs that write them."""
+    """As ``prepare``, with a log of the rows before and after each step, read from the footers of what was written."""
     lines = []
     rows = df.count()
     for step in steps:
