@@ -29,6 +29,7 @@ __all__ = ["new_path", "release", "settle"]
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 SLICE_BYTES = 4 << 20
+ANNOTATED_BYTES = 2 << 20  # of a slice that a pass works on
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # A lookup table is broadcast up to this measured size; beyond it the join shuffles both sides.
@@ -129,7 +130,7 @@ def annotate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, ANNOTATED_BYTES):
                 columns = part.columns
                 yield pa.RecordBatch.from_arrays([*columns[:kept], *worker([columns[i] for i in places])], titles)
 

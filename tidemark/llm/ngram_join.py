@@ -42,7 +42,7 @@ WORDS = 4
 PERCENT = 85
 FREQUENT = 8  # a token that was counted in so many documents goes last
 MOST_FREQUENT = 1 << 19  # of these tokens, the most frequent ones
-COUNTED = 8 << 20  # tokens that a task holds to count them
+COUNTED = 2 << 20  # tokens that a task holds to count them
 PAIRED = 24
 ROUNDS = 3
 BLOCK = 256
