@@ -122,3 +122,24 @@ def test_driver_gets_only_the_root(spark):
         neighbors._Search._boxes = original
     assert max(seen) <= 4
     assert got == brute(x[:20], x, n, 3, [-1])
+
+
+def test_queries_lacking_the_widest_coordinate_meet_few_blocks(spark, monkeypatch):
+    # a column of wide range that queries lack: a tree cut by it would send each query to most of its blocks
+    rng = np.random.default_rng(7)
+    met = {}
+    probe = neighbors._Search.probe
+
+    def counted(self, sent, blocks, bounded):
+        met[size] = met.get(size, 0) + sent.count()
+        return probe(self, sent, blocks, bounded)
+
+    monkeypatch.setattr(neighbors._Search, "probe", counted)
+    for size in (1000, 8000):
+        x = np.round(np.stack([rng.random(size) * 50, rng.random(size) * 100 * size, rng.random(size) * 200], axis=1), 1)
+        x[rng.random(size) < 0.05, 0] = np.nan
+        q = np.stack([rng.random(60) * 50, np.full(60, np.nan), np.round(rng.random(60) * 200)], axis=1)
+        got = run(spark, q, x, np.ones(size, int), 3, [0, 1], leaf_points=32)
+        if size == 1000:
+            assert got == {k: v for k, v in brute(q, x, np.ones(size, int), 3, [0, 1]).items() if v}
+    assert met[8000] < 2 * met[1000], met

@@ -14,7 +14,10 @@ block leave a task.  Blocks, and the queries sent to a node, are split into piec
 
 Missing coordinates are NULL.  The distance uses the coordinates present on both sides, scaled up by the
 share of those used.  Equal points are one row with a multiplicity.  One search serves several *sets*: for
-a column, the queries that lack it look for their nearest points that have it.
+a column, the queries that lack it look for their nearest points that have it.  With few coordinates each
+set has a tree of its own, over the points that have the column.  It is cut by which coordinates are
+present and by the others, and by the column itself only where the others are equal: a tree cut by a
+column that the queries lack would send them to all its parts.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ import heapq
 import itertools
 import pickle
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import settle
+from ..functions.storage import release, settle
 
 LEAF_POINTS = 2048
 FAN = 1024
@@ -64,15 +68,21 @@ class _Tree:
         return -1 - node
 
 
-def _best_cut(part: np.ndarray) -> tuple[int, float] | None:
-    """A coordinate and where to cut it: by presence where that is balanced, else at the median of the widest."""
+def _best_cut(part: np.ndarray, late: int = -1) -> tuple[int, float] | None:
+    """A coordinate and where to cut it: by presence where that is balanced, else at the median of the widest.
+
+    Few coordinates are cut by presence first, so that boxes tell the range of each.  The coordinate ``late``
+    is cut where the others have no range.
+    """
     there = ~np.isnan(part)
     share = there.mean(axis=0)
     even = np.minimum(share, 1 - share)
-    if even.max(initial=0) >= BALANCED:
+    if even.max(initial=0) >= BALANCED or part.shape[1] <= FEW_COORDINATES and even.max(initial=0) > 0:
         return int(even.argmax()), np.inf
     filled = np.where(there, part, -np.inf).max(axis=0), np.where(there, part, np.inf).min(axis=0)
     spread = np.where(share > 0, filled[0] - filled[1], 0.0)
+    if late >= 0 and np.delete(spread, late).max(initial=0) > 0:
+        spread[late] = 0.0
     if spread.max(initial=0) > 0:
         a = int(spread.argmax())
         x = part[there[:, a], a]
@@ -83,7 +93,7 @@ def _best_cut(part: np.ndarray) -> tuple[int, float] | None:
     return (int(even.argmax()), np.inf) if even.max(initial=0) > 0 else None
 
 
-def _grow(points: np.ndarray, per_child: int, fan: int) -> _Tree:
+def _grow(points: np.ndarray, per_child: int, fan: int, late: int = -1) -> _Tree:
     """At most ``fan`` parts, the largest cut first, until all have at most ``per_child`` sample points."""
     axis, cut, left, right = [], [], [], []
     order = itertools.count()
@@ -91,7 +101,7 @@ def _grow(points: np.ndarray, per_child: int, fan: int) -> _Tree:
     done = []
     while open_:
         size, _, part, parent, side = heapq.heappop(open_)
-        found = _best_cut(part) if -size > per_child and len(open_) + len(done) + 1 < fan else None
+        found = _best_cut(part, late) if -size > per_child and len(open_) + len(done) + 1 < fan else None
         if found is None:
             done.append((parent, side))
             continue
@@ -190,8 +200,20 @@ class _Boxes:
 
 
 def _distances(q: np.ndarray, x: np.ndarray, total: int) -> np.ndarray:
+    lost = np.isnan(q)
+    used = ~lost.all(axis=0) & ~np.isnan(x).all(axis=0)
+    if not used.any():
+        return np.full((len(q), len(x)), np.inf)
+    q, x, lost = q[:, used], x[:, used], lost[:, used]
+    if lost.any() and q.shape[1] <= FEW_COORDINATES:  # the queries of a pattern share their coordinates
+        out = np.empty((len(q), len(x)))
+        pattern = lost @ (1 << np.arange(q.shape[1]))
+        for p in np.unique(pattern):
+            same = pattern == p
+            out[same] = _distances(q[same], x, total)
+        return out
     squares = np.zeros((len(q), len(x)))
-    shared = np.zeros((len(q), len(x))) if np.isnan(q).any() or np.isnan(x).any() else None
+    shared = np.zeros((len(q), len(x))) if lost.any() or np.isnan(x).any() else None
     for j in range(q.shape[1]):
         step = q[:, j : j + 1] - x[:, j]
         if shared is None:
@@ -263,6 +285,19 @@ class _Search:
     leaf_points: int
     fan: int
     pivots: np.ndarray
+    written: list[DataFrame] = field(default_factory=list)  # by the driver, on the way
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"written": []}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        self.written.append(settle(df, label))
+        return self.written[-1]
+
+    @property
+    def late(self) -> int:
+        """The coordinate that all queries lack."""
+        return self.sets[0] if len(self.sets) == 1 else -1
 
     def _state(self, *more: str) -> str:
         return ", ".join(["id bigint", *(f"{x} double" for x in self.xs), *more])
@@ -288,11 +323,11 @@ class _Search:
                 drawn = sample.select(*xs).toPandas().to_numpy(dtype=float)  # at most about fan * SAMPLE_PER_CHILD rows
                 self.pivots = _pick_pivots(drawn, len(xs))
                 marks = [f"p{k}" for k in range(len(self.pivots))]
-                tree = _share(points, (_grow(drawn, small, max(1, min(fan, blocks))), self.pivots))
+                tree = _share(points, (_grow(drawn, small, max(1, min(fan, blocks)), self.late), self.pivots))
                 placed = placed.mapInPandas(self._placer(tree), self._state("n bigint", "node bigint", *(f"{m} double" for m in marks)))
             else:
                 placed = self._place_below(placed, sample, small, marks)
-            placed = settle(placed, "placed")
+            placed = self.keep(placed, "placed")
         boxes = [placed.groupBy("node").agg(
             F.count("*").alias("size"),
             *[F.sum(F.col("n") * F.col(xs[t]).isNotNull().cast("int") if t >= 0 else F.col("n")).alias(f"w{s}") for s, t in enumerate(self.sets)],
@@ -300,7 +335,7 @@ class _Search:
             *[F.when(F.count(m) == F.count("*"), F.min(m)).alias(f"pl_{m}") for m in marks],
             *[F.when(F.count(m) == F.count("*"), F.max(m)).alias(f"ph_{m}") for m in marks],
         )]
-        boxes[0] = settle(boxes[0].withColumn("parent", F.floor(F.col("node") / fan)), "boxes")
+        boxes[0] = self.keep(boxes[0].withColumn("parent", F.floor(F.col("node") / fan)), "boxes")
         for _ in range(levels - 1):
             below = boxes[0]
             sums = ["size", *(f"w{s}" for s in range(len(self.sets))), *(f"c_{x}" for x in xs)]
@@ -310,7 +345,7 @@ class _Search:
                 *[F.when(F.count(f"pl_{m}") == F.count("*"), F.min(f"pl_{m}")).alias(f"pl_{m}") for m in marks],
                 *[F.when(F.count(f"ph_{m}") == F.count("*"), F.max(f"ph_{m}")).alias(f"ph_{m}") for m in marks],
             )
-            boxes.insert(0, settle(above.withColumn("parent", F.floor(F.col("node") / fan)), "boxes"))
+            boxes.insert(0, self.keep(above.withColumn("parent", F.floor(F.col("node") / fan)), "boxes"))
         return placed, boxes
 
     def _placer(self, tree: Broadcast):
@@ -327,10 +362,10 @@ class _Search:
 
     def _place_below(self, placed: DataFrame, sample: DataFrame, small: int, marks: list[str]) -> DataFrame:
         """One level further down: each node's points by cuts through its own sample."""
-        xs, fan = self.xs, self.fan
+        xs, fan, late = self.xs, self.fan, self.late
 
         def grow(part: pd.DataFrame) -> pd.DataFrame:
-            tree = cloudpickle.dumps(_grow(part[xs].to_numpy(dtype=float), small, fan))
+            tree = cloudpickle.dumps(_grow(part[xs].to_numpy(dtype=float), small, fan, late))
             return pd.DataFrame({"node": part["node"].iloc[:1], "tree": [tree]})
 
         trees = sample.select("node", *xs).groupBy("node").applyInPandas(grow, "node bigint, tree binary")
@@ -414,14 +449,14 @@ class _Search:
 
         at = queries.mapInPandas(from_root, schema)
         for boxes in levels[1:]:
-            at = settle(at, "descent")
+            at = self.keep(at, "descent")
             busy = at.groupBy(F.col("node").alias("of")).agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("shares"))
             asks = at.join(busy, F.col("node") == F.col("of")).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
             known = boxes.withColumnRenamed("node", "child").join(busy, F.col("parent") == F.col("of"))
             known = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
             asks, known = asks.select(*at.columns, "share"), known.drop("of", "shares")
             at = asks.groupBy("node", "share").cogroup(known.groupBy("parent", "copy")).applyInPandas(self._below(way, at.columns), schema)
-        return settle(at, "sent")
+        return self.keep(at, "sent")
 
     def _below(self, way: str, names: list[str]):
         def below(asks: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
@@ -481,13 +516,20 @@ def nearest(
     if size == 0:
         return spark.createDataFrame([], CANDIDATES)
     sets = [-1] if targets is None else list(targets)
+    if targets is not None and len(sets) > 1 and dims <= FEW_COORDINATES:
+        found = []
+        for number, t in enumerate(sets):
+            lack, have = queries.where(F.col(xs[t]).isNull()), points.where(F.col(xs[t]).isNotNull())
+            part = nearest(lack, have, dims, k, total, skip_self, leaf_points, [t], fan)
+            found.append(part.withColumn("set", F.lit(number)))
+        return reduce(DataFrame.unionByName, found)
     search = _Search(xs, sets, total or dims, k + 1 if skip_self else k, leaf_points, fan, np.zeros((0, dims)))
     placed, levels = search.build(points, size)
     blocks, bounded = placed.select("node", "id", *xs, "n"), len(levels) == 1
     none = F.array(*[F.lit(float("inf"))] * len(sets))
     start = queries.select("id", *xs, none.alias("reach"), F.lit(0).cast("bigint").alias("node"))
     home = search.descend(start, levels, "closest", search._state("reach array<double>", "node bigint"))
-    first = settle(search.probe(home, blocks, bounded), "near")
+    first = search.keep(search.probe(home, blocks, bounded), "near")
     last = _take(first, search.wanted).groupBy("id", "set").agg(
         F.sum("n").alias("found"), F.max(F.struct("distance", "v")).alias("worst")
     )
@@ -506,7 +548,9 @@ def nearest(
     schema = search._state("worst array<double>", "tie array<double>", "home bigint", "node bigint")
     others = search.descend(again, levels, "open", schema).where(F.col("node") != F.col("home"))
     second = search.probe(others.select("id", *xs, "node"), blocks, bounded)
-    return _take(first.unionByName(second), k, skip_self)
+    taken = settle(_take(first.unionByName(second), k, skip_self), "nearest")
+    release(*search.written)
+    return taken
 
 
 def _take(candidates: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
