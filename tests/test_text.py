@@ -269,3 +269,24 @@ def test_language_model_of_many_languages(spark):
     assert got == [(i, f"lang{i}") for i in range(0, 599, 50)]
     empty = language.train_language_model(train.limit(0), "text", "lang")
     assert rows(language.classify_language(df.limit(1), "text", ["id"], empty, default="en")) == [(0, "en")]
+
+
+def test_words_are_looked_up_where_texts_lie(spark, monkeypatch):
+    # neither statistics nor lemmas shuffle the words of the texts; frequent words and others have the same stems
+    df = column(spark, ["dogs running running", "running dogs, dogs hopping", "", None])
+    lemmas = spark.createDataFrame([("dogs", "dog"), ("ran", "run")], "form string, lemma string")
+    made = [
+        vocabulary.word_statistics(df, "text", ["id"], top=2),
+        vocabulary.lemmatize_text(df, "text", ["id"], lemmas, "english"),
+        vocabulary.stem_lemma_difference(df, "text", ["id"], lemmas),
+    ]
+    for each in made:
+        plan = each._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Exchange", "Generate", "Join", "Window"))
+    assert rows(made[0].select("id", "unique_words", "frequent_words"), "id") == [(0, 2, "running, dogs"), (1, 3, "dogs, hopping"), (2, 0, ""), (3, 0, "")]
+    assert rows(made[1], "id") == [(0, "dog running running"), (1, "running dog , dog hopping"), (2, ""), (3, None)]
+    assert rows(made[2], "id") == [(0, 2, 3), (1, 2, 5), (2, 0, 0), (3, 0, 0)]
+    stems = rows(vocabulary.stem_text(df, "text", ["id"], "english"), "id")
+    assert stems == [(0, "dog run run"), (1, "run dog , dog hop"), (2, ""), (3, None)]
+    monkeypatch.setattr(vocabulary, "FREQUENT_WORDS", 1)  # no lookup: all are worked out in place
+    assert rows(vocabulary.stem_text(df, "text", ["id"], "english"), "id") == stems

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,3 +91,23 @@ def lookup_join(
     )
     match = same(on, keys) & (F.col("__salt") == F.col("__copy"))
     return salted.join(copied, match, how).drop(*keys, "__salt", "__copy")
+
+
+def looked_up(words: Column, table: DataFrame) -> Column:
+    """For each word of an array its value in a table of two text columns, NULL where the table lacks it.
+
+    The table is broadcast as it is, so it must be of measured small size; the words are looked up in place.
+    """
+    word, value = table.columns
+    pairs = table.where(ref(word).isNotNull()).toArrow()
+    shared = table.sparkSession.sparkContext.broadcast(dict(zip(*[c.to_pylist() for c in pairs.columns])))
+
+    def look(words: pa.Array) -> pa.Array:
+        known = shared.value
+        coded = words.flatten().dictionary_encode()
+        found = pa.array([known.get(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), found, mask=words.is_null())
+
+    return F.arrow_udf(look, "array<string>")(words)
