@@ -63,6 +63,15 @@ def test_documents(spark, tmp_path):
     assert rows(spark.read.text(str(tmp_path / "out"))) == [("a",), ("c,d",)]
 
 
+def test_files_in_named_folders(spark, tmp_path):
+    df = spark.createDataFrame([(n, n % 3, f"text {n}") for n in range(12)], "a int, b int, text string").repartition(4)
+    texts.write_files(df, str(tmp_path / "out"), ["a", "b"])
+    assert not list((tmp_path / "out").rglob("_temporary"))
+    texts.write_files(df.limit(1).withColumnRenamed("a", "other").drop("b"), str(tmp_path / "out" / "more"), ["other"])
+    found = rows(texts.read_documents(spark, str(tmp_path / "out"), nested=True).selectExpr("regexp_extract(path, '/(a=.*)/part', 1)", "text"))
+    assert [r for r in found if r[0]] == sorted((f"a={n}/b={n % 3}", f"text {n}\n") for n in range(12)) and len(found) == 13
+
+
 def test_collapse_in_parts(spark):
     df = spark.range(25).select(F.format_string("w%02d", "id").alias("w"), "id")
     parts = texts.collapse_column(df, "w", ["id"], rows_per_part=10).orderBy("part").collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.storage import new_path
+from ..functions.storage import new_path, spread
 from ..sources import tables, texts, variants
 from .registry import DIRTY_CUSTOMER, STRINGLY, dirty_customer, query, stringly_events, table
 
@@ -169,8 +169,9 @@ def s10(spark, folder):
 def s11(spark, folder):
     # a file for each turn, in folders that name it; each file is read back as one document
     path = new_path(spark, "s11")
-    table(spark, folder, "conversations").select("conv_id", "turn", "text").write.partitionBy("conv_id", "turn").text(path)
-    files = texts.read_documents(spark, path)
+    turns = spread(table(spark, folder, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    texts.write_files(turns, path, ["conv_id", "turn"])
+    files = texts.read_documents(spark, path, nested=True)
     number = lambda name: F.regexp_extract("path", rf"{name}=(\d+)", 1).cast("bigint").alias(name)
     return files.select(number("conv_id"), number("turn"), F.regexp_replace("text", r"\n\z", "").alias("text"))
 

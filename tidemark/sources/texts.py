@@ -11,12 +11,23 @@ from ..operators.duplicates import dense_row_id
 ROWS_PER_PART = 1000
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``path``, ``text``."""
-    files = spark.read.text(path, wholetext=True)
+def read_documents(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
+    """One row per file: ``path``, ``text``.
+
+    ``nested`` takes the files of all folders below, and works out no columns from folders named ``name=value``.
+    """
+    files = spark.read.option("recursiveFileLookup", nested).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def write_files(df: DataFrame, path: str, folders: list[str]) -> None:
+    """Texts into files of folders that are named by some columns.
+
+    Tasks put their files in place themselves; else the driver would move one file after the other at the end.
+    """
+    df.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*folders).text(path)
+
+
 def write_text(df: DataFrame, column: str, path: str, mode: str = "error") -> None:
     df.select(ref(column)).write.mode(mode).text(path)
 
