@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.storage import settle
-from tidemark.operators import neighbors
+from tidemark.operators import lof, neighbors
 from tidemark.operators.imputers import knn_fill
 
 
@@ -143,3 +143,33 @@ def test_queries_lacking_the_widest_coordinate_meet_few_blocks(spark, monkeypatc
         if size == 1000:
             assert got == {k: v for k, v in brute(q, x, np.ones(size, int), 3, [0, 1]).items() if v}
     assert met[8000] < 2 * met[1000], met
+
+
+@pytest.mark.parametrize(("dims", "digits", "leaf", "fan", "rows"), [(2, 1, 16, 4, 300), (3, 0, 8, 64, 120), (7, 1, 64, 1024, 150), (1, 0, 4, 3, 40)])
+def test_others_equal_brute_force(spark, dims, digits, leaf, fan, rows):
+    """Neighbours over several levels and blocks, with copies and ties, which go to the smaller id."""
+    x, n = table(dims, rows, dims, 0.0, digits)
+    x, first = np.unique(x, axis=0, return_index=True)
+    n, k = n[first], 5
+    cells = ", ".join(f"x{j} double" for j in range(dims))
+    points = settle(spark.createDataFrame([(i, *map(float, r), int(m)) for i, (r, m) in enumerate(zip(x, n))], f"id long, {cells}, n long"))
+    found = neighbors.nearest_others(points, dims, k, leaf_points=leaf, fan=fan).collect()
+    assert len(found) == len(x)
+    block = {r["id"]: r["node"] for r in found}
+    for r in found:
+        d = np.sqrt(sum((x - x[r["id"]]).T ** 2, start=0.0))
+        near = [(d[j], j) for j in range(len(x)) for _ in range(n[j] - (j == r["id"]))]
+        got = [(e, p) for e, p, c in zip(r["distances"], r["points"], r["counts"]) for _ in range(c)]
+        assert got == sorted(near)[:k]
+        assert sorted(r["foreign"]) == sorted(p for p in r["points"] if block[p] != r["node"])
+
+
+def test_outlier_factor_moves_candidates_of_other_blocks_only(spark, monkeypatch):
+    """Most points have all neighbours in their block: a row for each of them is not shuffled."""
+    rows, k, seen = 3000, 5, []
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(np.round(rng.random((rows, 2)) * 100, 3).tolist(), "a double, b double")
+    take = neighbors._take
+    monkeypatch.setattr(neighbors, "_take", lambda found, *more: seen.append(found.count()) or take(found, *more))
+    assert lof.lof_scores(df, ["a", "b"], k, leaf_points=1024).where("lof is null").count() == 0
+    assert 0 < sum(seen) < rows * k / 4, seen

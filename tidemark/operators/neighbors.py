@@ -18,6 +18,10 @@ a column, the queries that lack it look for their nearest points that have it.
 set has a tree of its own, over the points that have the column.  It is cut by which coordinates are
 present and by the others, and by the column itself only where the others are equal: a tree cut by a
 column that the queries lack would send them to all its parts.
+
+Where every point looks for its nearest others (``nearest_others``), a query's first block is its own.  Inside a
+block, cells of a few points are cut, and a query meets the cells that its bound reaches.  Blocks are held against
+all queries of a block at once before they are held against each, and only what lies in other blocks is shuffled.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ import heapq
 import itertools
 import pickle
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +48,9 @@ SAMPLE_PER_CHILD = 16
 QUERY_PIECE = 20_000
 PIVOTS = 6
 FEW_COORDINATES = 4  # boxes alone tell enough
+BLOCK_POINTS = 8192  # of blocks whose points are each other's queries, cut into cells
+BLOCK_FAN = 8192
+CELL_POINTS = 16
 BALANCED = 0.1  # a coordinate that this share of points lack, or have, divides them well
 
 
@@ -148,6 +156,11 @@ class _Boxes:
     pivot_high: np.ndarray
     total: int
 
+    def of(self, some: np.ndarray) -> _Boxes:
+        """Some of the children."""
+        rows = {f: getattr(self, f)[some] for f in ("ids", "low", "high", "every", "some", "weight", "pivot_low", "pivot_high")}
+        return replace(self, **rows)
+
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest distance of each query to each box, by the arithmetic of ``_distances``, which is monotone."""
         shape = (len(q), len(self.ids))
@@ -247,6 +260,82 @@ def _nearest_in_block(q: np.ndarray, x: np.ndarray, total: int, k: int):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
+class _Cells:
+    """Points without missing coordinates in cells of a few, so that a query need not look at all of them."""
+
+    def __init__(self, x: np.ndarray, least: int):
+        """Cells of at least ``least`` points, unless there are fewer in all, and at most twice as many."""
+        parts, open_ = [], [np.arange(len(x))]
+        while open_:
+            part = open_.pop()
+            if len(part) < 2 * least:
+                parts.append(part)
+                continue
+            own = x[part]
+            with np.errstate(invalid="ignore"):
+                axis = int(np.nan_to_num(own.max(axis=0) - own.min(axis=0), posinf=np.inf).argmax())
+            order = np.argpartition(own[:, axis], len(part) // 2)
+            open_ += [part[order[len(part) // 2 :]], part[order[: len(part) // 2]]]
+        self.rows = np.full((len(parts), max(map(len, parts))), -1)
+        for at, part in enumerate(parts):
+            self.rows[at, : len(part)] = part
+        self.x = np.where(self.rows[..., None] >= 0, x[self.rows], np.nan)
+        self.low = np.array([x[p].min(axis=0) for p in parts])
+        self.high = np.array([x[p].max(axis=0) for p in parts])
+
+    @staticmethod
+    def _distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """By the arithmetic of ``_distances``; NaN where there is no point."""
+        squares = np.zeros(np.broadcast_shapes(q.shape, x.shape)[:-1])
+        with np.errstate(invalid="ignore"):
+            for j in range(q.shape[-1]):
+                step = q[..., j] - x[..., j]
+                squares += step * step
+            return np.sqrt(squares)
+
+    def reach(self, k: int) -> np.ndarray:
+        """For each point a distance within which its cell has ``k`` others."""
+        out = np.full(self.rows.max() + 1, np.inf)
+        if self.rows.shape[1] > k:
+            step = max(1, 1_000_000 // self.rows.shape[1] ** 2)
+            for start in range(0, len(self.rows), step):
+                x, rows = self.x[start : start + step], self.rows[start : start + step]
+                d = self._distance(x[:, :, None], x[:, None])
+                d[np.isnan(d)] = np.inf
+                far = np.partition(d, k, axis=2)[:, :, k]
+                out[rows[rows >= 0]] = far[rows >= 0]
+        return out
+
+    def nearest(self, q: np.ndarray, within: np.ndarray, n: np.ndarray, k: int, own: np.ndarray | None = None):
+        """Query, point, distance and number taken of the ``k`` nearest no farther than ``within``; ties by the order of points.
+
+        ``own`` names the point that each query is itself: it counts once less.
+        """
+        found = []
+        step = max(1, 100_000 // len(self.rows))
+        for start in range(0, len(q), step):
+            some, bound = q[start : start + step], within[start : start + step]
+            squares = np.zeros((len(some), len(self.rows)))
+            with np.errstate(invalid="ignore"):
+                for j in range(q.shape[1]):
+                    x = some[:, j : j + 1]
+                    gap = np.maximum(np.maximum(self.low[:, j] - x, x - self.high[:, j]), 0.0)
+                    squares += gap * gap
+                r, cell = np.nonzero(np.sqrt(squares) <= bound[:, None])
+                d = self._distance(some[r][:, None], self.x[cell])
+                pair, place = np.nonzero((d <= bound[r][:, None]) & (d < np.inf))
+            d, r, c = d[pair, place], r[pair], self.rows[cell[pair], place]
+            counts = n[c] if own is None else n[c] - (c == own[start + r])
+            d, r, c, counts = (v[counts > 0] for v in (d, r, c, counts))
+            order = np.lexsort((c, d, r))
+            d, r, c, counts = (v[order] for v in (d, r, c, counts))
+            before = np.cumsum(counts) - counts
+            before -= before[np.searchsorted(r, r, side="left")]
+            taken = before < k
+            found.append((start + r[taken], c[taken], d[taken], np.minimum(counts, k - before)[taken]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+
 CANDIDATES = "id bigint, set int, point bigint, distance double, v double, n bigint"
 
 
@@ -437,6 +526,24 @@ class _Search:
             r, c = np.nonzero(may)
             yield part.iloc[r].assign(node=boxes.ids[c])
 
+    def others(self, batch: pd.DataFrame, boxes: _Boxes) -> Iterator[pd.DataFrame]:
+        """Each point at all children that can hold one as near as its worst.  The points of a block, which all have
+        all coordinates, are first held against the boxes as one box."""
+        for _, block in batch.groupby("home"):
+            q, worst = block[self.xs].to_numpy(dtype=float), block["worst"].to_numpy()
+            squares = np.zeros(len(boxes.ids))
+            with np.errstate(invalid="ignore"):
+                for j in range(q.shape[1]):
+                    gap = np.maximum(np.maximum(boxes.low[:, j] - q[:, j].max(), q[:, j].min() - boxes.high[:, j]), 0.0)
+                    squares += gap * gap
+                some = np.flatnonzero(~(np.sqrt(squares) > worst.max()))
+            few = boxes.of(some)
+            for part, q in self._parts(block, few):
+                with np.errstate(invalid="ignore"):
+                    near, _ = few.bounds(q)
+                r, c = np.nonzero((near <= part["worst"].to_numpy()[:, None]) & np.isfinite(near))
+                yield part.iloc[r].assign(node=few.ids[c])
+
     def descend(self, queries: DataFrame, levels: list[DataFrame], way: str, schema: str) -> DataFrame:
         """Queries at blocks; ``way`` names the step that is taken at each level."""
         first = _share(queries, self._boxes(levels[0].toPandas()))  # at most `fan` rows
@@ -553,6 +660,102 @@ def nearest(
     return taken
 
 
+NEIGHBOURS = "node bigint, id bigint, points array<bigint>, distances array<double>, counts array<bigint>, foreign array<bigint>"
+OUT = [part.split()[0] for part in NEIGHBOURS.split(", ")]
+FOUND = pa.schema([("home", pa.int64()), ("id", pa.int64()), ("point", pa.int64()), ("distance", pa.float64()), ("n", pa.int64())])
+
+
+def _lists(row: np.ndarray, size: int, *values: np.ndarray) -> list[pa.Array]:
+    """Lists of the values of each row; ``row`` is ascending."""
+    ends = pa.array(np.searchsorted(row, np.arange(size + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+
+
+def _arrays(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def nearest_others(
+    points: DataFrame, dims: int, k: int, leaf_points: int = BLOCK_POINTS, fan: int = BLOCK_FAN
+) -> DataFrame:
+    """The ``k`` nearest others of every point, as a list: nearest first, equal distances by ``id``.
+
+    ``points``: as for ``nearest``, without missing coordinates.  Gives a row per point: ``node``, the block that
+    holds it, ``id``, ``points``, ``distances`` and ``counts``, the neighbours taken from each, and ``foreign``, those
+    of the points that other blocks hold.  Copies of a point are its neighbours.
+    """
+    xs = [f"x{j}" for j in range(dims)]
+    size = points.count()
+    if size == 0:
+        return points.sparkSession.createDataFrame([], NEIGHBOURS)
+    search = _Search(xs, [-1], dims, k, leaf_points, fan, np.zeros((0, dims)))
+    placed, levels = search.build(points, size)
+    least = max(CELL_POINTS, k + 1)
+
+    def sorted_points(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        table = table.sort_by("id")
+        return table, np.stack(_arrays(table, *xs), axis=1), *_arrays(table, "id", "n")
+
+    def inside(block: pa.Table) -> pa.Table:
+        block, x, ids, n = sorted_points(block)
+        cells = _Cells(x, least)
+        r, c, d, taken = cells.nearest(x, cells.reach(k), n, k, own=np.arange(len(x)))
+        enough = np.bincount(r, taken, minlength=len(x)) >= k
+        worst = np.full(len(x), np.inf)
+        np.maximum.at(farthest := np.zeros(len(x)), r, d)
+        worst[enough] = farthest[enough]
+        lists = _lists(r, len(x), ids[c], d, taken)
+        return pa.table([block["node"], block["id"], *(block[c] for c in xs), pa.array(worst), *lists], names=names)
+
+    names = ["home", "id", *xs, "worst", "points", "distances", "counts"]
+    schema = f"home bigint, id bigint, {''.join(f'{x} double, ' for x in xs)}worst double, " + NEIGHBOURS.split(", ", 2)[2].rsplit(", ", 1)[0]
+    first = search.keep(placed.select("node", "id", *xs, "n").groupBy("node").applyInArrow(inside, schema), "near")
+    asks = first.select("id", *xs, "worst", "home", F.lit(0).cast("bigint").alias("node"))
+    sent = search.descend(asks, levels, "others", search._state("worst double", "home bigint", "node bigint"))
+    sent = sent.where(F.col("node") != F.col("home"))
+
+    def outside(asked: pa.Table, block: pa.Table) -> pa.Table:
+        block, x, ids, n = sorted_points(block)
+        if not len(x) or not len(asked):
+            return FOUND.empty_table()
+        own, home, worst = _arrays(asked, "id", "home", "worst")
+        r, c, d, taken = _Cells(x, least).nearest(np.stack(_arrays(asked, *xs), axis=1), worst, n, k)
+        return pa.table([home[r], own[r], ids[c], d, taken], names=FOUND.names)
+
+    busy = sent.groupBy("node").agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("shares"))
+    asked = sent.join(busy, "node").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+    offered = placed.join(busy, "node").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    found = (
+        asked.select("node", "share", "id", *xs, "worst", "home").groupBy("node", "share")
+        .cogroup(offered.select("node", "share", "id", *xs, "n").groupBy("node", "share"))
+        .applyInArrow(outside, "home bigint, id bigint, point bigint, distance double, n bigint")
+    )
+    found = _take(found.withColumns({"set": F.lit(0), "v": F.lit(0.0)}), k).select(*FOUND.names)
+
+    def merge(near: pa.Table, far: pa.Table) -> pa.Table:
+        near = near.sort_by("id")
+        node, ids = near["home"], near["id"].to_numpy()
+        lists = [near[c].combine_chunks() for c in ("points", "distances", "counts")]
+        row = np.repeat(np.arange(len(ids)), lists[0].value_lengths().to_numpy())
+        asker, *more = _arrays(far, "id", "point", "distance", "n")
+        row = np.concatenate([row, np.searchsorted(ids, asker)])
+        point, d, n = (np.concatenate([a.flatten().to_numpy(), b]) for a, b in zip(lists, more))
+        away = np.arange(len(row)) >= len(row) - len(asker)
+        order = np.lexsort((point, d, row))
+        row, point, d, n, away = (v[order] for v in (row, point, d, n, away))
+        before = np.cumsum(n) - n
+        before -= before[np.searchsorted(row, row, side="left")]
+        taken = before < k
+        n = np.minimum(n, k - before)
+        out = _lists(row[taken], len(ids), point[taken], d[taken], n[taken])
+        return pa.table([node, near["id"], *out, *_lists(row[taken & away], len(ids), point[taken & away])], names=OUT)
+
+    own = first.select("home", "id", "points", "distances", "counts").groupBy("home")
+    taken = settle(own.cogroup(found.groupBy("home")).applyInArrow(merge, NEIGHBOURS), "neighbours")
+    release(*search.written)
+    return taken
+
+
 def _take(candidates: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """Nearest first, ties by ``v`` then point, until ``k`` neighbours are reached."""
     if skip_self:
