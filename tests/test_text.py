@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -290,3 +291,44 @@ def test_words_are_looked_up_where_texts_lie(spark, monkeypatch):
     assert stems == [(0, "dog run run"), (1, "run dog , dog hop"), (2, ""), (3, None)]
     monkeypatch.setattr(vocabulary, "FREQUENT_WORDS", 1)  # no lookup: all are worked out in place
     assert rows(vocabulary.stem_text(df, "text", ["id"], "english"), "id") == stems
+
+
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_language_model_in_place_equals_joined_grams(spark, monkeypatch, size):
+    """Texts are not cut into a row per character, for any size of grams; repeated keys are one text, null ones none."""
+    rng = random.Random(size)
+    letters = {"aa": "abcd \n", "bb": "ABxyz\U0001f600", "cc": "я😀dbé", None: "qa"}
+    write = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    train = [(write(chars, rng.randrange(40)), lang) for lang, chars in letters.items() for _ in range(10)] + [(None, "aa"), ("", "zz")]
+    df = [(i // 2 if i % 9 else None, write("abcdxyzя😀é \n", rng.randrange(30))) for i in range(60)] + [(99, None), (98, ""), (97, "q" * 9)]
+    train, df = spark.createDataFrame(train, "text string, lang string"), spark.createDataFrame(df, "id int, text string")
+    grams = lambda t: [t.lower()[i : i + size] for i in range(len(t) - size + 1)]
+    counts = {}
+    for text, lang in train.collect():
+        for g in grams(text or ""):
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    different = len({g for c in counts.values() for g in c})
+    counts.pop(None, None)
+    known = {g for c in counts.values() for g in c}
+
+    def best(text):
+        found = [g for g in grams(text) if g in known]
+        scores = {lang: sum(math.log((c.get(g, 0) + 1) / (sum(c.values()) + different)) for g in found) for lang, c in counts.items()}
+        return min(scores, key=lambda lang: (-scores[lang], lang)) if found else None
+
+    with monkeypatch.context() as m:
+        m.setattr(language, "_grams", lambda *a: pytest.fail("a row per character"))
+        model = language.train_language_model(train, "text", "lang", size)
+        assert {(r["lang"], r["gram"]) for r in model.collect()} == {(lang, g) for lang, c in counts.items() for g in [*c, None]}
+        got = language.classify_language(df, "text", ["id"], model, size).orderBy("id").collect()
+    with monkeypatch.context() as m:
+        m.setattr(language, "fits_broadcast", lambda *a: False)
+        assert got == language.classify_language(df, "text", ["id"], model, size).orderBy("id").collect()
+    texts = {}
+    for i, text in df.where("id is not null").collect():
+        texts.setdefault(i, []).append(text or "")
+    if size > 1:  # sums of one letter's weights come near each other
+        for r in got:
+            if r["id"] is None or len(texts[r["id"]]) == 1:
+                assert r["lang"] == (best(texts[r["id"]][0]) if r["id"] is not None else None)
