@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -72,6 +73,59 @@ def test_files_in_named_folders(spark, tmp_path):
     assert [r for r in found if r[0]] == sorted((f"a={n}/b={n % 3}", f"text {n}\n") for n in range(12)) and len(found) == 13
 
 
+def test_files_of_odd_rows_as_spark_writes_them(spark, tmp_path):
+    # missing, empty, repeated and odd names and texts: the same folders and lines as by Spark's own writer
+    names = [None, "", "a b", "x/y=z", "%41", "ё#?", "a b", "q[1]{2}^\"'", "new\nline", "é:*\\", "\x7f"]
+    df = spark.createDataFrame([(n, i % 2, None if i == 3 else f"t{n}" * (i % 5)) for i, n in enumerate(names)], "`n m` string, k int, text string")
+    df = df.unionByName(df).coalesce(1)
+    texts.write_files(df, str(tmp_path / "own"), ["n m", "k"])
+    df.write.partitionBy("n m", "k").text(str(tmp_path / "theirs"))
+    lines = lambda top: {str(f.parent.relative_to(top)): sorted(f.read_bytes().split(b"\n")) for f in top.rglob("part-*")}
+    assert lines(tmp_path / "own") == lines(tmp_path / "theirs")
+    assert (tmp_path / "own" / "_SUCCESS").exists()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        texts.write_files(df, str(tmp_path / "own"), ["n m", "k"])
+
+
+def test_documents_below_a_folder_as_spark_reads_them(spark, tmp_path, monkeypatch):
+    for name, content in {
+        "a.txt": b"one\n\ntwo\r\n", "n=1/b c%20#.txt": b"x", "n=1/_p=2/ё+&.txt": "ё".encode(), "n=1/empty": b"", "_hidden/a": b"no",
+        ".hidden": b"no", "_metadata.txt": b"no", "_metadata/x": b"seen", "n=2/c._COPYING_": b"no", "n=2/bad \u2028^`~!": b"\xff\xfe\x00a", "n=2/_no": b"no", "n=2/deep/er/x": b"\xef\xbb\xbfz",
+    }.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    (tmp_path / "none").mkdir()
+    raw = lambda df: rows(df.selectExpr("path", "hex(cast(text as binary))"))
+    read = lambda name: raw(texts.read_documents(spark, str(tmp_path / name), nested=True))
+    own = read("in"), read("none")
+    monkeypatch.setattr(texts, "_files_below", lambda *_: None)
+    assert own == (read("in"), read("none")) and len(own[0]) == 6
+
+
+def test_packed_documents_below_a_folder(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.gz").write_bytes(gzip.compress(b"packed"))
+    (tmp_path / "x" / "b").write_text("plain")
+    assert rows(texts.read_documents(spark, str(tmp_path), nested=True).select("text")) == [("packed",), ("plain",)]
+
+
+def test_many_files_cost_no_process_and_no_task_each(spark, tmp_path):
+    # before, Hadoop's local writer ran several processes for each file, and a listing task each folder
+    df = spark.range(400).selectExpr("id % 200 as a", "id as b", "concat('text ', id) as text").repartition(4, "b")
+    group = "many files"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        texts.write_files(df, str(tmp_path / "out"), ["a", "b"])
+        found = texts.read_documents(spark, str(tmp_path / "out"), nested=True)
+        assert rows(found.select("text")) == sorted(((f"text {n}\n",) for n in range(400)), key=repr)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+        assert sum(s.numTasks for s in stages if s) < 200
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list((tmp_path / "out").rglob(".part-*"))
+
+
 def test_collapse_in_parts(spark):
     df = spark.range(25).select(F.format_string("w%02d", "id").alias("w"), "id")
     parts = texts.collapse_column(df, "w", ["id"], rows_per_part=10).orderBy("part").collect()
