@@ -1,6 +1,7 @@
 """The tree of boxes against brute force: several levels, many columns, many patterns of missing cells, ties."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,60 @@ def test_queries_lacking_the_widest_coordinate_meet_few_blocks(spark, monkeypatc
     assert met[8000] < 2 * met[1000], met
 
 
+@pytest.mark.parametrize(("dims", "holes", "spread", "leaf"), [(2, 0.3, 3, 64), (3, 0.25, 4, 40), (4, 0.4, 3, 200), (1, 0.3, 9, 50)])
+def test_cells_of_few_coordinates_equal_brute_force(spark, dims, holes, spread, leaf):
+    """Large blocks of several patterns, with many points that differ in the target only, copies and ties."""
+    rng = np.random.default_rng(dims)
+    x = rng.integers(0, spread, (260, dims)).astype(float)
+    x[:, 0] = np.round(rng.random(260) * 5, 1)
+    x[rng.random(x.shape) < holes] = np.nan
+    q = rng.integers(0, spread + 2, (50, dims)).astype(float)
+    q[rng.random(q.shape) < 0.4] = np.nan
+    n = rng.integers(1, 4, len(x))
+    targets = sorted({0, dims - 1})
+    got = run(spark, q, x, n, 5, targets, leaf_points=leaf)
+    assert got == {key: sorted(v) for key, v in brute(q, x, n, 5, targets).items() if v}
+
+
+def test_a_query_of_few_coordinates_meets_few_points_and_boxes(monkeypatch):
+    """Not all points of a block, nor all boxes of a node: before, each query was held against each of them."""
+    rng = np.random.default_rng(5)
+    x = rng.random((4000, 3)) * [50, 1000, 200]
+    x[::2, 1] = np.nan
+    x[::2, 2] = np.floor(x[::2, 2] / 20) * 20  # equal but for the target
+    q = rng.random((500, 3)) * [50, 1000, 200]
+    q[:, 0] = np.nan
+    xs, met = ["x0", "x1", "x2"], {"points": 0, "boxes": 0}
+    count = lambda kind, size: met.__setitem__(kind, met[kind] + size)
+    distances, cells, bounds = neighbors._distances, neighbors._Cells._distance, neighbors._Boxes.bounds
+    monkeypatch.setattr(neighbors, "_distances", lambda q, x, total: count("points", len(q) * len(x)) or distances(q, x, total))
+    monkeypatch.setattr(neighbors._Cells, "_distance", lambda self, q, x: [d := cells(self, q, x), count("points", d.size)][0])
+    monkeypatch.setattr(neighbors._Boxes, "bounds", lambda self, q: count("boxes", len(q) * len(self.ids)) or bounds(self, q))
+    asks = pd.DataFrame(q, columns=xs).assign(id=np.arange(len(q)), within=np.inf)
+    points = pd.DataFrame(x, columns=xs).assign(id=np.arange(len(x)), n=1)
+    found = neighbors._candidates(asks, points, xs, [0], 3, 5)
+    want = brute(q, x, np.ones(len(x), int), 5, [0])
+    near = found.sort_values(["id", "distance", "v", "point"]).groupby("id").head(5)
+    assert {(i, 0): [(round(d, 9), v) for d, v in zip(g["distance"], g["v"])] for i, g in near.groupby("id")} == want
+    assert met["points"] < len(q) * len(x) / 4, met
+
+    q = rng.random((5000, 3)) * [50, 1000, 200]
+    q[:, 0] = np.nan
+    asks = pd.DataFrame(q, columns=xs).assign(id=np.arange(len(q)))
+    leaf = neighbors._grow(x, 16, 1024, 0).place(x)
+    ids = np.unique(leaf)
+    parts = [x[leaf == i] for i in ids]
+    stack = lambda f: np.array([f(pd.DataFrame(p)).to_numpy() for p in parts])
+    boxes = neighbors._Boxes(ids, stack(lambda p: p.min()), stack(lambda p: p.max()), stack(lambda p: p.notna().all()), stack(lambda p: p.notna().any()),
+                             np.array([[len(p)] for p in parts]), np.zeros((0, 3)), np.zeros((len(ids), 0)), np.zeros((len(ids), 0)), 3)
+    search = neighbors._Search(xs, [0], 3, 5, 16, 1024, np.zeros((0, 3)))
+    home = pd.concat(search.closest(asks.assign(reach=[[np.inf]] * len(q), node=0), boxes)).sort_values("id")
+    near, far = bounds(boxes, q)
+    assert met["boxes"] < len(q) * len(ids) / 3, met
+    assert (near[np.arange(len(q)), np.searchsorted(ids, home["node"])] == near.min(axis=1)).all()
+    assert np.array_equal(np.stack(home["reach"]), boxes.reach(far, 5))
+
+
 @pytest.mark.parametrize(("dims", "digits", "leaf", "fan", "rows"), [(2, 1, 16, 4, 300), (3, 0, 8, 64, 120), (7, 1, 64, 1024, 150), (1, 0, 4, 3, 40)])
 def test_others_equal_brute_force(spark, dims, digits, leaf, fan, rows):
     """Neighbours over several levels and blocks, with copies and ties, which go to the smaller id."""

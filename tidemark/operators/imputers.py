@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_double, numeric_columns, ref
 from ..functions.lookup import lookup_join
 from ..functions.storage import settle
-from .neighbors import LEAF_POINTS, nearest
+from .neighbors import nearest
 
 MAX_PATTERNS = 4096  # combinations of missing cells that are summed apart; beyond, a regression is an aggregation
 
@@ -28,7 +28,7 @@ def _column_means(df: DataFrame, columns: Sequence[str]) -> list[float | None]:
 
 
 def knn_fill(
-    df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, leaf_points: int = LEAF_POINTS
+    df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, leaf_points: int | None = None
 ) -> DataFrame:
     """Fill each missing number with the mean of its ``k`` nearest rows that have it.
 

@@ -17,7 +17,9 @@ share of those used.  Equal points are one row with a multiplicity.  One search
 a column, the queries that lack it look for their nearest points that have it.  With few coordinates each
 set has a tree of its own, over the points that have the column.  It is cut by which coordinates are
 present and by the others, and by the column itself only where the others are equal: a tree cut by a
-column that the queries lack would send them to all its parts.
+column that the queries lack would send them to all its parts.  Its blocks are larger and cut into cells of a
+few points, of which a query meets those that its bound reaches; points equal but for the column are cut to
+the first that can be taken.  Near queries are held against the boxes as one box before each is.
 
 Where every point looks for its nearest others (``nearest_others``), a query's first block is its own.  Inside a
 block, cells of a few points are cut, and a query meets the cells that its bound reaches.  Blocks are held against
@@ -48,9 +50,11 @@ SAMPLE_PER_CHILD = 16
 QUERY_PIECE = 20_000
 PIVOTS = 6
 FEW_COORDINATES = 4  # boxes alone tell enough
-BLOCK_POINTS = 8192  # of blocks whose points are each other's queries, cut into cells
+BLOCK_POINTS = 8192  # of blocks that are cut into cells
 BLOCK_FAN = 8192
 CELL_POINTS = 16
+ASK_CHUNK = 64  # queries that are held against boxes as one box first
+ASK_ROWS = 100_000  # queries that are cut into such chunks at once
 BALANCED = 0.1  # a coordinate that this share of points lack, or have, divides them well
 
 
@@ -185,6 +189,28 @@ class _Boxes:
             near = np.maximum(near, self._by_pivots(q))
         return np.sqrt(near), np.sqrt(far) * (1 + 1e-12)
 
+    def near(self, q: np.ndarray, wanted: int, worst: float | None = None) -> _Boxes:
+        """Those that can matter to any of some queries, which have the same coordinates: no farther than ``worst``, or
+        else than a distance within which each query has as many points as it wants."""
+        low, high = q.min(axis=0), q.max(axis=0)
+        near, far, most, n_every, n_some = (np.zeros(len(self.ids)) for _ in range(5))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for j in np.flatnonzero(~np.isnan(low)):
+                lo, hi, every, some = self.low[:, j], self.high[:, j], self.every[:, j], self.some[:, j]
+                gap = np.fmax(np.fmax(lo - high[j], low[j] - hi), 0.0)
+                reach = np.maximum(np.abs(high[j] - lo), np.abs(hi - low[j]))
+                near += np.where(every, gap * gap, 0.0)
+                square = reach * reach
+                far += np.where(every, square, 0.0)
+                most = np.maximum(most, np.where(some, square, 0.0))
+                n_every += every
+                n_some += some
+            near = np.sqrt(np.where(n_some > 0, near * (self.total / n_some), np.inf))
+            far = np.where(n_every == n_some, far * (self.total / n_every), most * self.total)
+            far = np.sqrt(np.where((n_every > 0) & ~np.isnan(far), far, np.inf)) * (1 + 1e-12)
+        limit = self.reach(far[None], wanted).max() if worst is None else worst
+        return self.of(np.flatnonzero((near <= limit) & (near < np.inf)))
+
     def _by_pivots(self, q: np.ndarray) -> np.ndarray:
         """Least squares by the triangle inequality, over the coordinates that the query has."""
         there = ~np.isnan(q)
@@ -260,22 +286,29 @@ def _nearest_in_block(q: np.ndarray, x: np.ndarray, total: int, k: int):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
+def _split(x: np.ndarray, least: int) -> list[np.ndarray]:
+    """Rows of near points in parts of at least ``least``, unless there are fewer in all, and less than twice as many."""
+    parts, open_ = [], [np.arange(len(x))]
+    while open_:
+        part = open_.pop()
+        if len(part) < 2 * least:
+            parts.append(part)
+            continue
+        own = x[part]
+        with np.errstate(invalid="ignore"):
+            axis = int(np.nan_to_num(own.max(axis=0) - own.min(axis=0), posinf=np.inf).argmax())
+        order = np.argpartition(own[:, axis], len(part) // 2)
+        open_ += [part[order[len(part) // 2 :]], part[order[: len(part) // 2]]]
+    return parts
+
+
 class _Cells:
     """Points without missing coordinates in cells of a few, so that a query need not look at all of them."""
 
-    def __init__(self, x: np.ndarray, least: int):
-        """Cells of at least ``least`` points, unless there are fewer in all, and at most twice as many."""
-        parts, open_ = [], [np.arange(len(x))]
-        while open_:
-            part = open_.pop()
-            if len(part) < 2 * least:
-                parts.append(part)
-                continue
-            own = x[part]
-            with np.errstate(invalid="ignore"):
-                axis = int(np.nan_to_num(own.max(axis=0) - own.min(axis=0), posinf=np.inf).argmax())
-            order = np.argpartition(own[:, axis], len(part) // 2)
-            open_ += [part[order[len(part) // 2 :]], part[order[: len(part) // 2]]]
+    def __init__(self, x: np.ndarray, least: int, scale: float = 1.0):
+        """Cells as ``_split`` cuts them; squares of distances are scaled."""
+        parts = _split(x, least)
+        self.scale = scale
         self.rows = np.full((len(parts), max(map(len, parts))), -1)
         for at, part in enumerate(parts):
             self.rows[at, : len(part)] = part
@@ -283,15 +316,14 @@ class _Cells:
         self.low = np.array([x[p].min(axis=0) for p in parts])
         self.high = np.array([x[p].max(axis=0) for p in parts])
 
-    @staticmethod
-    def _distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def _distance(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         """By the arithmetic of ``_distances``; NaN where there is no point."""
         squares = np.zeros(np.broadcast_shapes(q.shape, x.shape)[:-1])
         with np.errstate(invalid="ignore"):
             for j in range(q.shape[-1]):
                 step = q[..., j] - x[..., j]
                 squares += step * step
-            return np.sqrt(squares)
+            return np.sqrt(squares * self.scale)
 
     def reach(self, k: int) -> np.ndarray:
         """For each point a distance within which its cell has ``k`` others."""
@@ -306,10 +338,11 @@ class _Cells:
                 out[rows[rows >= 0]] = far[rows >= 0]
         return out
 
-    def nearest(self, q: np.ndarray, within: np.ndarray, n: np.ndarray, k: int, own: np.ndarray | None = None):
+    def nearest(self, q: np.ndarray, within: np.ndarray, n: np.ndarray, k: int, own: np.ndarray | None = None, first: bool = False):
         """Query, point, distance and number taken of the ``k`` nearest no farther than ``within``; ties by the order of points.
 
-        ``own`` names the point that each query is itself: it counts once less.
+        ``own`` names the point that each query is itself: it counts once less.  With ``first`` a query looks into
+        its closest cell first, which bounds its search.
         """
         found = []
         step = max(1, 100_000 // len(self.rows))
@@ -321,7 +354,12 @@ class _Cells:
                     x = some[:, j : j + 1]
                     gap = np.maximum(np.maximum(self.low[:, j] - x, x - self.high[:, j]), 0.0)
                     squares += gap * gap
-                r, cell = np.nonzero(np.sqrt(squares) <= bound[:, None])
+                least = np.sqrt(squares * self.scale)
+                if first and self.rows.shape[1] >= k:
+                    d = self._distance(some[:, None], self.x[np.nan_to_num(least, nan=np.inf).argmin(axis=1)])
+                    d[np.isnan(d)] = np.inf
+                    bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
+                r, cell = np.nonzero(least <= bound[:, None])
                 d = self._distance(some[r][:, None], self.x[cell])
                 pair, place = np.nonzero((d <= bound[r][:, None]) & (d < np.inf))
             d, r, c = d[pair, place], r[pair], self.rows[cell[pair], place]
@@ -336,11 +374,39 @@ class _Cells:
         return tuple(map(np.concatenate, zip(*found)))
 
 
+def _nearest_by_cells(q: np.ndarray, x: np.ndarray, n: np.ndarray, total: int, k: int, within: np.ndarray):
+    """As ``_nearest_in_block``, of few coordinates and no farther than ``within``.
+
+    Where queries and points share the same coordinates, equal points are as far: only the first that make
+    ``k`` can be taken.  The others lie in cells.
+    """
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    bits = 1 << np.arange(q.shape[1])
+    lost_q, lost_x = np.isnan(q) @ bits, np.isnan(x) @ bits
+    for a, b in itertools.product(np.unique(lost_q), np.unique(lost_x)):
+        shared = np.flatnonzero((a | b) & bits == 0)
+        if not len(shared):
+            continue
+        rows, cols = np.flatnonzero(lost_q == a), np.flatnonzero(lost_x == b)
+        own = x[np.ix_(cols, shared)]
+        order = np.lexsort(own.T)
+        own, counts = own[order], n[cols[order]]
+        before = np.cumsum(counts) - counts
+        other = np.append(True, (own[1:] != own[:-1]).any(axis=1))
+        before -= np.maximum.accumulate(np.where(other, before, 0))
+        some = cols[np.sort(order[before < k])]
+        cells = _Cells(x[np.ix_(some, shared)], max(CELL_POINTS, k), total / len(shared))
+        r, c, d, _ = cells.nearest(q[np.ix_(rows, shared)], within[rows], n[some], k, first=True)
+        found.append((rows[r], some[c], d))
+    return map(np.concatenate, zip(*found))
+
+
 CANDIDATES = "id bigint, set int, point bigint, distance double, v double, n bigint"
 
 
 def _candidates(asks: pd.DataFrame, points: pd.DataFrame, xs: list[str], sets: Sequence[int], total: int, k: int) -> pd.DataFrame:
-    """For each query and set that it belongs to, the k nearest of some points."""
+    """For each query and set that it belongs to, the k nearest of some points; with few coordinates those ``within`` reach."""
+    few = len(xs) <= FEW_COORDINATES
     q, x = asks[xs].to_numpy(dtype=float), points[xs].to_numpy(dtype=float)
     asked, ids, n = asks["id"].to_numpy(), points["id"].to_numpy(), points["n"].to_numpy()
     parts = []
@@ -351,7 +417,10 @@ def _candidates(asks: pd.DataFrame, points: pd.DataFrame, xs: list[str], sets: S
         order = np.lexsort((ids[cols], value))
         cols, value = cols[order], value[order]
         if len(rows) and len(cols):
-            r, c, d = _nearest_in_block(q[rows], x[cols], total, k)
+            if few:
+                r, c, d = _nearest_by_cells(q[rows], x[cols], n[cols], total, k, asks["within"].to_numpy(dtype=float)[rows])
+            else:
+                r, c, d = _nearest_in_block(q[rows], x[cols], total, k)
             parts.append((asked[rows[r]], np.full(len(r), number, np.int32), ids[cols[c]], d, value[c], n[cols[c]]))
     if not parts:
         return pd.DataFrame({"id": [], "set": [], "point": [], "distance": [], "v": [], "n": []})
@@ -495,36 +564,67 @@ class _Search:
             part = batch.iloc[start : start + step]
             yield part, part[self.xs].to_numpy(dtype=float)
 
+    def _near(self, batch: pd.DataFrame, boxes: _Boxes, worst: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, _Boxes]]:
+        """Rows of the batch, their coordinates and the boxes that matter to them.
+
+        With few coordinates these are chunks of near queries that lack the same, and boxes are first held against the chunk.
+        """
+        if len(self.xs) > FEW_COORDINATES:
+            step = max(1, 1_000_000 // max(1, len(boxes.ids)))
+            for start in range(0, len(batch), step):
+                yield np.arange(start, min(start + step, len(batch))), batch[self.xs].iloc[start : start + step].to_numpy(dtype=float), boxes
+            return
+        q = batch[self.xs].to_numpy(dtype=float)
+        lost = np.isnan(q)
+        pattern = lost @ (1 << np.arange(q.shape[1]))
+        for p in np.unique(pattern):
+            rows = np.flatnonzero(pattern == p)
+            for part in _split(q[np.ix_(rows, ~lost[rows[0]])], ASK_CHUNK) if not lost[rows[0]].all() else [np.arange(len(rows))]:
+                at = rows[part]
+                few = boxes.near(q[at], self.wanted, None if worst is None else worst[at].max())
+                yield at, q[at], few if len(few.ids) or worst is not None else boxes.of(np.arange(1))
+
     def closest(self, batch: pd.DataFrame, boxes: _Boxes) -> Iterator[pd.DataFrame]:
         """Each query at its closest child, with a bound of its search by set."""
-        for part, q in self._parts(batch, boxes):
-            near, far = boxes.bounds(q)
-            bound = np.minimum(boxes.reach(far, self.wanted), np.array(part["reach"].tolist()).reshape(len(q), -1))
+        reach, found = np.array(batch["reach"].tolist()).reshape(len(batch), -1), []
+        for at, q, some in self._near(batch, boxes):
+            near, far = some.bounds(q)
+            bound = np.minimum(some.reach(far, self.wanted), reach[at])
             least = near.min(axis=1, keepdims=True)
             tie = far
             for t in reversed(self.sets):
                 if t >= 0:  # ties go to the smaller value that would be taken
-                    tie = np.where(np.isnan(q[:, t : t + 1]), np.nan_to_num(boxes.low[:, t], nan=np.inf), tie)
-            empty = np.stack([boxes.weight[:, s] == 0 for s in range(len(self.sets))], axis=1)
+                    tie = np.where(np.isnan(q[:, t : t + 1]), np.nan_to_num(some.low[:, t], nan=np.inf), tie)
+            empty = np.stack([some.weight[:, s] == 0 for s in range(len(self.sets))], axis=1)
             useless = (self._belongs(q)[:, None, :] <= empty[None, :, :]).all(axis=2)
             order = np.where((near == least) & ~useless, tie, np.inf)
             best = np.where(np.isinf(order).all(axis=1), np.where(useless, np.inf, near).argmin(axis=1), order.argmin(axis=1))
-            yield part.assign(reach=list(bound), node=boxes.ids[best])
+            found.append((at, bound, some.ids[best]))
+        if found:
+            at, bound, node = map(np.concatenate, zip(*found))
+            yield batch.iloc[at].assign(reach=list(bound), node=node)
 
     def open(self, batch: pd.DataFrame, boxes: _Boxes) -> Iterator[pd.DataFrame]:
         """Each query at all children that can hold a point nearer than its worst, or as near with a smaller value."""
-        for part, q in self._parts(batch, boxes):
-            near, _ = boxes.bounds(q)
-            worst, tie = (np.array(part[c].tolist(), float).reshape(len(q), -1) for c in ("worst", "tie"))
+        worst, tie = (np.array(batch[c].tolist(), float).reshape(len(batch), -1) for c in ("worst", "tie"))
+        rows, nodes = [np.zeros(0, int)], [np.zeros(0, int)]
+        for at, q, some in self._near(batch, boxes, worst.max(axis=1)):
+            near, _ = some.bounds(q)
             belongs = self._belongs(q)
             may = np.zeros(near.shape, bool)
             for s, t in enumerate(self.sets):
-                low = np.nan_to_num(boxes.low[:, t], nan=np.inf) if t >= 0 else np.full(len(boxes.ids), -np.inf)
-                inside = (near < worst[:, s : s + 1]) | ((near == worst[:, s : s + 1]) & (low <= tie[:, s : s + 1]))
-                may |= inside & belongs[:, s : s + 1] & (boxes.weight[:, s] > 0)
+                low = np.nan_to_num(some.low[:, t], nan=np.inf) if t >= 0 else np.full(len(some.ids), -np.inf)
+                own, own_tie = worst[at, s : s + 1], tie[at, s : s + 1]
+                inside = (near < own) | ((near == own) & (low <= own_tie))
+                may |= inside & belongs[:, s : s + 1] & (some.weight[:, s] > 0)
             may &= np.isfinite(near)
             r, c = np.nonzero(may)
-            yield part.iloc[r].assign(node=boxes.ids[c])
+            rows.append(at[r])
+            nodes.append(some.ids[c])
+            if sum(map(len, rows)) > ASK_ROWS:
+                yield batch.iloc[np.concatenate(rows)].assign(node=np.concatenate(nodes))
+                rows, nodes = rows[:1], nodes[:1]
+        yield batch.iloc[np.concatenate(rows)].assign(node=np.concatenate(nodes))
 
     def others(self, batch: pd.DataFrame, boxes: _Boxes) -> Iterator[pd.DataFrame]:
         """Each point at all children that can hold one as near as its worst.  The points of a block, which all have
@@ -550,9 +650,14 @@ class _Search:
         step = getattr(self, way)
 
         def from_root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = pickle.loads(first.value)
-            for batch in batches:
-                yield from step(batch, known)
+            known, held = pickle.loads(first.value), []
+            for batch in batches:  # more queries lie nearer to one another
+                held.append(batch)
+                if sum(map(len, held)) >= ASK_ROWS:
+                    yield from step(pd.concat(held, ignore_index=True), known)
+                    held = []
+            if held:
+                yield from step(pd.concat(held, ignore_index=True), known)
 
         at = queries.mapInPandas(from_root, schema)
         for boxes in levels[1:]:
@@ -574,7 +679,7 @@ class _Search:
         return below
 
     def probe(self, sent: DataFrame, blocks: DataFrame, bounded: bool) -> DataFrame:
-        """Candidates from the blocks the queries were sent to."""
+        """Candidates from the blocks the queries were sent to; with few coordinates no farther than ``within``."""
         busy = sent.groupBy("node").agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("shares"))
         busy = F.broadcast(busy) if bounded else busy
         asked = sent.join(busy, "node").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
@@ -590,7 +695,7 @@ class _Search:
 
         keys = ["node", "piece", "share"]
         return (
-            asked.select(*keys, "id", *xs).groupBy(*keys)
+            asked.select(*keys, "id", *xs, "within").groupBy(*keys)
             .cogroup(offered.select(*keys, "id", *xs, "n").groupBy(*keys))
             .applyInPandas(look, CANDIDATES)
         )
@@ -603,9 +708,9 @@ def nearest(
     k: int,
     total: int | None = None,
     skip_self: bool = False,
-    leaf_points: int = LEAF_POINTS,
+    leaf_points: int | None = None,
     targets: Sequence[int] | None = None,
-    fan: int = FAN,
+    fan: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest points of every query.
 
@@ -619,11 +724,14 @@ def nearest(
     """
     spark = points.sparkSession
     xs = [f"x{j}" for j in range(dims)]
+    few = dims <= FEW_COORDINATES
+    leaf_points = leaf_points or (BLOCK_POINTS if few else LEAF_POINTS)
+    fan = fan or (BLOCK_FAN if few else FAN)
     size = points.count()
     if size == 0:
         return spark.createDataFrame([], CANDIDATES)
     sets = [-1] if targets is None else list(targets)
-    if targets is not None and len(sets) > 1 and dims <= FEW_COORDINATES:
+    if targets is not None and len(sets) > 1 and few:
         found = []
         for number, t in enumerate(sets):
             lack, have = queries.where(F.col(xs[t]).isNull()), points.where(F.col(xs[t]).isNotNull())
@@ -636,7 +744,7 @@ def nearest(
     none = F.array(*[F.lit(float("inf"))] * len(sets))
     start = queries.select("id", *xs, none.alias("reach"), F.lit(0).cast("bigint").alias("node"))
     home = search.descend(start, levels, "closest", search._state("reach array<double>", "node bigint"))
-    first = search.keep(search.probe(home, blocks, bounded), "near")
+    first = search.keep(search.probe(home.withColumn("within", F.element_at("reach", 1)), blocks, bounded), "near")
     last = _take(first, search.wanted).groupBy("id", "set").agg(
         F.sum("n").alias("found"), F.max(F.struct("distance", "v")).alias("worst")
     )
@@ -654,7 +762,7 @@ def nearest(
     again = again.select("id", *xs, worst.alias("worst"), tie.alias("tie"), "home", F.lit(0).cast("bigint").alias("node"))
     schema = search._state("worst array<double>", "tie array<double>", "home bigint", "node bigint")
     others = search.descend(again, levels, "open", schema).where(F.col("node") != F.col("home"))
-    second = search.probe(others.select("id", *xs, "node"), blocks, bounded)
+    second = search.probe(others.select("id", *xs, "node", F.element_at("worst", 1).alias("within")), blocks, bounded)
     taken = settle(_take(first.unionByName(second), k, skip_self), "nearest")
     release(*search.written)
     return taken
